@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, token_counts, url_rules
+from . import gif_media, langid, packing, simple8b, token_counts, url_rules
 from .common import table
 
 #: host and path of a rule in one string, and what it does
@@ -21,14 +21,30 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.gif_features(gif_media.encode_gifs(table(spark, sf_dir, "documents")))
+
+
+def op5_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op10_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = simple8b.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return simple8b.read_files(files)
+
+
 QUERIES = {
     "op2_token_counts": op2_token_counts,
     "op3_url_rules": op3_url_rules,
+    "op4_gif_media": op4_gif_media,
+    "op5_linear_grouping_packing": op5_linear_grouping_packing,
     "op7_language_id": op7_language_id,
+    "op10_simple8b_files": op10_simple8b_files,
 }
 
 ORACLE_SQL = {
