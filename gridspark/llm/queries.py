@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif_media, langid, packing, simple8b, token_counts, url_rules
+from . import gif_media, langid, packing, simhash, simple8b, token_counts, url_rules
 from .common import table
 
 #: host and path of a rule in one string, and what it does
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 512 AS over_limit")
@@ -39,6 +43,7 @@ def op10_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
     "op3_url_rules": op3_url_rules,
     "op4_gif_media": op4_gif_media,
