@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gif_media, langid, packing, simhash, simple8b, token_counts, url_rules
+from . import bloom_lm, gif_media, langid, packing, simhash, simple8b, token_counts, toxicity, url_rules
 from .common import table
 
 #: host and path of a rule in one string, and what it does
@@ -37,6 +37,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(table(spark, sf_dir, "documents"))
 
 
+def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.language_model(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = simple8b.write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return simple8b.read_files(files)
@@ -49,6 +57,8 @@ QUERIES = {
     "op4_gif_media": op4_gif_media,
     "op5_linear_grouping_packing": op5_linear_grouping_packing,
     "op7_language_id": op7_language_id,
+    "op8_bloom_lm": op8_bloom_lm,
+    "op9_toxicity": op9_toxicity,
     "op10_simple8b_files": op10_simple8b_files,
 }
 
