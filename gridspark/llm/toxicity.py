@@ -1,7 +1,7 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling.
 
 Every word enters as a word embedding beside the mean of its character n-gram embeddings (both hashed into
-tables of fixed size). A recurrent layer runs over a window of words in each direction, attention pools its
+tables of fixed size) and the highest first component among the n-grams. A recurrent layer runs over a window of words in each direction, attention pools its
 states, and a logistic unit scores the window. A text's score is that of its highest window; windows overlap
 by a quarter and cover the whole text.
 
@@ -35,11 +35,15 @@ from .common import ship, slices, texts
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, EMBED, ATTEND = 8, 6, 8
-WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 17
+WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 18
+INPUT = 2 * EMBED + 1
 GRAMS = (4, 5)
 #: Texts of label 0 and 1 that are trained on, and the most characters of one of them.
 SAMPLE, SAMPLE_CHARS = (1600, 800), 50_000
 EPOCHS = 6
+SMOOTH = 10
+#: Steps at least, so that a small sample is trained on as well.
+STEPS = 240
 #: Words that a worker keeps the input products of.
 KEPT_WORDS = 300_000
 #: Marks that are no part of a word at its ends.
@@ -105,7 +109,7 @@ class Network:
         self.p = {
             "word": 0.1 * draw(WORD_ROWS, EMBED) * np.float32(np.sqrt(WORD_ROWS)),
             "gram": 0.1 * draw(GRAM_ROWS, EMBED) * np.float32(np.sqrt(GRAM_ROWS)),
-            "w": draw(2, 2 * EMBED, 3 * HIDDEN),
+            "w": draw(2, INPUT, 3 * HIDDEN),
             "b": np.zeros((2, 3 * HIDDEN), np.float32),
             "u": draw(2, HIDDEN, 3 * HIDDEN),
             "a": draw(2 * HIDDEN, ATTEND),
@@ -116,8 +120,9 @@ class Network:
 
     def inputs(self, word: np.ndarray, grams: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         """Input vectors of words given by rows."""
-        summed = np.add.reduceat(self.p["gram"][grams], np.cumsum(sizes) - sizes)
-        return np.concatenate([self.p["word"][word], summed / sizes[:, None].astype(np.float32)], axis=1)
+        own, first = self.p["gram"][grams], np.cumsum(sizes) - sizes
+        summed, most = np.add.reduceat(own, first), np.maximum.reduceat(own[:, 0], first)
+        return np.concatenate([self.p["word"][word], summed / sizes[:, None].astype(np.float32), most[:, None]], axis=1)
 
     def products(self, x: np.ndarray) -> np.ndarray:
         """Input products of words [direction, word, gates], with a last row for padding."""
@@ -158,14 +163,14 @@ class Network:
             keep.append((states, attended, weight, pooled))
         return pooled @ self.p["o"] + self.p["c"]
 
-    def gradients(self, x: np.ndarray, rows: np.ndarray, target: np.ndarray) -> tuple[dict, np.ndarray]:
+    def gradients(self, x: np.ndarray, rows: np.ndarray, target: np.ndarray, weight_of_1: float = 1.0) -> tuple[dict, np.ndarray]:
         """Gradients of the mean log loss, for the parameters but the embeddings, and for the input vectors."""
         keep: list = []
         products = self.products(x)
         logit = self.forward(products, rows, keep)
         states, attended, weight, pooled = keep.pop()
         n = len(rows)
-        err = (_sigmoid(logit) - target).astype(np.float32) / n
+        err = (np.where(target > 0, weight_of_1, 1.0) * (_sigmoid(logit) - target) / n).astype(np.float32)
         g = {k: np.zeros_like(v) for k, v in self.p.items() if k not in ("word", "gram")}
         g["o"], g["c"] = pooled.T @ err, err.sum(keepdims=True)
         d_pooled = err[:, None] * self.p["o"]
@@ -215,19 +220,21 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> N
         for ids, y in zip(docs, label):
             own = np.unique(ids)
             seen[int(y), np.unique(word[own] if name == "word" else np.concatenate([grams[ends[i] - sizes[i] : ends[i]] for i in own.tolist()] or [grams[:0]]))] += 1
-        odds = np.log((seen + 0.5) / totals)
-        net.p[name][:, 0] = ((odds[1] - odds[0]) * (n := seen.sum(0)) / (n + 4)).clip(-5, 5) / 2
+        # what few texts have says little: SMOOTH texts of the usual mix are added
+        odds = np.log((seen + SMOOTH * totals / totals.sum()) / totals)
+        net.p[name][:, 0] = (odds[1] - odds[0]).clip(-1, 6) / 2
     cut, counts = windows(docs)
     first = np.cumsum(counts) - counts
     moments: dict[str, list] = {}
-    step = 0
-    for epoch in range(epochs):
+    step, per_epoch = 0, max(1, (len(label) + min(len(label), int(counts[label == 0].sum()))) // 128)
+    share = float(label.mean() / 2)  # of label 1 among what is trained on
+    for epoch in range(max(epochs, -(-STEPS // per_epoch))):
         x = net.inputs(word, grams, sizes)
         if epoch:
             products = net.products(x)
             logits = np.concatenate([net.forward(products, cut[i : i + 4096]) for i in range(0, len(cut), 4096)])
         else:
-            both = np.append(x[:, 0] + x[:, EMBED], -9)
+            both = np.append(x[:, 0] + x[:, -1], -9)
             logits = both[cut].max(1)
         worst = np.array([f + int(logits[f : f + c].argmax()) for f, c in zip(first, counts)])
         clean = np.flatnonzero(np.repeat(label, counts) == 0)
@@ -245,7 +252,7 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> N
             n_grams = sizes[used]
             owner = np.repeat(np.arange(len(used)), n_grams)
             own_grams = grams[(ends - sizes)[used][owner] + np.arange(len(owner)) - (np.cumsum(n_grams) - n_grams)[owner]]
-            g, dx = net.gradients(net.inputs(word[used], own_grams, n_grams), local, target[order[i : i + 128]])
+            g, dx = net.gradients(net.inputs(word[used], own_grams, n_grams), local, target[order[i : i + 128]], min(4.0, (1 - share) / share))
             step += 1
             rate = 0.01 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for k, v in g.items():
@@ -253,8 +260,8 @@ def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> N
                 m[0] += 0.1 * (v - m[0])
                 m[1] += 0.001 * (v * v - m[1])
                 net.p[k] -= (rate * m[0] / (np.sqrt(m[1]) + 1e-8)).astype(np.float32)
-            np.add.at(net.p["word"], word[used], -0.5 * dx[:, :EMBED])
-            np.add.at(net.p["gram"], own_grams, (-0.5 * dx[:, EMBED:] / n_grams[:, None])[owner])
+            np.add.at(net.p["word"], word[used], -0.1 * dx[:, :EMBED])
+            np.add.at(net.p["gram"], own_grams, (-0.1 * dx[:, EMBED : 2 * EMBED] / n_grams[:, None])[owner])
     return net
 
 
