@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, gif_media, langid, packing, simhash, simple8b, token_counts, toxicity, url_rules
+from . import bloom_lm, decontamination, gif_media, langid, packing, simhash, simple8b, token_counts, toxicity, url_rules
 from .common import table
 
 #: host and path of a rule in one string, and what it does
@@ -33,6 +33,10 @@ def op5_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_cgk_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op3_url_rules": op3_url_rules,
     "op4_gif_media": op4_gif_media,
     "op5_linear_grouping_packing": op5_linear_grouping_packing,
+    "op6_cgk_decontamination": op6_cgk_decontamination,
     "op7_language_id": op7_language_id,
     "op8_bloom_lm": op8_bloom_lm,
     "op9_toxicity": op9_toxicity,
