@@ -1,12 +1,14 @@
-"""Queries over the driver's tables, with their SQL."""
+"""All queries over the driver's tables, with their SQL, and the flagship query."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import algebra
+
+QUERIES: dict = {**algebra.QUERIES}
+ORACLE_SQL: dict[str, str] = {**algebra.ORACLE_SQL}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy("n_regionkey").count()
+    return algebra.range_size(spark, sf_dir)
