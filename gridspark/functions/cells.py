@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import model as M
+from .refs import let
 
 MAX_LONG, MIN_LONG = (1 << 63) - 1, -(1 << 63)
 _DATE = r"^\d{4}-\d{2}-\d{2}$"
@@ -27,14 +28,15 @@ def saturated(f: Column) -> Column:
 
 def float_text(f: Column) -> Column:
     """Decimal digits of a double without exponent and without a trailing ``.0``."""
-    text = f.cast("string")
-    sign, mantissa, power = (F.regexp_extract(text, r"^(-?)([0-9.]+)(?:E(-?\d+))?$", k) for k in (1, 2, 3))
-    digits = F.regexp_replace(F.regexp_replace(mantissa, r"\.0$", ""), r"\.", "")
-    exponent = F.when(power != "", power).otherwise("0").cast("int")
-    whole = F.concat(F.substring(F.rpad(digits, exponent + 1, "0"), F.lit(1), exponent + 1), F.when(F.length(digits) > exponent + 1, F.concat(F.lit("."), F.substring(digits, exponent + 2, F.length(digits)))).otherwise(""))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    plain = F.regexp_replace(text, r"\.0$", "")
-    return F.when(f.isNull(), None).when(F.isnan(f), "NaN").when(text.contains("Infinity"), F.when(f > 0, "inf").otherwise("-inf")).when(power == "", plain).when(exponent >= 0, F.concat(sign, whole)).otherwise(F.concat(sign, small))
+    cut = lambda text: F.struct(*(F.regexp_extract(text, r"^(-?)([0-9.]+?)(?:\.0)?(?:E(-?\d+))?$", k).alias(n) for k, n in ((1, "sign"), (2, "mantissa"), (3, "power"))))
+
+    def spread(p: Column) -> Column:
+        digits, n = F.replace(p.mantissa, F.lit("."), F.lit("")), F.when(p.power != "", p.power).otherwise("0").cast("int") + 1
+        whole = F.concat(F.substring(F.rpad(digits, n, "0"), F.lit(1), n), F.when(F.length(digits) > n, F.concat(F.lit("."), F.substring(digits, n + 1, F.length(digits)))).otherwise(""))
+        return F.concat(p.sign, F.when(n > 0, whole).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -n), digits)))
+
+    plain = lambda p: F.when(p.power == "", F.concat(p.sign, p.mantissa)).otherwise(spread(p))
+    return F.when(f.isNull(), None).when(F.isnan(f), "NaN").when(F.abs(f) == float("inf"), F.when(f > 0, "inf").otherwise("-inf")).otherwise(let(cut(f.cast("string")), plain))
 
 
 def serial_ms(f: Column, is_1904: Column) -> Column:

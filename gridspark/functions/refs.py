@@ -10,23 +10,35 @@ from ..model import MAX_COLUMNS, MAX_ROWS
 _CELL = r"^(\$?)([A-Za-z]{1,3})(\$?)([0-9]{1,7})$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def column_name(col: Column) -> Column:
     """0 -> A, 25 -> Z, 26 -> AA; null from 16,384 on."""
     letter = lambda n: F.char(F.lit(65) + n.cast("int"))
-    two, three = col - 26, col - 702
-    return (
-        F.when(col < 0, None).when(col < 26, letter(col)).when(col < 702, F.concat(letter(F.floor(two / 26)), letter(F.pmod(two, F.lit(26)))))
-        .when(col < MAX_COLUMNS, F.concat(letter(F.floor(three / 676)), letter(F.pmod(F.floor(three / 26), F.lit(26))), letter(F.pmod(three, F.lit(26)))))
-    )
+
+    def name(n: Column) -> Column:
+        two, three = n - 26, n - 702
+        return (
+            F.when(n < 0, None).when(n < 26, letter(n)).when(n < 702, F.concat(letter(F.floor(two / 26)), letter(two % 26)))
+            .when(n < MAX_COLUMNS, F.concat(letter(F.floor(three / 676)), letter(F.floor(three / 26) % 26), letter(three % 26)))
+        )
+
+    return let(col, name)
 
 
 def column_index(name: Column) -> Column:
     """A -> 0; letters of any case; null for what is no column."""
-    up = F.upper(name)
-    digit = lambda k: F.ascii(F.substring(up, k, 1)) - 64
-    n = F.length(name)
-    index = F.when(n == 1, digit(1)).when(n == 2, digit(1) * 26 + digit(2)).when(n == 3, digit(1) * 676 + digit(2) * 26 + digit(3)) - 1
-    return F.when(name.rlike("^[A-Za-z]{1,3}$") & (index < MAX_COLUMNS), index)
+    digit = lambda up, k: F.ascii(F.substring(up, k, 1)) - 64
+
+    def index(up: Column) -> Column:
+        n = F.length(up)
+        return F.when(n == 1, digit(up, 1)).when(n == 2, digit(up, 1) * 26 + digit(up, 2)).when(n == 3, digit(up, 1) * 676 + digit(up, 2) * 26 + digit(up, 3)) - 1
+
+    found = let(F.upper(F.regexp_extract(name, "^([A-Za-z]{1,3})$", 1)), index)
+    return let(found, lambda i: F.when(i < MAX_COLUMNS, i))
 
 
 def a1(row: Column, col: Column) -> Column:
@@ -57,24 +69,31 @@ def contains(r0: Column, c0: Column, r1: Column, c1: Column, row: Column, col: C
     return row.between(r0, r1) & col.between(c0, c1)
 
 
+def _parts(token: Column, pattern: str, n: int) -> Column:
+    return F.array(*(F.regexp_extract(token, pattern, k + 1) for k in range(n)))
+
+
 def _moved(token: Column, rows: Column, cols: Column) -> Column:
-    """A cell reference moved where it is relative; unchanged if it is none or would leave the sheet."""
-    fixed_col, letters, fixed_row, digits = (F.regexp_extract(token, _CELL, k) for k in (1, 2, 3, 4))
-    col = column_index(letters) + F.when(fixed_col == "", cols).otherwise(0)
-    row = F.when(digits != "", digits).cast("int") - 1 + F.when(fixed_row == "", rows).otherwise(0)
-    inside = col.between(0, MAX_COLUMNS - 1) & row.between(0, MAX_ROWS - 1) & (column_index(letters).isNotNull())
-    return F.when(inside, F.concat(fixed_col, column_name(col), fixed_row, (row + 1).cast("string")))
+    """A cell reference moved where it is relative; null if it is none or would leave the sheet."""
+
+    def moved(p: Column) -> Column:
+        col = column_index(p[1]) + F.when(p[0] == "", cols).otherwise(0)
+        row = F.when(p[3] != "", p[3]).cast("int") - 1 + F.when(p[2] == "", rows).otherwise(0)
+        return let(F.struct(col.alias("c"), row.alias("r")), lambda x: F.when(x.c.between(0, MAX_COLUMNS - 1) & x.r.between(0, MAX_ROWS - 1), F.concat(p[0], column_name(x.c), p[2], (x.r + 1).cast("string"))))
+
+    return let(_parts(token, _CELL, 4), moved)
 
 
 def _moved_side(token: Column, rows: Column, cols: Column) -> Column:
     """A whole column or a whole row, as in ``E:F`` or ``$5:6``."""
-    fixed, letters = F.regexp_extract(token, r"^(\$?)([A-Za-z]{1,3})$", 1), F.regexp_extract(token, r"^(\$?)([A-Za-z]{1,3})$", 2)
-    col = column_index(letters) + F.when(fixed == "", cols).otherwise(0)
-    column = F.when(col.between(0, MAX_COLUMNS - 1), F.concat(fixed, column_name(col)))
-    held, digits = F.regexp_extract(token, r"^(\$?)([0-9]{1,7})$", 1), F.regexp_extract(token, r"^(\$?)([0-9]{1,7})$", 2)
-    number = F.when(digits != "", digits).cast("int") - 1 + F.when(held == "", rows).otherwise(0)
-    row = F.when(number.between(0, MAX_ROWS - 1), F.concat(held, (number + 1).cast("string")))
-    return F.when(letters != "", column).when(digits != "", row)
+
+    def column(p: Column) -> Column:
+        return let(column_index(p[1]) + F.when(p[0] == "", cols).otherwise(0), lambda c: F.when(c.between(0, MAX_COLUMNS - 1), F.concat(p[0], column_name(c))))
+
+    def row(p: Column) -> Column:
+        return let(F.when(p[1] != "", p[1]).cast("int") - 1 + F.when(p[0] == "", rows).otherwise(0), lambda r: F.when(r.between(0, MAX_ROWS - 1), F.concat(p[0], (r + 1).cast("string"))))
+
+    return F.coalesce(let(_parts(token, r"^(\$?)([A-Za-z]{1,3})$", 2), column), let(_parts(token, r"^(\$?)([0-9]{1,7})$", 2), row))
 
 
 def expand_formula(template: Column, rows: Column, cols: Column) -> Column:
@@ -87,13 +106,13 @@ def expand_formula(template: Column, rows: Column, cols: Column) -> Column:
 
     def moved(token: Column, at: Column) -> Column:
         call = F.coalesce(F.try_element_at(tokens, at + 2), F.lit("")) == "("
-        sides = F.split(token, ":")
-        left, right = sides[0], F.element_at(sides, -1)
-        pair = F.coalesce(
-            F.concat(_moved(left, rows, cols), F.lit(":"), _moved(right, rows, cols)),
-            F.when(left.rlike(r"^\$?[A-Za-z]+$") == right.rlike(r"^\$?[A-Za-z]+$"), F.concat(_moved_side(left, rows, cols), F.lit(":"), _moved_side(right, rows, cols))),
-        )
-        new = F.when(F.size(sides) == 1, _moved(token, rows, cols)).when(F.size(sides) == 2, pair)
-        return F.when(call, token).otherwise(F.coalesce(new, token))
+
+        def new(sides: Column) -> Column:
+            left, right = sides[0], F.element_at(sides, -1)
+            cells = F.concat(_moved(left, rows, cols), F.lit(":"), _moved(right, rows, cols))
+            lines = F.when(left.rlike(r"^\$?[A-Za-z]+$") == right.rlike(r"^\$?[A-Za-z]+$"), F.concat(_moved_side(left, rows, cols), F.lit(":"), _moved_side(right, rows, cols)))
+            return F.when(F.size(sides) == 1, _moved(left, rows, cols)).when(F.size(sides) == 2, F.coalesce(cells, lines))
+
+        return F.when(call, token).otherwise(F.coalesce(let(F.split(token, ":"), new), token))
 
     return F.array_join(F.transform(tokens, moved), "")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import algebra
+from . import algebra, workbooks
 
-QUERIES: dict = {**algebra.QUERIES}
-ORACLE_SQL: dict[str, str] = {**algebra.ORACLE_SQL}
+QUERIES: dict = {**algebra.QUERIES, **workbooks.QUERIES}
+ORACLE_SQL: dict[str, str] = {**algebra.ORACLE_SQL, **workbooks.ORACLE_SQL}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return algebra.range_size(spark, sf_dir)
+    return workbooks.nations_by_region_from_workbook(spark, sf_dir)
