@@ -8,7 +8,7 @@ from the matrix and sums over each text's n-grams.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the language that
 sorts first; equal texts get equal results; without any training row every text is ``und``; labels that are
-null teach nothing. lang, source and doc_id are never inputs of a prediction.
+null teach nothing; rows without a doc_id are not held out. lang, source and doc_id are never inputs of a prediction.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import bounded_rows, ship, slices, texts
 
@@ -119,13 +120,13 @@ def score(batch_texts: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.nd
     return best, 1 / odds.sum(1), letters
 
 
-def identify(docs: DataFrame, languages: list[str], matrix: np.ndarray, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The named columns of every row, with lang_pred and score."""
+def identify(docs: DataFrame, languages: list[str], matrix: np.ndarray, columns: list[str], text_col: str = "text", into: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The named columns of every row, with the language and its posterior."""
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast((languages, matrix))
     keep = docs.select(F.col(text_col).alias("__text"), *columns)
-    names = [*columns, "lang_pred", "score"]
+    names = [*columns, *into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, logp = sent.value
@@ -139,12 +140,12 @@ def identify(docs: DataFrame, languages: list[str], matrix: np.ndarray, columns:
                 said, sure = ["und"] * len(own), np.zeros(len(own))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(said, pa.string()), pa.array(sure, pa.float64())], names=names)
 
-    schema = keep.select(*columns).schema.add("lang_pred", "string").add("score", "double")
+    schema = StructType([*keep.select(*columns).schema.fields, StructField(into[0], StringType()), StructField(into[1], DoubleType())])
     return keep.mapInArrow(run, schema)
 
 
 def predict_languages(docs: DataFrame, parts: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every document; learns from rows that are not held out."""
-    rows = docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string")) % parts == held_out)
+    rows = docs.select("doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == held_out, F.lit(False)).alias("held_out"))
     languages, matrix = train(rows.where(~F.col("held_out")))
     return identify(rows, languages, matrix, ["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")

@@ -201,8 +201,8 @@ def _before(histogram: list[tuple[int, int]]) -> dict[int, int]:
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> DataFrame:
-    """pieces (stored; with doc_id, piece and length) with sequence_id and offset."""
-    ids = ["doc_id", "piece"]
+    """pieces (stored; with doc_id, piece, length and ids_crc32) with sequence_id and offset."""
+    ids = ["doc_id", "piece", "ids_crc32"]
     histogram = sorted((r[0], r[1]) for r in pieces.groupBy("length").count().collect())  # capacity rows at most
     small = [h for h in histogram if h[0] <= capacity // SMALL]
     large = [h for h in histogram if h[0] > capacity // SMALL]

@@ -196,7 +196,7 @@ def shards(nodes: DataFrame, most: int = SHARD) -> DataFrame:
 
 
 def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """node and root (the least node that it can reach) of every node that has a link; links: a, b.
+    """node and root (the least node that it can reach) of every linked node that is not its own root; links: a, b.
 
     Large-star and small-star by turns: each node hands its neighbours the least one among them, first to
     those above it and then to those below. A node's neighbours are never gathered: only their least is.

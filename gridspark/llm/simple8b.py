@@ -15,7 +15,7 @@ do. They hold ascending doc_ids; a range partitioning by doc_id makes partitions
 document begins in the whole corpus is its partition's base (a running sum over partitions, one row each)
 plus the ids before it in its partition, which the images carry.
 
-Defined cases: a null text is empty and has only the end id; rows that repeat a doc_id stay in the same
+Defined cases: a null text is empty and has only the end id; rows without a doc_id come first; rows that repeat a doc_id stay in the same
 partition, in the order of their texts; an empty table gives no rows; columns beside doc_id and text are
 not read. A file holds whole documents, so a document's ids must fit into a worker's memory.
 """
@@ -42,6 +42,8 @@ WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 60])
 SELECTORS = range(1, 15)
 BLOCK = 8192
 FILE_IDS = 2_000_000
+#: Written for a missing doc_id, which sorts first.
+NO_ID = -(1 << 63)
 
 
 _PAD = 60  # places behind a block that count as zeros
@@ -183,7 +185,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, end_id: int, partitions: i
         if doc_ids:
             yield flush()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
     return stored(ordered.mapInArrow(run, "part int, part_start long, n_ids long, image binary"), "simple8b")
 
 
@@ -202,7 +204,7 @@ def read_files(files: DataFrame) -> DataFrame:
                 doc_ids, counts, ids = read_image(image.as_buffer())
                 raw, ends = ids.astype("<u4").tobytes(), np.cumsum(counts)
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids), pa.array(start + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, mask=doc_ids == NO_ID), pa.array(start + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], names=names)
 
     bases = spark.createDataFrame(sums, "part int, base long") if sums else spark.createDataFrame([], "part int, base long")
     located = files.join(bases, "part").select((F.col("base") + F.col("part_start")).alias("start"), "image")

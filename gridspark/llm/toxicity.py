@@ -330,24 +330,24 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     return fit([(r["text"], y) for y in (0, 1) for r in own[y]]) if own[0] and own[1] else None
 
 
-def score_texts(docs: DataFrame, net: Network | None, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The named columns of every row, with score."""
+def score_texts(docs: DataFrame, net: Network | None, columns: list[str], text_col: str = "text", into: str = "score") -> DataFrame:
+    """The named columns of every row, with the score."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
     keep = docs.select(F.col(text_col).alias("__text"), *columns)
-    schema = StructType([*keep.select(*columns).schema.fields, StructField("score", DoubleType())])
+    schema = StructType([*keep.select(*columns).schema.fields, StructField(into, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value) if sent.value else lambda own: np.zeros(len(own))
         for b in slices(batches, "__text", 1_000_000):
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(scorer(texts(b, "__text")))], names=[*columns, "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(scorer(texts(b, "__text")))], names=[*columns, into])
 
     return keep.mapInArrow(run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; learns from rows that are not held out."""
-    apart = F.crc32(F.col("doc_id").cast("string")) % parts == held_out
+    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == held_out, F.lit(False))
     net = train(docs.where(~apart), labels.where(~apart))
-    scored = score_texts(docs.withColumn("held_out", apart), net, ["doc_id", "held_out"])
+    scored = score_texts(docs.select("doc_id", "text", apart.alias("held_out")), net, ["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
