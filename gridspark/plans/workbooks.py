@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.cells import Cell
 from ..operators import ranges
 from ..operators.rows import header_names, typed_rows
-from ..sources import xlsx
-from ..testing import xlsx_writer
+from ..sources import auto, ods, xlsx
+from ..testing import ods_writer, xlsx_writer
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -174,3 +174,44 @@ def csv_lines_from_workbook(spark, sf_dir):
     cells = xlsx.cells(spark, written(spark, df, "supplier", header=False))
     made = ranges.rows(cells, ["sheet"], Cell().display())
     return made.select(F.col("values")[0].cast("int").alias("row"), F.concat_ws(";", F.col("values")[1], F.col("values")[2]).alias("line"))
+
+
+def _ods(spark: SparkSession, df: DataFrame, name: str) -> str:
+    path = f"{folder(spark)}/{name}.ods"
+    rows = (tuple(r) for r in df.toLocalIterator())
+    ods_writer.write(path, {name: (r for part in ([tuple(df.columns)], rows) for r in part)})
+    return path
+
+
+@query("SELECT * FROM nation")
+def ods_scan_nation(spark, sf_dir):
+    df = table(spark, sf_dir, "nation")
+    cells = ods.cells(spark, _ods(spark, df, "nation"))
+    return typed_rows(cells, df.schema, header_names(cells, 0), 1, ["sheet"]).drop("sheet")
+
+
+@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderkey < 2000")
+def ods_dates_orders(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_totalprice")
+    cells = ods.cells(spark, _ods(spark, df, "orders"))
+    return typed_rows(cells, df.schema, header_names(cells, 0), 1, ["sheet"]).drop("sheet")
+
+
+@query("SELECT format, r_regionkey::BIGINT AS key, r_name AS name FROM region CROSS JOIN (VALUES ('xlsx'), ('ods')) t(format)")
+def auto_multi_format_union(spark, sf_dir):
+    rows = [tuple(r) for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()]  # 5 rows
+    at = folder(spark)
+    xlsx_writer.write(f"{at}/a.xlsx", {"r": rows})
+    ods_writer.write(f"{at}/b.ods", {"r": rows})
+    own = auto.cells(spark, at).withColumn("format", F.regexp_extract("path", r"([a-z]+)$", 1))
+    return own.groupBy("format", "row").agg(F.max(F.when(F.col("col") == 0, F.col("f"))).cast("long").alias("key"), F.max(F.when(F.col("col") == 1, F.col("s"))).alias("name")).drop("row")
+
+
+@query("SELECT format, count(*) AS n, (3 * count(*))::BIGINT AS errors FROM (VALUES ('xlsx'), ('xlsx'), ('ods')) t(format) WHERE format = 'xlsx' GROUP BY 1")
+def error_report_by_workbook(spark, sf_dir):
+    at = folder(spark)
+    for name in ("a", "b"):
+        xlsx_writer.write(f"{at}/{name}.xlsx", {"e": [("#N/A", 1.0), ("#DIV/0!", "#REF!"), ("fine", None)]})
+    ods_writer.write(f"{at}/c.ods", {"e": [("#N/A",)]})
+    bad = auto.cells(spark, at).where("kind = 'error'").groupBy("path").agg(F.count("*").alias("errors"))
+    return bad.groupBy(F.regexp_extract("path", r"([a-z]+)$", 1).alias("format")).agg(F.count("*").alias("n"), F.sum("errors").alias("errors"))

@@ -62,13 +62,15 @@ def chunks(stream, end: bytes | None, repeat: re.Pattern | None = None) -> Itera
 
 
 def inflate(spark: SparkSession, paths: str | list[str], members: str, end: str | None = None) -> DataFrame:
-    """Chunks of the members whose name matches a pattern, of all workbooks under the paths."""
+    """Chunks of the members whose name matches a pattern, of all zipped workbooks under the paths; other files are passed by."""
     stop = end.encode() if end else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = re.compile(members)
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content")):
+                if content.as_buffer()[:2].to_pybytes() != b"PK":
+                    continue
                 with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
                     for info in z.infolist():
                         name = info.filename.replace("\\", "/").lower().lstrip("/")
@@ -78,7 +80,7 @@ def inflate(spark: SparkSession, paths: str | list[str], members: str, end: str
                             prefixed = None
                             for number, units, own in chunks(f, stop):
                                 if prefixed is None:
-                                    prefixed = bool(re.search(rb"<[A-Za-z_][\w.\-]*:(worksheet|sst|workbook|styleSheet|table|Relationships)\b", own[:4096]))
+                                    prefixed = name != "content.xml" and bool(re.search(rb"<[A-Za-z_][\w.\-]*:(worksheet|sst|workbook|styleSheet|table|Relationships)\b", own[:4096]))
                                 text = plain(own, prefixed).decode("utf-8", "replace")
                                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([number], pa.int32()), pa.array([units], pa.int64()), pa.array([text])], names=["path", "member", "chunk", "units", "text"])
 
