@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.cells import Cell
 from ..operators import ranges
 from ..operators.rows import header_names, typed_rows
-from ..sources import auto, ods, xlsx
-from ..testing import ods_writer, xlsx_writer
+from ..sources import auto, ods, xlsb, xlsx
+from ..testing import ods_writer, xlsb_writer, xlsx_writer
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -197,14 +197,15 @@ def ods_dates_orders(spark, sf_dir):
     return typed_rows(cells, df.schema, header_names(cells, 0), 1, ["sheet"]).drop("sheet")
 
 
-@query("SELECT format, r_regionkey::BIGINT AS key, r_name AS name FROM region CROSS JOIN (VALUES ('xlsx'), ('ods')) t(format)")
+@query("SELECT format, r_regionkey::BIGINT AS key, r_name AS name FROM region CROSS JOIN (VALUES ('xlsx'), ('ods'), ('xlsb')) t(format)")
 def auto_multi_format_union(spark, sf_dir):
     rows = [tuple(r) for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()]  # 5 rows
     at = folder(spark)
     xlsx_writer.write(f"{at}/a.xlsx", {"r": rows})
     ods_writer.write(f"{at}/b.ods", {"r": rows})
+    xlsb_writer.write(f"{at}/c.xlsb", {"r": rows})
     own = auto.cells(spark, at).withColumn("format", F.regexp_extract("path", r"([a-z]+)$", 1))
-    return own.groupBy("format", "row").agg(F.max(F.when(F.col("col") == 0, F.col("f"))).cast("long").alias("key"), F.max(F.when(F.col("col") == 1, F.col("s"))).alias("name")).drop("row")
+    return own.groupBy("format", "row").agg(F.max(F.when(F.col("col") == 0, F.coalesce(F.col("f"), F.col("i").cast("double")))).cast("long").alias("key"), F.max(F.when(F.col("col") == 1, F.col("s"))).alias("name")).drop("row")
 
 
 @query("SELECT format, count(*) AS n, (3 * count(*))::BIGINT AS errors FROM (VALUES ('xlsx'), ('xlsx'), ('ods')) t(format) WHERE format = 'xlsx' GROUP BY 1")
@@ -215,3 +216,22 @@ def error_report_by_workbook(spark, sf_dir):
     ods_writer.write(f"{at}/c.ods", {"e": [("#N/A",)]})
     bad = auto.cells(spark, at).where("kind = 'error'").groupBy("path").agg(F.count("*").alias("errors"))
     return bad.groupBy(F.regexp_extract("path", r"([a-z]+)$", 1).alias("format")).agg(F.count("*").alias("n"), F.sum("errors").alias("errors"))
+
+
+def _xlsb(spark: SparkSession, df: DataFrame, name: str, **options) -> DataFrame:
+    path = f"{folder(spark)}/{name}.xlsb"
+    rows = (tuple(r) for r in df.toLocalIterator())
+    xlsb_writer.write(path, {name: (r for part in ([tuple(df.columns)], rows) for r in part)}, **options)
+    cells = xlsb.cells(spark, path)
+    return typed_rows(cells, df.schema, header_names(cells, 0), 1, ["sheet"]).drop("sheet")
+
+
+@query("SELECT * FROM nation")
+def xlsb_scan_nation(spark, sf_dir):
+    return _xlsb(spark, table(spark, sf_dir, "nation"), "nation")
+
+
+@query("SELECT o_orderkey, o_orderdate, o_totalprice, o_orderpriority FROM orders")
+def xlsb_dates_orders(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_totalprice", "o_orderpriority")
+    return _xlsb(spark, df, "orders", is_1904=True)

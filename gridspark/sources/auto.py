@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import PasswordProtected, UnknownFormat
-from . import ods, xlsx
+from . import ods, xlsb, xlsx
 from .parts import inflate
 
 #: Extension -> format; matched with its case.
 EXTENSIONS = {"xls": "xls", "xla": "xls", "xlsx": "xlsx", "xlsm": "xlsx", "xlam": "xlsx", "xlsb": "xlsb", "ods": "ods"}
-READABLE = ("xlsx", "ods")
+READABLE = ("xlsx", "xlsb", "ods")
 
 
 def detect(spark: SparkSession, paths) -> DataFrame:
@@ -37,4 +37,4 @@ def cells(spark: SparkSession, paths, mode: str = "failfast") -> DataFrame:
         bad = detect(spark, paths).where(F.col("encrypted") | F.col("format").isNull() | ~F.col("format").isin(*READABLE)).orderBy("path").first()
         if bad is not None:
             raise (PasswordProtected if bad["encrypted"] else UnknownFormat)(bad["path"])
-    return xlsx.cells(spark, paths).unionByName(ods.cells(spark, paths))
+    return xlsx.cells(spark, paths).unionByName(ods.cells(spark, paths)).unionByName(xlsb.cells(spark, paths))

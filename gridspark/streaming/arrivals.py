@@ -10,7 +10,7 @@ from ..sources import auto
 _FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, pattern: str = "*.{xlsx,xlsm,xlam,ods}", **trigger) -> StreamingQuery:
+def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, pattern: str = "*.{xlsx,xlsm,xlam,xlsb,ods}", **trigger) -> StreamingQuery:
     """Append the cells of new workbooks under ``out``, each batch in a folder of its own.
 
     The stream carries paths only; a batch that is run again after a failure overwrites its own folder.
