@@ -49,11 +49,25 @@ def word_chunks(text: str) -> list[str]:
 _WORD = re.compile("([A-Za-zÀ-ÖØ-öø-į]+)([.,;:!?]?)")
 
 
+def _byte_alphabet() -> list[str]:
+    """Characters that byte-level tokenizers write bytes as: visible ones as themselves, the rest from U+0100 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
+_ALPHABET = dict(enumerate(_byte_alphabet()))
+
+
+def _bytes_as_characters(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(_ALPHABET)
+
+
 class ChunkCache(dict):
     """chunk -> value, computed on a miss. Two generations of at most ``most`` chunks bound the memory;
     a chunk of the older one that is asked for moves to the newer."""
 
-    def __init__(self, compute, most: int = 500_000):
+    def __init__(self, compute, most: int = 700_000):
         super().__init__()
         self.compute, self.most, self.older = compute, most, {}
 
@@ -94,8 +108,8 @@ class ByteLevelCounter:
         m = _WORD.fullmatch(chunk)
         if m and m[2]:
             return self.after_space[m[1]] + self.alone[m[2]]
-        if m and chunk.isascii():  # one unit of the pattern; the byte alphabet writes a space as U+0120
-            return len(self.model.tokenize("\u0120" + chunk))
+        if m:  # one unit of the pattern; the byte alphabet writes a space as U+0120
+            return len(self.model.tokenize("\u0120" + _bytes_as_characters(chunk)))
         return self.encode(" " + chunk)
 
     def __call__(self, text: str) -> int:
@@ -122,7 +136,7 @@ class WordIds:
                 return self.cache[low] + self.cache[m[2]]
             if low != chunk:
                 return self.cache[low]
-        ids = [x.id for x in self.model.tokenize(chunk)] if m and chunk.isascii() else self.encode(chunk)
+        ids = [x.id for x in self.model.tokenize(_bytes_as_characters(chunk))] if m else self.encode(chunk)
         return array.array("I", ids).tobytes()
 
     def __call__(self, text: str) -> bytes:
