@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.refs import let
+from ..shipping import ship
 
 CHUNK = 1 << 20
 #: path, member (lower case, forward slashes), chunk, units (rows or items before the chunk), text
@@ -63,6 +64,7 @@ def chunks(stream, end: bytes | None, repeat: re.Pattern | None = None) -> Itera
 
 def inflate(spark: SparkSession, paths: str | list[str], members: str, end: str | None = None) -> DataFrame:
     """Chunks of the members whose name matches a pattern, of all zipped workbooks under the paths; other files are passed by."""
+    ship(spark)
     stop = end.encode() if end else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions import binary as B
 from ..functions import formats
 from ..model import CELLS, ERROR_CODES
+from ..shipping import ship
 from .xlsx import relationships
 
 # Record types.
@@ -54,6 +55,7 @@ def record_stream(data: memoryview) -> Iterator[tuple[int, memoryview]]:
 
 def records(spark: SparkSession, paths, members: str, types: list[int]) -> DataFrame:
     """Records of the given types in the members that match, of all zipped workbooks under the paths."""
+    ship(spark)
     wanted = frozenset(types)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
