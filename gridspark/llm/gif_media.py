@@ -313,7 +313,7 @@ def encode_gifs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = ["doc_id", "n_bytes", "payload_bytes", "media"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 8_000_000):
+        for b in slices(batches, "text", 4_000_000):
             raw = [x.encode("utf-8", "surrogatepass") for x in texts(b)]
             payloads = [pad(x) for x in raw]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([len(x) for x in payloads], pa.int64()), pa.array(encode(payloads), pa.binary())], names=names)
