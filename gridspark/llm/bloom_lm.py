@@ -7,12 +7,13 @@ A word's probability after another is the pair's count smoothed by the word's ow
 
 Counting: a task adds up its texts in sorted arrays of 64-bit hashes and sends them as blocks by hash range
 (a few rows, not one for each n-gram). A range is merged in one task and turned into its own part of the
-filter. The number of ranges grows with the input, so that a range stays small. The filter has at most
-``MOST_BITS`` bits: a range whose n-grams need more than its share keeps those with the highest counts,
-which are exactly all of a count or more, and pairs below it are scored by their word alone.
+filter, ``BITS`` bits for each level of each n-gram: the filter holds all n-grams and grows with them. The
+number of ranges grows with the input, so that a range stays small.
 
-Base scores need every word's exact count. Words that make up 1 / ``FREQUENT`` of the training tokens or
-more, which are at most ``FREQUENT`` words, are broadcast; all other tokens are joined to the counts.
+Scoring: no process holds the filter. Texts are stored in slices of about ``SLICE`` bytes. A slice sends its
+distinct words and pairs, as blocks by hash range, to the task that holds the range's part of the filter and
+the exact counts of its words, and gets back levels and counts in the same order; these meet the slice's texts
+again in one task.
 
 Defined cases: a null text is empty and has the end token alone; equal texts get equal scores; without
 training texts all counts are 0; rows that repeat a doc_id are scored each on its own.
@@ -31,8 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import ship, slices, stored, texts
 
-MOST_BITS = 1 << 29
 BITS, PROBES = 10, 6
+#: Bytes of text whose distinct n-grams are looked up together.
+SLICE = 16_000_000
 FREQUENT = 1 << 23
 #: Weight of a word's own probability, in tokens.
 PRIOR = 100.0
@@ -81,9 +83,29 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending hashes as the first one and gaps of as few bytes as the largest gap needs."""
+    gaps = np.diff(keys)
+    width = max(1, -(-int(gaps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + keys[:1].astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpacked(block: bytes) -> np.ndarray:
+    gaps = np.frombuffer(block, np.uint8, offset=9).reshape(-1, block[0])
+    keys = np.zeros((len(gaps) + 1, 8), np.uint8)
+    keys[1:, : block[0]] = gaps
+    keys[0] = np.frombuffer(block, np.uint8, 8, 1)
+    return np.cumsum(keys.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _by_range(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
+    """Ranges that ascending hashes fall into, and where each lies."""
+    at = np.searchsorted(keys >> np.uint64(64 - int(math.log2(ranges))), np.arange(ranges + 1, dtype=np.uint64)).tolist()
+    return ((k, slice(at[k], at[k + 1])) for k in range(ranges) if at[k + 1] > at[k])
+
+
 def count_blocks(docs: DataFrame, ranges: int) -> DataFrame:
     """Blocks (kind, range, hashes, counts): kind 1 words, 2 pairs; a range is the top bits of a hash."""
-    shift = np.uint64(64 - int(math.log2(ranges)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {1: [], 2: []}
@@ -93,11 +115,9 @@ def count_blocks(docs: DataFrame, ranges: int) -> DataFrame:
                 if not parts:
                     continue
                 keys, counts = _merged(parts)
-                at = np.searchsorted(keys >> shift, np.arange(ranges + 1, dtype=np.uint64))
-                own = [k for k in range(ranges) if at[k + 1] > at[k]]
-                if own:
+                if own := list(_by_range(keys, ranges)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([kind] * len(own), pa.int32()), pa.array(own, pa.int32()), pa.array([keys[at[k] : at[k + 1]].tobytes() for k in own], pa.binary()), pa.array([counts[at[k] : at[k + 1]].astype("<u4").tobytes() for k in own], pa.binary())],
+                        [pa.array([kind] * len(own), pa.int32()), pa.array([k for k, _ in own], pa.int32()), pa.array([packed(keys[x]) for _, x in own], pa.binary()), pa.array([counts[x].astype("<u4").tobytes() for _, x in own], pa.binary())],
                         names=["kind", "range", "hashes", "counts"],
                     )
                 held[kind] = []
@@ -136,10 +156,10 @@ def _places(low: np.ndarray, high: np.ndarray, k: int, bits) -> np.ndarray:
     return ((low + np.uint64(k) * high) & np.uint64(0xFFFFFFFF)) * bits >> np.uint64(32)
 
 
-def filter_part(keys: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[bytes, int]:
-    """Part of the filter for one range, and the least count it holds."""
+def filter_part(keys: np.ndarray, counts: np.ndarray, most_bits: int | None = None) -> tuple[bytes, int]:
+    """Part of the filter for one range, and the least count it holds: 1 unless bounded."""
     level, least = levels_of(counts), 1
-    if int(level.sum()) * BITS > most_bits:
+    if most_bits is not None and int(level.sum()) * BITS > most_bits:
         size = np.bincount(np.minimum(counts, 1 << 20), level)
         from_top = np.cumsum(size[::-1])[::-1] * BITS
         least = int(np.flatnonzero(from_top <= most_bits)[0]) if (from_top <= most_bits).any() else len(size)
@@ -187,115 +207,166 @@ class LogFrequencyFilter:
         return out
 
 
-def _reduce(most_bits: int):
-    """Merging of one range; words get an eighth of the bits, pairs the rest."""
+def _reduce(key: tuple, group: pa.Table) -> pa.Table:
+    """Merging of one range."""
+    kind, r = (k.as_py() for k in key)
+    keys, counts = _merged([(unpacked(h), np.frombuffer(c, "<u4").astype(np.int64)) for h, c in zip(group.column("hashes").to_pylist(), group.column("counts").to_pylist())])
+    words = kind == 1
+    part, _ = filter_part(keys, counts)
+    return pa.table({"kind": pa.array([kind], pa.int32()), "range": pa.array([r], pa.int32()), "n_distinct": [len(keys)], "n_total": [int(counts.sum())], "part": pa.array([part], pa.binary()), "hashes": pa.array([packed(keys) if words else None], pa.binary()), "counts": pa.array([counts.astype("<i8").tobytes() if words else None], pa.binary())})
 
-    def run(key: tuple, group: pa.Table) -> pa.Table:
-        kind, r = (k.as_py() for k in key)
-        keys, counts = _merged([(np.frombuffer(h, "<u8"), np.frombuffer(c, "<u4").astype(np.int64)) for h, c in zip(group.column("hashes").to_pylist(), group.column("counts").to_pylist())])
-        words = kind == 1
-        part, least = filter_part(keys, counts, most_bits // 8 * (1 if words else 7))
-        return pa.table({"kind": pa.array([kind], pa.int32()), "range": pa.array([r], pa.int32()), "n_distinct": [len(keys)], "n_total": [int(counts.sum())], "least": [least], "part": pa.array([part], pa.binary()), "hashes": pa.array([keys.tobytes() if words else None], pa.binary()), "counts": pa.array([counts.astype("<i8").tobytes() if words else None], pa.binary())})
-
-    return run
 
-
-def train(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+def train(docs: DataFrame) -> DataFrame:
     """The stored model: a row for each kind and range."""
     ship(docs.sparkSession)
     ranges = 1 << max(6, math.ceil(math.log2(4 * max(1, docs.rdd.getNumPartitions()))))
-    model = count_blocks(docs, ranges).groupBy("kind", "range").applyInArrow(_reduce(most_bits // ranges), "kind int, range int, n_distinct long, n_total long, least long, part binary, hashes binary, counts binary")
+    model = count_blocks(docs, ranges).groupBy("kind", "range").applyInArrow(_reduce, "kind int, range int, n_distinct long, n_total long, part binary, hashes binary, counts binary")
     return stored(model.withColumn("ranges", F.lit(ranges)), "language-model")
 
 
-def _word_counts(model: DataFrame, least: int, below: int | None) -> DataFrame:
-    """(hash, count) of words whose count is at least ``least`` and, if given, under ``below``."""
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with a number of their own and the number of their slice, which is that of its first row."""
+    row = TaskContext.get().partitionId() << 40
+    for b in slices(batches, "__text", SLICE):
+        rows = pa.array(np.arange(row, row + b.num_rows))
+        yield pa.RecordBatch.from_arrays([rows, pa.array(np.full(b.num_rows, row)), *b.columns], names=["__row", "__slice", *b.schema.names])
+        row += b.num_rows
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of one slice that follow each other: whole slices, but where Spark has cut one between tasks."""
+    held, own = [], None
+    for b in batches:
+        numbers = b.column("__slice").to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(numbers)) + 1, [len(numbers)]]).tolist()
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            if i == j:
+                continue
+            if held and numbers[i] != own:
+                yield pa.Table.from_batches(held)
+                held = []
+            own = numbers[i]
+            held.append(b.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _tokens_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """``tokens`` of many rows, some at a time."""
+    token, starts, n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
+    for b in slices(rows.to_batches(), "__text", 2_000_000):
+        own, first = tokens(texts(b, "__text"))
+        token.append(own)
+        starts.append(first + n)
+        n += len(own)
+    return np.concatenate(token), np.concatenate(starts)
+
+
+def _questions(texts_of: DataFrame, ranges: int) -> DataFrame:
+    """Blocks (slice, first, kind, range, hashes): distinct words and pairs of the rows of a slice from ``first`` on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for h, c in zip(b.column("hashes").to_pylist(), b.column("counts").to_pylist()):
-                keys, counts = np.frombuffer(h, "<i8"), np.frombuffer(c, "<i8")
-                own = (counts >= least) & (counts < (below or 1 << 62))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(counts[own])], names=["hash", "n"])
+        for rows in _runs(batches):
+            token, starts = _tokens_of(rows)
+            number, first = rows.column("__slice")[0].as_py(), rows.column("__row")[0].as_py()
+            for kind, x in ((1, token), (2, pairs(token, starts)[0])):
+                keys = np.unique(x)
+                own = list(_by_range(keys, ranges))
+                n = len(own)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([number] * n, pa.int64()), pa.array([first] * n, pa.int64()), pa.array([kind] * n, pa.int32()), pa.array([k for k, _ in own], pa.int32()), pa.array([packed(keys[x]) for _, x in own], pa.binary())],
+                    names=["slice", "first", "kind", "range", "hashes"],
+                )
+
+    return texts_of.mapInArrow(run, "slice long, first long, kind int, range int, hashes binary")
+
 
-    return model.where("kind = 1").select("hashes", "counts").mapInArrow(run, "hash long, n long")
+def _answers(ranges: int):
+    """Levels, and exact counts of words, of the hashes of one range's blocks."""
+
+    def run(key: tuple, asked: pa.Table, model: pa.Table) -> pa.Table:
+        kind, r = (k.as_py() for k in key)
+        known = counts = np.zeros(0, np.uint64)
+        held = None
+        if asked.num_rows and model.num_rows:
+            part = model.column("part")[0].as_py()
+            held = LogFrequencyFilter({(kind, r): len(part)}, ranges)
+            held.put(kind, r, part)
+            if kind == 1:
+                known, counts = unpacked(model.column("hashes")[0].as_py()), np.frombuffer(model.column("counts")[0].as_py(), "<i8")
+        levels, exact = [], []
+        for block in asked.column("hashes").to_pylist():
+            x = unpacked(block)
+            levels.append((held.levels(x, kind) if held else np.zeros(len(x), np.int64)).astype(np.uint8).tobytes())
+            found = np.zeros(len(x), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                found = np.where(known[at] == x, counts[at], 0)
+            exact.append(found.astype("<i8").tobytes() if kind == 1 else None)
+        return pa.table({**{c: asked.column(c) for c in ("slice", "first", "kind", "range")}, "levels": pa.array(levels, pa.binary()), "counts": pa.array(exact, pa.binary())})
+
+    return run
+
+
+def _scores(columns: list[str], total: int, distinct: int, train_docs: int):
+    """Scores of the rows of one slice."""
+
+    def scored(rows: pa.Table, answer: dict) -> list[np.ndarray]:
+        token, starts = _tokens_of(rows)
+        pair, _ = pairs(token, starts)
+        unique, inverse = np.unique(token, return_inverse=True)
+        unique_pairs, inverse_pairs = np.unique(pair, return_inverse=True)
+        levels, exact, pair_levels = np.frombuffer(b"".join(answer[1, "levels"]), np.uint8), np.frombuffer(b"".join(answer[1, "counts"]), "<i8").copy(), np.frombuffer(b"".join(answer[2, "levels"]), np.uint8)
+        if len(levels) != len(unique) or len(pair_levels) != len(unique_pairs):
+            raise ValueError("answers do not fit the texts of a slice")
+        counted = count_of(levels.astype(np.float64))
+        counted[unique == _END] = train_docs
+        exact[unique == _END] = train_docs
+        own = counted[inverse]
+        history = np.empty(len(token))
+        history[1:] = own[:-1]
+        history[starts] = train_docs
+        alone = (own + 1) / (total + distinct + 1)
+        seen = np.minimum(count_of(pair_levels.astype(np.float64))[inverse_pairs], np.minimum(own, history))
+        logs = np.log10((seen + PRIOR * alone) / (history + PRIOR))
+        sizes = np.diff(np.append(starts, len(token)))
+        base = np.add.reduceat(np.log10(exact + 1.0)[inverse], starts) - sizes * math.log10(total + distinct + 1)
+        return [sizes, np.add.reduceat((exact > 0).astype(np.int64)[inverse], starts), base, np.add.reduceat(logs, starts)]
+
+    def run(key: tuple, rows: pa.Table, answers: pa.Table) -> pa.Table:
+        rows, answers = rows.sort_by("__row"), answers.sort_by([("first", "ascending"), ("kind", "ascending"), ("range", "ascending")])
+        number = rows.column("__row").to_numpy()
+        by_run: dict[int, dict] = {}
+        for first, kind, levels, counts in zip(*(answers.column(c).to_pylist() for c in ("first", "kind", "levels", "counts"))):
+            own = by_run.setdefault(first, {(1, "levels"): [], (1, "counts"): [], (2, "levels"): []})
+            own[kind, "levels"].append(levels)
+            if kind == 1:
+                own[1, "counts"].append(counts)
+        cuts = np.append(np.searchsorted(number, list(by_run)), len(number)).tolist()
+        found = [scored(rows.slice(i, j - i), answer) for i, j, answer in zip(cuts[:-1], cuts[1:], by_run.values())]
+        sizes, known, base, score = (np.concatenate(x) for x in zip(*found))
+        return pa.table({**{c: rows.column(c) for c in columns}, "n_tokens": sizes, "n_known": known, "train_tokens": np.full(len(sizes), total), "base_score": base, "score": score})
+
+    return run
 
 
 def score(docs: DataFrame, model: DataFrame, train_docs: int, columns: list[str], frequent: int = FREQUENT) -> DataFrame:
-    """The named columns, n_tokens, n_known, train_tokens, base_score and score of every row."""
-    spark = docs.sparkSession
-    parts = model.select("kind", "range", "ranges", "n_distinct", "n_total", F.octet_length("part").alias("size")).collect()
-    words = [r for r in parts if r["kind"] == 1]
-    total = sum(r["n_total"] for r in words) + train_docs
-    distinct = sum(r["n_distinct"] for r in words) + (train_docs > 0)
-    ranges = parts[0]["ranges"] if parts else 1 << 6
-    filled = LogFrequencyFilter({(r["kind"], r["range"]): r["size"] for r in parts}, ranges)
-    for r in model.select("kind", "range", "part").toLocalIterator():  # most_bits at most, a partition at a time
-        filled.put(r["kind"], r["range"], r["part"])
-    often = max(1, -(-total // frequent))
-    hot = _word_counts(model, often, None).toPandas().sort_values("hash", key=lambda h: h.astype("uint64"))  # at most ``frequent`` rows
-    sent = spark.sparkContext.broadcast((filled, hot["hash"].to_numpy().astype(np.uint64), hot["n"].to_numpy()))
-    del filled, hot
-    keep = docs.select(F.col("text").alias("__text"), *columns)
+    """The named columns, n_tokens, n_known, train_tokens, base_score and score of every row.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, hot_words, hot_counts = sent.value
-        row = TaskContext.get().partitionId() << 40
-        for b in slices(batches, "__text", 2_000_000):
-            token, starts = tokens(texts(b, "__text"))
-            sizes = np.diff(np.append(starts, len(token)))
-            pair, before = pairs(token, starts)
-            unique, inverse = np.unique(token, return_inverse=True)
-            counted = count_of(held.levels(unique, 1))
-            counted[unique == _END] = train_docs
-            exact = np.zeros(len(unique), np.int64)
-            if len(hot_words):
-                at = np.minimum(np.searchsorted(hot_words, unique), len(hot_words) - 1)
-                exact = np.where(hot_words[at] == unique, hot_counts[at], 0)
-            exact[unique == _END] = train_docs
-            own = counted[inverse]
-            history = np.empty(len(token))
-            history[1:] = own[:-1]
-            history[starts] = train_docs
-            alone = (own + 1) / (total + distinct + 1)
-            seen = np.minimum(count_of(held.levels(pair, 2)), np.minimum(own, history))
-            logs = np.log10((seen + PRIOR * alone) / (history + PRIOR))
-            found = exact[inverse]
-            rare = np.flatnonzero((found == 0) & (token != _END))
-            rows = row + np.arange(b.num_rows)
-            row += b.num_rows
-            owner = np.repeat(np.arange(b.num_rows), sizes)[rare]
-            with np.errstate(over="ignore"):
-                spread = _mix(rows.astype(np.uint64) * _A)  # a key of its own, so that these rows meet nowhere
-            n, m = b.num_rows, len(rare)
-            none = pa.nulls(m, pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.concatenate([rows, rows[owner]])),
-                    pa.array(np.concatenate([spread, token[rare]]).view(np.int64)),
-                    pa.array(np.arange(n + m) >= n),
-                    pa.concat_arrays([pa.array(sizes), pa.nulls(m, pa.int64())]),
-                    pa.concat_arrays([pa.array(np.add.reduceat((found > 0).astype(np.int64), starts)), pa.nulls(m, pa.int64())]),
-                    pa.concat_arrays([pa.array(np.add.reduceat(np.log10(found + 1.0), starts)), none]),
-                    pa.concat_arrays([pa.array(np.add.reduceat(logs, starts)), none]),
-                    *(pa.concat_arrays([b.column(c), pa.nulls(m, b.column(c).type)]) for c in columns),
-                ],
-                names=["__row", "hash", "rare", "n_tokens", "known", "logs", "score", *columns],
-            )
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep.select(*columns).schema)
-    rows = keep.mapInArrow(run, f"__row long, hash long, rare boolean, n_tokens long, known long, logs double, score double, {kinds}")
-    joined = rows.join(_word_counts(model, 1, often).hint("merge"), "hash", "left")
-    met = F.col("rare") & F.col("n").isNotNull()
-    summed = joined.groupBy("__row").agg(
-        *(F.max(c).alias(c) for c in columns),
-        F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.sum(met.cast("long"))).alias("n_known"),
-        (F.max("logs") + F.sum(F.when(met, F.log10(F.col("n") + 1.0)).otherwise(0.0))).alias("logs"),
-        F.max("score").alias("score"),
-    )
-    base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(total + distinct + 1))
-    return summed.select(*columns, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    ``frequent`` has no effect: counts of all words are looked up in the same way.
+    """
+    ship(docs.sparkSession)
+    parts = model.select("kind", "ranges", "n_distinct", "n_total").where("kind = 1").collect()
+    total = sum(r["n_total"] for r in parts) + train_docs
+    distinct = sum(r["n_distinct"] for r in parts) + (train_docs > 0)
+    ranges = parts[0]["ranges"] if parts else 1 << 6
+    keep = docs.select(*columns, F.col("text").alias("__text"))
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in keep.schema]
+    sliced = stored(keep.mapInArrow(_sliced, ", ".join(["__row long, __slice long", *kinds])), "slices")
+    asked = _questions(sliced.select("__row", "__slice", "__text"), ranges)
+    answers = asked.groupBy("kind", "range").cogroup(model.select("kind", "range", "part", "hashes", "counts").groupBy("kind", "range")).applyInArrow(_answers(ranges), "slice long, first long, kind int, range int, levels binary, counts binary")
+    out = ", ".join([*kinds[:-1], "n_tokens long, n_known long, train_tokens long, base_score double, score double"])
+    return sliced.groupBy("__slice").cogroup(answers.groupBy("slice")).applyInArrow(_scores(columns, total, distinct, train_docs), out)
 
 
 def language_model(docs: DataFrame, parts: int = 7, held_out: int = 2) -> DataFrame:

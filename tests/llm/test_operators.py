@@ -250,3 +250,16 @@ def test_pipeline(spark, tmp_path):
     assert ids["uncontaminated"] == ids["distinct"] - leaks and leaks
     assert ids["packed"] == ids["uncontaminated"]
     check_packing(kept["packed"].collect())
+
+
+def test_language_model_keeps_all_words(spark):
+    """Scores equal brute force where words need more than the filter's former bound: an eighth of 2^29 bits, 6.7 million levels."""
+    n, each = 7_500_000, 10_000
+    rows = spark.range(0, n // each, numPartitions=4).selectExpr("id AS doc_id", f"array_join(transform(sequence(id * {each}, id * {each} + {each - 1}), x -> concat('w', x)), ' ') AS text")
+    model, docs = bloom_lm.train(rows), n // each
+    got = bloom_lm.score(rows, model, docs, ["doc_id"]).collect()
+    total, alone, end = n + docs, 2 / (2 * n + docs + 2), (docs + 1) / (2 * n + docs + 2)
+    p = bloom_lm.PRIOR
+    want = math.log10((1 + p * alone) / (docs + p)) + (each - 1) * math.log10((1 + p * alone) / (1 + p)) + math.log10((1 + p * end) / (1 + p))
+    assert len(got) == docs and all((r["n_tokens"], r["n_known"], r["train_tokens"]) == (each + 1, each + 1, total) for r in got)
+    assert all(r["score"] == pytest.approx(want, rel=0.02) for r in got)  # a false positive is a level too many
