@@ -1,6 +1,6 @@
 """Benchmark decontamination: edit-similar passages by CGK embedding and bit sampling.
 
-Texts and items are sequences of words (letters and digits, lower case). The CGK random walk reads a
+Texts and items are sequences of words (letters and digits, lower case; in scripts without spaces, characters). The CGK random walk reads a
 sequence by a pointer: step j writes the word under it and moves on if a random bit of (j, word) says so.
 Walks of sequences at a small edit distance meet again after an edit, so the edit distance becomes a
 Hamming distance of what was written. Locality-sensitive functions sample a few of the steps; windows that
@@ -8,21 +8,26 @@ agree in all steps of one function are candidates. A candidate whose walks agree
 verified by the exact edit distance between the whole item and the best stretch of the text around it.
 
 Windows begin at every word of a text, and at every word of an item that leaves room for a window, so that
-an edit at an item's begin spoils only the windows over it. Window sizes come in classes (``SIZES`` words);
-an item is in the largest class that it fills. Two walks with four functions each take a window of twelve
-words with three edits with a probability of about 0.8; an item of thirty words has some twenty windows.
+an edit at an item's begin spoils only the windows over it. Windows have ``SIZE`` words. Two walks with four
+functions each take a window of twelve words with three edits with a probability of about 0.8; an item of
+``SHORT`` words or more has seven windows at least.
+
+Items of fewer than ``SHORT`` words have too few windows for that and are found without chance: an item that
+allows e edits is cut into e + 1 pieces, of which e edits leave one as it is. Where a text has a piece word
+for word, the item is verified.
 
 Of the steps of a function the first ones lie early in the walk: what fails there needs no further step.
 
 The items are the query set. They are taken in blocks of at most ``BLOCK`` items, each broadcast (its size
 is bounded by the words of its items) and held against all texts; there is no join of all pairs.
 
-Defined cases: null or empty texts have no windows; an item of fewer than 3 words finds nothing; rows that
+Defined cases: null or empty texts have no windows; an item of fewer than ``LEAST`` (3) words finds nothing; rows that
 repeat a doc_id or an item_id give one row for the pair; texts are read whole.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -33,16 +38,14 @@ from pyspark.sql import functions as F
 
 from .common import ship, slices, texts
 
-SIZES = (12, 6, 3)
+SIZE = 12
+#: Items of fewer words are found by their pieces; of fewer than ``LEAST``, not at all.
+SHORT, LEAST = 18, 3
 SIMILARITY = 0.8
 BLOCK = 5_000
 WALKS = 2
-#: Steps that a function samples, by window size; those of the first walk, then those of the second.
-_SAMPLED = {
-    12: (((0, 3, 9, 14), (1, 5, 11, 17), (2, 7, 10, 19), (3, 6, 13, 21)), ((0, 4, 8, 15), (1, 6, 12, 18), (2, 5, 9, 20), (3, 8, 14, 22))),
-    6: (((0, 3, 6, 9), (1, 4, 7), (2, 5, 8)), ((0, 2, 5, 8), (1, 3, 6), (2, 4, 9))),
-    3: (((0, 2, 4), (1, 3)), ((0, 1, 3), (1, 4))),
-}
+#: Steps that a function samples: those of the first walk, then those of the second.
+_SAMPLED = (((0, 3, 9, 14), (1, 5, 11, 17), (2, 7, 10, 19), (3, 6, 13, 21)), ((0, 4, 8, 15), (1, 6, 12, 18), (2, 5, 9, 20), (3, 8, 14, 22)))
 _EARLY = 4
 #: Share of the steps of two walks that must agree before the exact distance is computed.
 AGREE = 0.25
@@ -51,7 +54,13 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _SEED = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], np.uint64)
 
 
+#: Characters of scripts without spaces: Thai to Myanmar, Khmer, kana, Han.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+
 def words_of(text: str) -> list[bytes]:
+    if not text.isascii():
+        text = _UNSPACED.sub(r" \g<0> ", text)
     return text.lower().encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
@@ -98,7 +107,7 @@ def embed(word: np.ndarray, at: np.ndarray, walk: int, steps: int) -> np.ndarray
 
 
 class ItemIndex:
-    """Item windows of one class size, by the keys of each function."""
+    """Item windows, by the keys of each function."""
 
     def __init__(self, size: int, items: list[tuple[int, list[bytes]]]):
         self.size, self.steps, self.items = size, 2 * size, [i for i, _ in items]
@@ -111,7 +120,7 @@ class ItemIndex:
         self.written = [embed(self.word, place, w, self.steps) for w in range(WALKS)]
         self.functions = []
         for w in range(WALKS):
-            for steps in _SAMPLED[size][w]:
+            for steps in _SAMPLED[w]:
                 key, prefixes = np.zeros(len(place), np.uint64), []
                 for j in steps:
                     key = _joined(key, self.written[w][:, j])
@@ -151,6 +160,50 @@ class ItemIndex:
         return at[pair[0]], pair[1]
 
 
+class PieceIndex:
+    """Pieces of short items, by the words in them; one piece more than an item may have edits."""
+
+    def __init__(self, items: list[tuple[int, list[bytes]]], similarity: float):
+        self.items = [i for i, _ in items]
+        self.word, self.start, self.length = _hashes([w for _, w in items], 1)
+        owner, offset, size = [], [], []
+        for k, n in enumerate(self.length.tolist()):
+            pieces = min(n, int((1 - similarity) * n + 1e-9) + 1)
+            cuts = [n * j // pieces for j in range(pieces + 1)]
+            owner += [k] * pieces
+            offset += cuts[:-1]
+            size += [y - x for x, y in zip(cuts[:-1], cuts[1:])]
+        self.owner, self.offset, sizes = (np.array(x, np.int64) for x in (owner, offset, size))
+        self.pieces = []
+        for n in np.unique(sizes).tolist():
+            own = np.flatnonzero(sizes == n)
+            key = self._keys(self.word, self.start[self.owner[own]] + self.offset[own], n)
+            seen = np.zeros(1 << 20, bool)
+            seen[(key >> np.uint64(44)).astype(np.int64)] = True
+            order = np.argsort(key, kind="stable")
+            self.pieces.append((n, seen, key[order], own[order]))
+
+    @staticmethod
+    def _keys(word: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        key = np.zeros(len(at), np.uint64)
+        for j in range(n):
+            key = _joined(key, word[at + j])
+        return key
+
+    def candidates(self, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the texts, piece of an item) pairs of the same words."""
+        places, pieces = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for n, seen, keys, own in self.pieces:
+            key = self._keys(word, at, n)
+            live = np.flatnonzero(seen[(key >> np.uint64(44)).astype(np.int64)])
+            left, right = np.searchsorted(keys, key[live], "left"), np.searchsorted(keys, key[live], "right")
+            many = right - left
+            rank = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+            places.append(np.repeat(at[live], many))
+            pieces.append(own[np.repeat(left, many) + rank])
+        return np.concatenate(places), np.concatenate(pieces)
+
+
 def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Least edit distance between the item and any stretch of the text, and where the stretch ends."""
     along = np.arange(len(text) + 1)
@@ -164,7 +217,7 @@ def edit_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
-def verify(index: ItemIndex, word: np.ndarray, begins: np.ndarray, sizes: np.ndarray, places: np.ndarray, window: np.ndarray, similarity: float) -> dict[tuple[int, int], tuple[int, int]]:
+def verify(index: ItemIndex | PieceIndex, word: np.ndarray, begins: np.ndarray, sizes: np.ndarray, places: np.ndarray, window: np.ndarray, similarity: float) -> dict[tuple[int, int], tuple[int, int]]:
     """(text, item) -> (distance, first word of the stretch around it), of what is similar enough."""
     text = np.searchsorted(begins, places, "right") - 1
     item = index.owner[window]
@@ -200,13 +253,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILA
 
 def _leaks_of_block(docs: DataFrame, items: list, similarity: float) -> DataFrame:
     split = [(r["item_id"], words_of(r["text"])) for r in items]
-    indexes, rest = [], split
-    for size in SIZES:
-        own, rest = [x for x in rest if len(x[1]) >= size], [x for x in rest if len(x[1]) < size]
-        if own:
-            indexes.append(ItemIndex(size, own))
+    long, short = [x for x in split if len(x[1]) >= SHORT], [x for x in split if LEAST <= len(x[1]) < SHORT]
+    indexes = [ItemIndex(SIZE, long)] * bool(long) + [PieceIndex(short, similarity)] * bool(short)
     sent = docs.sparkSession.sparkContext.broadcast(indexes)
-    gap = 2 * max(SIZES) + 2
+    gap = 2 * SIZE + 2
     names = ["doc_id", "item_id", "distance", "similarity", "n_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -263,3 +263,10 @@ def test_language_model_keeps_all_words(spark):
     want = math.log10((1 + p * alone) / (docs + p)) + (each - 1) * math.log10((1 + p * alone) / (1 + p)) + math.log10((1 + p * end) / (1 + p))
     assert len(got) == docs and all((r["n_tokens"], r["n_known"], r["train_tokens"]) == (each + 1, each + 1, total) for r in got)
     assert all(r["score"] == pytest.approx(want, rel=0.02) for r in got)  # a false positive is a level too many
+
+
+def test_decontamination_of_short_and_unspaced_items(spark):
+    bench = spark.createDataFrame([(1, "red fox ran"), (2, "\u6771\u4eac\u90fd\u306e\u4eba\u53e3\u306f\u4f55\u4eba"), (3, "one two three")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "a Red fox ran"), (2, "\u7b54: \u6771\u4eac\u90fd\u306e\u4eba\u53e3\u306f\u4f55\u5343\u3067\u3059"), (3, "one two three"), (4, "red three")], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontamination.find_leaks(docs, bench).collect()}
+    assert got == {(1, 1, 0), (2, 2, 1), (3, 3, 0)}

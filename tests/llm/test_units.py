@@ -243,3 +243,26 @@ def test_network_gradients():
         low = loss()
         net.p[k][at] = before
         assert abs((high - low) / (2 * step) - got[k][at]) < 2e-3
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 12, 13, 15, 17])
+def test_short_items_are_always_found(n):
+    """With as many edits as 0.8 allows, at any words, and whatever follows."""
+    rng = np.random.default_rng(n)
+    new = lambda k: [b"w%d" % x for x in rng.integers(0, 1 << 40, k)]
+    items = [(k, new(n)) for k in range(400)]
+    texts = []
+    for _, item in items:
+        leak = list(item)
+        for _ in range(int(0.2 * n + 1e-9)):
+            at, kind = int(rng.integers(0, len(leak))), int(rng.integers(0, 3))
+            leak[at : at + (kind != 1)] = new(1) if kind < 2 else []
+        texts.append(new(7) + leak + new(9))
+    index = decontamination.PieceIndex(items, 0.8)
+    word, begins, sizes = decontamination._hashes(texts, 26)
+    found = decontamination.verify(index, word, begins, sizes, *index.candidates(word, np.flatnonzero(word)), 0.8)
+    assert set(found) == {(k, k) for k in range(len(items))}
+
+
+def test_words_of_unspaced_scripts():
+    assert decontamination.words_of("\u6771\u4eac Ab\u00e9") == ["\u6771".encode(), "\u4eac".encode(), "ab\u00e9".encode()]
