@@ -4,7 +4,8 @@ Training counts the n-grams of every labelled training text, hashed into a fixed
 language. Each task adds its batches up in one (language x bucket) table and emits that, so that one row
 per task, language and non-empty bucket is shuffled. The matrix of log-probabilities has a proven size
 (languages x buckets x 8 bytes, checked) and is broadcast; batches of texts are scored in numpy by gathers
-from the matrix and sums over each text's n-grams.
+from the matrix and sums over each text's n-grams. All languages have equal priors, whatever their share of
+the training texts; this matters for very short texts only.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; ties go to the language that
 sorts first; equal texts get equal results; without any training row every text is ``und``; labels that are
