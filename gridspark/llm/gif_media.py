@@ -7,9 +7,15 @@ frames as they are shown, each with its time and a colour histogram. The code wi
 the number of codes since the last clear code, so all codes up to the next clear are cut out of the bit
 stream at once in numpy; only the table itself is followed code by code.
 
-Defined cases: a null text is empty; an empty text is one row of zeros; equal texts give equal media;
-streams that end early give the samples they have, the rest of the frame staying zero; a table that is
-full stays as it is until a clear code. Texts are handled whole, one at a time.
+Memory is bounded by what is worked on at once: ``LANES`` code streams while encoding, whose tables have the
+size that their longest one needs, and ``PIXELS`` samples (or one frame) while decoding.
+
+Defined cases: a null text is empty; an empty text is one row of zeros; equal texts, and rows that repeat,
+give equal media; an empty table gives no rows; other columns are not read, whatever their names; very long
+texts have as many frames as they need. Streams and files that end early give the frames and samples that
+they have, the rest of a frame staying zero; a table that is full stays as it is until a clear code, however
+many codes follow. What is no GIF, or asks for a screen or frame of more than ``MOST_PIXELS``, has one row in
+``gif_frames`` that states the error.
 """
 
 from __future__ import annotations
@@ -28,6 +34,12 @@ from .common import ship, slices, texts
 WIDTH = 64
 ROWS = 16
 DELAY_CS = 4
+#: Code streams that are encoded at once, entries of their tables together, and samples of them together.
+LANES, ENTRIES, SAMPLES = 1024, 1 << 23, 1 << 24
+#: Samples that are decoded at once, and the most that a screen or a frame may have.
+PIXELS, MOST_PIXELS = 1 << 20, 1 << 26
+#: Codes behind a full table that are decoded at once.
+FOLLOWING = 1024
 _GREY = bytes(x for i in range(256) for x in (i, i, i))
 
 
@@ -39,20 +51,40 @@ def _widths(size: int) -> np.ndarray:
 _SCHEDULE = {s: _widths(s) for s in range(2, 9)}
 
 
+def _table_bits(longest: int) -> int:
+    """Size of the table of a stream, a quarter full at most."""
+    return (4 * min(3838, longest)).bit_length()
+
+
 def lzw_codes(lanes: list[bytes]) -> list[np.ndarray]:
     """Codes of several streams of 8-bit samples, each led by a clear code and ended by the end code.
 
+    Streams of about the same length are encoded together, a bounded number of them at once.
+    """
+    found: list = [None] * len(lanes)
+    order = sorted(range(len(lanes)), key=lambda k: -len(lanes[k]))
+    while order:
+        longest = len(lanes[order[0]])
+        n = max(1, min(LANES, ENTRIES >> _table_bits(longest), SAMPLES // longest))
+        for k, codes in zip(order[:n], _lane_codes([lanes[k] for k in order[:n]])):
+            found[k] = codes
+        order = order[n:]
+    return found
+
+
+def _lane_codes(lanes: list[bytes]) -> list[np.ndarray]:
+    """``lzw_codes`` of a bounded number of streams, the longest first.
+
     All streams advance by one sample in each step. A stream's table (prefix code, sample) -> code is an
     open hash table of its own; when it is full, a clear code empties it.
     """
-    order = np.argsort([-len(x) for x in lanes], kind="stable")
-    sizes = np.array([len(lanes[k]) for k in order])
+    sizes = np.array([len(x) for x in lanes])
     n, longest = len(lanes), int(sizes[0])
     samples = np.zeros((n, longest), np.uint8)
-    for k, i in enumerate(order.tolist()):
-        samples[k, : sizes[k]] = np.frombuffer(lanes[i], np.uint8)
+    for k, lane in enumerate(lanes):
+        samples[k, : sizes[k]] = np.frombuffer(lane, np.uint8)
     samples = np.ascontiguousarray(samples.T).astype(np.uint32)
-    bits = (4 * min(3838, longest)).bit_length()  # of a lane's table, a quarter full at most
+    bits = _table_bits(longest)
     table = np.zeros(n << bits, np.uint32)
     lane = np.arange(n, dtype=np.int64)
     base, mask = lane << bits, (1 << bits) - 1
@@ -85,10 +117,7 @@ def lzw_codes(lanes: list[bytes]) -> list[np.ndarray]:
             free[full] = 258
             table.reshape(n, -1)[full] = 0
     out[lane, count], out[lane, count + 1] = prefix, 257
-    found: list = [None] * n
-    for k, i in enumerate(order.tolist()):
-        found[i] = out[k, : count[k] + 2]
-    return found
+    return [out[k, : count[k] + 2].copy() for k in range(n)]
 
 
 def _ragged(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,22 +154,26 @@ def lzw_decode(streams: list[bytes], size: int, most: list[int]) -> list[bytes]:
     A table entry is the string of the code that was read when it was made and one sample more, so a code
     is a pointer to an earlier code of its stretch, and each of its samples a pointer to an earlier sample.
     Following pointers by doubling gives first the lengths and then the samples, with no table at all.
+    A stretch that goes on when its table is full only points into what it has written until then.
     """
     n, clear, schedule = len(streams), 1 << size, _SCHEDULE[size]
-    cumulated = np.concatenate([[0], np.cumsum(np.concatenate([schedule, np.full(1 << 16, 12)]))])
+    before = np.concatenate([[0], np.cumsum(schedule)])
     raw = np.frombuffer(b"".join(x + b"\0\0\0\0" for x in streams), np.uint8).astype(np.uint32)
     first = np.cumsum([0, *(len(x) + 4 for x in streams)])[:-1]
     stop = np.array([len(x) * 8 for x in streams])
     at, live = np.zeros(n, np.int64), np.arange(n)
     pieces: list[list[bytes]] = [[] for _ in range(n)]
+    got = np.zeros(n, np.int64)
+
+    def codes_at(base: np.ndarray | int, bit: np.ndarray, width: np.ndarray | int) -> np.ndarray:
+        byte = base + (bit >> 3)
+        code = (raw[byte] | raw[byte + 1] << np.uint32(8) | raw[byte + 2] << np.uint32(16)) >> (bit & 7).astype(np.uint32)
+        return code & ((np.uint32(1) << np.asarray(width, np.uint32)) - np.uint32(1))
+
     while len(live):
-        fits = np.searchsorted(cumulated, stop[live] - at[live], "right") - 1
-        fits = np.minimum(fits, 1 << 15)
+        fits = np.searchsorted(before, stop[live] - at[live], "right") - 1  # of the codes until the table is full
         owner, index = _ragged(fits)
-        bit = at[live][owner] + cumulated[index]
-        byte, width = first[live][owner] + (bit >> 3), np.minimum(12, np.diff(cumulated)[index]).astype(np.uint32)
-        code = (raw[byte] | raw[byte + 1] << np.uint32(8) | raw[byte + 2] << np.uint32(16)) >> (bit & 7).astype(np.uint32)
-        code &= (np.uint32(1) << width) - np.uint32(1)
+        code = codes_at(first[live][owner], at[live][owner] + before[index], schedule[index])
         marks = np.flatnonzero((code == clear) | (code == clear + 1))
         ended = np.full(len(live), len(code))
         own, where = np.unique(owner[marks], return_index=True)
@@ -148,17 +181,44 @@ def lzw_decode(streams: list[bytes], size: int, most: list[int]) -> list[bytes]:
         begin = np.cumsum(fits) - fits
         data = np.minimum(ended - begin, fits)
         owner, index = _ragged(data)
-        for k, part in zip(live.tolist(), _strings(code[begin[owner] + index].astype(np.int64), data, clear)):
-            pieces[k].append(part)
         closed = np.zeros(len(live), bool)
         closed[own] = code[marks[where]] == clear
-        at[live] += cumulated[data] + np.diff(cumulated)[data]
-        live = live[closed]
+        at[live] += before[data] + np.append(schedule, 0)[data]
+        strings, position, length = _strings(code[begin[owner] + index].astype(np.int64), data, clear)
+        codes_before = np.cumsum(data) - data
+        for j, (k, part) in enumerate(zip(live.tolist(), strings)):
+            pieces[k].append(part)
+            got[k] += len(part)
+            if data[j] == len(schedule):
+                head = slice(codes_before[j], codes_before[j] + data[j])
+                starts = position[head] - position[head.start]
+                while got[k] < most[k] and not closed[j] and (m := min(FOLLOWING, int(stop[k] - at[k]) // 12)):
+                    more = codes_at(first[k], at[k] + 12 * np.arange(m), 12).astype(np.int64)
+                    mark = np.flatnonzero((more == clear) | (more == clear + 1))
+                    use = more[: mark[0]] if len(mark) else more
+                    part = _pointed(strings[j], starts, length[head], use, clear)
+                    pieces[k].append(part)
+                    got[k] += len(part)
+                    at[k] += 12 * (len(use) + bool(len(mark)))
+                    if len(mark):
+                        closed[j] = more[mark[0]] == clear
+                        break
+        live = live[closed & (got[live] < np.array(most)[live])]
     return [b"".join(p)[:m] for p, m in zip(pieces, most)]
 
 
-def _strings(code: np.ndarray, lengths: np.ndarray, clear: int) -> list[bytes]:
-    """Samples of stretches of codes with no clear code in them."""
+def _pointed(head: bytes, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray, clear: int) -> bytes:
+    """Samples of codes of a full table: an entry is the string of a code of the head and the sample behind it."""
+    entry = np.maximum(codes - clear - 2, 0)
+    literal = codes < clear
+    source = np.frombuffer(head + bytes(range(256)), np.uint8)
+    start, size = np.where(literal, len(head) + codes, starts[entry]), np.where(literal, 1, lengths[entry] + 1)
+    owner, offset = _ragged(size)
+    return source[start[owner] + offset].tobytes()
+
+
+def _strings(code: np.ndarray, lengths: np.ndarray, clear: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Samples of stretches of codes with no clear code in them; where each code's samples begin, and how many they are."""
     owner, index = _ragged(lengths)
     begin = (np.cumsum(lengths) - lengths)[owner]
     literal = code < clear
@@ -183,7 +243,7 @@ def _strings(code: np.ndarray, lengths: np.ndarray, clear: int) -> list[bytes]:
     value = np.where(bad, 0, code).astype(np.uint8)
     samples = value[of[source]].tobytes()
     ends = np.cumsum(np.bincount(owner, size, len(lengths))).astype(np.int64).tolist()
-    return [samples[a:b] for a, b in zip([0, *ends], ends)]
+    return [samples[a:b] for a, b in zip([0, *ends], ends)], position, size
 
 
 def _blocks(data: bytes) -> bytes:
@@ -204,9 +264,9 @@ def encode(payloads: list[bytes], width: int = WIDTH, rows: int = ROWS, delay_cs
 
 
 def _chain(data: bytes, at: int) -> tuple[bytes, int]:
-    """Joined sub-blocks from a place on, and the place behind them."""
+    """Joined sub-blocks from a place on, and the place behind them; a file that is cut off ends the chain."""
     parts = []
-    while n := data[at]:
+    while at < len(data) and (n := data[at]):
         parts.append(data[at + 1 : at + 1 + n])
         at += n + 1
     return b"".join(parts), at + 1
@@ -218,38 +278,51 @@ def _rows_of_passes(height: int) -> np.ndarray:
 
 
 def parse(data: bytes) -> tuple[int, int, list[dict]]:
-    """Width and height of a GIF's screen, and its frames with their code streams not yet decoded."""
-    if data[:6] not in (b"GIF87a", b"GIF89a"):
+    """Width and height of a GIF's screen, and its frames with their code streams not yet decoded.
+
+    Of a file that is cut off, the frames that it has: the last one with the part of its stream that is there.
+    """
+    if data[:6] not in (b"GIF87a", b"GIF89a") or len(data) < 13:
         raise ValueError("not a GIF")
     width, height, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
     at, colours, frames = 13, None, []
 
     def palette(n: int) -> np.ndarray:
-        return np.frombuffer(data, np.uint8, 3 * n, at).reshape(n, 3)
+        return np.frombuffer(data[at : at + 3 * n].ljust(3 * n, b"\0"), np.uint8).reshape(n, 3)
 
+    if width * height > MOST_PIXELS:
+        raise ValueError(f"a screen of {width} x {height}")
     if flags & 0x80:
         colours = palette(2 << (flags & 7))
         at += 3 * len(colours)
     control = {"delay_ms": 0, "transparent": None, "disposal": 0}
     state = dict(control)
-    while at < len(data) and data[at] != 0x3B:
+    while at + 1 < len(data) and data[at] != 0x3B:
         kind = data[at]
         if kind == 0x21:
             label = data[at + 1]
             body, at = _chain(data, at + 2)
-            if label == 0xF9:
+            if label == 0xF9 and len(body) >= 4:
                 f, delay, index = struct.unpack_from("<BHB", body)
                 state = {"delay_ms": 10 * delay, "transparent": index if f & 1 else None, "disposal": f >> 2 & 7}
             continue
         if kind != 0x2C:
             raise ValueError(f"unknown block {kind:#x}")
+        if at + 10 > len(data):
+            break
         left, top, w, h, f = struct.unpack_from("<HHHHB", data, at + 1)
+        if w * h > MOST_PIXELS:
+            raise ValueError(f"a frame of {w} x {h}")
         at += 10
         own = colours
         if f & 0x80:
             own = palette(2 << (f & 7))
             at += 3 * len(own)
+        if at >= len(data):
+            break
         size = data[at]
+        if not 2 <= size <= 8:
+            raise ValueError(f"samples of {size} bits")
         stream, at = _chain(data, at + 1)
         frames.append({"box": (left, top, w, h), "palette": own, "interlaced": bool(f & 0x40), "size": size, "stream": stream, **state})
         state = dict(control)
@@ -284,14 +357,31 @@ def show(width: int, height: int, frames: list[dict], samples: list[bytes]) -> I
 
 
 def decode(images: list[bytes]) -> Iterator[Iterator[dict]]:
-    """The shown frames of each GIF; code streams of all of them are decoded together."""
-    parsed = [parse(x) for x in images]
+    """The shown frames of each GIF; images are decoded together as far as they have ``PIXELS`` samples."""
+    held, pixels = [], 0
+    for image in map(parse, images):
+        n = sum(f["box"][2] * f["box"][3] for f in image[2])
+        if held and pixels + n > PIXELS:
+            yield from _decoded(held)
+            held, pixels = [], 0
+        held.append(image)
+        pixels += n
+    yield from _decoded(held)
+
+
+def _decoded(parsed: list[tuple[int, int, list[dict]]]) -> Iterator[Iterator[dict]]:
     wanted = [(i, k, f) for i, (_, _, frames) in enumerate(parsed) for k, f in enumerate(frames)]
     samples: list[list] = [[None] * len(frames) for _, _, frames in parsed]
-    for size in {f["size"] for _, _, f in wanted}:
-        own = [(i, k, f) for i, k, f in wanted if f["size"] == size]
-        for (i, k, _), got in zip(own, lzw_decode([f["stream"] for _, _, f in own], size, [f["box"][2] * f["box"][3] for _, _, f in own])):
-            samples[i][k] = got
+    for size in sorted({f["size"] for _, _, f in wanted}):
+        own, pixels = [], 0
+        for i, k, f in [*(x for x in wanted if x[2]["size"] == size), (None, None, None)]:
+            n = f["box"][2] * f["box"][3] if f else 0
+            if own and (f is None or pixels + n > PIXELS):
+                for (a, b, _), got in zip(own, lzw_decode([x["stream"] for _, _, x in own], size, [x["box"][2] * x["box"][3] for _, _, x in own])):
+                    samples[a][b] = got
+                own, pixels = [], 0
+            own.append((i, k, f))
+            pixels += n
     for (width, height, frames), got in zip(parsed, samples):
         yield show(width, height, frames, got)
 
@@ -313,7 +403,7 @@ def encode_gifs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     names = ["doc_id", "n_bytes", "payload_bytes", "media"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 4_000_000):
+        for b in slices(batches, "text", 2_000_000):
             raw = [x.encode("utf-8", "surrogatepass") for x in texts(b)]
             payloads = [pad(x) for x in raw]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in raw], pa.int64()), pa.array([len(x) for x in payloads], pa.int64()), pa.array(encode(payloads), pa.binary())], names=names)
@@ -322,20 +412,33 @@ def encode_gifs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def gif_frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """A row for each frame: id, frame, start_ms, delay_ms, width, height, rgba, histogram."""
+    """A row for each frame: id, frame, start_ms, delay_ms, width, height, rgba, histogram, and error (null).
+
+    What cannot be read has one row, with the error alone; null media have none.
+    """
     ship(media.sparkSession)
-    names = ["doc_id", "frame", "start_ms", "delay_ms", "width", "height", "rgba", "histogram"]
+    names = ["doc_id", "frame", "start_ms", "delay_ms", "width", "height", "rgba", "histogram", "error"]
+
+    def trouble(image: bytes) -> str | None:
+        try:
+            parse(image)
+        except ValueError as e:
+            return str(e)
+        return None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "media", 500_000):
-            held = [(i, x) for i, x in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist()) if x]
+            held = [(i, x, trouble(x)) for i, x in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist()) if x is not None]
+            if broken := [{"doc_id": i, "error": e} for i, _, e in held if e]:
+                yield pa.RecordBatch.from_pylist(broken, schema=schema)
+            held = [(i, x) for i, x, e in held if not e]
             for (doc_id, _), frames in zip(held, decode([x for _, x in held])):
                 for k, f in enumerate(frames):
                     h, w = f["rgba"].shape[:2]
-                    yield pa.RecordBatch.from_pylist([dict(zip(names, (doc_id, k, f["start_ms"], f["delay_ms"], w, h, f["rgba"].tobytes(), colour_histogram(f["rgba"]).tolist())))], schema=schema)
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, (doc_id, k, f["start_ms"], f["delay_ms"], w, h, f["rgba"].tobytes(), colour_histogram(f["rgba"]).tolist(), None)))], schema=schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int64()))])
-    return media.selectExpr(f"cast(`{id_col}` AS long) AS doc_id", f"`{media_col}` AS media").mapInArrow(run, "doc_id long, frame int, start_ms long, delay_ms long, width int, height int, rgba binary, histogram array<long>")
+    schema = pa.schema([("doc_id", pa.int64()), ("frame", pa.int32()), ("start_ms", pa.int64()), ("delay_ms", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("rgba", pa.binary()), ("histogram", pa.list_(pa.int64())), ("error", pa.string())])
+    return media.selectExpr(f"cast(`{id_col}` AS long) AS doc_id", f"`{media_col}` AS media").mapInArrow(run, "doc_id long, frame int, start_ms long, delay_ms long, width int, height int, rgba binary, histogram array<long>, error string")
 
 
 def read_samples(shown: Iterator[dict], payload_bytes: int) -> tuple[bytes, np.ndarray, int, int]:
@@ -355,7 +458,7 @@ def gif_features(media: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "frames", "duration_ms"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "media"):
+        for b in slices(batches, "media", 2_000_000):
             rows = []
             columns = [b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "payload_bytes", "media")]
             for doc_id, n, size, data, shown in zip(*columns, decode(columns[3])):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bloom_lm, decontamination, gif_media, langid, packing, simhash, simple8b, token_counts, toxicity, url_rules
-from .common import table
+from .common import stored, table
 
 #: host and path of a rule in one string, and what it does
 URL_RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
@@ -26,7 +26,7 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gif_media.gif_features(gif_media.encode_gifs(table(spark, sf_dir, "documents")))
+    return gif_media.gif_features(stored(gif_media.encode_gifs(table(spark, sf_dir, "documents")), "gif-media"))
 
 
 def op5_linear_grouping_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,12 +115,16 @@ def test_gif(spark, docs, texts, odd, empty):
     for i, x in texts.items():
         payload, r = gif_media.pad(x.encode()), got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(x.encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        grey = collections.Counter(b >> 6 for b in payload)  # a grey's colour bin has its upper two bits three times
+        assert r["feature"] == ",".join(f"{21 * k}:{grey[k]}" for k in range(4) if grey[k]) and r["frames"] == -(-len(payload) // 1024)
     rows = gif_media.gif_features(gif_media.encode_gifs(odd)).collect()
     assert len(rows) == 12 and len({r["media_sha256"] for r in rows if r["doc_id"] in (4, 10)}) == 1
     assert {r["payload_bytes"] for r in rows if r["doc_id"] in (1, 2)} == {64}
     frames = gif_media.gif_frames(gif_media.encode_gifs(odd.where("doc_id = 5"))).collect()
     assert [f["frame"] for f in frames] == list(range(len(frames))) and frames[3]["start_ms"] == 120 and sum(frames[0]["histogram"]) == 1024
     assert gif_media.gif_features(gif_media.encode_gifs(empty)).count() == 0
+    files = spark.createDataFrame([(1, b"no image"), (2, None), (3, b"GIF89a\xff\xff\xff\xff\0\0\0")], "doc_id long, media binary")
+    assert {(r["doc_id"], r["frame"], r["error"]) for r in gif_media.gif_frames(files).collect()} == {(1, None, "not a GIF"), (3, None, "a screen of 65535 x 65535")}
 
 
 def check_packing(rows, capacity=2048):

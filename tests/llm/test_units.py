@@ -266,3 +266,57 @@ def test_short_items_are_always_found(n):
 
 def test_words_of_unspaced_scripts():
     assert decontamination.words_of("\u6771\u4eac Ab\u00e9") == ["\u6771".encode(), "\u4eac".encode(), "ab\u00e9".encode()]
+
+
+def _never_cleared(data):
+    """An LZW stream of 8-bit samples with a clear code at its begin only."""
+    table, free, codes, prefix = {bytes([i]): i for i in range(256)}, 258, [256], b""
+    for c in data:
+        longer = prefix + bytes([c])
+        if longer not in table:
+            codes.append(table[prefix])
+            if free < 4096:
+                table[longer] = free
+                free += 1
+            longer = bytes([c])
+        prefix = longer
+    codes += [table[prefix], 257]
+    held, bits, out = 0, 0, bytearray()
+    for k, c in enumerate(codes):
+        held |= c << bits
+        bits += 9 if k == 0 else max(9, min(12, (257 + k).bit_length()))
+        while bits >= 8:
+            out.append(held & 255)
+            held, bits = held >> 8, bits - 8
+    return bytes(out) + bytes([held & 255]), len(codes)
+
+
+@pytest.mark.parametrize("letters", [bytes(range(256)), b"abc "])
+def test_gif_stream_that_is_never_cleared(letters):
+    data = bytes(random.Random(6).choices(letters, k=400_000))
+    stream, codes = _never_cleared(data)
+    assert codes > 100_000
+    assert gif_media.lzw_decode([stream, stream], 8, [len(data), 70_000]) == [data, data[:70_000]]
+
+
+def test_gif_files_that_are_cut_off():
+    payload = gif_media.pad(random.Random(7).randbytes(3000))
+    image = gif_media.encode([payload])[0]
+    for n in range(13, len(image), 37):
+        for f in next(gif_media.decode([image[:n]])):
+            left, top, w, h = f["box"]
+            got = np.ascontiguousarray(f["rgba"][top : top + h, left : left + w, 0]).tobytes()
+            assert len(got) == w * h
+    assert [f["start_ms"] for f in next(gif_media.decode([image[: len(image) - 400]]))] == [0, 40, 80]
+    with pytest.raises(ValueError):
+        gif_media.parse(b"GIF89a" + struct.pack("<HHBBB", 65535, 65535, 0, 0, 0))
+
+
+def test_gif_lanes_are_bounded(monkeypatch):
+    seen = []
+    real = gif_media._lane_codes
+    monkeypatch.setattr(gif_media, "_lane_codes", lambda lanes: seen.append((len(lanes), len(lanes[0]))) or real(lanes))
+    payloads = [gif_media.pad(b"short")] * 9999 + [gif_media.pad(b"long text " * 3000)]
+    images = gif_media.encode(payloads)
+    assert all(n <= gif_media.LANES and n << gif_media._table_bits(longest) <= gif_media.ENTRIES for n, longest in seen)
+    assert [gif_media.read_samples(s, len(p))[0] == p for p, s in zip(payloads, gif_media.decode(images))] == [True] * 10_000
