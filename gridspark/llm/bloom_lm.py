@@ -8,7 +8,9 @@ A word's probability after another is the pair's count smoothed by the word's ow
 Counting: a task adds up its texts in sorted arrays of 64-bit hashes and sends them as blocks by hash range
 (a few rows, not one for each n-gram). A range is merged in one task and turned into its own part of the
 filter, ``BITS`` bits for each level of each n-gram: the filter holds all n-grams and grows with them. The
-number of ranges grows with the input, so that a range stays small.
+number of ranges grows with the bytes of the training texts (``RANGE_BYTES`` to a range), so that a range
+stays small; it changes no score but by the filter's false positives. Of a pair's hash 48 bits are kept: two
+of a billion pairs share one with a probability of 4 in a million, far less than the filter errs.
 
 Scoring: no process holds the filter. Texts are stored in slices of about ``SLICE`` bytes. A slice sends its
 distinct words and pairs, as blocks by hash range, to the task that holds the range's part of the filter and
@@ -16,7 +18,9 @@ the exact counts of its words, and gets back levels and counts in the same order
 again in one task.
 
 Defined cases: a null text is empty and has the end token alone; equal texts get equal scores; without
-training texts all counts are 0; rows that repeat a doc_id are scored each on its own.
+training texts all counts are 0; rows that repeat a doc_id are scored each on its own; rows without a doc_id
+are not held out; an empty table gives no rows; other columns are not read. A text longer than a slice is a
+slice of its own, scored whole.
 """
 
 from __future__ import annotations
@@ -35,11 +39,13 @@ from .common import ship, slices, stored, texts
 BITS, PROBES = 10, 6
 #: Bytes of text whose distinct n-grams are looked up together.
 SLICE = 16_000_000
-FREQUENT = 1 << 23
+#: Bytes of training text for each hash range.
+RANGE_BYTES, MOST_RANGES = 4_000_000, 1 << 16
 #: Weight of a word's own probability, in tokens.
 PRIOR = 100.0
 #: n-grams that a task holds before it sends them.
 HELD = 3_000_000
+_PAIR_BITS = np.uint64(0xFFFFFFFFFFFF0000)
 _START, _END = np.uint64(0x5374617274), np.uint64(0x456E64)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -71,7 +77,7 @@ def pairs(token: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     before[1:] = token[:-1]
     before[starts] = _START
     with np.errstate(over="ignore"):
-        return _mix(before * _A + token), before
+        return _mix(before * _A + token) & _PAIR_BITS, before
 
 
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -85,17 +91,32 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 def packed(keys: np.ndarray) -> bytes:
     """Ascending hashes as the first one and gaps of as few bytes as the largest gap needs."""
-    gaps = np.diff(keys)
+    gaps, shift = np.diff(keys), 0
+    if len(gaps) and not (gaps & ~_PAIR_BITS).any():
+        gaps, shift = gaps >> np.uint64(16), 16
     width = max(1, -(-int(gaps.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + keys[:1].astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return bytes([width | shift]) + keys[:1].astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def unpacked(block: bytes) -> np.ndarray:
-    gaps = np.frombuffer(block, np.uint8, offset=9).reshape(-1, block[0])
+    width, shift = block[0] & 15, block[0] & 16
+    gaps = np.frombuffer(block, np.uint8, offset=9).reshape(-1, width)
     keys = np.zeros((len(gaps) + 1, 8), np.uint8)
-    keys[1:, : block[0]] = gaps
-    keys[0] = np.frombuffer(block, np.uint8, 8, 1)
-    return np.cumsum(keys.view("<u8").ravel(), dtype=np.uint64)
+    keys[1:, :width] = gaps
+    keys = keys.view("<u8").ravel() << np.uint64(shift)
+    keys[0] = np.frombuffer(block, "<u8", 1, 1)[0]
+    return np.cumsum(keys, dtype=np.uint64)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """A byte for each count, and eight more behind them for each that is 255 or more."""
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + counts[counts >= 255].astype("<u8").tobytes()
+
+
+def unpacked_counts(block: bytes, n: int) -> np.ndarray:
+    counts = np.frombuffer(block, np.uint8, n).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(block, "<u8", -1, n)
+    return counts
 
 
 def _by_range(keys: np.ndarray, ranges: int) -> Iterator[tuple[int, slice]]:
@@ -117,7 +138,7 @@ def count_blocks(docs: DataFrame, ranges: int) -> DataFrame:
                 keys, counts = _merged(parts)
                 if own := list(_by_range(keys, ranges)):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([kind] * len(own), pa.int32()), pa.array([k for k, _ in own], pa.int32()), pa.array([packed(keys[x]) for _, x in own], pa.binary()), pa.array([counts[x].astype("<u4").tobytes() for _, x in own], pa.binary())],
+                        [pa.array([kind] * len(own), pa.int32()), pa.array([k for k, _ in own], pa.int32()), pa.array([packed(keys[x]) for _, x in own], pa.binary()), pa.array([packed_counts(counts[x]) for _, x in own], pa.binary())],
                         names=["kind", "range", "hashes", "counts"],
                     )
                 held[kind] = []
@@ -156,21 +177,16 @@ def _places(low: np.ndarray, high: np.ndarray, k: int, bits) -> np.ndarray:
     return ((low + np.uint64(k) * high) & np.uint64(0xFFFFFFFF)) * bits >> np.uint64(32)
 
 
-def filter_part(keys: np.ndarray, counts: np.ndarray, most_bits: int | None = None) -> tuple[bytes, int]:
-    """Part of the filter for one range, and the least count it holds: 1 unless bounded."""
-    level, least = levels_of(counts), 1
-    if most_bits is not None and int(level.sum()) * BITS > most_bits:
-        size = np.bincount(np.minimum(counts, 1 << 20), level)
-        from_top = np.cumsum(size[::-1])[::-1] * BITS
-        least = int(np.flatnonzero(from_top <= most_bits)[0]) if (from_top <= most_bits).any() else len(size)
-        keys, level = keys[counts >= least], level[counts >= least]
+def filter_part(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Part of the filter for one range, with all its n-grams."""
+    level = levels_of(counts)
     bits = max(64, -(-int(level.sum()) * BITS // 64) * 64)
     held = np.zeros(bits, np.uint8)
     for j in range(1, int(level.max(initial=0)) + 1):
         low, high = _probe(keys[level >= j], j)
         for k in range(PROBES):
             held[_places(low, high, k, np.uint64(bits))] = 1
-    return np.packbits(held, bitorder="little").tobytes(), least
+    return np.packbits(held, bitorder="little").tobytes()
 
 
 class LogFrequencyFilter:
@@ -210,16 +226,17 @@ class LogFrequencyFilter:
 def _reduce(key: tuple, group: pa.Table) -> pa.Table:
     """Merging of one range."""
     kind, r = (k.as_py() for k in key)
-    keys, counts = _merged([(unpacked(h), np.frombuffer(c, "<u4").astype(np.int64)) for h, c in zip(group.column("hashes").to_pylist(), group.column("counts").to_pylist())])
+    blocks = [unpacked(h) for h in group.column("hashes").to_pylist()]
+    keys, counts = _merged([(h, unpacked_counts(c, len(h))) for h, c in zip(blocks, group.column("counts").to_pylist())])
     words = kind == 1
-    part, _ = filter_part(keys, counts)
-    return pa.table({"kind": pa.array([kind], pa.int32()), "range": pa.array([r], pa.int32()), "n_distinct": [len(keys)], "n_total": [int(counts.sum())], "part": pa.array([part], pa.binary()), "hashes": pa.array([packed(keys) if words else None], pa.binary()), "counts": pa.array([counts.astype("<i8").tobytes() if words else None], pa.binary())})
+    return pa.table({"kind": pa.array([kind], pa.int32()), "range": pa.array([r], pa.int32()), "n_distinct": [len(keys)], "n_total": [int(counts.sum())], "part": pa.array([filter_part(keys, counts)], pa.binary()), "hashes": pa.array([packed(keys) if words else None], pa.binary()), "counts": pa.array([packed_counts(counts) if words else None], pa.binary())})
 
 
 def train(docs: DataFrame) -> DataFrame:
     """The stored model: a row for each kind and range."""
     ship(docs.sparkSession)
-    ranges = 1 << max(6, math.ceil(math.log2(4 * max(1, docs.rdd.getNumPartitions()))))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = 1 << max(6, math.ceil(math.log2(min(MOST_RANGES, max(1, size / RANGE_BYTES)))))
     model = count_blocks(docs, ranges).groupBy("kind", "range").applyInArrow(_reduce, "kind int, range int, n_distinct long, n_total long, part binary, hashes binary, counts binary")
     return stored(model.withColumn("ranges", F.lit(ranges)), "language-model")
 
@@ -293,7 +310,8 @@ def _answers(ranges: int):
             held = LogFrequencyFilter({(kind, r): len(part)}, ranges)
             held.put(kind, r, part)
             if kind == 1:
-                known, counts = unpacked(model.column("hashes")[0].as_py()), np.frombuffer(model.column("counts")[0].as_py(), "<i8")
+                known = unpacked(model.column("hashes")[0].as_py())
+                counts = unpacked_counts(model.column("counts")[0].as_py(), len(known))
         levels, exact = [], []
         for block in asked.column("hashes").to_pylist():
             x = unpacked(block)
@@ -350,11 +368,8 @@ def _scores(columns: list[str], total: int, distinct: int, train_docs: int):
     return run
 
 
-def score(docs: DataFrame, model: DataFrame, train_docs: int, columns: list[str], frequent: int = FREQUENT) -> DataFrame:
-    """The named columns, n_tokens, n_known, train_tokens, base_score and score of every row.
-
-    ``frequent`` has no effect: counts of all words are looked up in the same way.
-    """
+def score(docs: DataFrame, model: DataFrame, train_docs: int, columns: list[str]) -> DataFrame:
+    """The named columns, n_tokens, n_known, train_tokens, base_score and score of every row."""
     ship(docs.sparkSession)
     parts = model.select("kind", "ranges", "n_distinct", "n_total").where("kind = 1").collect()
     total = sum(r["n_total"] for r in parts) + train_docs

@@ -190,18 +190,33 @@ def test_language_id(spark, odd, empty):
     assert langid.predict_languages(empty).count() == 0
 
 
-def test_language_model(spark, docs, texts, odd, empty):
+def test_language_model(spark, docs, texts, odd, empty, monkeypatch):
     learnt = docs.where(F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
     own = {i: x for i, x in texts.items() if crc(i) % 7 != 2}
-    count = collections.Counter(w for x in own.values() for w in [*x.encode().lower().split(), 0])
-    total, distinct = sum(count.values()), len(count)
-    for frequent in (bloom_lm.FREQUENT, 50):  # all words sent, and most words joined
-        rows = bloom_lm.score(docs.withColumn("held_out", F.lit(True)), bloom_lm.train(learnt), len(own), ["doc_id"], frequent).collect()
+    words_of = {i: x.encode().lower().split() for i, x in texts.items()}
+    count, pair = collections.Counter(), collections.Counter()
+    for i in own:
+        count.update([*words_of[i], 0])
+        pair.update(zip([1, *words_of[i]], [*words_of[i], 0]))
+    total, distinct, prior = sum(count.values()), len(count), bloom_lm.PRIOR
+    middle = {n: 1.5 * 2 ** (n.bit_length() - 1) - 0.5 for n in {*count.values(), *pair.values()}} | {0: 0.0}
+    near = []
+    for range_bytes in (bloom_lm.RANGE_BYTES, 10_000):  # few ranges, and many
+        monkeypatch.setattr(bloom_lm, "RANGE_BYTES", range_bytes)
+        rows = bloom_lm.score(docs, bloom_lm.train(learnt), len(own), ["doc_id"]).collect()
+        assert len(rows) == len(texts)
         for r in rows:
-            words = [*texts[r["doc_id"]].encode().lower().split(), 0]
+            words = [*words_of[r["doc_id"]], 0]
             base = sum(math.log10((count[w] + 1) / (total + distinct + 1)) for w in words)
             assert r["base_score"] == pytest.approx(base, rel=1e-9) and (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(words), sum(count[w] > 0 for w in words), total)
-            assert r["score"] < 0
+            want, before, history = 0.0, 1, len(own)
+            for w in words:
+                alone = len(own) if w == 0 else middle[count[w]]
+                p = (alone + 1) / (total + distinct + 1)
+                want += math.log10((min(middle[pair[before, w]], alone, history) + prior * p) / (history + prior))
+                before, history = w, alone
+            near.append(abs(r["score"] - want) / -want)
+    assert max(near) < 0.05 and sum(near) / len(near) < 0.005  # but for the filter's false positives
     said = bloom_lm.language_model(odd).collect()
     assert len(said) == 12 and {r["n_tokens"] for r in said if r["doc_id"] in (1, 2, 3)} == {1}
     assert bloom_lm.language_model(empty).count() == 0
