@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..shipping import ship
 
@@ -48,6 +50,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def looked_up(rows: DataFrame, values: DataFrame, key: str, copies: str, total: int, share: int = 1024) -> DataFrame:
+    """Rows (stored) joined with the value of their key, of which each row has one.
+
+    Keys of more than one row in ``share``, of which there are fewer than ``share``, are broadcast; so no task
+    gets all rows of a frequent key. The others are joined by sorting.
+    """
+    many = F.col(copies) * share > total
+    flag = fresh([*rows.columns, *values.columns], "frequent")
+    met = rows.join(F.broadcast(values.where(many).drop(copies).withColumn(flag, F.lit(True))), key, "left")
+    rest = met.where(F.col(flag).isNull()).select(*rows.columns).join(values.where(~many).drop(copies).hint("merge"), key)
+    return met.where(flag).drop(flag).unionByName(rest)
+
+
+def widened(docs: DataFrame, run: Callable, *added: StructField) -> DataFrame:
+    """``docs.mapInArrow(run)`` for a ``run`` that returns all columns and the added ones; any column names will do."""
+    names = docs.columns
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(pa.RecordBatch.from_arrays(b.columns, names=names) for b in batches)
+
+    return docs.toDF(*(f"c{k}" for k in range(len(names)))).mapInArrow(named, StructType([*docs.schema.fields, *added]))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that the ``text`` column of each holds about ``most`` bytes (one row at least)."""
     import pyarrow.compute as pc

@@ -4,8 +4,9 @@ The cache is a table of (content digest, tokenizer version, n_tokens). Contents
 digests; only contents without an entry are encoded, each distinct one once, and appended. A run that is
 repeated, or a corpus that grows, encodes only what is new.
 
-Defined cases: a null text counts as empty (0 tokens); equal texts share one entry; an empty table gives
-no rows; further columns of the input, whatever their names, are not read.
+Defined cases: a null text counts as empty (0 tokens); equal texts, and rows that repeat, share one entry; an
+empty table gives no rows; further columns of the input, whatever their names, are not read; very long texts
+are counted whole.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_path, ship, slices, texts
+from .common import looked_up, shared_path, ship, slices, stored, texts
 from .encoding import ByteLevelCounter
 
 CACHE_SCHEMA = "content_digest binary, tokenizer_digest string, n_tokens long"
@@ -49,7 +50,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
 
     ``normalise`` maps the text column to the content that is counted. Distinct misses are found by a
     grouping with map-side combine, so that a text with very many copies reaches a reducer once per task.
-    The counts are joined back by a sort-merge join, whose skewed partitions Spark splits at run time.
+    Counts are joined back by digest, those of frequent contents (fewer than 1024) by broadcast.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -65,6 +66,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         contents = contents.join(known, "content_digest", "left_anti")
     misses = contents.groupBy("content_digest").agg(F.first("content").alias("content"))
     misses.mapInArrow(_encode(tokenizer_path, version), CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    lengths = stored(rows.select("doc_id", "content_digest", F.octet_length("content").cast("long").alias("n_bytes")), "lengths")
+    copies = lengths.groupBy("content_digest").agg(F.count("*").alias("copies"))
     counts = open_cache(spark, cache_path).where(F.col("tokenizer_digest") == version).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
-    lengths = rows.select("doc_id", "content_digest", F.octet_length("content").cast("long").alias("n_bytes"))
-    return lengths.join(counts.hint("merge"), "content_digest").select("doc_id", "n_bytes", "n_tokens")
+    counts = stored(copies.join(counts, "content_digest"), "counts")
+    return looked_up(lengths, counts, "content_digest", "copies", lengths.count()).select("doc_id", "n_bytes", "n_tokens")

@@ -2,8 +2,8 @@
 
 Every word enters as a word embedding beside the mean of its character n-gram embeddings (both hashed into
 tables of fixed size) and the highest first component among the n-grams. A recurrent layer runs over a window of words in each direction, attention pools its
-states, and a logistic unit scores the window. A text's score is that of its highest window; windows overlap
-by a quarter and cover the whole text.
+states, and a logistic unit scores the window. A text's score is that of its highest window; windows begin at
+every half of a window and cover the whole text, so that a passage of half a window lies whole in one of them.
 
 The network is trained in numpy on the driver, on a bounded sample of labelled texts: ``SAMPLE`` of each
 label, those with the smallest hash of their id, of at most ``SAMPLE_CHARS`` characters each. Labels are
@@ -15,9 +15,12 @@ computed once and kept in a table per worker; a step over thousands of windows i
 matrix product.
 
 Defined cases: a null text is empty; a text without words has the score of an empty window; texts shorter
-than a window are one padded window; equal texts get equal scores; without training rows of both labels
-every score is 0; labels, lang, source and doc_id are never inputs of a score. Labels that repeat a doc_id
-count once, as 1 if any of them is 1; labels of absent documents teach nothing.
+than a window are one padded window; what has more than ``LONGEST`` characters without a blank, as scripts
+without spaces have, counts as words of ``RUN`` characters; very long texts are scored whole; equal texts, and
+rows that repeat, get equal scores; without training rows of both labels every score is 0; labels, lang, source
+and doc_id are never inputs of a score. Labels that repeat a doc_id count once, as 1 if any of them is 1, and
+so does a document that repeats, with its least text; labels of absent documents teach nothing; an empty table
+gives no rows; other columns, whatever their names, are passed on as they are.
 """
 
 from __future__ import annotations
@@ -29,11 +32,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, StructField
 
-from .common import ship, slices, texts
+from .common import ship, slices, texts, widened
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN, EMBED, ATTEND = 8, 6, 8
 WORD_ROWS, GRAM_ROWS = 1 << 16, 1 << 18
 INPUT = 2 * EMBED + 1
@@ -46,10 +49,19 @@ SMOOTH = 10
 STEPS = 240
 #: Words that a worker keeps the input products of.
 KEPT_WORDS = 300_000
+#: Characters of the longest word, and of the words that a longer one is cut into.
+LONGEST, RUN = 48, 8
 #: Marks that are no part of a word at its ends.
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’…–—"
 
 
+def words_of(text: str) -> list[str]:
+    words = text.lower().split()
+    if max(map(len, words), default=0) > LONGEST:
+        words = [part for w in words for part in ([w] if len(w) <= LONGEST else (w[i : i + RUN] for i in range(0, len(w), RUN)))]
+    return words
+
+
 def word_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of each word (bare, lower case); rows of all their character n-grams, and how many each word has.
 
@@ -206,7 +218,7 @@ class Network:
 def fit(sample: list[tuple[str, int]], epochs: int = EPOCHS, seed: int = 7) -> Network:
     """A network trained on labelled texts."""
     net, rng = Network(seed), np.random.default_rng(seed)
-    words = [x.lower().split() for x, _ in sample]
+    words = [words_of(x) for x, _ in sample]
     bare = sorted({w.strip(_EDGES) for own in words for w in own}) or [""]
     known = {w: k for k, w in enumerate(bare)}
     docs = [np.array([known[w.strip(_EDGES)] for w in own], np.int64) for own in words]
@@ -291,7 +303,7 @@ class Scorer:
             self.clear()
         place, ids = self.known.__getitem__, []
         for x in own:
-            words = x.lower().split()
+            words = words_of(x)
             ids.append(np.fromiter(map(place, words), np.int64, len(words)))
         self._learn()
         rows, counts = windows(ids)
@@ -325,29 +337,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     ids = [marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample[y]) for y in (0, 1)]
     ids = ids[0].unionByName(ids[1])
     found = docs.select("doc_id", "text").where(F.length("text") <= sample_chars).join(F.broadcast(ids), "doc_id")
-    rows = found.select("doc_id", "toxic", "text", F.xxhash64("doc_id").alias("h")).collect()
-    own = {y: sorted((r for r in rows if r["toxic"] == y), key=lambda r: (r["h"], r["doc_id"], r["text"]))[: sample[y]] for y in (0, 1)}
+    rows = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"), F.xxhash64("doc_id").alias("h")).collect()  # of each id one
+    own = {y: sorted((r for r in rows if r["toxic"] == y), key=lambda r: (r["h"], r["doc_id"]))[: sample[y]] for y in (0, 1)}
     return fit([(r["text"], y) for y in (0, 1) for r in own[y]]) if own[0] and own[1] else None
 
 
-def score_texts(docs: DataFrame, net: Network | None, columns: list[str], text_col: str = "text", into: str = "score") -> DataFrame:
-    """The named columns of every row, with the score."""
+def score_texts(docs: DataFrame, net: Network | None, text_col: str = "text", into: str = "score") -> DataFrame:
+    """All columns of every row, with the score (in a column named ``into``)."""
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
-    keep = docs.select(F.col(text_col).alias("__text"), *columns)
-    schema = StructType([*keep.select(*columns).schema.fields, StructField(into, DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(sent.value) if sent.value else lambda own: np.zeros(len(own))
-        for b in slices(batches, "__text", 1_000_000):
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(scorer(texts(b, "__text")))], names=[*columns, into])
+        for b in slices(batches, text_col, 1_000_000):
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scorer(texts(b, text_col)))], names=[*b.schema.names, into])
 
-    return keep.mapInArrow(run, schema)
+    return widened(docs, run, StructField(into, DoubleType()))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, parts: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; learns from rows that are not held out."""
     apart = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % parts == held_out, F.lit(False))
     net = train(docs.where(~apart), labels.where(~apart))
-    scored = score_texts(docs.select("doc_id", "text", apart.alias("held_out")), net, ["doc_id", "held_out"])
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    scored = score_texts(docs.select("doc_id", "text", apart.alias("held_out")), net)
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -179,6 +179,37 @@ def test_decontamination_of_odd_rows(spark, odd, empty):
     assert decontamination.find_leaks(empty, bench).count() == 0 and decontamination.find_leaks(odd, bench.limit(0)).count() == 0
 
 
+def brute_language(learnt, text):
+    """Language and posterior by plain counts of hashed n-grams, a code point at a time."""
+
+    def grams(x):
+        marked, out = f" {x.lower()} ", [" "]
+        for c in marked[1:]:
+            c = c if c.isalpha() else " "
+            if c != " " or out[-1] != " ":
+                out.append(c)
+        for n in langid.ORDERS:
+            for i in range(len(out) - n + 1):
+                h = n
+                for k in range(n):
+                    h = (h ^ ord(out[i + k])) * int(langid._ODD[k]) & 0xFFFFFFFF
+                    h ^= h >> 15
+                yield h % langid.BUCKETS
+
+    count, docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for x, lang in learnt:
+        count[lang].update(grams(x))
+        docs[lang] += 1
+    said = {}
+    own = list(grams(text))
+    for lang in sorted(count):
+        total = sum(count[lang].values()) + 0.5 * langid.BUCKETS
+        logs = sum(math.log((count[lang][g] + 0.5) / total) for g in own)
+        said[lang] = logs * min(len(own), langid.CONFIDENT) / len(own) + math.log((docs[lang] + 1) / (sum(docs.values()) + len(docs)))
+    best = max(said, key=said.get)
+    return best, 1 / sum(math.exp(x - said[best]) for x in said.values())
+
+
 def test_language_id(spark, odd, empty):
     full = common.table(spark, "/root/testdata/sf0.01", "documents")
     rows = langid.predict_languages(full).join(full.select("doc_id", "lang"), "doc_id").collect()
@@ -190,6 +221,19 @@ def test_language_id(spark, odd, empty):
     assert langid.predict_languages(empty).count() == 0
 
 
+def test_language_id_by_brute_force_and_by_blocks(spark):
+    learnt = [("the cat sat on the mat", "en"), ("a dog, and the cat", "en"), ("der Hund und die Katze", "de"), ("le chat et le chien", "fr"), ("\u00b5 \u00ba", "xx"), ("el gato y el perro", "es"), ("the", "en")]
+    asked = ["the dog", "die Katze sitzt", "un chat", "\u00b5", "el", "", "42", "Der Hund " * 50]
+    rows = spark.createDataFrame(learnt, "text string, lang string")
+    texts = spark.createDataFrame(list(enumerate(asked)), "row long, text string").withColumn("a.b", F.lit(1))
+    for block in (langid.BLOCK, 2, 1):
+        got = sorted(map(tuple, langid.identify(texts, langid.train(rows, block=block)).select("row", "`a.b`", "lang_pred", "score").collect()))
+        for (k, one, lang, sure), text in zip(got, asked):
+            want = brute_language(learnt, text) if any(c.isalpha() for c in text) else ("und", 0.0)
+            assert (one, lang) == (1, want[0]) and sure == pytest.approx(want[1], rel=1e-6), (block, text)
+        assert len(got) == len(asked)
+
+
 def test_language_model(spark, docs, texts, odd, empty, monkeypatch):
     learnt = docs.where(F.crc32(F.col("doc_id").cast("string")) % 7 != 2)
     own = {i: x for i, x in texts.items() if crc(i) % 7 != 2}
@@ -236,6 +280,44 @@ def test_toxicity(spark, odd, empty):
     assert toxicity.toxicity(empty, few).count() == 0
 
 
+def brute_toxicity(net, text):
+    """A text's score by a plain loop over its windows, words and gates."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    p, size = net.p, toxicity.HIDDEN
+    words = [w.strip(toxicity._EDGES) for w in toxicity.words_of(text)]
+    vectors = [net.inputs(*toxicity.word_rows([w]))[0] for w in words]
+    starts = [*range(0, max(1, len(words) - toxicity.WINDOW), toxicity.STRIDE), max(0, len(words) - toxicity.WINDOW)]
+    best = -np.inf
+    for a in starts:
+        own = vectors[a : a + toxicity.WINDOW]
+        states = np.zeros((len(own), 2 * size))
+        for d, order in ((0, range(len(own))), (1, range(len(own) - 1, -1, -1))):
+            h = np.zeros(size)
+            for t in order:
+                pre, rec = own[t] @ p["w"][d] + p["b"][d], h @ p["u"][d]
+                z, r = sigmoid(pre[:size] + rec[:size]), sigmoid(pre[size : 2 * size] + rec[size : 2 * size])
+                h = (1 - z) * np.tanh(pre[2 * size :] + r * rec[2 * size :]) + z * h
+                states[t, d * size : (d + 1) * size] = h
+        weight = np.exp(np.tanh(states @ p["a"]) @ p["v"])
+        pooled = (weight[:, None] * states).sum(0) / weight.sum() if len(own) else np.zeros(2 * size)
+        best = max(best, float(pooled @ p["o"] + p["c"][0]))
+    return sigmoid(best)
+
+
+def test_toxicity_by_brute_force(spark):
+    insult = "you stupid worthless idiot"
+    filler = [f"garden{k % 7}" for k in range(80)]
+    clean = [(" ".join(filler[k % 9 : k % 9 + 20 + k % 40]), 0) for k in range(160)]
+    net = toxicity.fit(clean + [(" ".join([*filler[: k % 30], insult, *filler[: 7 * k % 30]]), 1) for k in range(80)])
+    rows = [(k, " ".join([*filler[:k], insult, *filler[k:]])) for k in range(0, 80, 3)]
+    rows += [(100, ""), (101, None), (102, "one"), (103, "x" * 500), (104, " ".join(filler)), (105, "\u4f60\u597d" * 100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("a.b", F.lit(1)).withColumn("__text", F.lit("other"))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_texts(docs, net).collect()}
+    for k, x in rows:
+        assert got[k] == pytest.approx(brute_toxicity(net, x or ""), abs=1e-4), k
+    assert all(got[k] >= 0.5 for k in range(0, 80, 3)) and got[104] < 0.5 and toxicity.words_of("x" * 500) == ["x" * 8] * 62 + ["x" * 4]
+
+
 def test_simple8b(spark, docs, texts, odd, empty):
     got = {r["doc_id"]: tuple(r)[1:] for r in simple8b.read_files(simple8b.write_files(docs, WORDS, 1, file_ids=5000)).collect()}
     t, at = encoding.tokenizer(WORDS), 0
