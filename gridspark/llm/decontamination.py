@@ -18,31 +18,32 @@ for word, the item is verified.
 
 Of the steps of a function the first ones lie early in the walk: what fails there needs no further step.
 
-The items are the query set. They are taken in blocks of at most ``BLOCK`` items, each broadcast (its size
-is bounded by the words of its items) and held against all texts; there is no join of all pairs.
+The items are the query set. They are taken in blocks of about ``BLOCK`` items and ``BLOCK_BYTES`` of text, each
+broadcast and held against all texts; there is no join of all pairs.
 
-Defined cases: null or empty texts have no windows; an item of fewer than ``LEAST`` (3) words finds nothing; rows that
-repeat a doc_id or an item_id give one row for the pair; texts are read whole.
+Defined cases: null or empty texts, and items without words, have no windows; items of fewer than five words
+allow no edit and are found word for word; rows that repeat a doc_id or an item_id give one row for the pair,
+and rows without one count as one document or item; empty tables give no rows; very long texts are read whole;
+other columns are not read by ``find_leaks``, and passed on as they are by ``without_leaks``.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices, texts
+from .common import ship, slices, stored, texts, widened
 
 SIZE = 12
-#: Items of fewer words are found by their pieces; of fewer than ``LEAST``, not at all.
-SHORT, LEAST = 18, 3
+#: Items of fewer words are found by their pieces.
+SHORT = 18
 SIMILARITY = 0.8
-BLOCK = 5_000
+BLOCK, BLOCK_BYTES = 5_000, 8_000_000
 WALKS = 2
 #: Steps that a function samples: those of the first walk, then those of the second.
 _SAMPLED = (((0, 3, 9, 14), (1, 5, 11, 17), (2, 7, 10, 19), (3, 6, 13, 21)), ((0, 4, 8, 15), (1, 6, 12, 18), (2, 5, 9, 20), (3, 8, 14, 22)))
@@ -106,6 +107,19 @@ def embed(word: np.ndarray, at: np.ndarray, walk: int, steps: int) -> np.ndarray
     return out
 
 
+def _seen(key: np.ndarray) -> np.ndarray:
+    """Which values the top 20 bits of some keys have, as packed bits."""
+    seen = np.zeros(1 << 20, bool)
+    seen[(key >> np.uint64(44)).astype(np.int64)] = True
+    return np.packbits(seen, bitorder="little")
+
+
+def _may_hold(seen: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places of the keys whose top 20 bits have been seen."""
+    top = key >> np.uint64(44)
+    return np.flatnonzero(seen[(top >> np.uint64(3)).astype(np.int64)] >> (top & np.uint64(7)).astype(np.uint8) & 1)
+
+
 class ItemIndex:
     """Item windows, by the keys of each function."""
 
@@ -124,9 +138,7 @@ class ItemIndex:
                 key, prefixes = np.zeros(len(place), np.uint64), []
                 for j in steps:
                     key = _joined(key, self.written[w][:, j])
-                    seen = np.zeros(1 << 20, bool)
-                    seen[(key >> np.uint64(44)).astype(np.int64)] = True
-                    prefixes.append(seen)
+                    prefixes.append(_seen(key))
                 order = np.argsort(key, kind="stable")
                 self.functions.append((w, steps, prefixes, key[order], order))
 
@@ -145,7 +157,7 @@ class ItemIndex:
                     pointer = _stepped(bits, pointer, done, j)
                     done = j
                     key = _joined(key, word[pointer])
-                    ok = np.flatnonzero(seen[(key >> np.uint64(44)).astype(np.int64)])
+                    ok = _may_hold(seen, key)
                     live, pointer, key = ok if live is None else live[ok], pointer[ok], key[ok]
                 left, right = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                 n = right - left
@@ -178,10 +190,8 @@ class PieceIndex:
         for n in np.unique(sizes).tolist():
             own = np.flatnonzero(sizes == n)
             key = self._keys(self.word, self.start[self.owner[own]] + self.offset[own], n)
-            seen = np.zeros(1 << 20, bool)
-            seen[(key >> np.uint64(44)).astype(np.int64)] = True
             order = np.argsort(key, kind="stable")
-            self.pieces.append((n, seen, key[order], own[order]))
+            self.pieces.append((n, _seen(key), key[order], own[order]))
 
     @staticmethod
     def _keys(word: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -195,7 +205,7 @@ class PieceIndex:
         places, pieces = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for n, seen, keys, own in self.pieces:
             key = self._keys(word, at, n)
-            live = np.flatnonzero(seen[(key >> np.uint64(44)).astype(np.int64)])
+            live = _may_hold(seen, key)
             left, right = np.searchsorted(keys, key[live], "left"), np.searchsorted(keys, key[live], "right")
             many = right - left
             rank = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
@@ -224,6 +234,14 @@ def verify(index: ItemIndex | PieceIndex, word: np.ndarray, begins: np.ndarray,
     head = places - begins[text] - index.offset[window]  # where the item would begin
     slack = np.ceil(index.length * (1 - similarity)).astype(np.int64) + 1
     best: dict[tuple[int, int], tuple[int, int]] = {}
+    if (fixed := index.length[item] * (1 - similarity) + 1e-9 < 1).any():  # no edit is allowed
+        t, i, at = text[fixed], item[fixed], begins[text[fixed]] + head[fixed]
+        same = (head[fixed] >= 0) & (head[fixed] + index.length[i] <= sizes[t])
+        for k in range(int(index.length[i].max())):
+            inside = same & (k < index.length[i])
+            same[inside] &= word[at[inside] + k] == index.word[index.start[i[inside]] + k]
+        best = {pair: (0, 0) for pair in set(zip(t[same].tolist(), i[same].tolist()))}
+        text, item, head = text[~fixed], item[~fixed], head[~fixed]
     order = np.lexsort((head, item, text))
     text, item, head = text[order], item[order], head[order]
     new = np.ones(len(text), bool)  # neighbouring heads have the same stretch
@@ -240,36 +258,61 @@ def verify(index: ItemIndex | PieceIndex, word: np.ndarray, begins: np.ndarray,
     return best
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+def _blocks(benchmark: DataFrame, similarity: float, block: int, block_bytes: int) -> Iterator[list]:
+    """Indexes of the items, a block at a time."""
+    items = stored(benchmark.where("text IS NOT NULL").select("item_id", "text").distinct(), "items")
+    count, size = items.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    blocks = max(1, -(-count // block), -(-(size or 0) // block_bytes))
+    own = items.withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
+    for k in range(blocks):
+        split = [(r["item_id"], words_of(r["text"])) for r in own.where(F.col("b") == k).collect()]
+        long, short = [x for x in split if len(x[1]) >= SHORT], [x for x in split if 0 < len(x[1]) < SHORT]
+        yield [ItemIndex(SIZE, long)] * bool(long) + [PieceIndex(short, similarity)] * bool(short)
+
+
+def _found(indexes: list, batch: pa.RecordBatch, similarity: float) -> Iterator[tuple]:
+    """(row of the batch, item_id, distance, words of the item) of each passage."""
+    word, begins, sizes = _hashes([words_of(x) for x in texts(batch)], 2 * SIZE + 2)
+    at = np.flatnonzero(word)
+    for index in indexes:
+        for (t, i), (distance, _) in verify(index, word, begins, sizes, *index.candidates(word, at), similarity).items():
+            yield t, index.items[i], distance, int(index.length[i])
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, item_id, distance (in words), similarity and n_words of the item, for each contaminated pair."""
     spark = docs.sparkSession
     ship(spark)
-    keyed = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select("item_id", "text")
-    blocks = max(1, -(-keyed.count() // block))
-    own = keyed.withColumn("b", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)))
-    found = [_leaks_of_block(docs, own.where(F.col("b") == k).collect(), similarity) for k in range(blocks)]
-    return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("similarity").alias("similarity"), F.max("n_words").alias("n_words"))
-
-
-def _leaks_of_block(docs: DataFrame, items: list, similarity: float) -> DataFrame:
-    split = [(r["item_id"], words_of(r["text"])) for r in items]
-    long, short = [x for x in split if len(x[1]) >= SHORT], [x for x in split if LEAST <= len(x[1]) < SHORT]
-    indexes = [ItemIndex(SIZE, long)] * bool(long) + [PieceIndex(short, similarity)] * bool(short)
-    sent = docs.sparkSession.sparkContext.broadcast(indexes)
-    gap = 2 * SIZE + 2
-    names = ["doc_id", "item_id", "distance", "similarity", "n_words"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 3_000_000):
-            word, begins, sizes = _hashes([words_of(x) for x in texts(b)], gap)
-            at = np.flatnonzero(word)
-            doc_ids, rows = b.column("doc_id").to_pylist(), []
-            for index in sent.value:
-                for (t, i), (distance, _) in verify(index, word, begins, sizes, *index.candidates(word, at), similarity).items():
-                    n = int(index.length[i])
-                    rows.append((doc_ids[t], index.items[i], distance, 1 - distance / n, n))
-            if rows:
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
-
-    return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, item_id long, distance int, similarity double, n_words int")
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.int32()]
+    found = []
+    for indexes in _blocks(benchmark, similarity, block, block_bytes):
+        sent = spark.sparkContext.broadcast(indexes)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "text", 3_000_000):
+                doc_ids = b.column("doc_id").to_pylist()
+                rows = [(doc_ids[t], item, distance, 1 - distance / n, n) for t, item, distance, n in _found(sent.value, b, similarity)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "item_id", "distance", "similarity", "n_words"])
+
+        found.append(docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, item_id long, distance int, similarity double, n_words int"))
+        if len(found) > 1:  # one block's index at a time
+            found = [stored(found[0].unionByName(found[1]), "leaks")]
+    return found[0].groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"), F.max("similarity").alias("similarity"), F.max("n_words").alias("n_words"))
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows, as they are, whose text has no passage of an item. Each row stands for itself, whatever its doc_id."""
+    spark = docs.sparkSession
+    ship(spark)
+    for k, indexes in enumerate(_blocks(benchmark, similarity, block, block_bytes)):
+        sent = spark.sparkContext.broadcast(indexes)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "text", 3_000_000):
+                clean = np.ones(b.num_rows, bool)
+                clean[[t for t, *_ in _found(sent.value, b, similarity)]] = False
+                yield b.filter(pa.array(clean))
+
+        docs = widened(stored(docs, "clean") if k else docs, run)
+    return docs

@@ -174,8 +174,13 @@ def test_decontamination(spark, docs, texts):
 def test_decontamination_of_odd_rows(spark, odd, empty):
     bench = spark.createDataFrame([(1, None, 1), (None, "a b c d", 1), (2, "", 1), (3, "beta gamma delta alpha beta gamma delta alpha", 1), (3, "beta gamma delta alpha beta gamma delta alpha", 1), (4, "two words", 1)], "item_id long, text string, distance int")
     got = {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(odd, bench).collect()}
-    assert got == {(5, 3), (6, 3)}
-    assert decontamination.find_leaks(odd, bench, block=1).count() == 2
+    assert got == {(5, 3), (6, 3), (None, 4)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(odd, bench, block=1).collect()} == got
+    nameless = bench.select(F.lit(None).cast("long").alias("item_id"), "text").withColumn("a.b", F.lit(1))
+    rows = odd.withColumn("a.b", F.lit(1))
+    for block in (decontamination.BLOCK, 1):
+        kept = decontamination.without_leaks(rows, nameless, block=block)
+        assert kept.columns == rows.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 4, 7, 8, 9, 10]
     assert decontamination.find_leaks(empty, bench).count() == 0 and decontamination.find_leaks(odd, bench.limit(0)).count() == 0
 
 

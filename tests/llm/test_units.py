@@ -248,12 +248,12 @@ def test_network_gradients():
         assert abs((high - low) / (2 * step) - got[k][at]) < 2e-3
 
 
-@pytest.mark.parametrize("n", [1, 2, 3, 5, 6, 12, 13, 15, 17])
-def test_short_items_are_always_found(n):
-    """With as many edits as 0.8 allows, at any words, and whatever follows."""
+@pytest.mark.parametrize("n", range(1, 61))
+def test_recall_at_every_length(n):
+    """With as many edits as 0.8 allows, at any words, and whatever follows: all short items, 0.95 of the others."""
     rng = np.random.default_rng(n)
     new = lambda k: [b"w%d" % x for x in rng.integers(0, 1 << 40, k)]
-    items = [(k, new(n)) for k in range(400)]
+    items = [(k, new(n)) for k in range(300)]
     texts = []
     for _, item in items:
         leak = list(item)
@@ -261,10 +261,11 @@ def test_short_items_are_always_found(n):
             at, kind = int(rng.integers(0, len(leak))), int(rng.integers(0, 3))
             leak[at : at + (kind != 1)] = new(1) if kind < 2 else []
         texts.append(new(7) + leak + new(9))
-    index = decontamination.PieceIndex(items, 0.8)
+    index = decontamination.PieceIndex(items, 0.8) if n < decontamination.SHORT else decontamination.ItemIndex(decontamination.SIZE, items)
     word, begins, sizes = decontamination._hashes(texts, 26)
     found = decontamination.verify(index, word, begins, sizes, *index.candidates(word, np.flatnonzero(word)), 0.8)
-    assert set(found) == {(k, k) for k in range(len(items))}
+    right = {(k, k) for k in range(len(items))}
+    assert set(found) <= right and len(found) >= (len(items) if n < decontamination.SHORT else 0.95 * len(items)), len(found)
 
 
 def test_words_of_unspaced_scripts():
