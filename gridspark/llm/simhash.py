@@ -16,28 +16,47 @@ way, until 13 to 16 bits are free, with at most 65,536 different fingerprints.
 A shard gives one link from each fingerprint to the root of its own component, not all pairs. Components of
 all links are found by large-star and small-star steps, each a shuffle, with checkpoints in between.
 
+``near_duplicates`` links by fingerprints alone. ``one_of_each`` asks more: two texts belong together when
+their shingles of ``WIDE_WORDS`` words have a Jaccard similarity of ``SIMILARITY`` or more. Their fingerprints then
+differ in too many bits for blocks that agree for certain, so fingerprints have ``WIDE`` x 64 bits there, and
+shards are the values of random samples of bits: as many bits as keep a shard small at the size of the corpus,
+and as many samples as bring two texts of the least similarity together with a probability of ``RECALL``, and more
+similar ones with a higher one. All trees of a batch of
+shards are built and searched together, level by level. What is within the radius is a candidate; the exact
+similarity of the shingles decides. A crowd, which one shard can be where thousands of texts differ by a few
+words, is thinned out before the shuffle: leaders are picked such that each member is within ``NEAR`` bits of one,
+every member is a candidate with each leader within the radius, and only the leaders go on.
+
 Defined cases: a text without words, or null, has fingerprint zero and is linked like any other; a text of
-fewer than three words is one shingle; shingles count as often as they occur; an empty table gives no rows;
-other columns are not read. Long texts are handled whole, word list by word list.
+fewer words than a shingle has is one shingle; shingles count as often as they occur; equal texts, and rows that
+repeat, are in one group; an empty table gives no rows; other columns are not read by ``near_duplicates``, and
+passed on as they are by ``one_of_each``, whatever their names. Long texts are handled whole.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
-from .common import ship, slices, stored, texts
+from .common import fresh, looked_up, ship, slices, stored, texts, widened
 
 WORDS = 3
 SEED = 42
 RADIUS = 2
 SHARD = 4096
+#: For one_of_each: words of a shingle, least similarity, words of 64 bits, radius, and what leaders cover.
+WIDE_WORDS, SIMILARITY, WIDE, WIDE_RADIUS, NEAR = 5, 0.8, 4, 52, 24
+#: Chance that two texts of the least similarity share a shard; members of a shard from which on it is thinned out.
+RECALL, CROWD = 0.95, 16
 _ALL = range(64)
 #: Pairs of 16-bit blocks: the bits of a first-level shard key.
 _PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
@@ -62,6 +81,8 @@ def fingerprint(text: str) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
+#: For each byte a 64-bit number whose bytes are its bits.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
@@ -232,9 +253,292 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius > 2:
         raise ValueError("shards of block pairs hold for a radius up to 2")
     rows = stored(fingerprints(docs), "fingerprints")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
     roots = components(_tree_links(shards(nodes.select("fp")), radius))
-    member = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    member = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
     lowest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = stored(member.join(lowest, "root").select("fp", "component_id"), "labels")
-    return rows.join(labels.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labels = stored(member.join(lowest, "root").select("fp", "component_id", "copies"), "labels")
+    labelled = looked_up(rows, labels, "fp", "copies", rows.count())
+    return labelled.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+_MIX = np.uint64(0xBF58476D1CE4E5B9)
+_STEP = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03], np.uint64)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(31))) * _MIX
+        x = (x ^ (x >> np.uint64(29))) * _STEP[0]
+        return x ^ (x >> np.uint64(32))
+
+
+def shingle_hashes(batch_texts: list[str], words: int = WIDE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles of each text, repeats included, and where each text's begin (and the last one's end)."""
+    import xxhash
+
+    split = [x.encode("utf-8", "surrogatepass").lower().split() for x in batch_texts]
+    size = np.array([len(w) for w in split], np.int64)
+    begin = np.cumsum(size + words) - size - words
+    token = np.zeros(int((size + words).sum()), np.uint64)
+    at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    token[at] = np.fromiter((h for own in split for h in map(xxhash.xxh3_64_intdigest, own)), np.uint64, len(at))
+    count = np.where(size > 0, np.maximum(size - words + 1, 1), 0)
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    at = np.repeat(begin - bounds[:-1], count) + np.arange(bounds[-1])
+    h = np.zeros(len(at), np.uint64)
+    for k in range(words):  # places behind a short text are zeros
+        h = _mixed(h ^ token[at + k] + np.uint64(k))
+    return h, bounds
+
+
+def wide_fingerprints(batch_texts: list[str], words: int = WIDE_WORDS, wide: int = WIDE) -> np.ndarray:
+    """SimHashes [text, word of 64 bits]."""
+    h, bounds = shingle_hashes(batch_texts, words)
+    out = np.zeros((len(batch_texts), wide), np.uint64)
+    full = np.flatnonzero(np.diff(bounds))
+    if not len(full):
+        return out
+    count = np.diff(bounds)[full]
+    # eight counters of a byte each add up in one 64-bit number, over runs of 255 shingles at most
+    runs = -(-count // 255)
+    first = np.cumsum(runs) - runs
+    begin = np.repeat(bounds[full], runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(first, runs))
+    for k in range(wide):
+        own = _mixed(h ^ _STEP[k]).view(np.uint8).reshape(-1, 8)
+        ones = np.concatenate([np.add.reduceat(np.add.reduceat(_LANES[own[:, j]], begin).view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64) for j in range(8)], axis=1)
+        out[full, k] = np.packbits(ones * 2 > count[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+
+
+def forest_pairs(values: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) within the radius inside each shard; shard: ascending. A BK-tree for each shard, all at once.
+
+    Trees grow level by level: the first member of a group is a node, the others fall into its children by
+    their distance to it. Queries go down together too, only by edges whose key is within the radius of the
+    query's distance to the node.
+    """
+    n, most = len(values), 64 * values.shape[1] + 1
+    own, label = np.arange(n), np.unique(shard, return_inverse=True)[1]
+    first = np.concatenate([[True], label[1:] != label[:-1]]) if n else np.zeros(0, bool)
+    root = own[first][label] if n else own
+    edges: list[np.ndarray] = []
+    while len(own):
+        first = np.concatenate([[True], label[1:] != label[:-1]])
+        node = own[first][np.cumsum(first) - 1]
+        own, node = own[~first], node[~first]
+        key = node * most + _apart(values[own], values[node])
+        order = np.argsort(key, kind="stable")
+        own, label = own[order], key[order]
+        if len(own):
+            new = np.concatenate([[True], label[1:] != label[:-1]])
+            edges.append(np.stack([label[new], own[new]]))
+    keys, children = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), np.int64)
+    order = np.argsort(keys, kind="stable")
+    keys, children = keys[order], children[order]
+    asked, node, found = np.arange(n), root, []
+    while len(asked):
+        distance = _apart(values[asked], values[node])
+        hit = (distance <= radius) & (asked < node)
+        found.append(np.stack([asked[hit], node[hit]]))
+        low = np.searchsorted(keys, node * most + np.maximum(distance - radius, 0), "left")
+        high = np.searchsorted(keys, node * most + np.minimum(distance + radius, most - 1), "right")
+        count = high - low
+        asked = np.repeat(asked, count)
+        node = children[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(len(asked))]
+    pair = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pair[0], pair[1]
+
+
+def led(values: np.ndarray, radius: int, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaders of a crowd, and candidate pairs (leader, member): each member with every leader within the radius."""
+    free, leaders, a, b = np.ones(len(values), bool), [], [], []
+    for i in range(len(values)):
+        if free[i]:
+            distance = _apart(values, values[i])
+            free &= distance > near
+            own = np.flatnonzero(distance <= radius)
+            own = own[own != i]
+            leaders.append(i)
+            a.append(np.full(len(own), i))
+            b.append(own)
+    return np.array(leaders), np.concatenate(a), np.concatenate(b)
+
+
+def samples(n: int, wide: int = WIDE, similarity: float = SIMILARITY, recall: float = RECALL) -> list[np.ndarray]:
+    """The bits of each table: about log2(n / 8) of them, so that a shard holds few texts by chance.
+
+    SimHashes of two sets differ in a bit with a probability of their angle over pi.
+    """
+    bits = min(60, max(6, math.ceil(math.log2(max(n, 1) / 8))))
+    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
+    rng = np.random.default_rng(SEED)
+    return [np.sort(rng.choice(64 * wide, bits, replace=False)) for _ in range(tables)]
+
+
+def _thinned(node: np.ndarray, values: np.ndarray, shard: np.ndarray, radius: int, near: int) -> tuple[np.ndarray, list]:
+    """Of rows by ascending shard: those that go on (all but the members of crowds that a leader stands for), and candidates."""
+    cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
+    stay, links = np.ones(len(shard), bool), []
+    for k in np.flatnonzero(np.diff(cuts) > CROWD).tolist():
+        own = slice(cuts[k], cuts[k + 1])
+        leaders, a, b = led(values[own], radius, near)
+        stay[own] = False
+        stay[cuts[k] + leaders] = True
+        links.append((node[own][a], node[own][b]))
+    return stay, links
+
+
+def candidates(nodes: DataFrame, n: int, wide: int = WIDE, radius: int = WIDE_RADIUS, near: int = NEAR, held: int = 20_000) -> DataFrame:
+    """Pairs (a, b) of nodes within the radius; nodes (node, f0, f1, ...): n distinct fingerprints."""
+    tables = samples(n, wide)
+    names = [f"f{k}" for k in range(wide)]
+    kinds = ", ".join(f"{c} long" for c in ("shard", "node", *names, "b"))
+
+    def batch(shard: np.ndarray, node: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(node), *(pa.array(np.ascontiguousarray(values[:, k]).view(np.int64)) for k in range(wide)), pa.nulls(len(node), pa.int64())], names=["shard", "node", *names, "b"])
+
+    def linked(links: list) -> Iterator[pa.RecordBatch]:
+        """Candidates go along with the rows, without a shard."""
+        if links:
+            a, b = (np.concatenate(x) for x in zip(*links))
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a))), pa.array(a), *(pa.nulls(len(a), pa.int64()) for _ in names), pa.array(b)], names=["shard", "node", *names, "b"])
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        parts, rows = [], 0
+        for b in batches:
+            parts.append(b)
+            rows += b.num_rows
+            if rows >= held:
+                yield _columns(parts, names)
+                parts, rows = [], 0
+        if rows:
+            yield _columns(parts, names)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, values in gathered(batches):
+            bits = np.unpackbits(values.view(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+            for t, places in enumerate(tables):
+                own = np.zeros((len(node), 64), np.uint8)
+                own[:, : len(places)] = bits[:, places]
+                shard = _mixed(np.packbits(own, axis=1, bitorder="little").view(np.uint64)[:, 0] + np.uint64(t) * _STEP[1])
+                order = np.argsort(shard, kind="stable")
+                stay, links = _thinned(node[order], values[order], shard[order], radius, near)
+                order = order[stay]
+                yield batch(shard[order], node[order], values[order])
+                yield from linked(links)
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[np.ndarray] = []  # rows of the shard that is not known to be whole
+
+        def pairs(shard: np.ndarray, node: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+            stay, links = _thinned(node, values, shard, radius, near)
+            i, j = forest_pairs(values[stay], shard[stay], radius)
+            links.append((node[stay][i], node[stay][j]))
+            a, b = (np.concatenate(x) for x in zip(*links))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for b in batches:
+            own = b.filter(b.column("b").is_valid())
+            if own.num_rows:
+                yield pa.RecordBatch.from_arrays([own.column("node"), own.column("b")], names=["a", "b"])
+            b = b.filter(b.column("b").is_null())
+            node, values = _columns([b], names)
+            shard = b.column("shard").to_numpy()
+            if pending:
+                shard, node, values = (np.concatenate(x) for x in zip(pending, (shard, node, values)))
+            if not len(shard):
+                continue
+            last = int(np.searchsorted(shard, shard[-1]))
+            if last and len(shard) >= held:
+                yield from pairs(shard[:last], node[:last], values[:last])
+                shard, node, values = shard[last:], node[last:], values[last:]
+            elif not last and len(shard) > 4 * held:  # a crowd that goes on: its leaders stand for what has come
+                stay, links = _thinned(node, values, shard, radius, near)
+                if links and (~stay).any():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*links)], names=["a", "b"])
+                    shard, node, values = shard[stay], node[stay], values[stay]
+            pending = [shard, node, values]
+        if pending and len(pending[0]):
+            yield from pairs(*pending)
+
+    spread = nodes.select("node", *names).mapInArrow(keyed, kinds).repartition("shard").sortWithinPartitions("shard")
+    return spread.mapInArrow(paired, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _columns(batches: list[pa.RecordBatch], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes and fingerprints [row, word] of some batches."""
+    rows = pa.Table.from_batches(batches)
+    values = np.stack([rows.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in names], axis=1)
+    return rows.column("node").to_numpy().astype(np.int64), np.ascontiguousarray(values)
+
+
+def similar(pairs: DataFrame, texts_of: DataFrame, similarity: float = SIMILARITY, words: int = WIDE_WORDS) -> DataFrame:
+    """Those of the pairs (a, b; stored) whose texts have a Jaccard similarity of their shingles of at least ``similarity``.
+
+    texts_of: node, text. Only the sets of shingles of nodes in some pair are made and moved. A node with very
+    many pairs, of which there are few, has its set sent to 64 tasks, among which its pairs are dealt.
+    """
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("pairs"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            h, bounds = shingle_hashes(texts(b), words)
+            sets = [np.unique(h[i:j] >> np.uint64(32)).astype("<u4").tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("pairs"), pa.array(sets, pa.binary())], names=["node", "pairs", "shingles"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "x"):
+            keep = []
+            for x, y in zip(b.column("x"), b.column("y")):
+                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sets = stored(texts_of.join(degree, "node").select("node", "pairs", "text").mapInArrow(hashed, "node long, pairs long, shingles binary"), "shingles")
+    salts = F.when(F.col("pairs") * 1024 > F.lit(2 * pairs.count()), 64).otherwise(1)  # fewer than 1024 nodes have more
+    spread = sets.select("node", "shingles", salts.alias("salts")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    frequent = F.broadcast(sets.where(salts > 1).select("node"))
+
+    def joined(df: DataFrame, end: str, other: str, into: str) -> DataFrame:
+        met = df.join(frequent.withColumnRenamed("node", end).withColumn("many", F.lit(True)), end, "left")
+        salted = met.withColumn("salt", F.when(F.col("many"), F.pmod(F.xxhash64(other), F.lit(64)).cast("int")).otherwise(0)).drop("many")
+        return salted.join(spread.select(F.col("node").alias(end), F.col("shingles").alias(into), "salt"), [end, "salt"]).drop("salt")
+
+    both = joined(joined(pairs.select("a", "b"), "a", "b", "x"), "b", "a", "y")
+    return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WIDE_WORDS) -> DataFrame:
+    """One row, as it is, of each group of near-duplicates: that of the least id (a null id is the last), then the least text.
+
+    Rows have keys of their own, so that ids may be null or repeat.
+    """
+    ship(docs.sparkSession)
+    columns = docs.columns
+    key = fresh(columns, "row_key")
+    names = [fresh(columns, f"f{k}") for k in range(WIDE)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 40
+        for b in slices(batches, text_col):
+            fp = wide_fingerprints(texts(b, text_col), words).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(row, row + b.num_rows)), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WIDE))], names=[*columns, key, *names])
+            row += b.num_rows
+
+    rows = stored(widened(docs, run, *(StructField(c, LongType()) for c in (key, *names))), "wide-fingerprints")
+    rank = F.struct(F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text"), F.col(key).alias("row"))
+    own = rows.select(*(F.col(c).alias(f"f{k}") for k, c in enumerate(names)), rank.alias("rank"))
+    nodes = stored(own.groupBy(*(f"f{k}" for k in range(WIDE))).agg(F.min("rank").alias("rank")).withColumn("node", F.col("rank.row")), "nodes")
+    pairs = stored(candidates(nodes, nodes.count()), "candidates")
+    involved = rows.select(F.col(key).alias("node"), F.col(f"`{text_col}`").alias("text"))
+    roots = components(similar(pairs, involved, similarity, words))
+    grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank"))
+    kept = grouped.select(F.col("rank.row").alias(key))
+    return rows.join(kept, key, "left_semi").select(*(F.col(f"`{c}`") for c in columns))

@@ -335,27 +335,101 @@ def test_simple8b(spark, docs, texts, odd, empty):
     assert simple8b.read_files(simple8b.write_files(empty, WORDS, 1)).count() == 0
 
 
+def shingles(text, n=5):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[k : k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def brute_groups(texts):
+    """For each text the least place of a text that is reached by similarities of 0.8."""
+    sets = [shingles(x) for x in texts]
+    label = list(range(len(texts)))
+    by = collections.defaultdict(list)
+    for k, own in enumerate(sets):
+        for x in own or [b""]:
+            by[x].append(k)
+    near = {(i, j) for own in by.values() for i in own for j in own if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    while True:
+        before = list(label)
+        for i, j in near:
+            label[i] = label[j] = min(label[i], label[j])
+        if label == before:
+            return label
+
+
+def test_one_of_each(spark, docs, texts, odd, empty):
+    rng = np.random.default_rng(4)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 5000, n)) for n in (60, 200, 900)]
+    edited = []
+    for k in range(240):  # a crowd of near copies, and lone ones
+        words = base[k % 3].split()
+        for at in rng.integers(0, len(words), 1 + len(words) // 150):
+            words[at] = f"new{k}x{at}"
+        edited.append(" ".join(words))
+    rows = [*texts.items(), *((10_000 + k, x) for k, x in enumerate([*base, *edited, "", "  ", None, "one", "one"]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    kept = {r["doc_id"] for r in simhash.one_of_each(frame).collect()}
+    label = brute_groups([x for _, x in rows])
+    want = {rows[k][0] for k in set(label)}
+    assert len(kept ^ want) <= 2 and len(want) < len(rows) - 200
+    got = simhash.one_of_each(odd.withColumn("a.b", F.lit(1)))
+    assert got.columns == [*odd.columns, "a.b"] and sorted(map(repr, (r["doc_id"] for r in got.collect()))) == sorted(map(repr, [1, 4, 5, 7, 8, 9, None]))
+    assert simhash.one_of_each(empty).count() == 0
+
+
+def test_wide_fingerprints_and_forest_by_definition():
+    words = [f"w{k}" for k in range(700)]
+    for text in (" ".join(words), "a b c", "A  b\tc", "", "x " * 2000):
+        h, bounds = simhash.shingle_hashes([text, text])
+        assert len(set(h[: bounds[1]].tolist())) == len(shingles(text)) and bounds.tolist() == [0, len(h) // 2, len(h)]
+        for k in range(simhash.WIDE):
+            own = [int(x) for x in simhash._mixed(h[: bounds[1]] ^ simhash._STEP[k])]
+            assert int(simhash.wide_fingerprints([text])[0, k]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own))
+    rng = np.random.default_rng(5)
+    near = rng.integers(0, 1 << 63, (5, 4), np.uint64)[rng.integers(0, 5, 200)] ^ (np.uint64(1) << rng.integers(0, 64, (200, 4), np.uint64))
+    shard = np.sort(rng.integers(0, 9, 200))
+    i, j = simhash.forest_pairs(near, shard, 6)
+    assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(200) for b in range(a + 1, 200) if shard[a] == shard[b] and simhash._apart(near[a], near[b]) <= 6}
+
+
 def test_pipeline(spark, tmp_path):
-    source = common.table(spark, SF, "documents")
-    junk = spark.createDataFrame([(9001, None, "en", "x", 0), (9002, "12 !!", "en", "x", 5), (9003, "you idiot moron stupid trash loser scum clown idiot moron", "en", "x", 50)], DOCS)
-    rows, kept = source.unionByName(junk), {}
+    source = common.table(spark, SF, "documents").withColumn("a.b", F.lit(1)).withColumn("__text", F.lit("x"))
+    bench = common.table(spark, SF, "benchmark")
+    leak = max((r["text"] for r in bench.collect()), key=len)
+    clean = source.where("doc_id = 0").first()["text"]
+    junk = [
+        (9001, None, "en", "x", 0), (9002, "12 !!", "en", "x", 5), (9003, "you idiot moron stupid trash loser scum clown idiot moron", "en", "x", 50),
+        (None, clean, "en", "x", 1), (None, clean, "en", "x", 1), (0, clean, "en", "x", 1), (None, f"{clean} {leak}", "en", "x", 1), (1, f"{leak} {clean}", "en", "x", 1),
+    ]
+    rows, kept = source.unionByName(spark.createDataFrame(junk, DOCS).withColumn("a.b", F.lit(1)).withColumn("__text", F.lit("x"))), {}
     for name, stage in corpus_pipeline.STAGES:
-        out = common.stored(stage(spark, rows, SF), name)
-        kept[name] = out
+        kept[name] = common.stored(stage(spark, rows, SF), name)
         if name != "packed":
-            assert out.columns == source.columns
-            rows = out
-    ids = {n: {r["doc_id"] for r in d.select("doc_id").collect()} for n, d in kept.items()}
+            assert kept[name].columns == source.columns
+            rows = kept[name]
+    own = {n: [(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()] for n, d in kept.items() if n != "packed"}
+    ids = {n: {i for i, _ in d} for n, d in own.items()}
     start = {r["doc_id"] for r in source.select("doc_id").collect()}
-    assert ids["language"] == start | {9003}
+    assert ids["language"] == start | {9003, None} and len(own["language"]) == len(start) + 6
     toxic = {r["doc_id"] for r in common.table(spark, SF, "labels").where("toxic = 0").collect()}
     assert len(toxic & ids["language"] - ids["harmless"]) <= 0.05 * len(toxic)
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(kept["harmless"]).collect()}
-    assert ids["distinct"] == set(groups.values())
-    leaks = {r["doc_id"] for r in decontamination.find_leaks(kept["distinct"], common.table(spark, SF, "benchmark")).collect()}
-    assert ids["uncontaminated"] == ids["distinct"] - leaks and leaks
-    assert ids["packed"] == ids["uncontaminated"]
-    check_packing(kept["packed"].collect())
+    first = sorted(own["harmless"], key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    label = brute_groups([x for _, x in first])
+    assert sorted(map(repr, own["distinct"])) == sorted(repr(first[k]) for k in set(label))
+    items = [np.array([hash(w) for w in decontamination.words_of(r["text"])]) for r in bench.collect()]
+
+    def clean_of(text):
+        word = np.array([hash(w) for w in decontamination.words_of(text)])
+        return all(decontamination.edit_distance(x, word)[0] > 0.2 * len(x) for x in items)
+
+    assert sorted(map(repr, own["uncontaminated"])) == sorted(repr(r) for r in own["distinct"] if clean_of(r[1]))
+    assert len(own["uncontaminated"]) < len(own["distinct"]) and not any(leak in x for _, x in own["uncontaminated"])
+    packed = kept["packed"].collect()
+    assert {r["doc_id"] for r in packed} == ids["uncontaminated"]
+    check_packing(packed)
+    nothing = source.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, nothing, SF).count() == 0
 
 
 def test_language_model_keeps_all_words(spark):
