@@ -426,7 +426,7 @@ def candidates(nodes: DataFrame, n: int, wide: int = WIDE, radius: int = WIDE_RA
             for t, places in enumerate(tables):
                 own = np.zeros((len(node), 64), np.uint8)
                 own[:, : len(places)] = bits[:, places]
-                shard = _mixed(np.packbits(own, axis=1, bitorder="little").view(np.uint64)[:, 0] + np.uint64(t) * _STEP[1])
+                shard = _mixed(np.packbits(own, axis=1, bitorder="little").view(np.uint64)[:, 0] ^ _mixed(np.array([t], np.uint64)))
                 order = np.argsort(shard, kind="stable")
                 stay, links = _thinned(node[order], values[order], shard[order], radius, near)
                 order = order[stay]

@@ -348,7 +348,8 @@ def brute_groups(texts):
     for k, own in enumerate(sets):
         for x in own or [b""]:
             by[x].append(k)
-    near = {(i, j) for own in by.values() for i in own for j in own if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    some = {(i, j) for own in by.values() for i in own for j in own if i < j}
+    near = [(i, j) for i, j in some if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
     while True:
         before = list(label)
         for i, j in near:
