@@ -22,10 +22,12 @@ differ in too many bits for blocks that agree for certain, so fingerprints have
 shards are the values of random samples of bits: as many bits as keep a shard small at the size of the corpus,
 and as many samples as bring two texts of the least similarity together with a probability of ``RECALL``, and more
 similar ones with a higher one. All trees of a batch of
-shards are built and searched together, level by level. What is within the radius is a candidate; the exact
-similarity of the shingles decides. A crowd, which one shard can be where thousands of texts differ by a few
-words, is thinned out before the shuffle: leaders are picked such that each member is within ``NEAR`` bits of one,
-every member is a candidate with each leader within the radius, and only the leaders go on.
+shards are built and searched together, level by level. What is within the radius is linked; of a shard's links
+the minimum spanning forest by distance goes on, so that a crowd of near copies gives as many candidates as it has
+members, in each of the tables. Candidates are decided by the exact similarity of their shingles, first the
+nearest one of each text, then those whose texts are not yet in one group. A crowd is split before the
+shuffle: its members are dealt among salts, and those nearest to its middle, to which the others are copies,
+go to every salt.
 
 Defined cases: a text without words, or null, has fingerprint zero and is linked like any other; a text of
 fewer words than a shingle has is one shingle; shingles count as often as they occur; equal texts, and rows that
@@ -53,10 +55,13 @@ WORDS = 3
 SEED = 42
 RADIUS = 2
 SHARD = 4096
-#: For one_of_each: words of a shingle, least similarity, words of 64 bits, radius, and what leaders cover.
-WIDE_WORDS, SIMILARITY, WIDE, WIDE_RADIUS, NEAR = 5, 0.8, 4, 52, 24
-#: Chance that two texts of the least similarity share a shard; members of a shard from which on it is thinned out.
-RECALL, CROWD = 0.95, 16
+#: For one_of_each: words of a shingle, least similarity, words of 64 bits, and radius.
+WIDE_WORDS, SIMILARITY, WIDE, WIDE_RADIUS = 5, 0.8, 4, 52
+#: Chance that two texts of the least similarity share a shard.
+RECALL = 0.95
+#: Members of a crowd in one task for each salt; members that go to every salt; members that are searched by trees;
+#: and members that a task holds of one shard.
+CROWD, MIDDLE, TREE, CHUNK = 256, 16, 512, 8192
 _ALL = range(64)
 #: Pairs of 16-bit blocks: the bits of a first-level shard key.
 _PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
@@ -354,19 +359,59 @@ def forest_pairs(values: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np
     return pair[0], pair[1]
 
 
-def led(values: np.ndarray, radius: int, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Leaders of a crowd, and candidate pairs (leader, member): each member with every leader within the radius."""
-    free, leaders, a, b = np.ones(len(values), bool), [], [], []
-    for i in range(len(values)):
-        if free[i]:
-            distance = _apart(values, values[i])
-            free &= distance > near
-            own = np.flatnonzero(distance <= radius)
-            own = own[own != i]
-            leaders.append(i)
-            a.append(np.full(len(own), i))
-            b.append(own)
-    return np.array(leaders), np.concatenate(a), np.concatenate(b)
+def spanning(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.ndarray:
+    """Places of the edges of a minimum spanning forest: each part takes its shortest way out, until there is none."""
+    part, chosen = np.arange(n), []
+    order = np.argsort(distance, kind="stable")
+    i, j = i[order], j[order]
+    live = np.arange(len(i))
+    while len(live):
+        best = np.full(n, len(i))
+        np.minimum.at(best, part[i[live]], live)
+        np.minimum.at(best, part[j[live]], live)
+        own = np.unique(best[best < len(i)])
+        chosen.append(own)
+        while True:  # joined parts take the least number
+            low = np.minimum(part[i[own]], part[j[own]])
+            before = part.copy()
+            np.minimum.at(part, before[i[own]], low)
+            np.minimum.at(part, before[j[own]], low)
+            part = part[part]
+            if (part == before).all():
+                break
+        live = live[part[i[live]] != part[j[live]]]
+    return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
+
+
+def forest_links(values: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A minimum spanning forest (i, j, distance) of what is within the radius inside each shard; shard: ascending."""
+    n = len(values)
+    cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [n]])
+    large = np.diff(cuts) > TREE
+    small = np.flatnonzero(~np.repeat(large, np.diff(cuts)))
+    i, j = forest_pairs(values[small], shard[small], radius)
+    found = [(small[i], small[j])]
+    for a, b in zip(cuts[:-1][large].tolist(), cuts[1:][large].tolist()):
+        i = j = np.zeros(0, np.int64)
+        for first in range(a, b, 128):
+            stop = min(first + 128, b)
+            x, y = np.nonzero(_apart(values[first:stop, None], values[None, a:b]) <= radius)
+            x, y = x + first, y + a
+            i, j = np.concatenate([i, x[x < y]]), np.concatenate([j, y[x < y]])
+            own = spanning(b - a, i - a, j - a, _apart(values[i], values[j]))
+            i, j = i[own], j[own]
+        found.append((i, j))
+    i, j = (np.concatenate(x) for x in zip(*found))
+    distance = _apart(values[i], values[j])
+    own = spanning(n, i, j, distance)
+    return i[own], j[own], distance[own]
+
+
+def _middle(values: np.ndarray, most: int) -> np.ndarray:
+    """Places of the values nearest to what most of them have, bit by bit."""
+    bits = np.unpackbits(values.view(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+    centre = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(values), bitorder="little").view(np.uint64)
+    return np.argsort(_apart(values, centre), kind="stable")[:most]
 
 
 def samples(n: int, wide: int = WIDE, similarity: float = SIMILARITY, recall: float = RECALL) -> list[np.ndarray]:
@@ -381,101 +426,96 @@ def samples(n: int, wide: int = WIDE, similarity: float = SIMILARITY, recall: fl
     return [np.sort(rng.choice(64 * wide, bits, replace=False)) for _ in range(tables)]
 
 
-def _thinned(node: np.ndarray, values: np.ndarray, shard: np.ndarray, radius: int, near: int) -> tuple[np.ndarray, list]:
-    """Of rows by ascending shard: those that go on (all but the members of crowds that a leader stands for), and candidates."""
-    cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]])
-    stay, links = np.ones(len(shard), bool), []
-    for k in np.flatnonzero(np.diff(cuts) > CROWD).tolist():
-        own = slice(cuts[k], cuts[k + 1])
-        leaders, a, b = led(values[own], radius, near)
-        stay[own] = False
-        stay[cuts[k] + leaders] = True
-        links.append((node[own][a], node[own][b]))
-    return stay, links
-
-
-def candidates(nodes: DataFrame, n: int, wide: int = WIDE, radius: int = WIDE_RADIUS, near: int = NEAR, held: int = 20_000) -> DataFrame:
-    """Pairs (a, b) of nodes within the radius; nodes (node, f0, f1, ...): n distinct fingerprints."""
+def candidates(nodes: DataFrame, n: int, wide: int = WIDE, radius: int = WIDE_RADIUS, held: int = 20_000) -> DataFrame:
+    """Pairs (a < b, distance) of nodes within the radius; nodes (node, f0, f1, ...): n distinct fingerprints."""
     tables = samples(n, wide)
     names = [f"f{k}" for k in range(wide)]
-    kinds = ", ".join(f"{c} long" for c in ("shard", "node", *names, "b"))
 
-    def batch(shard: np.ndarray, node: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(node), *(pa.array(np.ascontiguousarray(values[:, k]).view(np.int64)) for k in range(wide)), pa.nulls(len(node), pa.int64())], names=["shard", "node", *names, "b"])
-
-    def linked(links: list) -> Iterator[pa.RecordBatch]:
-        """Candidates go along with the rows, without a shard."""
-        if links:
-            a, b = (np.concatenate(x) for x in zip(*links))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(a))), pa.array(a), *(pa.nulls(len(a), pa.int64()) for _ in names), pa.array(b)], names=["shard", "node", *names, "b"])
-
-    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        parts, rows = [], 0
-        for b in batches:
-            parts.append(b)
-            rows += b.num_rows
-            if rows >= held:
-                yield _columns(parts, names)
-                parts, rows = [], 0
-        if rows:
-            yield _columns(parts, names)
+    def rows(shard: np.ndarray, node: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(node), *(pa.array(np.ascontiguousarray(values[:, k]).view(np.int64)) for k in range(wide))], names=["shard", "node", *names])
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, values in gathered(batches):
+        for node, values in _columns(batches, names, held):
             bits = np.unpackbits(values.view(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
             for t, places in enumerate(tables):
                 own = np.zeros((len(node), 64), np.uint8)
                 own[:, : len(places)] = bits[:, places]
                 shard = _mixed(np.packbits(own, axis=1, bitorder="little").view(np.uint64)[:, 0] ^ _mixed(np.array([t], np.uint64)))
                 order = np.argsort(shard, kind="stable")
-                stay, links = _thinned(node[order], values[order], shard[order], radius, near)
-                order = order[stay]
-                yield batch(shard[order], node[order], values[order])
-                yield from linked(links)
+                sent, cuts = shard.copy(), np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]])
+                for k in np.flatnonzero(np.diff(cuts) > CROWD).tolist():
+                    crowd = order[cuts[k] : cuts[k + 1]]
+                    salt = np.arange(-(-len(crowd) // CROWD), dtype=np.uint64)
+                    salted = shard[crowd[0]] ^ np.where(salt, _mixed(salt), 0)  # salt 0 is the shard itself
+                    middle = crowd[_middle(values[crowd], MIDDLE)]
+                    sent[crowd] = salted[_mixed(node[crowd].view(np.uint64)) % np.uint64(len(salt))]
+                    again = np.repeat(middle, len(salt))
+                    yield rows(np.tile(salted, len(middle)), node[again], values[again])
+                yield rows(sent, node, values)
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[np.ndarray] = []  # rows of the shard that is not known to be whole
-
-        def pairs(shard: np.ndarray, node: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
-            stay, links = _thinned(node, values, shard, radius, near)
-            i, j = forest_pairs(values[stay], shard[stay], radius)
-            links.append((node[stay][i], node[stay][j]))
-            a, b = (np.concatenate(x) for x in zip(*links))
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        def pairs(shard: np.ndarray, node: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+            i, j, distance = forest_links(values, shard, radius)
+            a, b, other = node[i], node[j], node[i] != node[j]  # the middle of a crowd may come twice
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[other]), pa.array(np.maximum(a, b)[other]), pa.array(distance[other])], names=["a", "b", "distance"])
 
+        pending = None
         for b in batches:
-            own = b.filter(b.column("b").is_valid())
-            if own.num_rows:
-                yield pa.RecordBatch.from_arrays([own.column("node"), own.column("b")], names=["a", "b"])
-            b = b.filter(b.column("b").is_null())
-            node, values = _columns([b], names)
-            shard = b.column("shard").to_numpy()
-            if pending:
-                shard, node, values = (np.concatenate(x) for x in zip(pending, (shard, node, values)))
-            if not len(shard):
-                continue
-            last = int(np.searchsorted(shard, shard[-1]))
-            if last and len(shard) >= held:
-                yield from pairs(shard[:last], node[:last], values[:last])
-                shard, node, values = shard[last:], node[last:], values[last:]
-            elif not last and len(shard) > 4 * held:  # a crowd that goes on: its leaders stand for what has come
-                stay, links = _thinned(node, values, shard, radius, near)
-                if links and (~stay).any():
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*links)], names=["a", "b"])
-                    shard, node, values = shard[stay], node[stay], values[stay]
-            pending = [shard, node, values]
-        if pending and len(pending[0]):
-            yield from pairs(*pending)
-
-    spread = nodes.select("node", *names).mapInArrow(keyed, kinds).repartition("shard").sortWithinPartitions("shard")
-    return spread.mapInArrow(paired, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _columns(batches: list[pa.RecordBatch], names: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes and fingerprints [row, word] of some batches."""
-    rows = pa.Table.from_batches(batches)
-    values = np.stack([rows.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in names], axis=1)
-    return rows.column("node").to_numpy().astype(np.int64), np.ascontiguousarray(values)
+            for node, values in _columns([b], names):
+                shard = b.column("shard").to_numpy()
+                if pending:
+                    shard, node, values = (np.concatenate(x) for x in zip(pending, (shard, node, values)))
+                last = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
+                if last and len(shard) >= held:
+                    yield pairs(shard[:last], node[:last], values[:last])
+                    shard, node, values = shard[last:], node[last:], values[last:]
+                while len(shard) >= CHUNK and shard[0] == shard[-1]:  # a large one in parts, with its middle in all of them
+                    yield pairs(shard[:CHUNK], node[:CHUNK], values[:CHUNK])
+                    keep = np.concatenate([_middle(values[:CHUNK], MIDDLE), np.arange(CHUNK, len(shard))])
+                    shard, node, values = shard[keep], node[keep], values[keep]
+                pending = [shard, node, values]
+        if pending:
+            yield pairs(*pending)
+
+    spread = nodes.select("node", *names).mapInArrow(keyed, ", ".join(f"{c} long" for c in ("shard", "node", *names))).repartition("shard").sortWithinPartitions("shard")
+    return spread.mapInArrow(paired, "a long, b long, distance long").groupBy("a", "b").agg(F.min("distance").alias("distance"))
+
+
+def _columns(batches: Iterator[pa.RecordBatch], names: list[str], least: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Nodes and fingerprints [row, word], at least so many rows at once."""
+    held, n = [], 0
+
+    def whole() -> tuple[np.ndarray, np.ndarray]:
+        rows = pa.Table.from_batches(held)
+        values = np.stack([rows.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in names], axis=1)
+        return rows.column("node").to_numpy().astype(np.int64), np.ascontiguousarray(values)
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= least:
+            yield whole()
+            held, n = [], 0
+    if n:
+        yield whole()
+
+
+def grouped(pairs: DataFrame, texts_of: DataFrame, similarity: float, words: int) -> DataFrame:
+    """node and root of the nodes that similar texts connect; pairs (a, b, distance; stored).
+
+    The nearest candidate of each node is decided first. Candidates that are then in one group need no decision.
+    """
+    ends = pairs.select(F.explode(F.array(F.struct("a", "b", F.col("a").alias("node"), "distance"), F.struct("a", "b", F.col("b").alias("node"), "distance"))).alias("e")).select("e.*")
+    nearest = stored(ends.groupBy("node").agg(F.min(F.struct("distance", "a", "b")).alias("e")).select("e.a", "e.b").distinct(), "nearest")
+    first = stored(similar(nearest, texts_of, similarity, words), "similar")
+    roots = components(first)
+    rest = pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti")
+    for end in ("a", "b"):
+        rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
+    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
+    rest = stored(rest.where(apart).select("a", "b"), "rest")
+    return components(first.unionByName(similar(rest, texts_of, similarity, words)))
 
 
 def similar(pairs: DataFrame, texts_of: DataFrame, similarity: float = SIMILARITY, words: int = WIDE_WORDS) -> DataFrame:
@@ -538,7 +578,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     nodes = stored(own.groupBy(*(f"f{k}" for k in range(WIDE))).agg(F.min("rank").alias("rank")).withColumn("node", F.col("rank.row")), "nodes")
     pairs = stored(candidates(nodes, nodes.count()), "candidates")
     involved = rows.select(F.col(key).alias("node"), F.col(f"`{text_col}`").alias("text"))
-    roots = components(similar(pairs, involved, similarity, words))
-    grouped = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank"))
-    kept = grouped.select(F.col("rank.row").alias(key))
+    roots = grouped(pairs, involved, similarity, words)
+    least = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank"))
+    kept = least.select(F.col("rank.row").alias(key))
     return rows.join(kept, key, "left_semi").select(*(F.col(f"`{c}`") for c in columns))

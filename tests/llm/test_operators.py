@@ -378,7 +378,7 @@ def test_one_of_each(spark, docs, texts, odd, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
-def test_wide_fingerprints_and_forest_by_definition():
+def test_wide_fingerprints_and_forest_by_definition(monkeypatch):
     words = [f"w{k}" for k in range(700)]
     for text in (" ".join(words), "a b c", "A  b\tc", "", "x " * 2000):
         h, bounds = simhash.shingle_hashes([text, text])
@@ -390,7 +390,36 @@ def test_wide_fingerprints_and_forest_by_definition():
     near = rng.integers(0, 1 << 63, (5, 4), np.uint64)[rng.integers(0, 5, 200)] ^ (np.uint64(1) << rng.integers(0, 64, (200, 4), np.uint64))
     shard = np.sort(rng.integers(0, 9, 200))
     i, j = simhash.forest_pairs(near, shard, 6)
-    assert set(zip(i.tolist(), j.tolist())) == {(a, b) for a in range(200) for b in range(a + 1, 200) if shard[a] == shard[b] and simhash._apart(near[a], near[b]) <= 6}
+    pairs = {(a, b) for a in range(200) for b in range(a + 1, 200) if shard[a] == shard[b] and simhash._apart(near[a], near[b]) <= 6}
+    assert set(zip(i.tolist(), j.tolist())) == pairs
+    for tree in (simhash.TREE, 3):  # searched by trees, and by blocks
+        monkeypatch.setattr(simhash, "TREE", tree)
+        a, b, d = simhash.forest_links(near, shard, 6)
+        parts = lambda links: {tuple(sorted(p)) for p in union(200, links)}
+        assert parts(zip(a.tolist(), b.tolist())) == parts(pairs) and len(a) == 200 - len(union(200, pairs))
+        assert d.sum() == sum(sorted_forest(200, pairs, near))
+
+
+def union(n, links):
+    label = list(range(n))
+    for i, j in links:
+        x, y = label[i], label[j]
+        if x != y:
+            label = [x if k == y else k for k in label]
+    by = collections.defaultdict(list)
+    for k, x in enumerate(label):
+        by[x].append(k)
+    return list(by.values())
+
+
+def sorted_forest(n, pairs, values):
+    """Lengths of a minimum spanning forest, edge by edge in order of length."""
+    label = list(range(n))
+    for d, i, j in sorted((int(simhash._apart(values[i], values[j])), i, j) for i, j in pairs):
+        x, y = label[i], label[j]
+        if x != y:
+            label = [x if k == y else k for k in label]
+            yield d
 
 
 def test_pipeline(spark, tmp_path):
