@@ -205,6 +205,8 @@ class Cell:
     def to_char(self) -> Column:
         return F.when(self.is_string() & (F.octet_length(self.s) == 1), self.s)
 
-    def or_text(self, value: Column) -> Column:
-        """Struct of the value, or of the cell's text where there is none."""
-        return F.struct(value.alias("ok"), F.when(value.isNull(), self.display()).alias("err"))
+    def or_text(self, value: Column, errors: str = "raise") -> Column:
+        """Struct of the value, or of the cell's text where there is none; an error cell raises, or gives its text if ``errors`` is "text"."""
+        wrong = F.raise_error(F.concat(F.lit("error cell "), self.display())).cast("string")
+        text = self.display() if errors == "text" else F.when(self.is_error(), wrong).otherwise(self.display())
+        return F.struct(value.alias("ok"), F.when(value.isNull(), text).alias("err"))

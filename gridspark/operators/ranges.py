@@ -75,10 +75,10 @@ def rows(cells: DataFrame, by: list[str], value: Column) -> DataFrame:
 
 
 def headers(cells: DataFrame, by: list[str], text: Column) -> DataFrame:
-    """Texts of the first row of each range."""
-    first = cells.groupBy(*by).agg(F.min("row").alias("row"))
-    named = cells.join(first, [*by, "row"]).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("col", text.alias("t")))).alias("h"))
-    return named.select(*by, F.transform("h", lambda x: x.t).alias("headers"))
+    """Texts of the first row of each range, as wide as the range; what it lacks is an empty text."""
+    b = bounds(cells, by).select(*by, F.col("r0").alias("row"), "c0", "c1")
+    named = _with(cells, b.select(*by, F.col("row").alias("__r0"), "c0", "c1"), by).where("row = __r0").groupBy(*by, "c0", "c1").agg(F.map_from_entries(F.collect_list(F.struct("col", text.alias("t")))).alias("h"))
+    return named.select(*by, F.transform(F.sequence("c0", "c1"), lambda c: F.coalesce(F.col("h")[c], F.lit(""))).alias("headers"))
 
 
 def header_row(cells: DataFrame, row: int, by: list[str]) -> DataFrame:

@@ -5,13 +5,19 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from collections.abc import Iterator
+from itertools import chain
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import Cell
 from ..operators import ranges
 from ..operators.rows import header_names, typed_rows
+from ..shipping import ship
 from ..sources import auto, ods, xlsb, xlsx
 from ..testing import ods_writer, xlsb_writer, xlsx_writer
 
@@ -31,24 +37,38 @@ def query(sql: str):
 def folder(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
     path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     path = path.removeprefix("file://") if path else tempfile.mkdtemp(prefix="gridspark-")
     path = f"{path}/workbooks-{uuid.uuid4().hex}"
     os.makedirs(path, exist_ok=True)
     return path
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, header: bool = True, **options) -> str:
-    """Path of a workbook with one sheet that holds df; rows stream from the partitions to the writer."""
-    path = f"{folder(spark)}/{name}.xlsx"
-    rows = (tuple(r) for r in df.toLocalIterator())
-    xlsx_writer.write(path, {name: (r for part in ([tuple(df.columns)] if header else [], rows) for r in part)}, **options)
-    return path
+def written(spark: SparkSession, df: DataFrame, name: str, header: bool = True, writer=xlsx_writer, kind: str = "xlsx", parts: int | None = None, **options) -> str:
+    """Folder of workbooks with one sheet each that together hold df; every partition writes its own."""
+    ship(spark)
+    at, columns = folder(spark), tuple(df.columns)
+    plain = df.select(*(F.col(f.name).cast("timestamp_ntz") if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in df.schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (tuple(r.values()) for b in batches for r in b.to_pylist())
+        path = f"{at}/{name}-{TaskContext.get().partitionId()}.{kind}"
+        writer.write(path, {name: chain([columns] if header else [], rows)}, **options)
+        yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    plain.repartition(parts or spark.sparkContext.defaultParallelism).mapInArrow(run, "path string").collect()  # a row for each partition
+    return at
 
 
 def scanned(spark: SparkSession, path: str, df: DataFrame, header_row: int = 0) -> DataFrame:
-    """The typed rows of a one-sheet workbook under df's schema; it is parsed once, for header and rows."""
-    cells = xlsx.cells(spark, path).persist()
-    return typed_rows(cells, df.schema, header_names(cells, header_row), header_row + 1, ["sheet"]).drop("sheet")
+    """The typed rows of one-sheet workbooks that have the same header, under df's schema."""
+    return _typed(xlsx.cells(spark, path), df, header_row)
+
+
+def _typed(cells: DataFrame, df: DataFrame, header_row: int = 0) -> DataFrame:
+    first = cells.where((F.col("row") == header_row) & (F.col("path") == cells.agg(F.min("path")).first()[0]))
+    return typed_rows(cells, df.schema, header_names(first, header_row), header_row + 1, ["path", "sheet"]).drop("path", "sheet")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -103,21 +123,20 @@ def xlsx_table_body(spark, sf_dir):
     return typed_rows(cells, df.schema, places, body["r0"], ["sheet"]).drop("sheet")
 
 
-@query("SELECT s_suppkey::INT AS row, s_suppkey // 10 AS rectangle FROM supplier WHERE s_suppkey % 10 < 3 AND s_suppkey >= 10 AND s_suppkey < 100")
+@query("SELECT s_suppkey::INT AS row, s_suppkey // 10 AS rectangle FROM supplier WHERE s_suppkey % 10 < 3")
 def xlsx_merge_containment(spark, sf_dir):
-    df = table(spark, sf_dir, "supplier").orderBy("s_suppkey").limit(100).select("s_suppkey")
-    keys = [r[0] for r in df.collect()]
-    rows = [(k if k in keys else None,) for k in range(101)]
+    keys = {r[0] for r in table(spark, sf_dir, "supplier").select("s_suppkey").collect()}
+    rows = [(k if k in keys else None,) for k in range(max(keys) + 1)]
     path = f"{folder(spark)}/merged.xlsx"
-    xlsx_writer.write(path, {"s": rows}, merges={"s": [f"A{k * 10 + 1}:A{k * 10 + 3}" for k in range(1, 10)]})
+    xlsx_writer.write(path, {"s": rows}, merges={"s": [f"A{k * 10 + 1}:A{k * 10 + 3}" for k in range(max(keys) // 10 + 1)]})
     cells = ranges.used(xlsx.cells(spark, path)).select("path", "sheet", "row", "col", "f")
     found = ranges.in_rectangles(cells, xlsx.merges(spark, path).select("path", "sheet", "r0", "c0", "r1", "c1"), ["path", "sheet"])
     return found.select(F.col("f").cast("int").alias("row"), F.floor(F.col("r0") / 10).cast("long").alias("rectangle"))
 
 
-@query("SELECT page_id, url FROM pages WHERE page_id < 100")
+@query("SELECT page_id, url FROM pages WHERE url IS NOT NULL AND url <> ''")
 def xlsx_hyperlinks_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").where("page_id < 100").select("page_id", "url").collect()
+    pages = table(spark, sf_dir, "pages").where("url IS NOT NULL AND url <> ''").select("page_id", "url").collect()
     path = f"{folder(spark)}/links.xlsx"
     xlsx_writer.write(path, {"links": [(r["page_id"],) for r in pages]}, links={"links": [(f"A{k + 1}", r["url"]) for k, r in enumerate(pages)]})
     links = xlsx.hyperlinks(spark, path).select("sheet", F.col("r0").cast("int").alias("row"), F.col("target").alias("url"))
@@ -141,9 +160,11 @@ def xlsx_sheets_and_names(spark, sf_dir):
     return xlsx.sheets(spark, path).join(xlsx.defined_names(spark, path), "path").select("sheet", F.col("sheet_idx").cast("int").alias("sheet_idx"), "visible", "type", "name", "formula")
 
 
-@query("SELECT conv_id, turn, left(text, 32000) AS text FROM conversations WHERE conv_id < 50")
+@query("SELECT conv_id, turn, unnest(generate_series(0, (length(text) - 1) // 32767))::INT AS part, substring(text, part * 32767 + 1, 32767) AS text FROM conversations WHERE text <> ''")
 def xlsx_text_roundtrip(spark, sf_dir):
-    df = table(spark, sf_dir, "conversations").where("conv_id < 50").select("conv_id", "turn", F.substring("text", 1, 32000).alias("text"))
+    """Whole texts, in as many cells as the limit of a cell asks for."""
+    parts = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 32767).cast("int")))
+    df = table(spark, sf_dir, "conversations").where("text <> ''").withColumn("part", parts).select("conv_id", "turn", "part", F.expr("substring(text, part * 32767 + 1, 32767)").alias("text"))
     return scanned(spark, written(spark, df, "conversations"), df)
 
 
@@ -169,31 +190,26 @@ def nations_by_region_from_workbook(spark, sf_dir):
 
 @query("SELECT s_suppkey::INT AS row, s_name || ';' || s_nationkey::VARCHAR AS line FROM supplier")
 def csv_lines_from_workbook(spark, sf_dir):
-    df = table(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_suppkey", "s_name", "s_nationkey")
-    cells = xlsx.cells(spark, written(spark, df, "supplier", header=False))
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    cells = xlsx.cells(spark, written(spark, df, "supplier", header=False, parts=1))
     made = ranges.rows(cells, ["sheet"], Cell().display())
     return made.select(F.col("values")[0].cast("int").alias("row"), F.concat_ws(";", F.col("values")[1], F.col("values")[2]).alias("line"))
 
 
-def _ods(spark: SparkSession, df: DataFrame, name: str) -> str:
-    path = f"{folder(spark)}/{name}.ods"
-    rows = (tuple(r) for r in df.toLocalIterator())
-    ods_writer.write(path, {name: (r for part in ([tuple(df.columns)], rows) for r in part)})
-    return path
+def _ods(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    return _typed(ods.cells(spark, written(spark, df, name, writer=ods_writer, kind="ods")), df)
 
 
 @query("SELECT * FROM nation")
 def ods_scan_nation(spark, sf_dir):
     df = table(spark, sf_dir, "nation")
-    cells = ods.cells(spark, _ods(spark, df, "nation"))
-    return typed_rows(cells, df.schema, header_names(cells, 0), 1, ["sheet"]).drop("sheet")
+    return _ods(spark, df, "nation")
 
 
-@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderkey < 2000")
+@query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders")
 def ods_dates_orders(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").where("o_orderkey < 2000").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_totalprice")
-    cells = ods.cells(spark, _ods(spark, df, "orders"))
-    return typed_rows(cells, df.schema, header_names(cells, 0), 1, ["sheet"]).drop("sheet")
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_totalprice")
+    return _ods(spark, df, "orders")
 
 
 @query("SELECT format, r_regionkey::BIGINT AS key, r_name AS name FROM region CROSS JOIN (VALUES ('xlsx'), ('ods'), ('xlsb')) t(format)")
@@ -218,11 +234,7 @@ def error_report_by_workbook(spark, sf_dir):
 
 
 def _xlsb(spark: SparkSession, df: DataFrame, name: str, **options) -> DataFrame:
-    path = f"{folder(spark)}/{name}.xlsb"
-    rows = (tuple(r) for r in df.toLocalIterator())
-    xlsb_writer.write(path, {name: (r for part in ([tuple(df.columns)], rows) for r in part)}, **options)
-    cells = xlsb.cells(spark, path)
-    return typed_rows(cells, df.schema, header_names(cells, 0), 1, ["sheet"]).drop("sheet")
+    return _typed(xlsb.cells(spark, written(spark, df, name, writer=xlsb_writer, kind="xlsb", **options)), df)
 
 
 @query("SELECT * FROM nation")
@@ -234,3 +246,39 @@ def xlsb_scan_nation(spark, sf_dir):
 def xlsb_dates_orders(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_totalprice", "o_orderpriority")
     return _xlsb(spark, df, "orders", is_1904=True)
+
+
+_SHEET = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{}</sheetData></worksheet>'
+
+
+def _package(path: str, sheet: str, book: str = "xl/workbook.xml", part: str = "worksheets/sheet1.xml", kind: str = "http://schemas.openxmlformats.org/officeDocument/2006/relationships") -> str:
+    """A workbook of the fewest parts: its document root, relationships and one sheet."""
+    base, name = book.rsplit("/", 1)
+    link = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="{}/{}" Target="{}"/></Relationships>'
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("_rels/.rels", link.format(kind, "officeDocument", book))
+        z.writestr(book, f'<workbook xmlns:r="{kind}"><sheets><sheet name="s" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr(f"{base}/_rels/{name}.rels", link.format(kind, "worksheet", part))
+        z.writestr(f"{base}/{part}", sheet)
+    return path
+
+
+@query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier)
+SELECT (k + CASE WHEN k > 10 THEN 100 ELSE 0 END)::INT AS row, c AS col, CASE c WHEN 2 THEN s_suppkey WHEN 3 THEN s_nationkey ELSE s_suppkey % 7 END::BIGINT AS v FROM n, (VALUES (2), (3), (7)) t(c)""")
+def xlsx_absent_references(spark, sf_dir):
+    """Rows and cells without references go on from the ones before: the first, the eleventh row and two columns are named."""
+    rows, at = [], 0
+    for k, r in enumerate(table(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_suppkey", "s_nationkey").collect(), 1):
+        at = {1: 2, 11: at + 101}.get(k, at + 1)
+        named = f' r="{at}"' if k in (1, 11) else ""
+        rows.append(f'<row{named}><c r="C{at}"><v>{r[0]}</v></c><c><v>{r[1]}</v></c><c r="H{at}"><v>{r[0] % 7}</v></c></row>')
+    path = _package(f"{folder(spark)}/absent.xlsx", _SHEET.format("".join(rows)))
+    return xlsx.cells(spark, path).select("row", "col", F.col("f").cast("long").alias("v"))
+
+
+@query("SELECT r_regionkey::BIGINT AS v, 's' AS sheet FROM region")
+def xlsx_strict_package(spark, sf_dir):
+    """Parts under names of their own, found by the strict relationships of the package."""
+    rows = "".join(f"<row><c><v>{r[0]}</v></c></row>" for r in table(spark, sf_dir, "region").select("r_regionkey").collect())
+    path = _package(f"{folder(spark)}/strict.xlsx", _SHEET.format(rows), "main/book.xml", "data/first.xml", "http://purl.oclc.org/ooxml/officeDocument/relationships")
+    return xlsx.cells(spark, path).select(F.col("f").cast("long").alias("v"), "sheet")

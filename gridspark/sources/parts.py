@@ -45,6 +45,92 @@ def plain(xml: bytes, prefixes: bool) -> bytes:
     return _PREFIX.sub(rb"<\1", xml) if prefixes else xml
 
 
+_ABSENT = re.compile(rb"<(?:row|c)(?![^>]*\sr\s*=)(?:\s[^>]*)?/?>")
+_PLACES = re.compile(rb"<(row|c)(\s[^>]*?)?(/?)>|</row>")
+_ROW = re.compile(rb"<row\s[^>]*?\br\s*=\s*[\"'](\d+)")
+_REF = re.compile(rb"\sr\s*=\s*[\"']([A-Za-z]*)(\d+)")
+
+
+def column_letters(col: int) -> bytes:
+    name = b""
+    while col >= 0:
+        name, col = bytes([65 + col % 26]) + name, col // 26 - 1
+    return name
+
+
+class Places:
+    """Writes out the references that rows and cells of a sheet lack: each goes on from the one before it."""
+
+    def __init__(self) -> None:
+        self.row = self.col = 0
+
+    def __call__(self, xml: bytes) -> bytes:
+        """A chunk that begins with a whole row or before the first one."""
+        if not _ABSENT.search(xml):
+            last = xml.rfind(b"<row")
+            if last >= 0 and (m := _ROW.match(xml, last)):
+                self.row, self.col = int(m[1]), 0
+            return xml
+        return _PLACES.sub(self._written, xml)
+
+    def _written(self, m: re.Match) -> bytes:
+        if not m[1]:
+            self.row, self.col = self.row + 1, 0
+            return m[0]
+        ref = _REF.search(m[2] or b"")
+        if m[1] == b"row":
+            if ref:
+                self.row = int(ref[2]) - 1
+            own = b"" if ref else b' r="%d"' % (self.row + 1)
+            if m[3]:
+                self.row, self.col = self.row + 1, 0
+        else:
+            if ref:
+                self.col = 0
+                for c in ref[1].upper():
+                    self.col = self.col * 26 + c - 64
+                self.col -= 1
+            own = b"" if ref else b' r="%s%d"' % (column_letters(self.col), self.row + 1)
+            self.col += 1
+        return b"<%s%s%s%s>" % (m[1], own, m[2] or b"", m[3])
+
+
+_RELATION = re.compile(rb"<(?:[\w.\-]+:)?Relationship\s[^>]*>")
+
+
+def _relations(z: zipfile.ZipFile, names: dict[str, zipfile.ZipInfo], member: str) -> list[tuple[str, str]]:
+    """(type, target from the package root) of a relationship part; none where the package has no such part."""
+    if member not in names:
+        return []
+    found, base = [], re.sub(r"_rels/[^/]*$", "", member)
+    for e in _RELATION.findall(z.read(names[member])):
+        kind, target = (re.search(rb"\s%s\s*=\s*[\"']([^\"']*)" % k, e) for k in (b"Type", b"Target"))
+        if kind and target and b"External" not in e:
+            to = target[1].decode("utf-8", "replace").replace("\\", "/").lower()
+            to = to[1:] if to.startswith("/") else re.sub(r"[^/]+/\.\./", "", base + to)
+            found.append((kind[1].decode("utf-8", "replace").rsplit("/", 1)[-1], to))
+    return found
+
+
+def roles(z: zipfile.ZipFile, names: dict[str, zipfile.ZipInfo]) -> dict[str, str]:
+    """Member -> the name that its part usually has, by the relationships of the package; transitional and strict ones."""
+    said = {n: n for n in names}
+    for kind, book in _relations(z, names, "_rels/.rels"):
+        if kind != "officeDocument" or book not in names:
+            continue
+        head, tail = book.rpartition("/")[::2]
+        rels = f"{head}/_rels/{tail}.rels".lstrip("/")
+        end = ".bin" if tail.endswith(".bin") else ".xml"
+        said |= {book: f"xl/workbook{end}", rels: f"xl/_rels/workbook{end}.rels"}
+        for part, to in _relations(z, names, rels):
+            if to in names and part in ("worksheet", "styles", "sharedStrings"):
+                where, own = to.rpartition("/")[::2]
+                own = own.rpartition(".")[0] + end
+                said[to] = {"worksheet": f"xl/worksheets/{own}", "styles": f"xl/styles{end}", "sharedStrings": f"xl/sharedstrings{end}"}[part]
+                said[f"{where}/_rels/{to.rpartition('/')[2]}.rels".lstrip("/")] = f"xl/worksheets/_rels/{own}.rels"
+    return said
+
+
 def chunks(stream, end: bytes | None, repeat: re.Pattern | None = None) -> Iterator[tuple[int, int, bytes]]:
     """(number, units before, bytes): cut behind ``end``; what follows the last one is the final chunk.
 
@@ -63,7 +149,10 @@ def chunks(stream, end: bytes | None, repeat: re.Pattern | None = None) -> Itera
 
 
 def inflate(spark: SparkSession, paths: str | list[str], members: str, end: str | None = None) -> DataFrame:
-    """Chunks of the members whose name matches a pattern, of all zipped workbooks under the paths; other files are passed by."""
+    """Chunks of the members whose usual name matches a pattern, of all zipped workbooks under the paths; other files are passed by.
+
+    Which part a member is, the relationships of the package say; rows and cells of sheets have all their references.
+    """
     ship(spark)
     stop = end.encode() if end else None
 
@@ -74,16 +163,19 @@ def inflate(spark: SparkSession, paths: str | list[str], members: str, end: str
                 if content.as_buffer()[:2].to_pybytes() != b"PK":
                     continue
                 with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
-                    for info in z.infolist():
-                        name = info.filename.replace("\\", "/").lower().lstrip("/")
-                        if not wanted.fullmatch(name):
+                    names = {i.filename.replace("\\", "/").lower().lstrip("/"): i for i in z.infolist()}
+                    usual = roles(z, names)
+                    for name, info in names.items():
+                        if not wanted.fullmatch(usual[name]):
                             continue
+                        place = Places() if end == "</row>" else None
                         with z.open(info) as f:
                             prefixed = None
                             for number, units, own in chunks(f, stop):
                                 if prefixed is None:
                                     prefixed = name != "content.xml" and bool(re.search(rb"<[A-Za-z_][\w.\-]*:(worksheet|sst|workbook|styleSheet|table|Relationships)\b", own[:4096]))
-                                text = plain(own, prefixed).decode("utf-8", "replace")
+                                own = plain(own, prefixed)
+                                text = (place(own) if place else own).decode("utf-8", "replace")
                                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([number], pa.int32()), pa.array([units], pa.int64()), pa.array([text])], names=["path", "member", "chunk", "units", "text"])
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "content")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, refs
-from ..model import CELLS
+from ..model import CELLS, ERROR_CODES
 from .parts import attribute, elements, inflate, strings, unescape
 
 _SHEETS = r"[^/]*/worksheets/[^/]*\.xml"
@@ -69,15 +69,15 @@ def shared_strings(spark: SparkSession, paths) -> DataFrame:
 
 
 def _raw_cells(spark: SparkSession, paths) -> DataFrame:
-    """(path, member, row, col, cell element): absent references count on from the ones before."""
+    """(path, member, row, col, cell element); absent references have been written out."""
     got = inflate(spark, paths, _SHEETS, "</row>").repartition("path", "member", "chunk")
     rows = F.regexp_extract_all("text", F.lit(r"(?s)<row(?:\s[^>]*?)?/>|<row(?:\s[^>]*)?>.*?</row>"), F.lit(0))
-    lines = got.select("path", "member", "units", F.posexplode(rows).alias("k", "e"))
+    lines = got.select("path", "member", F.explode(rows).alias("e"))
     number = attribute(F.regexp_extract("e", r"(?s)^(<row[^>]*>)", 1), "r").try_cast("int") - 1
     cells = F.regexp_extract_all("e", F.lit(r"(?s)<c(?:\s[^>]*?)?/>|<c(?:\s[^>]*)?>.*?</c>"), F.lit(0))
-    lines = lines.select("path", "member", F.coalesce(number, F.col("units") + F.col("k")).cast("int").alias("row"), F.posexplode(cells).alias("at", "c"))
+    lines = lines.select("path", "member", number.alias("row"), F.explode(cells).alias("c"))
     ref = attribute(F.regexp_extract("c", r"(?s)^(<c[^>]*>)", 1), "r")
-    return lines.select("path", "member", F.coalesce(refs.a1_row(ref).cast("int"), "row").alias("row"), F.coalesce(refs.a1_col(ref), "at").cast("int").alias("col"), "c")
+    return lines.select("path", "member", F.coalesce(refs.a1_row(ref).cast("int"), "row").alias("row"), refs.a1_col(ref).cast("int").alias("col"), "c")
 
 
 def _tag(name: str) -> Column:
@@ -90,7 +90,7 @@ def cells(spark: SparkSession, paths) -> DataFrame:
     value = unescape(F.regexp_extract("c", r"(?s)<v(?:\s[^>]*)?>(.*?)</v>", 1))
     formula = unescape(F.regexp_extract("c", r"(?s)<f(?:\s[^>]*)?>(.*?)</f>", 1))
     own = _raw_cells(spark, paths).select(
-        "path", "member", "row", "col", F.coalesce(attribute(head, "t"), F.lit("n")).alias("t"), F.coalesce(attribute(head, "s").try_cast("int"), F.lit(0)).alias("style"), value.alias("v"),
+        "path", "member", "row", "col", attribute(head, "t").alias("t"), F.coalesce(attribute(head, "s").try_cast("int"), F.lit(0)).alias("style"), value.alias("v"),
         strings(F.regexp_extract("c", r"(?s)<is(?:\s[^>]*)?>(.*?)</is>", 1)).alias("inline"), F.when(formula != "", formula).alias("formula"),
         attribute(_tag("f"), "t").alias("ft"), attribute(_tag("f"), "si").try_cast("int").alias("shared_index"), attribute(_tag("f"), "ref").alias("ref"),
     )
@@ -98,6 +98,8 @@ def cells(spark: SparkSession, paths) -> DataFrame:
     own = own.withColumn("index", F.when(F.col("t") == "s", F.col("v").try_cast("int")))
     own = own.join(shared_strings(spark, paths), ["path", "index"], "left").join(styles(spark, paths), ["path", "style"], "left")
     own = _with_shared(own)
+    stated = F.col("t") == "n"
+    own = own.withColumn("stated", F.coalesce(stated, F.lit(False))).withColumn("t", F.coalesce("t", F.lit("n")))
     number = F.when(F.col("t") == "n", F.when(F.col("v").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.col("v")).try_cast("double"))
     t, filled = F.col("t"), F.col("v") != ""
     lost = F.raise_error(F.concat(F.lit("no shared string "), F.col("v"))).cast("string")
@@ -105,7 +107,9 @@ def cells(spark: SparkSession, paths) -> DataFrame:
         F.when(t == "inlineStr", "string").when((t == "str") & (filled | F.col("formula").isNotNull()), "string").when(~filled, "empty").when(t == "s", "string").when(t == "b", "bool").when(t == "e", "error").when(t == "d", "datetime_iso")
         .when(number.isNull(), "string").otherwise(formats.number_kind(F.coalesce("class", F.lit("other")), F.lit(False)))
     )
-    text = F.when(t == "inlineStr", F.col("inline")).when(~filled, F.when(t == "str", "")).when(t == "s", F.coalesce("text", lost)).when((t == "n") & number.isNotNull(), None).when(t != "b", F.col("v"))
+    wrong = F.raise_error(F.concat(F.lit("no value of type "), t, F.lit(": "), F.col("v"))).cast("string")
+    text = F.when(~t.isin("inlineStr", "str", "s", "b", "e", "d", "n") & filled, wrong).when((t == "e") & filled & ~F.col("v").isin(*ERROR_CODES.values()), wrong).when(F.col("stated") & filled & number.isNull(), wrong)
+    text = text.when(t == "inlineStr", F.col("inline")).when(~filled, F.when(t == "str", "")).when(t == "s", F.coalesce("text", lost)).when((t == "n") & number.isNotNull(), None).when(t != "b", F.col("v"))
     none = F.lit(None)
     return own.select(
         "path", "sheet", F.col("sheet_idx").cast("int").alias("sheet_idx"), "row", "col", kind.alias("kind"), none.cast("bigint").alias("i"), number.alias("f"), text.alias("s"), F.when((t == "b") & filled, F.col("v") != "0").alias("b"),

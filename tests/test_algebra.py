@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import os
+import random
 
 import duckdb
 import pytest
@@ -82,7 +83,7 @@ def test_iso(spark):
     assert one(spark, Cell().as_time(), text("PT10H10M10.123456S", "duration_iso")) == "10:10:10.123456"
     assert one(spark, Cell().as_time(), text("10:10:10", "datetime_iso")) == "10:10:10.000000"
     assert one(spark, Cell().as_duration_ms(), text("PT10H10M10.123456S", "duration_iso")) == 36_610_123
-    assert one(spark, Cell().as_duration_ms(), ("timedelta", None, 10.6320601851852, None, None, False)) == 918_610_000
+    assert one(spark, Cell().as_duration_ms(), ("timedelta", None, 2.25 + 1.5 / 86400, None, None, False)) == 194_401_500
 
 
 def test_typed_equality(spark):
@@ -90,14 +91,24 @@ def test_typed_equality(spark):
     assert one(spark, Cell().equals("a"), text("a")) and not one(spark, Cell().equals(True), text("a"))
 
 
-FORMATS = {
-    "DD/MM/YY": "datetime", "H:MM:SS;@": "datetime", "#,##0\\ [$\\u20bd-46D]": "other", "m\"M\"d\"D\";@": "datetime", "[h]:mm:ss": "timedelta", "\"Y: \"0.00\"m\";\"Y: \"-0.00\"m\"": "other", "[$-404]e/m/d": "datetime", "#,##0*y": "other",
-    "0_ ;[Red]-0_ ": "other", "\\Y000000": "other", "[ss].00": "timedelta", "[mm]:ss": "timedelta", "\"h\"0": "other", "a/p": "datetime", "[]0": "other", "General": "other", "yyyy": "datetime", "[Black]d": "datetime",
-}
+#: Pieces of number formats, and what each of them shows.
+PIECES = {
+    "other": ["0", "#,##0.00", "??/??", "%", "-", "( )", '"dmyhs"', '"[h]"', "\\d", "_m", "*s", "[Red]", "[>=100]", "[$USD-409]"],
+    "datetime": ["yyyy", "Y", "mmm", "M", "dd", "D", "hh", "H", "ss", "S", "AM/PM", "a/p"],
+    "timedelta": ["[h]", "[HH]", "[m]", "[mm]", "[s]", "[SSS]"],
+}
 
 
 def test_formats(spark):
-    df = spark.createDataFrame(list(FORMATS.items()), "code string, want string").select("code", "want", formats.custom_class(F.col("code")).alias("got"))
+    """The first piece of the first section that shows a date or an elapsed time decides."""
+    rng, rows = random.Random(12), [("", "other")]
+    for _ in range(600):
+        kinds = [rng.choice(["other", "other", "other", "datetime", "timedelta"]) for _ in range(rng.randrange(1, 6))]
+        end = rng.randrange(len(kinds) + 2)  # a section ends behind some piece, or none does
+        code = "".join(rng.choice(PIECES[k]) + (";" if n + 1 == end else "") for n, k in enumerate(kinds))
+        shown = [k for k in (kinds[:end] if 0 < end <= len(kinds) else kinds) if k != "other"]
+        rows.append((code, shown[0] if shown else "other"))
+    df = spark.createDataFrame(rows, "code string, want string").select("code", "want", formats.custom_class(F.col("code")).alias("got"))
     assert [r for r in df.collect() if r["want"] != r["got"]] == []
 
 

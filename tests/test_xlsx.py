@@ -48,6 +48,19 @@ def test_absent_references_prefixes_and_literal_sections(spark, tmp_path):
     assert cells[0, 0] == ("float", 1.0) and cells[0, 1] == ("string", "a<b")
 
 
+def test_references_go_on_from_the_last_one(spark, tmp_path):
+    sheet = f'<worksheet {MAIN}><sheetData><row r="5"><c r="C5"><v>1</v></c><c/><c><v>2</v></c></row><row><c><v>3</v></c></row><row/><row><c><v>4</v></c><c r="AB8"><v>5</v></c><c><v>6</v></c></row></sheetData></worksheet>'
+    cells = {k: v[1] for k, v in got(spark, package(tmp_path / "r.xlsx", sheet)).items() if v[0] == "float"}
+    assert cells == {(4, 2): 1, (4, 4): 2, (5, 0): 3, (7, 0): 4, (7, 27): 5, (7, 28): 6}
+
+
+@pytest.mark.parametrize("cell", ['t="n"><v>abc</v>', 't="zz"><v>1</v>', 't="e"><v>#OTHER!</v>'])
+def test_values_that_no_type_has(spark, tmp_path, cell):
+    path = package(tmp_path / "v.xlsx", f'<worksheet {MAIN}><sheetData><row r="1"><c r="A1" {cell}</c></row></sheetData></worksheet>')
+    with pytest.raises(Exception, match="no value of type"):
+        xlsx.cells(spark, path).collect()
+
+
 def test_case_of_part_names(spark, tmp_path):
     assert got(spark, package(tmp_path / "c.xlsx", f'<worksheet {MAIN}><sheetData><row r="1"><c r="A1"><v>7</v></c></row></sheetData></worksheet>', prefix="case")) == {(0, 0): ("float", 7.0)}
 
