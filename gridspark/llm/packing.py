@@ -6,7 +6,9 @@ packing needs to know; it alone reaches the driver, whatever the size of the cor
 1. Large pieces, in order of length, are cut into groups of equal cardinality and rounded up to the longest
    of their group. Few sizes remain; configurations (multisets of sizes within the capacity) are made for
    them one after another, each the fullest that still holds the largest size left, and used as often as
-   the counts allow.
+   the counts allow. Of several numbers of groups, up to one for each length, and of best fit alone for all
+   pieces, the one that needs the fewest sequences is taken: all of them are counted out on the histogram, so
+   the result is never worse than best-fit decreasing.
 2. Actual pieces are substituted by their rank: the rank of a piece among all large ones gives its sequence
    by a lookup in the configurations, on the executors.
 3. What each sequence really has left is summed up, and the small pieces go, longest first, to the
@@ -115,30 +117,67 @@ def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[t
         plan.append((times, dict(used)))
 
 
-def plan_large(histogram: list[tuple[int, int]], capacity: int, groups: int) -> tuple[np.ndarray, int]:
-    """Rows (first place, pieces a sequence, first sequence) by place among all large pieces; number of sequences.
-
-    histogram: (length, count), ascending. A piece's place is the count of shorter ones and its rank.
-    """
+def _groups(histogram: list[tuple[int, int]], groups: int | None) -> list[list[int]]:
+    """[size, count] of groups of equal cardinality, sizes rounded up to the longest; None: a group for each length."""
+    if groups is None:
+        return [[x, n] for x, n in histogram]
     total = sum(n for _, n in histogram)
     lengths = np.array([x for x, _ in histogram])
     ends = np.cumsum([n for _, n in histogram])
     edges = np.unique(np.linspace(0, total, min(groups, total) + 1).astype(np.int64))
-    sizes = lengths[np.searchsorted(ends, edges[1:] - 1, "right")].tolist()
     merged: list[list[int]] = []  # groups of one size are one
-    for size, n in zip(sizes, np.diff(edges).tolist()):
+    for size, n in zip(lengths[np.searchsorted(ends, edges[1:] - 1, "right")].tolist(), np.diff(edges).tolist()):
         if merged and merged[-1][0] == size:
             merged[-1][1] += n
         else:
             merged.append([size, n])
+    return merged
+
+
+def _rooms(histogram: list[tuple[int, int]], ends: np.ndarray, uses: list[tuple[int, int]], times: int, capacity: int, rooms: dict[int, int]) -> None:
+    """Adds up what the sequences of a configuration have left; uses: (first place, pieces a sequence).
+
+    The lengths of a group's pieces change at few places, between which all sequences have the same room.
+    """
+    cuts = {0, times}
+    for first, k in uses:
+        for end in ends[np.searchsorted(ends, first, "right") : np.searchsorted(ends, first + k * times)].tolist():
+            cuts |= {(end - first) // k, min(times, (end - first) // k + 1)}
+    order = sorted(cuts)
+    for a, b in zip(order[:-1], order[1:]):
+        places = np.array([first + k * a + j for first, k in uses for j in range(k)])
+        held = sum(histogram[i][0] for i in np.searchsorted(ends, places, "right").tolist())
+        rooms[capacity - held] += b - a
+
+
+def plan_large(histogram: list[tuple[int, int]], capacity: int, groups: int | None) -> tuple[np.ndarray, int, dict[int, int]]:
+    """Rows (first place, pieces a sequence, first sequence) by place among all large pieces; number of sequences; rooms.
+
+    histogram: (length, count), ascending. A piece's place is the count of shorter ones and its rank.
+    """
+    merged = _groups(histogram, groups)
+    ends = np.cumsum([n for _, n in histogram])
     at = np.concatenate([[0], np.cumsum([n for _, n in merged])]).tolist()
-    rows, sequence = [], 0
+    rows, sequence, rooms = [], 0, defaultdict(int)
     for times, used in configurations([s for s, _ in merged], [n for _, n in merged], capacity):
+        _rooms(histogram, ends, [(at[g], k) for g, k in used.items()], times, capacity, rooms)
         for g, k in used.items():
             rows.append((at[g], k, sequence))
             at[g] += times * k
         sequence += times
-    return np.array(sorted(rows), np.int64).reshape(-1, 3), sequence
+    return np.array(sorted(rows), np.int64).reshape(-1, 3), sequence, dict(rooms)
+
+
+def plan(histogram: list[tuple[int, int]], capacity: int, groups: int) -> tuple[int, np.ndarray, int, int]:
+    """Longest small length, rows and number of sequences of the large pieces, and number of all sequences."""
+    border = capacity // SMALL
+    small, large = [h for h in histogram if h[0] <= border], [h for h in histogram if h[0] > border]
+    tried = []
+    for n in (groups, 4 * groups, None) if large else ():
+        rows, sequences, rooms = plan_large(large, capacity, n)
+        tried.append((border, rows, sequences, sequences + plan_small(small, sorted(rooms.items()), capacity)[1]))
+    tried.append((capacity, np.zeros((0, 3), np.int64), 0, plan_small(histogram, [], capacity)[1]))
+    return min(tried, key=lambda t: t[3])
 
 
 def plan_small(histogram: list[tuple[int, int]], rooms: list[tuple[int, int]], capacity: int) -> tuple[np.ndarray, int]:
@@ -204,18 +243,17 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
     """pieces (stored; with doc_id, piece, length and ids_crc32) with sequence_id and offset."""
     ids = ["doc_id", "piece", "ids_crc32"]
     histogram = sorted((r[0], r[1]) for r in pieces.groupBy("length").count().collect())  # capacity rows at most
-    small = [h for h in histogram if h[0] <= capacity // SMALL]
-    large = [h for h in histogram if h[0] > capacity // SMALL]
+    border, rows, sequences, _ = plan(histogram, capacity, groups)
+    small, large = [h for h in histogram if h[0] <= border], [h for h in histogram if h[0] > border]
     sort = ranked(pieces, "length", ids)
-    plan, sequences = plan_large(large, capacity, groups) if large else (np.zeros((0, 3), np.int64), 0)
-    placed = _looked_up(sort.where(F.col("length") > capacity // SMALL), plan, _before(large), ["sequence_id"], lambda past, row: [row[:, 2] + past // row[:, 1]]).drop("rank")
+    placed = _looked_up(sort.where(F.col("length") > border), rows, _before(large), ["sequence_id"], lambda past, row: [row[:, 2] + past // row[:, 1]]).drop("rank")
     if small:
         placed = stored(placed, "packed")
         filled = placed.groupBy("sequence_id").agg((capacity - F.sum("length")).alias("room"))
         filled = stored(ranked(filled, "room", ["sequence_id"]), "rooms")
         rooms = sorted((r[0], r[1]) for r in filled.groupBy("room").count().collect())
         fill, _ = plan_small(small, rooms, capacity)
-        rest = sort.where(F.col("length") <= capacity // SMALL)
+        rest = sort.where(F.col("length") <= border)
         rest = _looked_up(rest, fill, _before(small), ["room", "bin"], lambda past, row: [row[:, 1], row[:, 2] + past]).drop("rank")
         rest = rest.join(filled.select("room", F.col("rank").alias("bin"), "sequence_id"), ["room", "bin"], "left")
         placed = placed.unionByName(rest.withColumn("sequence_id", F.coalesce("sequence_id", F.col("bin") + sequences)).drop("room", "bin"))

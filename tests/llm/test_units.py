@@ -152,6 +152,32 @@ def test_configurations_use_up_all_counts():
         assert used == counts
 
 
+@pytest.mark.parametrize("law", ["uniform", "short", "long", "two sizes", "thirds"])
+def test_never_more_sequences_than_best_fit_decreasing(law):
+    rng = np.random.default_rng(7)
+    n = 20_000
+    lengths = {"uniform": rng.integers(1, 2049, n), "short": np.minimum(2048, 1 + rng.geometric(0.004, n)), "long": 2048 - np.minimum(2040, rng.geometric(0.003, n)), "two sizes": rng.choice([700, 1100], n), "thirds": rng.integers(600, 800, n)}[law]
+    values, counts = np.unique(lengths, return_counts=True)
+    histogram = list(zip(values.tolist(), counts.tolist()))
+    rooms, best_fit = [0] * 2049, 0  # rooms[r]: sequences with room r
+    for x in sorted(lengths.tolist(), reverse=True):
+        r = next((r for r in range(x, 2049) if rooms[r]), None)
+        if r is None:
+            best_fit, r = best_fit + 1, 2048
+        else:
+            rooms[r] -= 1
+        rooms[r - x] += 1
+    border, rows, sequences, total = packing.plan(histogram, 2048, packing.GROUPS)
+    assert -(-int(lengths.sum()) // 2048) <= total <= best_fit
+    for groups in (packing.GROUPS, None):  # rooms as they are counted, piece by piece
+        large = [h for h in histogram if h[0] > 256]
+        rows, sequences, counted = packing.plan_large(large, 2048, groups)
+        own = np.repeat([x for x, _ in large], [k for _, k in large])
+        at = np.searchsorted(rows[:, 0], np.arange(len(own)), "right") - 1
+        left = 2048 - np.bincount(rows[at, 2] + (np.arange(len(own)) - rows[at, 0]) // rows[at, 1], own, sequences).astype(int)
+        assert dict(zip(*(x.tolist() for x in np.unique(left, return_counts=True)))) == counted and left.min() >= 0
+
+
 def test_small_plan_places_every_piece_once():
     rows, new = packing.plan_small([(1, 50), (100, 30), (200, 40)], [(0, 3), (150, 4), (1000, 2)], 2048)
     assert sorted(rows[:, 0].tolist())[0] == 0 and new >= 0
