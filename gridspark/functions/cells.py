@@ -26,6 +26,16 @@ def saturated(f: Column) -> Column:
     return F.when(F.isnan(f), 0).when(f >= float(MAX_LONG), MAX_LONG).when(f <= float(MIN_LONG), MIN_LONG).otherwise(F.when(inside, f).cast("long"))
 
 
+def _shortest(f: Column) -> Column:
+    """A double's text with as few digits as tell it apart; the JVM may write one or two too many."""
+
+    def fewer(text: Column) -> Column:
+        short = [F.regexp_replace(F.format_string(f"%.{n}e", f), r"0*e\+?", "E") for n in (14, 15, 16)]
+        return F.when(F.length(F.regexp_replace(text, "E.*|[^0-9]", "")) < 16, text).otherwise(F.coalesce(*(F.when(x.try_cast("double") == f, x) for x in short), text))
+
+    return let(f.cast("string"), fewer)
+
+
 def float_text(f: Column) -> Column:
     """Decimal digits of a double without exponent and without a trailing ``.0``."""
     cut = lambda text: F.struct(*(F.regexp_extract(text, r"^(-?)([0-9.]+?)(?:\.0)?(?:E(-?\d+))?$", k).alias(n) for k, n in ((1, "sign"), (2, "mantissa"), (3, "power"))))
@@ -36,7 +46,7 @@ def float_text(f: Column) -> Column:
         return F.concat(p.sign, F.when(n > 0, whole).otherwise(F.concat(F.lit("0."), F.repeat(F.lit("0"), -n), digits)))
 
     plain = lambda p: F.when(p.power == "", F.concat(p.sign, p.mantissa)).otherwise(spread(p))
-    return F.when(f.isNull(), None).when(F.isnan(f), "NaN").when(F.abs(f) == float("inf"), F.when(f > 0, "inf").otherwise("-inf")).otherwise(let(cut(f.cast("string")), plain))
+    return F.when(f.isNull(), None).when(F.isnan(f), "NaN").when(F.abs(f) == float("inf"), F.when(f > 0, "inf").otherwise("-inf")).otherwise(let(cut(_shortest(f)), plain))
 
 
 def serial_ms(f: Column, is_1904: Column) -> Column:

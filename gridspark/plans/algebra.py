@@ -344,3 +344,46 @@ def workbook_diff_except(spark, sf_dir):
 @query("SELECT s_suppkey::INT AS row, s_acctbal AS f FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 10")
 def topk_cells(spark, sf_dir):
     return supplier_cells(spark, sf_dir).where("kind = 'float'").orderBy(F.desc("f"), "row").limit(10).select("row", "f")
+
+
+_DATED = """(SELECT o_orderkey, o_orderkey % 5 AS k, o_orderkey % 1000 + 100.25 AS serial, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS iso,
+ lpad((o_orderkey % 24)::VARCHAR, 2, '0') AS hh, lpad((o_orderkey % 60)::VARCHAR, 2, '0') AS mm, o_orderdate FROM orders)"""
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN k < 2 THEN serial::DOUBLE END AS serial, CASE WHEN k < 2 THEN k = 1 END AS is_duration, CASE k WHEN 2 THEN iso END AS iso, CASE k WHEN 3 THEN 'PT' || hh || 'H' || mm || 'M' || mm || 'S' END AS span, CASE k WHEN 4 THEN '#REF!' END AS error,
+ CASE WHEN k < 2 THEN round(serial * 86400000)::BIGINT WHEN k = 3 THEN (hh::BIGINT * 3600 + mm::BIGINT * 61) * 1000 END AS ms,
+ CASE WHEN k < 2 THEN '06:00:00.000000' WHEN k = 2 THEN iso[12:19] || '.000000' WHEN k = 3 THEN hh || ':' || mm || ':' || mm || '.000000' END AS time FROM {_DATED}""")
+def typed_accessors_of_dates(spark, sf_dir):
+    """Strict accessors, times and durations over cells of five kinds."""
+    k, none = F.col("o_orderkey") % 5, F.lit(None)
+    hh, mm = (F.lpad((F.col("o_orderkey") % n).cast("string"), 2, "0") for n in (24, 60))
+    text = F.when(k == 2, F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")).when(k == 3, F.concat(F.lit("PT"), hh, F.lit("H"), mm, F.lit("M"), mm, F.lit("S"))).when(k == 4, "#REF!")
+    kind = F.element_at(F.array(*map(F.lit, ("datetime", "timedelta", "datetime_iso", "duration_iso", "error"))), (k + 1).cast("int"))
+    cells = read(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"), none.cast("bigint").alias("i"), F.when(k < 2, F.col("o_orderkey") % 1000 + 100.25).cast("double").alias("f"), text.alias("s"), none.cast("boolean").alias("b"), F.lit(False).alias("is_1904"))
+    c = Cell()
+    return cells.select("o_orderkey", c.get_datetime().value.alias("serial"), c.get_datetime().is_duration.alias("is_duration"), c.get_datetime_iso().alias("iso"), c.get_duration_iso().alias("span"), c.get_error().alias("error"), c.as_duration_ms().alias("ms"), c.as_time().alias("time"))
+
+
+_AT = """CASE WHEN abs(x) < 1e6 THEN TIMESTAMP '1899-12-30' + to_milliseconds(round(CASE WHEN x < 60 THEN x + 1 ELSE x END * 86400000)::BIGINT) END"""
+_SERIALS = f"(SELECT *, CASE p WHEN 0 THEN user_id::DOUBLE WHEN 1 THEN f END AS x FROM {_EVENTS})"
+
+
+@query(f"SELECT event_id, stamp, stamp::DATE AS day, strftime(stamp, '%H:%M:%S.%f') AS time, NULL::BIGINT AS ms FROM (SELECT event_id, {_AT} AS stamp FROM {_SERIALS})")
+def deserialize_dates_or_none(spark, sf_dir):
+    c = Cell()
+    return _events(spark, sf_dir).select("event_id", c.as_datetime().alias("stamp"), c.as_date().alias("day"), c.as_time().alias("time"), c.as_duration_ms().alias("ms"))
+
+
+@query(f"""SELECT event_id, stamp, CASE WHEN stamp IS NULL THEN shown END AS not_stamp, number, CASE WHEN number IS NULL THEN shown END AS not_number
+ FROM (SELECT event_id, {_AT} AS stamp, CASE p WHEN 2 THEN CASE WHEN regexp_full_match(s, '[+-]?\\d+') THEN s::DOUBLE END WHEN 3 THEN (user_id % 2 = 0)::INT::DOUBLE ELSE x END AS number,
+  CASE p WHEN 0 THEN user_id::VARCHAR WHEN 1 THEN {_DIGITS} WHEN 2 THEN s WHEN 3 THEN (user_id % 2 = 0)::VARCHAR ELSE '#N/A' END AS shown FROM {_SERIALS})""")
+def deserialize_dates_or_string(spark, sf_dir):
+    c = Cell()
+    made = _events(spark, sf_dir).select("event_id", c.or_text(c.as_datetime(), errors="text").alias("d"), c.or_text(c.as_f64(), errors="text").alias("n"))
+    return made.select("event_id", F.col("d.ok").alias("stamp"), F.col("d.err").alias("not_stamp"), F.col("n.ok").alias("number"), F.col("n.err").alias("not_number"))
+
+
+@query(f"SELECT event_id, p = 0 AND user_id = 7 AS is_7, p = 1 AND f = 7.0 AS is_7_0, p = 2 AND s = '8' AS is_text, p = 3 AND user_id % 2 = 0 AS is_true FROM {_EVENTS}")
+def typed_equality(spark, sf_dir):
+    c = Cell()
+    return _events(spark, sf_dir).select("event_id", c.equals(7).alias("is_7"), c.equals(7.0).alias("is_7_0"), c.equals("8").alias("is_text"), c.equals(True).alias("is_true"))

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import os
 import random
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridspark import model as M
 from gridspark.functions import formats, refs
-from gridspark.functions.cells import Cell, serial_datetime, ymd_hms_milli
+from gridspark.functions.cells import Cell, float_text, serial_datetime, ymd_hms_milli
 from gridspark.operators import ranges
 from gridspark.operators.rows import header_names, infer_types, select_headers, target, typed_rows
 from gridspark.plans import catalogue
@@ -185,3 +186,11 @@ def test_query_equals_sql(spark, name):
     assert sorted(df.columns) == sorted(want.columns)
     order = [want.columns.index(c) for c in sorted(df.columns)]
     assert sorted(repr([_plain(r[c]) for c in sorted(df.columns)]) for r in df.collect()) == sorted(repr([_plain(r[k]) for k in order]) for r in want.fetchall())
+
+
+def test_float_text_is_the_shortest(spark):
+    rng = random.Random(3)
+    values = [2.18e18 + 256, 2.0e-3, 0.1 + 0.2, 1e23, 9007199254740993.0, 123.456, 5e-324, 1.7976931348623157e308, *(rng.uniform(-1, 1) * 10 ** rng.randrange(-20, 25) for _ in range(2000))]
+    rows = spark.createDataFrame([(v,) for v in values], "f double").select("f", float_text(F.col("f")).alias("t")).collect()
+    for r in rows:
+        assert Decimal(r["t"]) == Decimal(repr(r["f"])) and "E" not in r["t"].upper(), (r["f"], r["t"])
