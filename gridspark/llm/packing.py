@@ -42,7 +42,8 @@ CAPACITY = 2048
 #: Pieces over capacity / SMALL are large.
 SMALL = 8
 GROUPS = 256
-SALTS = 64
+#: Parts of a hot length or room: so many at least, and one for so many rows.
+SALTS, SALTED_ROWS = 64, 20_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -67,8 +68,9 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity:
     return docs.selectExpr("cast(doc_id AS long) AS doc_id", "text").mapInArrow(run, PIECES)
 
 
-def ranked(df: DataFrame, key: str, order: list[str], salts: int = SALTS) -> DataFrame:
-    """df with ``rank``: 0, 1, ... within each value of key, in no particular order between salts."""
+def ranked(df: DataFrame, key: str, order: list[str], total: int) -> DataFrame:
+    """df (of ``total`` rows) with ``rank``: 0, 1, ... within each value of key, in no particular order between salts."""
+    salts = max(SALTS, total // SALTED_ROWS)
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
     counts = salted.groupBy(key, "__salt").count()
     before = F.sum("count").over(Window.partitionBy(key).orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1))
@@ -245,12 +247,12 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS) -> D
     histogram = sorted((r[0], r[1]) for r in pieces.groupBy("length").count().collect())  # capacity rows at most
     border, rows, sequences, _ = plan(histogram, capacity, groups)
     small, large = [h for h in histogram if h[0] <= border], [h for h in histogram if h[0] > border]
-    sort = ranked(pieces, "length", ids)
+    sort = ranked(pieces, "length", ids, sum(n for _, n in histogram))
     placed = _looked_up(sort.where(F.col("length") > border), rows, _before(large), ["sequence_id"], lambda past, row: [row[:, 2] + past // row[:, 1]]).drop("rank")
     if small:
         placed = stored(placed, "packed")
         filled = placed.groupBy("sequence_id").agg((capacity - F.sum("length")).alias("room"))
-        filled = stored(ranked(filled, "room", ["sequence_id"]), "rooms")
+        filled = stored(ranked(filled, "room", ["sequence_id"], sequences), "rooms")
         rooms = sorted((r[0], r[1]) for r in filled.groupBy("room").count().collect())
         fill, _ = plan_small(small, rooms, capacity)
         rest = sort.where(F.col("length") <= border)
