@@ -31,7 +31,8 @@ def _shortest(f: Column) -> Column:
 
     def fewer(text: Column) -> Column:
         short = [F.regexp_replace(F.format_string(f"%.{n}e", f), r"0*e\+?", "E") for n in (14, 15, 16)]
-        return F.when(F.length(F.regexp_replace(text, "E.*|[^0-9]", "")) < 16, text).otherwise(F.coalesce(*(F.when(x.try_cast("double") == f, x) for x in short), text))
+        one = F.regexp_replace(F.format_string("%.0e", f), r"e", "E")
+        return F.when((F.abs(f) < 1e-300) & (f != 0) & (one.try_cast("double") == f), one).when(F.length(F.regexp_replace(text, "E.*|[^0-9]", "")) < 16, text).otherwise(F.coalesce(*(F.when(x.try_cast("double") == f, x) for x in short), text))
 
     return let(f.cast("string"), fewer)
 
