@@ -18,8 +18,8 @@ from ..functions.cells import Cell
 from ..operators import ranges
 from ..operators.rows import header_names, typed_rows
 from ..shipping import ship
-from ..sources import auto, ods, xlsb, xlsx
-from ..testing import ods_writer, xlsb_writer, xlsx_writer
+from ..sources import auto, ods, xls, xlsb, xlsx
+from ..testing import ods_writer, xls_writer, xlsb_writer, xlsx_writer
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -212,13 +212,14 @@ def ods_dates_orders(spark, sf_dir):
     return _ods(spark, df, "orders")
 
 
-@query("SELECT format, r_regionkey::BIGINT AS key, r_name AS name FROM region CROSS JOIN (VALUES ('xlsx'), ('ods'), ('xlsb')) t(format)")
+@query("SELECT format, r_regionkey::BIGINT AS key, r_name AS name FROM region CROSS JOIN (VALUES ('xlsx'), ('ods'), ('xlsb'), ('xls')) t(format)")
 def auto_multi_format_union(spark, sf_dir):
     rows = [tuple(r) for r in table(spark, sf_dir, "region").select("r_regionkey", "r_name").collect()]  # 5 rows
     at = folder(spark)
     xlsx_writer.write(f"{at}/a.xlsx", {"r": rows})
     ods_writer.write(f"{at}/b.ods", {"r": rows})
     xlsb_writer.write(f"{at}/c.xlsb", {"r": rows})
+    xls_writer.write(f"{at}/d.xls", {"r": rows})
     own = auto.cells(spark, at).withColumn("format", F.regexp_extract("path", r"([a-z]+)$", 1))
     return own.groupBy("format", "row").agg(F.max(F.when(F.col("col") == 0, F.coalesce(F.col("f"), F.col("i").cast("double")))).cast("long").alias("key"), F.max(F.when(F.col("col") == 1, F.col("s"))).alias("name")).drop("row")
 
@@ -248,6 +249,30 @@ def xlsb_dates_orders(spark, sf_dir):
     return _xlsb(spark, df, "orders", is_1904=True)
 
 
+def _xls(spark: SparkSession, df: DataFrame, name: str, **options) -> DataFrame:
+    """A sheet of this format has 65,536 rows at most, so there are as many workbooks as that takes."""
+    parts = max(spark.sparkContext.defaultParallelism, df.count() // 50_000 + 1)
+    return _typed(xls.cells(spark, written(spark, df, name, writer=xls_writer, kind="xls", parts=parts, **options)), df)
+
+
+@query("SELECT * FROM nation")
+def xls_scan_nation(spark, sf_dir):
+    return _xls(spark, table(spark, sf_dir, "nation"), "nation")
+
+
+@query("SELECT o_orderkey, o_orderdate, o_totalprice, o_orderpriority FROM orders")
+def xls_dates_orders(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_totalprice", "o_orderpriority")
+    return _xls(spark, df, "orders", is_1904=True)
+
+
+@query("SELECT * FROM (VALUES ('A', 0, 'visible', 'worksheet'), ('B', 1, 'hidden', 'worksheet'), ('C', 2, 'veryHidden', 'worksheet')) t(sheet, sheet_idx, visible, type)")
+def xls_sheets(spark, sf_dir):
+    path = f"{folder(spark)}/states.xls"
+    xls_writer.write(path, {"A": [(1,)], "B": [(2,)], "C": [(3,)]}, states={"B": 1, "C": 2})
+    return xls.sheets(spark, path).select("sheet", F.col("sheet_idx").cast("int").alias("sheet_idx"), "visible", "type")
+
+
 _SHEET = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{}</sheetData></worksheet>'
 
 

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import PasswordProtected, UnknownFormat
-from . import ods, xlsb, xlsx
+from . import ods, xls, xlsb, xlsx
 from .parts import inflate
 
 #: Extension -> format; matched with its case.
 EXTENSIONS = {"xls": "xls", "xla": "xls", "xlsx": "xlsx", "xlsm": "xlsx", "xlam": "xlsx", "xlsb": "xlsb", "ods": "ods"}
-READABLE = ("xlsx", "xlsb", "ods")
+READABLE = ("xlsx", "xlsb", "ods", "xls")
 
 
 def detect(spark: SparkSession, paths) -> DataFrame:
     """(path, format, encrypted): by extension, else by the first bytes and the names that a zip archive shows.
 
-    Compound files that hold an encrypted package are protected workbooks of the zipped kinds.
+    Compound files that hold an encrypted package are protected workbooks of the zipped kinds; others say it in a record.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "content")
     has = lambda text: F.contains(F.col("content"), F.lit(text))
@@ -28,7 +28,9 @@ def detect(spark: SparkSession, paths) -> DataFrame:
     by_content = F.when(compound, "xls").when(zipped & has(b"xl/workbook.bin"), "xlsb").when(zipped & has(b"content.xml"), "ods").when(zipped & (has(b"/workbook.xml") | has(b"\\workbook.xml")), "xlsx")
     sealed = files.select("path", F.coalesce(by_name, by_content).alias("format"), (compound & has("EncryptedPackage".encode("utf-16-le"))).alias("sealed"))
     manifests = inflate(spark, paths, r"meta-inf/manifest\.xml").where(F.contains("text", F.lit("encryption-data"))).select("path", F.lit(True).alias("manifest")).distinct()
-    return sealed.join(manifests, "path", "left").select("path", "format", (F.col("sealed") | F.coalesce("manifest", F.lit(False))).alias("encrypted"))
+    locked = xls.protected(spark, paths).withColumn("locked", F.lit(True))
+    no = F.lit(False)
+    return sealed.join(manifests, "path", "left").join(locked, "path", "left").select("path", "format", (F.col("sealed") | F.coalesce("manifest", no) | F.coalesce("locked", no)).alias("encrypted"))
 
 
 def cells(spark: SparkSession, paths, mode: str = "failfast") -> DataFrame:
@@ -37,4 +39,4 @@ def cells(spark: SparkSession, paths, mode: str = "failfast") -> DataFrame:
         bad = detect(spark, paths).where(F.col("encrypted") | F.col("format").isNull() | ~F.col("format").isin(*READABLE)).orderBy("path").first()
         if bad is not None:
             raise (PasswordProtected if bad["encrypted"] else UnknownFormat)(bad["path"])
-    return xlsx.cells(spark, paths).unionByName(ods.cells(spark, paths)).unionByName(xlsb.cells(spark, paths))
+    return xlsx.cells(spark, paths).unionByName(ods.cells(spark, paths)).unionByName(xlsb.cells(spark, paths)).unionByName(xls.cells(spark, paths, strict=mode == "failfast"))
