@@ -29,16 +29,21 @@ def column_name(col: Column) -> Column:
     return let(col, name)
 
 
-def column_index(name: Column) -> Column:
-    """A -> 0; letters of any case; null for what is no column."""
-    digit = lambda up, k: F.ascii(F.substring(up, k, 1)) - 64
+def padded_letters(name: Column) -> Column:
+    """A column's letters, filled up to three by the character before A; what is no column gives that character alone."""
+    return F.lpad(F.upper(F.regexp_extract(name, "^([A-Za-z]{1,3})$", 1)), 3, "@")
+
 
-    def index(up: Column) -> Column:
-        n = F.length(up)
-        return F.when(n == 1, digit(up, 1)).when(n == 2, digit(up, 1) * 26 + digit(up, 2)).when(n == 3, digit(up, 1) * 676 + digit(up, 2) * 26 + digit(up, 3)) - 1
+def index_of_letters(padded: Column) -> Column:
+    """The column of padded letters, which are named several times: a column or a variable, not a long expression."""
+    digit = lambda k: F.ascii(F.substring(padded, k, 1)) - 64
+    index = digit(1) * 676 + digit(2) * 26 + digit(3) - 1
+    return F.when(index.between(0, MAX_COLUMNS - 1), index)
 
-    found = let(F.upper(F.regexp_extract(name, "^([A-Za-z]{1,3})$", 1)), index)
-    return let(found, lambda i: F.when(i < MAX_COLUMNS, i))
+
+def column_index(name: Column) -> Column:
+    """A -> 0; letters of any case; null for what is no column."""
+    return let(padded_letters(name), index_of_letters)
 
 
 def a1(row: Column, col: Column) -> Column:
@@ -108,10 +113,11 @@ def expand_formula(template: Column, rows: Column, cols: Column) -> Column:
         call = F.coalesce(F.try_element_at(tokens, at + 2), F.lit("")) == "("
 
         def new(sides: Column) -> Column:
-            left, right = sides[0], F.element_at(sides, -1)
-            cells = F.concat(_moved(left, rows, cols), F.lit(":"), _moved(right, rows, cols))
-            lines = F.when(left.rlike(r"^\$?[A-Za-z]+$") == right.rlike(r"^\$?[A-Za-z]+$"), F.concat(_moved_side(left, rows, cols), F.lit(":"), _moved_side(right, rows, cols)))
-            return F.when(F.size(sides) == 1, _moved(left, rows, cols)).when(F.size(sides) == 2, F.coalesce(cells, lines))
+            one, two = F.size(sides) == 1, F.size(sides) == 2
+            alike = sides[0].rlike(r"^\$?[A-Za-z]+$") == F.element_at(sides, -1).rlike(r"^\$?[A-Za-z]+$")
+            cells = let(F.transform(sides, lambda s: _moved(s, rows, cols)), lambda c: F.when(one, c[0]).when(two, F.concat(c[0], F.lit(":"), c[1])))
+            lines = let(F.transform(sides, lambda s: _moved_side(s, rows, cols)), lambda c: F.when(two & alike, F.concat(c[0], F.lit(":"), c[1])))
+            return F.coalesce(cells, lines)
 
         return F.when(call, token).otherwise(F.coalesce(let(F.split(token, ":"), new), token))
 

@@ -67,7 +67,8 @@ def scanned(spark: SparkSession, path: str, df: DataFrame, header_row: int = 0)
 
 
 def _typed(cells: DataFrame, df: DataFrame, header_row: int = 0) -> DataFrame:
-    first = cells.where((F.col("row") == header_row) & (F.col("path") == cells.agg(F.min("path")).first()[0]))
+    # every workbook that `written` makes has the header; its first one is always there
+    first = cells.where((F.col("row") == header_row) & F.col("path").rlike(r"-0\.[a-z]+$"))
     return typed_rows(cells, df.schema, header_names(first, header_row), header_row + 1, ["path", "sheet"]).drop("path", "sheet")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, refs
+from ..functions.once import once
 from ..model import CELLS, ERROR_CODES
 from .parts import attribute, elements, inflate, strings, unescape
 
@@ -49,10 +50,15 @@ def defined_names(spark: SparkSession, paths) -> DataFrame:
     return found.select("path", attribute(F.col("e"), "name").alias("name"), unescape(F.regexp_extract("e", r"(?s)>(.*)</definedName>$", 1)).alias("formula"))
 
 
+@once
+def _custom_formats() -> list[Column]:
+    return [F.col("path"), attribute(F.col("e"), "numFmtId").alias("fmt"), formats.custom_class(attribute(F.col("e"), "formatCode")).alias("custom")]
+
+
 def styles(spark: SparkSession, paths) -> DataFrame:
     """(path, style, class): number-format class of each cell format."""
     text = _whole(spark, paths, r"[^/]*/styles\.xml")
-    custom = text.select("path", F.explode(elements(F.col("text"), "numFmt")).alias("e")).select("path", attribute(F.col("e"), "numFmtId").alias("fmt"), formats.custom_class(attribute(F.col("e"), "formatCode")).alias("custom"))
+    custom = text.select("path", F.explode(elements(F.col("text"), "numFmt")).alias("e")).select(*_custom_formats())
     block = F.regexp_extract("text", r"(?s)<cellXfs[^>]*>(.*?)</cellXfs>", 1)
     xfs = text.select("path", F.posexplode(F.regexp_extract_all(block, F.lit(r"(?s)<xf\b[^>]*>"), F.lit(0))).alias("style", "e")).select("path", "style", F.coalesce(attribute(F.col("e"), "numFmtId"), F.lit("0")).alias("fmt"))
     return xfs.join(custom.dropDuplicates(["path", "fmt"]), ["path", "fmt"], "left").select("path", "style", F.coalesce("custom", formats.builtin_class(F.col("fmt").try_cast("int"))).alias("class"))
@@ -68,68 +74,115 @@ def shared_strings(spark: SparkSession, paths) -> DataFrame:
     return sized.withColumn("before", before).select("path", "before", F.posexplode("items").alias("k", "e")).select("path", (F.col("before") + F.col("k")).cast("int").alias("index"), strings(F.col("e")).alias("text"))
 
 
-def _raw_cells(spark: SparkSession, paths) -> DataFrame:
-    """(path, member, row, col, cell element); absent references have been written out."""
-    got = inflate(spark, paths, _SHEETS, "</row>").repartition("path", "member", "chunk")
+def _chunks(spark: SparkSession, paths) -> DataFrame:
+    return inflate(spark, paths, _SHEETS, "</row>")
+
+
+@once
+def _lines() -> list[Column]:
     rows = F.regexp_extract_all("text", F.lit(r"(?s)<row(?:\s[^>]*?)?/>|<row(?:\s[^>]*)?>.*?</row>"), F.lit(0))
-    lines = got.select("path", "member", F.explode(rows).alias("e"))
+    return [F.col("path"), F.col("member"), F.explode(rows).alias("e")]
+
+
+@once
+def _line_cells() -> list[Column]:
     number = attribute(F.regexp_extract("e", r"(?s)^(<row[^>]*>)", 1), "r").try_cast("int") - 1
     cells = F.regexp_extract_all("e", F.lit(r"(?s)<c(?:\s[^>]*?)?/>|<c(?:\s[^>]*)?>.*?</c>"), F.lit(0))
-    lines = lines.select("path", "member", number.alias("row"), F.explode(cells).alias("c"))
-    ref = attribute(F.regexp_extract("c", r"(?s)^(<c[^>]*>)", 1), "r")
-    return lines.select("path", "member", F.coalesce(refs.a1_row(ref).cast("int"), "row").alias("row"), refs.a1_col(ref).cast("int").alias("col"), "c")
+    return [F.col("path"), F.col("member"), number.alias("line"), F.explode(cells).alias("c")]
 
 
-def _tag(name: str) -> Column:
-    return F.regexp_extract("c", rf"(?s)(<{name}(?:\s[^>]*)?>)", 1)
+@once
+def _tags() -> list[Column]:
+    calculated = F.contains("c", F.lit("<f"))
+    return [F.col("path"), F.col("member"), F.col("line"), F.col("c"), F.regexp_extract("c", r"(?s)^(<c[^>]*>)", 1).alias("head"), F.when(calculated, F.regexp_extract("c", r"(?s)(<f(?:\s[^>]*)?>)", 1)).alias("tag")]
 
 
-def cells(spark: SparkSession, paths) -> DataFrame:
-    """The cell relation of all sheets of all workbooks under the paths."""
-    head = F.regexp_extract("c", r"(?s)^(<c[^>]*>)", 1)
-    value = unescape(F.regexp_extract("c", r"(?s)<v(?:\s[^>]*)?>(.*?)</v>", 1))
-    formula = unescape(F.regexp_extract("c", r"(?s)<f(?:\s[^>]*)?>(.*?)</f>", 1))
-    own = _raw_cells(spark, paths).select(
-        "path", "member", "row", "col", attribute(head, "t").alias("t"), F.coalesce(attribute(head, "s").try_cast("int"), F.lit(0)).alias("style"), value.alias("v"),
-        strings(F.regexp_extract("c", r"(?s)<is(?:\s[^>]*)?>(.*?)</is>", 1)).alias("inline"), F.when(formula != "", formula).alias("formula"),
-        attribute(_tag("f"), "t").alias("ft"), attribute(_tag("f"), "si").try_cast("int").alias("shared_index"), attribute(_tag("f"), "ref").alias("ref"),
-    )
-    own = own.join(sheets(spark, paths).select("path", "member", "sheet", "sheet_idx", "is_1904"), ["path", "member"])
-    own = own.withColumn("index", F.when(F.col("t") == "s", F.col("v").try_cast("int")))
-    own = own.join(shared_strings(spark, paths), ["path", "index"], "left").join(styles(spark, paths), ["path", "style"], "left")
-    own = _with_shared(own)
-    stated = F.col("t") == "n"
-    own = own.withColumn("stated", F.coalesce(stated, F.lit(False))).withColumn("t", F.coalesce("t", F.lit("n")))
-    number = F.when(F.col("t") == "n", F.when(F.col("v").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.col("v")).try_cast("double"))
-    t, filled = F.col("t"), F.col("v") != ""
+@once
+def _fields() -> list[Column]:
+    """Fields of a cell element; absent references have been written out."""
+    value, formula, inline = (F.regexp_extract("c", rf"(?s)<{k}(?:\s[^>]*)?>(.*?)</{k}>", 1) for k in ("v", "f", "is"))
+    tag, head = F.col("tag"), F.col("head")
+    return [
+        F.col("path"), F.col("member"), F.col("line"), attribute(head, "r").alias("place"), attribute(head, "t").alias("t"), attribute(head, "s").alias("s"), unescape(value).alias("v"),
+        F.when(F.contains("c", F.lit("<is")), strings(inline)).otherwise("").alias("inline"), F.when(tag.isNotNull(), F.nullif(unescape(formula), F.lit(""))).alias("formula"),
+        F.when(tag.isNotNull(), attribute(tag, "si").try_cast("int")).alias("shared_index"), F.when(tag.isNotNull(), attribute(tag, "ref")).alias("ref"),
+    ]
+
+
+_KEPT = ["path", "member", "t", "v", "inline", "formula", "shared_index", "ref"]
+
+
+@once
+def _places() -> list[Column]:
+    number = F.regexp_extract("place", "^[A-Za-z]*([0-9]+)$", 1).try_cast("int")
+    return [*map(F.col, _KEPT), F.col("line"), F.coalesce(F.col("s").try_cast("int"), F.lit(0)).alias("style"), number.alias("number"), refs.padded_letters(F.regexp_extract("place", "^([A-Za-z]+)[0-9]+$", 1)).alias("letters")]
+
+
+@once
+def _placed() -> list[Column]:
+    row = F.coalesce(F.when(F.col("number") > 0, F.col("number") - 1), "line")
+    return [*map(F.col, _KEPT), F.col("style"), row.alias("row"), refs.index_of_letters(F.col("letters")).cast("int").alias("col")]
+
+
+def _parsed(chunks: DataFrame) -> DataFrame:
+    """Cells of chunks, which are dealt out first. What later steps name several times is a column of an earlier one."""
+    own = chunks.repartition("path", "member", "chunk").select(*_lines()).select(*_line_cells())
+    return own.select(*_tags()).select(*_fields()).select(*_places()).select(*_placed())
+
+
+@once
+def _values() -> list[Column]:
+    """The cell relation out of parsed cells with their string, class and sheet."""
+    given, t, filled = F.col("t"), F.coalesce("t", F.lit("n")), F.col("v") != ""
+    number = F.when(t == "n", F.when(F.col("v").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.col("v")).try_cast("double"))
     lost = F.raise_error(F.concat(F.lit("no shared string "), F.col("v"))).cast("string")
     kind = (
         F.when(t == "inlineStr", "string").when((t == "str") & (filled | F.col("formula").isNotNull()), "string").when(~filled, "empty").when(t == "s", "string").when(t == "b", "bool").when(t == "e", "error").when(t == "d", "datetime_iso")
         .when(number.isNull(), "string").otherwise(formats.number_kind(F.coalesce("class", F.lit("other")), F.lit(False)))
     )
     wrong = F.raise_error(F.concat(F.lit("no value of type "), t, F.lit(": "), F.col("v"))).cast("string")
-    text = F.when(~t.isin("inlineStr", "str", "s", "b", "e", "d", "n") & filled, wrong).when((t == "e") & filled & ~F.col("v").isin(*ERROR_CODES.values()), wrong).when(F.col("stated") & filled & number.isNull(), wrong)
+    text = F.when(~t.isin("inlineStr", "str", "s", "b", "e", "d", "n") & filled, wrong).when((t == "e") & filled & ~F.col("v").isin(*ERROR_CODES.values()), wrong).when((given == "n") & filled & number.isNull(), wrong)
     text = text.when(t == "inlineStr", F.col("inline")).when(~filled, F.when(t == "str", "")).when(t == "s", F.coalesce("text", lost)).when((t == "n") & number.isNotNull(), None).when(t != "b", F.col("v"))
-    none = F.lit(None)
-    return own.select(
-        "path", "sheet", F.col("sheet_idx").cast("int").alias("sheet_idx"), "row", "col", kind.alias("kind"), none.cast("bigint").alias("i"), number.alias("f"), text.alias("s"), F.when((t == "b") & filled, F.col("v") != "0").alias("b"),
-        "is_1904", "formula", "formula_kind", "shared_index",
-    ).to(spark.createDataFrame([], CELLS).schema)
+    return [
+        F.col("path"), F.col("sheet"), F.col("sheet_idx").cast("int").alias("sheet_idx"), F.col("row"), F.col("col"), kind.alias("kind"), F.lit(None).cast("bigint").alias("i"), number.alias("f"), text.alias("s"), F.when((t == "b") & filled, F.col("v") != "0").alias("b"),
+        F.col("is_1904"), F.col("formula"), F.col("formula_kind"), F.col("shared_index"),
+    ]
+
+
+def cells(spark: SparkSession, paths) -> DataFrame:
+    """The cell relation of all sheets of all workbooks under the paths."""
+    own = _with_shared(_chunks(spark, paths))
+    own = own.join(sheets(spark, paths).select("path", "member", "sheet", "sheet_idx", "is_1904"), ["path", "member"])
+    # cells without a shared string have keys of their own below zero, so that they are not one hot key
+    own = own.withColumn("index", F.coalesce(F.when(F.col("t") == "s", F.col("v").try_cast("int")), -1 - F.pmod(F.xxhash64("row", "col"), F.lit(1 << 20)).cast("int")))
+    own = own.join(shared_strings(spark, paths), ["path", "index"], "left").join(styles(spark, paths), ["path", "style"], "left")
+    return own.select(*_values()).to(spark.createDataFrame([], CELLS).schema)
+
+
+@once
+def _derived() -> list[Column]:
+    """Of a cell with a shared index and the anchors of that index: its formula, moved from the latest anchor before it."""
+    place = F.struct("row", "col")
+    before = F.filter("anchors", lambda a: F.struct(a.row, a.col) <= place)
+
+    def moved(a: Column) -> Column:
+        return refs.expand_formula(a.formula, (F.col("row") - a.d.r0).cast("int"), (F.col("col") - a.d.c0).cast("int"))
+
+    text = F.when(F.col("formula").isNull(), refs.let(F.try_element_at(before, F.lit(-1)), moved))
+    return [F.col("path"), F.col("member"), F.col("row"), F.col("col"), F.col("t"), F.col("style"), F.col("v"), F.col("inline"), F.coalesce("formula", text).alias("formula"), F.col("shared_index"), F.when(F.col("formula").isNotNull(), "shared").otherwise("derived").alias("formula_kind")]
 
 
-def _with_shared(own: DataFrame) -> DataFrame:
-    """Texts of derived shared formulas, from the latest anchor before each cell.
+def _with_shared(chunks: DataFrame) -> DataFrame:
+    """Parsed cells with the texts of derived shared formulas.
 
-    Only cells with a shared index are sorted, one group for each index; the others pass by.
+    Only chunks that speak of shared formulas are parsed a second time. Anchors are few, one for each index as a
+    rule: they are gathered by index and joined to the cells, none of which are sorted.
     """
-    shared = own.where("shared_index IS NOT NULL")
-    start = refs.dimension(F.col("ref"))
-    anchor = F.when(F.col("formula").isNotNull() & F.col("ref").isNotNull(), F.struct("formula", start.alias("d")))
-    latest = F.last(anchor, ignorenulls=True).over(Window.partitionBy("path", "sheet_idx", "shared_index").orderBy("row", "col").rowsBetween(Window.unboundedPreceding, 0))
-    derived = shared.withColumn("__a", latest)
-    moved = refs.expand_formula(F.col("__a.formula"), (F.col("row") - F.col("__a.d.r0")).cast("int"), (F.col("col") - F.col("__a.d.c0")).cast("int"))
-    derived = derived.withColumn("formula_kind", F.when(F.col("formula").isNotNull(), "shared").otherwise("derived")).withColumn("formula", F.coalesce("formula", moved)).drop("__a")
-    rest = own.where("shared_index IS NULL").withColumn("formula_kind", F.when(F.col("formula").isNotNull(), "normal"))
+    shared = _parsed(chunks.where(F.contains("text", F.lit("shared")))).where("shared_index IS NOT NULL")
+    anchors = shared.where("formula IS NOT NULL AND ref IS NOT NULL").select("path", "member", "shared_index", F.struct("row", "col", "formula", refs.dimension(F.col("ref")).alias("d")).alias("a"))
+    anchors = anchors.groupBy("path", "member", "shared_index").agg(F.array_sort(F.collect_list("a")).alias("anchors"))
+    derived = shared.join(anchors, ["path", "member", "shared_index"], "left").select(*_derived())
+    rest = _parsed(chunks).where("shared_index IS NULL").drop("ref").withColumn("formula_kind", F.when(F.col("formula").isNotNull(), "normal"))
     return rest.unionByName(derived)
 
 
