@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, decontamination, gif_media, langid, packing, simhash, simple8b, token_counts, toxicity, url_rules
+from . import bloom_lm, centroids, decontamination, gif_media, langid, merkle, minhash, packing, simhash, simple8b, token_counts, toxicity, url_rules
 from .common import stored, table
 
 #: host and path of a rule in one string, and what it does
@@ -54,6 +54,18 @@ def op10_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_files(files)
 
 
+def op11_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_token_counts": op2_token_counts,
@@ -65,6 +77,9 @@ QUERIES = {
     "op8_bloom_lm": op8_bloom_lm,
     "op9_toxicity": op9_toxicity,
     "op10_simple8b_files": op10_simple8b_files,
+    "op11_tensored_minhash": op11_tensored_minhash,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLE_SQL = {
