@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -25,22 +26,38 @@ QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
+def query_of(queries: dict, sqls: dict):
+    """A decorator that registers a query with its SQL."""
 
-    return add
+    def query(sql: str):
+        def add(f):
+            queries[f.__name__] = f
+            sqls[f.__name__] = sql
+            return f
 
+        return add
 
-def folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share."""
+    return query
+
+
+query = query_of(QUERIES, ORACLE_SQL)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share; any file system that Spark reaches."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    path = path.removeprefix("file://") if path else tempfile.mkdtemp(prefix="gridspark-")
-    path = f"{path}/workbooks-{uuid.uuid4().hex}"
+    return f"{(path or tempfile.mkdtemp(prefix='gridspark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder of files that driver and executors share; Python writes there, so it has to be mounted."""
+    path = shared_folder(spark, "workbooks")
+    kind, _, rest = path.partition(":")
+    if rest and kind != "file":
+        raise ValueError(f"workbooks are written as files, and {kind} is no mounted file system")
+    path = re.sub("^file:/*", "/", path)
     os.makedirs(path, exist_ok=True)
     return path
 

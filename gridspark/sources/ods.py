@@ -49,9 +49,22 @@ def _placed(spark: SparkSession, paths) -> DataFrame:
 
 
 def sheets(spark: SparkSession, paths) -> DataFrame:
-    """(path, sheet_idx, sheet) in document order."""
-    starts = _pieces(spark, paths).where(F.col("e").rlike("^<table:table[\\s>]")).select("path", "chunk", "at", attribute(F.col("e"), "table:name").alias("sheet"))
-    return starts.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("chunk", "at")) - 1).alias("sheet_idx"), "sheet")
+    """(path, sheet_idx, sheet, type, visible, is_1904) in document order; a sheet is hidden where its style says so."""
+    starts = _pieces(spark, paths).where(F.col("e").rlike("^<table:table[\\s>]")).select("path", "chunk", "at", attribute(F.col("e"), "table:name").alias("sheet"), attribute(F.col("e"), "table:style-name").alias("style"))
+    own = starts.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("chunk", "at")) - 1).alias("sheet_idx"), "sheet", "style")
+    text = inflate(spark, paths, _CONTENT, "</table:table-row>").where(F.contains("text", F.lit("<style:style")))
+    styles = text.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)<style:style\s[^>]*[^/]>.*?</style:style>"), F.lit(0))).alias("e")).where(F.contains("e", F.lit("<style:table-properties")))
+    shown = styles.select("path", attribute(F.col("e"), "style:name").alias("style"), attribute(F.regexp_extract("e", r"(<style:table-properties[^>]*>)", 1), "table:display").alias("shown")).dropDuplicates(["path", "style"])
+    visible = F.when(F.col("shown") == "false", "hidden").otherwise("visible")
+    return own.join(shown, ["path", "style"], "left").select("path", "sheet_idx", "sheet", F.lit("worksheet").alias("type"), visible.alias("visible"), F.lit(False).alias("is_1904"))
+
+
+def defined_names(spark: SparkSession, paths) -> DataFrame:
+    """(path, name, formula): named ranges and expressions, their addresses as they are written."""
+    text = inflate(spark, paths, _CONTENT, "</table:table-row>").where(F.contains("text", F.lit("<table:named-")))
+    own = text.select("path", F.explode(F.regexp_extract_all("text", F.lit(r"(?s)<table:named-(?:range|expression)\s[^>]*>"), F.lit(0))).alias("e"))
+    e = F.col("e")
+    return own.select("path", attribute(e, "table:name").alias("name"), F.coalesce(attribute(e, "table:cell-range-address"), attribute(e, "table:expression"), F.lit("")).alias("formula"))
 
 
 def _text(cell: Column) -> Column:

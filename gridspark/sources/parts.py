@@ -148,7 +148,14 @@ def chunks(stream, end: bytes | None, repeat: re.Pattern | None = None) -> Itera
     yield number, units, held
 
 
-def inflate(spark: SparkSession, paths: str | list[str], members: str, end: str | None = None) -> DataFrame:
+def files(spark: SparkSession, paths) -> DataFrame:
+    """(path, content) of the files under the paths; or of a relation that has these columns, such as workbooks in a table."""
+    if isinstance(paths, DataFrame):
+        return paths.select(F.col("path").cast("string").alias("path"), "content").where("content IS NOT NULL")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "content")
+
+
+def inflate(spark: SparkSession, paths, members: str, end: str | None = None) -> DataFrame:
     """Chunks of the members whose usual name matches a pattern, of all zipped workbooks under the paths; other files are passed by.
 
     Which part a member is, the relationships of the package say; rows and cells of sheets have all their references.
@@ -178,8 +185,7 @@ def inflate(spark: SparkSession, paths: str | list[str], members: str, end: str
                                 text = (place(own) if place else own).decode("utf-8", "replace")
                                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([number], pa.int32()), pa.array([units], pa.int64()), pa.array([text])], names=["path", "member", "chunk", "units", "text"])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "content")
-    return files.mapInArrow(run, SCHEMA)
+    return files(spark, paths).mapInArrow(run, SCHEMA)
 
 
 def attribute(element, name: str):

@@ -2,7 +2,8 @@
 
 A helper follows the sectors of the compound file, cuts the workbook stream into records and resolves what only
 their order tells: which sheet a record belongs to, texts that run on in continuation records, and the cell that
-a formula's text result belongs to. Layouts are decoded by SQL functions; strings and styles are joined.
+a formula's text result belongs to; and it turns the tokens of formulas into pieces. Layouts are decoded by SQL functions; strings, styles,
+external sheets and names are joined.
 """
 
 from __future__ import annotations
@@ -16,18 +17,22 @@ from pyspark.sql import functions as F
 
 from ..functions import binary as B
 from ..functions import formats
+from ..functions.library import functions as function_index
 from ..model import CELLS, ERROR_CODES
 from ..shipping import ship
+from . import tokens
+from .parts import files
+from .xlsb import _PIECES, by_number
 
 # Record types.
-FORMULA, EOF, NAME, DATE_MODE, PROTECTED, CONTINUE, CODE_PAGE, SHEET, PACKED_ROW, RICH_TEXT, XF, MERGES, STRINGS, SHARED = 0x06, 0x0A, 0x18, 0x22, 0x2F, 0x3C, 0x42, 0x85, 0xBD, 0xD6, 0xE0, 0xE5, 0xFC, 0xFD
+FORMULA, EOF, EXTERN, NAME, DATE_MODE, PROTECTED, CONTINUE, CODE_PAGE, SHEET, PACKED_ROW, RICH_TEXT, XF, MERGES, STRINGS, SHARED = 0x06, 0x0A, 0x17, 0x18, 0x22, 0x2F, 0x3C, 0x42, 0x85, 0xBD, 0xD6, 0xE0, 0xE5, 0xFC, 0xFD
 DIMENSIONS, NUMBER, LABEL, BOOL_ERROR, RESULT_TEXT, PACKED, FORMAT, BEGIN = 0x200, 0x203, 0x204, 0x205, 0x207, 0x27E, 0x41E, 0x809
 # Names of the workbook stream, and code pages that Python calls otherwise.
 STREAMS = ("Workbook", "Book", "WORKBOOK", "BOOK")
 CODECS = {367: "ascii", 1200: "latin-1", 10000: "mac_roman", 21010: "latin-1", 32768: "mac_roman", 32769: "cp1252", 65001: "utf-8"}
 IN_SHEETS = frozenset({FORMULA, PACKED_ROW, RICH_TEXT, MERGES, SHARED, DIMENSIONS, NUMBER, LABEL, BOOL_ERROR, RESULT_TEXT, PACKED})
 CELL_TYPES = [FORMULA, PACKED_ROW, RICH_TEXT, SHARED, NUMBER, LABEL, BOOL_ERROR, RESULT_TEXT, PACKED]
-SCHEMA = "path string, sheet_idx int, seq long, type int, data binary, text string"
+SCHEMA = f"path string, sheet_idx int, seq long, type int, data binary, text string, pieces {tokens.PIECES}"
 BATCH = 20_000
 
 
@@ -166,8 +171,15 @@ def string_items(parts: list[bytes]) -> Iterator[str]:
         c.take(4 * runs + extra)
 
 
-def workbook_records(data: bytes, wanted: frozenset[int], codepage: int | None) -> Iterator[tuple[int, int, bytes, str | None]]:
-    """(sheet, or -1 for the workbook; type; data; text) of the wanted records. Text results get the head of their formula's record."""
+def dialect(old: bool) -> str:
+    return tokens.BIFF5 if old else tokens.BIFF8
+
+
+def workbook_records(data: bytes, wanted: frozenset[int], codepage: int | None, functions: dict | None = None) -> Iterator[tuple[int, int, bytes, str | None, list | None]]:
+    """(sheet, or -1 for the workbook; type; data; text; pieces of a formula) of the wanted records.
+
+    Text results get the head of their formula's record, and both have the formula's pieces.
+    """
     codec, old, starts = CODECS.get(codepage, f"cp{codepage}") if codepage else "latin-1", False, []
     for kind, parts in record_stream(data):
         body = parts[0]
@@ -179,43 +191,51 @@ def workbook_records(data: bytes, wanted: frozenset[int], codepage: int | None)
         elif kind == PROTECTED and body[:2] != b"\0\0":
             if kind not in wanted:
                 raise ValueError("protected by a password")
-            yield -1, kind, body, None
+            yield -1, kind, body, None, None
             return
         elif kind == SHEET:
             starts.append(int.from_bytes(body[:4], "little"))
             if kind in wanted:
-                yield -1, kind, body, text_at(parts, 6, 1, codec if old else None).replace("\0", "")
+                yield -1, kind, body, text_at(parts, 6, 1, codec if old else None).replace("\0", ""), None
         elif kind == STRINGS and kind in wanted:
             for text in string_items(parts):
-                yield -1, kind, b"", text
+                yield -1, kind, b"", text, None
         elif kind == FORMAT and kind in wanted:
-            yield -1, kind, body, text_at(parts, 2, 1 if old else 2, codec if old else None)
-        elif kind in wanted:
-            yield -1, kind, body, None
+            yield -1, kind, body, text_at(parts, 2, 1 if old else 2, codec if old else None), None
+        elif kind == NAME and kind in wanted:
+            body = b"".join(parts)
+            n, size = body[3], int.from_bytes(body[4:6], "little")
+            raw = body[14 : 14 + n] if old else body[15 : 15 + n * (1 + (body[14] & 1))]
+            yield -1, kind, b"", raw.decode(codec if old else "utf-16-le" if body[14] & 1 else "latin-1", "replace"), tokens.rows_of(body[len(body) - size :], dialect(old), codec, functions)
+        elif kind in wanted:  # an older index of sheets is no list of numbers
+            yield -1, kind, b"" if kind == EXTERN and old else b"".join(parts) if kind == EXTERN else body, None, None
     if not wanted & IN_SHEETS:
         return
     for k, start in enumerate(starts):
-        place = b""
+        place, own = b"", None
         for kind, parts in record_stream(data, start):
             if kind == FORMULA:
-                place = parts[0][:6]
+                place, own = parts[0][:6], None
+                if FORMULA in wanted:
+                    body = b"".join(parts)
+                    own = tokens.rows_of(body[22 : 22 + int.from_bytes(body[20:22], "little")], dialect(old), codec, functions)
             if kind not in wanted:
                 continue
             if kind in (LABEL, RICH_TEXT):
-                yield k, kind, parts[0], text_at(parts, 6, 2, codec if old else None)
+                yield k, kind, parts[0], text_at(parts, 6, 2, codec if old else None), None
             elif kind == RESULT_TEXT:
-                yield k, kind, place, text_at(parts, 0, 2, codec if old else None)
+                yield k, kind, place, text_at(parts, 0, 2, codec if old else None), own
             else:
-                yield k, kind, parts[0], None
+                yield k, kind, parts[0], None, own if kind == FORMULA else None
 
 
-def records(spark: SparkSession, paths, types: list[int], codepage: int | None = None, strict: bool = True) -> DataFrame:
+def records(spark: SparkSession, paths, types: list[int], codepage: int | None = None, strict: bool = True, functions=None) -> DataFrame:
     """Records of the given types of all compound files under the paths; broken files raise, or are passed by if not strict."""
     ship(spark)
-    wanted = frozenset(types)
+    wanted, index = frozenset(types), function_index(functions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["path", "sheet_idx", "seq", "type", "data", "text"], [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.string()]
+        names, kinds = ["path", "sheet_idx", "seq", "type", "data", "text", "pieces"], [pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.string(), _PIECES]
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content")):
                 raw = memoryview(content.as_buffer())
@@ -226,7 +246,7 @@ def records(spark: SparkSession, paths, types: list[int], codepage: int | None =
                     stream = workbook_stream(raw)
                     if stream is None:
                         raise ValueError("no workbook stream")
-                    for seq, own in enumerate(workbook_records(stream, wanted, codepage)):
+                    for seq, own in enumerate(workbook_records(stream, wanted, codepage, index)):
                         rows.append((path, own[0], seq, *own[1:]))
                         if len(rows) >= BATCH:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
@@ -237,8 +257,7 @@ def records(spark: SparkSession, paths, types: list[int], codepage: int | None =
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "content")
-    return files.mapInArrow(run, SCHEMA)
+    return files(spark, paths).mapInArrow(run, SCHEMA)
 
 
 def protected(spark: SparkSession, paths) -> DataFrame:
@@ -284,17 +303,46 @@ def merges(spark: SparkSession, paths, strict: bool = True) -> DataFrame:
     return own.join(sheets(spark, paths, strict=strict).select("path", "sheet_idx", "sheet"), ["path", "sheet_idx"]).select("path", "sheet", "sheet_idx", "r0", "c0", "r1", "c1")
 
 
+def external_sheets(spark: SparkSession, paths, strict: bool = True) -> DataFrame:
+    """(path, ref, sheet): the sheets that formulas name by number; an older workbook's numbers are the sheets' own."""
+    got, known = records(spark, paths, [EXTERN], strict=strict), sheets(spark, paths, strict=strict).select("path", "sheet_idx", "sheet")
+    data = F.col("data")
+    count = F.least(B.unsigned(data, 0, 2), F.floor((F.length(data) - 2) / 6)).cast("int")
+    entry = got.where(count > 0).select("path", "seq", "data", F.posexplode(F.sequence(F.lit(0), count - 1)).alias("k", "at"))
+    own = entry.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("seq", "k")) - 1).alias("ref"), B.unsigned(data, 4 + 6 * F.col("at"), 2).cast("int").alias("sheet_idx"))
+    plain = known.join(own.select("path").distinct(), "path", "left_anti").select("path", F.col("sheet_idx").alias("ref"), "sheet")
+    return own.join(known, ["path", "sheet_idx"]).select("path", "ref", "sheet").unionByName(plain)
+
+
+def _names(spark: SparkSession, paths, codepage: int | None = None, strict: bool = True, functions=None) -> DataFrame:
+    """(path, ref, name, pieces); names count from 1."""
+    got = records(spark, paths, [NAME], codepage, strict, functions)
+    return got.select("path", F.row_number().over(Window.partitionBy("path").orderBy("seq")).alias("ref"), F.col("text").alias("name"), "pieces")
+
+
+def _with_texts(rows: DataFrame, external: DataFrame, names: DataFrame) -> DataFrame:
+    met = rows.join(by_number(external, "ref", "sheet", "_sheets"), "path", "left").join(by_number(names, "ref", "name", "_names"), "path", "left")
+    return met.withColumn("failure", tokens.failure(F.col("pieces"))).withColumn("formula", tokens.resolved(F.col("pieces"), F.col("_sheets"), F.col("_names"))).drop("_sheets", "_names", "pieces")
+
+
+def defined_names(spark: SparkSession, paths, codepage: int | None = None, strict: bool = True, functions=None) -> DataFrame:
+    """(path, name, formula); a formula that cannot be read says so in its text, and one without tokens is ``empty rgce``."""
+    own = _names(spark, paths, codepage, strict, functions)
+    texts = _with_texts(own, external_sheets(spark, paths, strict), own)
+    return texts.select("path", "name", F.when(F.col("failure").isNotNull(), F.concat(F.lit("Unsupported: "), F.col("failure"))).otherwise(F.coalesce("formula", F.lit("empty rgce"))).alias("formula"))
+
+
 def _byte(at: int) -> Column:
     return B.unsigned(F.col("data"), at, 1)
 
 
-def cells(spark: SparkSession, paths, codepage: int | None = None, strict: bool = True) -> DataFrame:
-    """The cell relation (values; formula texts are not decompiled). Cells of strings that the table lacks are left out.
+def cells(spark: SparkSession, paths, codepage: int | None = None, strict: bool = True, functions=None) -> DataFrame:
+    """The cell relation. Cells of strings that the table lacks are left out; a formula that cannot be read says so in its text.
 
-    ``codepage`` goes before the one that a workbook of the older format names.
+    ``codepage`` goes before the one that a workbook of the older format names; ``functions`` widens the function index.
     """
     data, t = F.col("data"), F.col("type")
-    got = records(spark, paths, CELL_TYPES, codepage, strict)
+    got = records(spark, paths, CELL_TYPES, codepage, strict, functions)
     last = F.when(t == PACKED_ROW, F.floor((F.length(data) - 6) / 6).cast("int") - 1).otherwise(0)
     got = got.where(last >= 0).withColumn("k", F.explode(F.sequence(F.lit(0), last)))
     step, packed = F.col("k") * 6, t.isin(PACKED, PACKED_ROW)
@@ -303,8 +351,9 @@ def cells(spark: SparkSession, paths, codepage: int | None = None, strict: bool
         "path", "sheet_idx", "type", "text", B.unsigned(data, 0, 2).cast("int").alias("row"), (B.unsigned(data, 2, 2) + F.col("k")).cast("int").alias("col"), B.unsigned(data, step + 4, 2).cast("int").alias("style"),
         F.when(packed, B.unsigned(data, step + 6, 4)).alias("rk"), F.when((t == NUMBER) | ((t == FORMULA) & ~special), B.double(data, 6)).alias("real"),
         F.when(t == SHARED, B.unsigned(data, 6, 4).cast("int")).alias("index"), F.when(special, _byte(6)).alias("result"),
-        F.when(t == BOOL_ERROR, _byte(6)).when(special, _byte(8)).alias("byte"), F.when(t == BOOL_ERROR, _byte(7)).alias("flag"),
+        F.when(t == BOOL_ERROR, _byte(6)).when(special, _byte(8)).alias("byte"), F.when(t == BOOL_ERROR, _byte(7)).alias("flag"), "pieces",
     ).where("result IS NULL OR result <> 0")  # the text of such a formula is a record of its own
+    own = _with_texts(own, external_sheets(spark, paths, strict), _names(spark, paths, codepage, strict))
     own = own.join(sheets(spark, paths, codepage, strict).select("path", "sheet_idx", "sheet", "is_1904"), ["path", "sheet_idx"])
     texts = shared_strings(spark, paths, strict).withColumnRenamed("text", "shared")
     own = own.join(texts, ["path", "index"], "left").join(styles(spark, paths, codepage, strict), ["path", "style"], "left").where((t != SHARED) | F.col("shared").isNotNull())
@@ -315,9 +364,11 @@ def cells(spark: SparkSession, paths, codepage: int | None = None, strict: bool
     errors = F.create_map(*(F.lit(x) for kv in ERROR_CODES.items() for x in kv))
     unknown = F.raise_error(F.concat(F.lit("no such error code: "), F.col("byte").cast("string"))).cast("string")
     kind = F.when(is_text, "string").when(is_bool, "bool").when(is_error, "error").otherwise(formats.number_kind(F.coalesce("class", F.lit("other")), F.col("whole").isNotNull()))
-    plain, none = ~(is_text | is_bool | is_error), F.lit(None)
+    plain = ~(is_text | is_bool | is_error)
+    unread = F.concat(F.lit("Unrecognised formula for cell ("), F.col("row"), F.lit(", "), F.col("col"), F.lit("): "), F.col("failure"))
+    formula = F.when(F.col("failure").isNull(), F.col("formula")).otherwise(unread)
     return own.select(
         "path", "sheet", "sheet_idx", "row", "col", kind.alias("kind"), F.when(plain & ~dated, F.col("whole")).alias("i"), F.when(plain & (dated | F.col("whole").isNull()), F.col("number")).alias("f"),
         F.when(is_error, F.coalesce(errors[F.col("byte").cast("int")], unknown)).when(is_text, F.coalesce("shared", "text", F.lit(""))).alias("s"), F.when(is_bool, F.col("byte") != 0).alias("b"),
-        "is_1904", none.cast("string").alias("formula"), none.cast("string").alias("formula_kind"), none.cast("int").alias("shared_index"),
+        "is_1904", formula.alias("formula"), F.when(formula.isNotNull(), "normal").alias("formula_kind"), F.lit(None).cast("int").alias("shared_index"),
     ).to(spark.createDataFrame([], CELLS).schema)

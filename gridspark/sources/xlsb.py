@@ -1,7 +1,8 @@
 """xlsb workbooks as the cell relation.
 
 A helper cuts members into their records and carries the row number and the current block along, which only
-the order of records tells; all layouts are decoded by SQL functions, and strings and styles are joined.
+the order of records tells, and turns the tokens of formulas into pieces; all other layouts are decoded by SQL functions, and
+strings, styles, external sheets and names are joined.
 """
 
 from __future__ import annotations
@@ -17,14 +18,18 @@ from pyspark.sql import functions as F
 
 from ..functions import binary as B
 from ..functions import formats
+from ..functions.library import functions as function_index
 from ..model import CELLS, ERROR_CODES
 from ..shipping import ship
+from . import tokens
+from .parts import files
 from .xlsx import relationships
 
 # Record types.
 ROW, RK, ERROR, BOOL, REAL, TEXT, SHARED, F_TEXT, F_REAL, F_BOOL, F_ERROR = 0, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11
-STRING, FORMAT, XF, BOOK, SHEET, BEGIN_XFS, END_XFS = 19, 44, 47, 153, 156, 617, 618
-SCHEMA = "path string, member string, seq long, row long, block int, type int, data binary"
+STRING, NAME, FORMAT, XF, BOOK, SHEET, EXTERN, BEGIN_XFS, END_XFS = 19, 39, 44, 47, 153, 156, 362, 617, 618
+SCHEMA = f"path string, member string, seq long, row long, block int, type int, data binary, pieces {tokens.PIECES}"
+_PIECES = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("ref", pa.int32())]))
 BATCH = 20_000
 
 
@@ -53,14 +58,28 @@ def record_stream(data: memoryview) -> Iterator[tuple[int, memoryview]]:
         at += size
 
 
-def records(spark: SparkSession, paths, members: str, types: list[int]) -> DataFrame:
+def formula_tokens(kind: int, body: memoryview) -> memoryview | None:
+    """The tokens of a cell's or a name's formula behind their length; None for other records."""
+
+    def long(at: int) -> int:
+        return int.from_bytes(body[at : at + 4], "little")
+
+    at = {F_REAL: 18, F_BOOL: 11, F_ERROR: 11}.get(kind)
+    if kind == F_TEXT:
+        at = 14 + 2 * long(8)
+    elif kind == NAME:
+        at = 13 + 2 * long(9)
+    return None if at is None else body[at + 4 : at + 4 + long(at)]
+
+
+def records(spark: SparkSession, paths, members: str, types: list[int], functions=None) -> DataFrame:
     """Records of the given types in the members that match, of all zipped workbooks under the paths."""
     ship(spark)
-    wanted = frozenset(types)
+    wanted, index = frozenset(types), function_index(functions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, names = re.compile(members), ["path", "member", "seq", "row", "block", "type", "data"]
-        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        pattern, names = re.compile(members), ["path", "member", "seq", "row", "block", "type", "data", "pieces"]
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), _PIECES]
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content")):
                 raw = content.as_buffer()
@@ -78,15 +97,15 @@ def records(spark: SparkSession, paths, members: str, types: list[int]) -> DataF
                             elif kind in (BEGIN_XFS, END_XFS):
                                 block = kind
                             if kind in wanted:
-                                rows.append((path, member, seq, row, block, kind, bytes(body)))
+                                own = formula_tokens(kind, body)
+                                rows.append((path, member, seq, row, block, kind, bytes(body), None if own is None else tokens.rows_of(own, tokens.XLSB, functions=index)))
                             if len(rows) >= BATCH:
                                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                                 rows = []
                         if rows:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "content")
-    return files.mapInArrow(run, SCHEMA)
+    return files(spark, paths).mapInArrow(run, SCHEMA)
 
 
 def sheets(spark: SparkSession, paths) -> DataFrame:
@@ -114,15 +133,58 @@ def shared_strings(spark: SparkSession, paths) -> DataFrame:
     return got.select("path", (F.row_number().over(Window.partitionBy("path").orderBy("seq")) - 1).alias("index"), B.wide_text(F.col("data"), 1).alias("text"))
 
 
-def cells(spark: SparkSession, paths) -> DataFrame:
-    """The cell relation (values; formula texts are not decompiled yet)."""
-    got = records(spark, paths, r"[^/]*/worksheets/[^/]*\.bin", [RK, ERROR, BOOL, REAL, TEXT, SHARED, F_TEXT, F_REAL, F_BOOL, F_ERROR])
+def external_sheets(spark: SparkSession, paths) -> DataFrame:
+    """(path, ref, sheet): what the external-sheet index of a workbook stands for; an entry without a sheet says why."""
+    got = records(spark, paths, r"[^/]*/workbook\.bin", [EXTERN])
+    data = F.col("data")
+    count = F.least(B.unsigned(data, 0, 4), F.floor((F.length(data) - 4) / 12)).cast("int")
+    entry = got.where(count > 0).select("path", "data", F.explode(F.sequence(F.lit(0), count - 1)).alias("ref"))
+    first = B.unsigned(data, 8 + 12 * F.col("ref"), 4)
+    own = entry.select("path", "ref", F.when(first >= 1 << 31, first - (1 << 32)).otherwise(first).alias("first"))
+    known = sheets(spark, paths).select("path", F.col("sheet_idx").cast("long").alias("first"), "sheet")
+    other = F.when(F.col("first") == -2, "#ThisWorkbook").when(F.col("first") == -1, "#InvalidWorkSheet").otherwise("#Unknown")
+    return own.join(known, ["path", "first"], "left").select("path", "ref", F.coalesce("sheet", other).alias("sheet"))
+
+
+def by_number(rows: DataFrame, number: str, value: str, into: str) -> DataFrame:
+    """(path, into): a map of each workbook's small index."""
+    return rows.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct(number, value))).alias(into))
+
+
+def _names(spark: SparkSession, paths, functions=None) -> DataFrame:
+    """(path, ref, name, pieces); names count from 1."""
+    got = records(spark, paths, r"[^/]*/workbook\.bin", [NAME], functions)
+    return got.select("path", F.row_number().over(Window.partitionBy("path").orderBy("seq")).alias("ref"), B.wide_text(F.col("data"), 9).alias("name"), "pieces")
+
+
+def with_texts(rows: DataFrame, external: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows (path, pieces, ...) with formula and failure, sheets and names looked up in the workbook's indexes."""
+    met = rows.join(by_number(external, "ref", "sheet", "_sheets"), "path", "left").join(by_number(names, "ref", "name", "_names"), "path", "left")
+    failed = tokens.failure(F.col("pieces"))
+    return met.withColumn("failure", failed).withColumn("formula", F.when(failed.isNull(), tokens.resolved(F.col("pieces"), F.col("_sheets"), F.col("_names")))).drop("_sheets", "_names", "pieces")
+
+
+def defined_names(spark: SparkSession, paths, functions=None) -> DataFrame:
+    """(path, name, formula)."""
+    own = _names(spark, paths, functions)
+    texts = with_texts(own, external_sheets(spark, paths), own)
+    wrong = F.raise_error(F.concat(F.lit("formula of a name: "), F.col("failure"))).cast("string")
+    return texts.select("path", "name", F.when(F.col("failure").isNull(), F.coalesce("formula", F.lit(""))).otherwise(wrong).alias("formula"))
+
+
+def cells(spark: SparkSession, paths, functions=None) -> DataFrame:
+    """The cell relation. A formula whose tokens cannot be read raises where its text is asked for; a cell of a shared or array formula has none.
+
+    functions: more of the function index, as a dict or a relation (``functions.library``).
+    """
+    got = records(spark, paths, r"[^/]*/worksheets/[^/]*\.bin", [RK, ERROR, BOOL, REAL, TEXT, SHARED, F_TEXT, F_REAL, F_BOOL, F_ERROR], functions)
     data, t = F.col("data"), F.col("type")
     own = got.select(
         "path", "member", F.col("row").cast("int").alias("row"), B.unsigned(data, 0, 4).cast("int").alias("col"), B.unsigned(data, 4, 3).cast("int").alias("style"), "type",
         F.when(t == RK, B.unsigned(data, 8, 4)).alias("rk"), F.when(t.isin(REAL, F_REAL), B.double(data, 8)).alias("real"), F.when(t.isin(TEXT, F_TEXT), B.wide_text(data, 8)).alias("own_text"),
-        F.when(t == SHARED, B.unsigned(data, 8, 4).cast("int")).alias("index"), F.when(t.isin(ERROR, BOOL, F_ERROR, F_BOOL), B.unsigned(data, 8, 1)).alias("byte"),
+        F.when(t == SHARED, B.unsigned(data, 8, 4).cast("int")).alias("index"), F.when(t.isin(ERROR, BOOL, F_ERROR, F_BOOL), B.unsigned(data, 8, 1)).alias("byte"), "pieces",
     )
+    own = with_texts(own, external_sheets(spark, paths), _names(spark, paths))
     own = own.join(sheets(spark, paths).select("path", "member", "sheet", "sheet_idx", "is_1904"), ["path", "member"])
     own = own.join(shared_strings(spark, paths), ["path", "index"], "left").join(styles(spark, paths), ["path", "style"], "left")
     own = own.withColumn("whole", B.rk_integer(F.col("rk"))).withColumn("number", F.coalesce("real", B.rk_double(F.col("rk"))))
@@ -130,10 +192,11 @@ def cells(spark: SparkSession, paths) -> DataFrame:
     lost = F.raise_error(F.concat(F.lit("no shared string "), F.col("index").cast("string"))).cast("string")
     dated = F.col("class").isin("datetime", "timedelta")
     kind = F.when(t.isin(TEXT, F_TEXT, SHARED), "string").when(t.isin(BOOL, F_BOOL), "bool").when(t.isin(ERROR, F_ERROR), "error").otherwise(formats.number_kind(F.coalesce("class", F.lit("other")), F.col("whole").isNotNull()))
-    none = F.lit(None)
+    wrong = F.raise_error(F.concat(F.lit("formula of cell "), F.col("row"), F.lit(", "), F.col("col"), F.lit(": "), F.col("failure"))).cast("string")
+    formula = F.when(F.col("failure").isNull(), F.col("formula")).otherwise(wrong)
     return own.select(
         "path", "sheet", F.col("sheet_idx").cast("int").alias("sheet_idx"), "row", "col", kind.alias("kind"), F.when(~F.coalesce(dated, F.lit(False)), F.col("whole")).alias("i"),
         F.when(F.coalesce(dated, F.lit(False)) | F.col("whole").isNull(), F.col("number")).alias("f"),
         F.when(t == SHARED, F.coalesce("text", lost)).when(t.isin(ERROR, F_ERROR), errors[F.col("byte").cast("int")]).otherwise(F.col("own_text")).alias("s"), F.when(t.isin(BOOL, F_BOOL), F.col("byte") != 0).alias("b"),
-        "is_1904", none.cast("string").alias("formula"), none.cast("string").alias("formula_kind"), none.cast("int").alias("shared_index"),
+        "is_1904", formula.alias("formula"), F.when(F.col("formula").isNotNull(), "normal").alias("formula_kind"), F.lit(None).cast("int").alias("shared_index"),
     ).to(spark.createDataFrame([], CELLS).schema)

@@ -6,6 +6,8 @@ import datetime as dt
 import struct
 from collections.abc import Iterable
 
+from .token_writer import Formula
+
 _FREE, _END, _TABLE, _MOST = 0xFFFFFFFF, 0xFFFFFFFE, 0xFFFFFFFD, 8224
 
 
@@ -44,6 +46,11 @@ def shared_strings(strings: Iterable[str]) -> bytes:
 
 def cell(row: int, col: int, value, is_1904: bool, strings: dict[str, int]) -> bytes:
     head = struct.pack("<HHH", row, col, isinstance(value, dt.datetime))
+    if isinstance(value, Formula):
+        v = value.value
+        result = b"\0\0\0\0\0\0\xff\xff" if isinstance(v, str) else bytes([1, 0, v, 0, 0, 0, 0xFF, 0xFF]) if isinstance(v, bool) else struct.pack("<d", v)
+        own = record(0x06, head + result + bytes(6) + struct.pack("<H", len(value.tokens)) + value.tokens)
+        return own + (record(0x207, text(v)) if isinstance(v, str) else b"")
     if isinstance(value, bool):
         return record(0x205, head + bytes([value, 0]))
     if isinstance(value, int) and -(1 << 29) <= value < 1 << 29:
@@ -93,10 +100,25 @@ def workbook(sheets: list[tuple[str, bytes]], globals_: bytes, states: dict[str,
     return begin(5, kind) + globals_ + bound + record(0x0A) + bodies
 
 
-def write(path: str, sheets: dict[str, Iterable], is_1904: bool = False, states: dict[str, int] | None = None) -> None:
+def name(label: str, tokens: bytes, kind: int = 0x600) -> bytes:
+    """A defined name."""
+    raw = label.encode("cp1252") if kind != 0x600 else b"\0" + label.encode("latin-1")
+    return record(0x18, struct.pack("<HBBH", 0, 0, len(label), len(tokens)) + bytes(8) + raw + tokens)
+
+
+def external_sheets(entries: list[int]) -> bytes:
+    return record(0x17, struct.pack("<H", len(entries)) + b"".join(struct.pack("<Hhh", 0, k, k) for k in entries))
+
+
+def write(path, sheets: dict[str, Iterable], is_1904: bool = False, states: dict[str, int] | None = None, names: dict[str, bytes] | None = None, external: list[int] | None = None) -> None:
     strings: dict[str, int] = {}
     made = [(name, b"".join(cell(r, c, v, is_1904, strings) for r, values in enumerate(rows) for c, v in enumerate(values) if v is not None)) for name, rows in sheets.items()]
     xfs = b"".join(record(0xE0, struct.pack("<HH", 0, fmt) + bytes(16)) for fmt in (0, 22))
-    own = record(0x42, struct.pack("<H", 1200)) + record(0x22, struct.pack("<H", is_1904)) + xfs + shared_strings(strings)
+    own = record(0x42, struct.pack("<H", 1200)) + record(0x22, struct.pack("<H", is_1904)) + xfs + (external_sheets(external) if external else b"")
+    own += b"".join(name(n, t) for n, t in (names or {}).items()) + shared_strings(strings)
+    data = compound(workbook(made, own, states))
+    if hasattr(path, "write"):
+        path.write(data)
+        return
     with open(path, "wb") as f:
-        f.write(compound(workbook(made, own, states)))
+        f.write(data)
