@@ -9,8 +9,7 @@ probability (1 - (1 - s^k)^m)^2; m is what makes that ``RECALL`` for the least s
 logarithm of the number of nodes, so that tables hold few sets by chance.
 
 The pairs of keys are formed where rows meet: a node is dealt m times, by its keys of the first collection, and brings
-its m keys of the second along. Groups of more than ``HELD`` nodes are dealt by the pair of keys instead, and what is
-then still larger (a crowd of near copies) is dealt among salts.
+its m keys of the second along. Groups of more than ``HELD`` nodes (a crowd of near copies) are dealt among salts.
 
 Inside a group, pairs that share a second key are weighed by their sizes (a similarity bounds the ratio) and by sketches of
 ``SKETCH`` bits that come off the sorted set (the least shingle of each of as many ranges, one bit of it): pairs that
@@ -19,12 +18,13 @@ leave a group, but a forest:
 
 1. of each group (or salt of it) a spanning forest by nearest sketches, each edge decided on the full sets; edges that hold
    make components;
-2. nodes that had a partner by sketch go to their groups again with their component. A group that is of one component is done.
-   Of the others, all members bring their full sets, and every pair of different components that shares a
-   second key is decided exactly in the task, by bits over the shingles that the members share; again a forest leaves. A crowd's
-   largest component is dealt among salts there and the other members go to every salt, so every pair of different
-   components meets. Two large components in one crowd cost the product of their sizes in comparisons (not in rows);
-   nothing is left out.
+2. nodes that had a partner by sketch, and all of the crowds, go to their groups again with their component. A group that is of one
+   component is done. Of the others, members that still have a partner in another component bring their full sets, and
+   every such pair that shares a second key is decided exactly in the task, by bits over the shingles that the members
+   share; again a forest leaves. In a crowd the largest component is dealt among salts and the other members go to every salt.
+   Where these others are a crowd themselves (texts that are not similar but share a key by much boilerplate), tables are pairs of
+   keys from the start, and what is large even then is compared block by block: that costs the product of sizes in
+   comparisons, and nothing is left out.
 
 So what is lost is what no table brings together: a thousandth of the pairs at similarity 0.8, and fewer above.
 
@@ -37,7 +37,7 @@ with that id (null equals null). Long texts are whole. An empty table gives no r
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -143,16 +143,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _dealt(nodes: DataFrame, *also: str) -> DataFrame:
-    """(grp, j, node, ...): each node in its groups of two or more; j: null in a group of a first key, in which any second
-    key may be shared, or the number of the second key that is part of the group's name. Column ``many`` holds a group's size."""
-    own = ["node", "size", "second", *_SKETCHES, *also]
-    level = nodes.select(*own, F.posexplode("first").alias("i", "key")).withColumn("grp", F.xxhash64("i", "key")).drop("key")
+    """(grp, node, ..., many): each node in its groups of a first key that have two members or more; many: how many."""
+    level = nodes.select("node", "size", "second", *_SKETCHES, *also, F.posexplode("first").alias("i", "key")).withColumn("grp", F.xxhash64("i", "key")).drop("i", "key")
     sizes = level.groupBy("grp").agg(F.count("*").alias("many"))
-    met = level.join(sizes.where("many > 1"), "grp")
-    small = met.where(F.col("many") <= HELD).select("grp", F.lit(None).cast("int").alias("j"), *own, "many")
-    fine = met.where(F.col("many") > HELD).select(F.col("grp").alias("outer"), *own, F.posexplode("second").alias("j", "key")).withColumn("grp", F.xxhash64("outer", "j", "key")).drop("outer", "key")
-    sizes = fine.groupBy("grp").agg(F.count("*").alias("many"))
-    return small.unionByName(fine.join(sizes.where("many > 1"), "grp").select("grp", "j", *own, "many"))
+    return level.join(sizes.where("many > 1"), "grp")
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 8192) -> Iterator[pa.Table]:
@@ -225,7 +219,7 @@ def _forest(t: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the edges of a forest by nearest sketches over all pairs of the groups, thinned out as pairs come."""
     grp, size, sketch = t.column("grp").to_numpy(), t.column("size").to_numpy().astype(np.int64), _longs(t, _SKETCHES)
     second = t.column("second").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-    single = t.column("j").is_valid().to_numpy()
+    single = np.zeros(len(t), bool)
     i = j = np.zeros(0, np.int64)
     held = 0
 
@@ -240,7 +234,7 @@ def _forest(t: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarray]:
     return thin(i, j)
 
 
-def candidates(nodes: DataFrame, similarity: int) -> DataFrame:
+def candidates(dealt: DataFrame, similarity: int) -> DataFrame:
     """Pairs (a < b): a forest of each group, or of each salt of it with the group's least node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,15 +245,13 @@ def candidates(nodes: DataFrame, similarity: int) -> DataFrame:
             own = a != b
             yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(b[own])], names=["a", "b"])
 
-    dealt = _dealt(nodes)
     salts = F.ceil(F.col("many") / HELD).cast("int")
-    salt = F.pmod(F.xxhash64("node", "grp"), salts).cast("int")
-    plain = dealt.withColumn("salt", F.when(F.col("many") > HELD, salt).otherwise(0))
+    plain = dealt.withColumn("salt", F.when(F.col("many") > HELD, F.pmod(F.xxhash64("node", "grp"), salts).cast("int")).otherwise(0))
     # the least node of a crowd stands in all its salts, so that these hang together
-    crowd = dealt.where(F.col("many") > HELD)
-    leaders = crowd.groupBy("grp").agg(F.min(F.struct("node", "j", "size", "second", *_SKETCHES, "many")).alias("x")).select("grp", "x.*")
+    own = ["node", "size", "second", *_SKETCHES]
+    leaders = dealt.where(F.col("many") > HELD).groupBy("grp").agg(F.min(F.struct(*own, "many")).alias("x")).select("grp", "x.*")
     again = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    rows = plain.select("grp", "salt", "j", "node", "size", "second", *_SKETCHES).unionByName(again.select("grp", "salt", "j", "node", "size", "second", *_SKETCHES))
+    rows = plain.select("grp", "salt", *own).unionByName(again.select("grp", "salt", *own))
     rows = rows.withColumn("grp", F.when(F.col("salt") == 0, F.col("grp")).otherwise(F.xxhash64("grp", "salt"))).drop("salt")
     return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long").distinct()
 
@@ -350,15 +342,39 @@ def exact_links(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray], a: n
     return links
 
 
-def remaining(nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links (a, b) between different components (column root) of each group, all pairs decided."""
-    dealt = _dealt(nodes, "root")
-    parts = dealt.groupBy("grp", "root").agg(F.count("*").alias("rows"))
-    shape = parts.groupBy("grp").agg(F.max(F.struct("rows", "root")).alias("main"), F.count("*").alias("roots"))
-    mixed = stored(shape.where("roots > 1").select("grp", F.col("main.root").alias("main"), F.ceil(F.col("main.rows") / HELD).cast("int").alias("salts")), "mixed")
-    met = dealt.join(mixed, "grp")
-    salts = F.when(F.col("root") == F.col("main"), F.array(F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
-    rows = met.withColumn("salt", F.explode(salts)).withColumn("grp", F.xxhash64("grp", "salt")).select("grp", "j", "node", "size", "second", *_SKETCHES, "root")
+def _shapes(rows: DataFrame) -> DataFrame:
+    """(grp, main, salts, chunks, others) of the groups of more than one component: the largest one, how many tasks' worth it and the others have."""
+    parts = rows.groupBy("grp", "root").agg(F.count("*").alias("rows"))
+    shape = parts.groupBy("grp").agg(F.max(F.struct("rows", "root")).alias("main"), F.count("*").alias("roots"), F.sum("rows").alias("all")).where("roots > 1")
+    others = F.col("all") - F.col("main.rows")
+    return shape.select("grp", F.col("main.root").alias("main"), F.ceil(F.col("main.rows") / HELD).cast("int").alias("salts"), F.ceil(others / HELD).cast("int").alias("chunks"), others.alias("others"))
+
+
+def _blocks(rows: DataFrame, shapes: DataFrame) -> DataFrame:
+    """Rows in blocks, such that two of different components of a group meet in one: salts of the largest component with
+    chunks of the others, and chunks of the others with each other. Up to ``HELD`` others are one chunk, and no row is doubled
+    but theirs."""
+    met = rows.join(shapes.drop("others"), "grp")
+    salt, chunk = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    block = lambda kind, a, b: F.struct(F.lit(kind).alias("k"), a.alias("a"), b.alias("b"))
+    all_salts, all_chunks = F.sequence(F.lit(0), F.col("salts") - 1), F.sequence(F.lit(0), F.col("chunks") - 1)
+    main = F.transform(all_chunks, lambda c: block(0, salt, c))
+    other = F.concat(F.transform(all_salts, lambda x: block(0, x, chunk)), F.transform(F.filter(all_chunks, lambda c: c != chunk), lambda c: block(1, F.least(c, chunk), F.greatest(c, chunk))))
+    return met.withColumn("block", F.explode(F.when(F.col("root") == F.col("main"), main).otherwise(other))).withColumn("grp", F.xxhash64("grp", "block")).drop("block", "main", "salts", "chunks")
+
+
+def remaining(dealt: DataFrame, sets: DataFrame, more_sets: Callable[[DataFrame], DataFrame], similarity: int) -> DataFrame:
+    """Links (a, b) between different components (column root) of each group, all pairs decided; more_sets: makes sets of nodes that have none yet."""
+    own = ["grp", "j", "node", "size", "second", *_SKETCHES, "root"]
+    dealt = dealt.withColumn("j", F.lit(None).cast("int")).select(*own)
+    shapes = stored(_shapes(dealt), "shapes")
+    rows = _blocks(dealt, shapes.where(F.col("others") <= 8 * HELD))
+    wide = shapes.where(F.col("others") > 8 * HELD)
+    if not wide.isEmpty():  # crowds of texts that are not similar: their tables are pairs of keys from the start
+        fine = dealt.join(wide.select("grp"), "grp").drop("j").select(F.col("grp").alias("outer"), "node", "size", "second", *_SKETCHES, "root", F.posexplode("second").alias("j", "key"))
+        fine = stored(fine.withColumn("grp", F.xxhash64("outer", "j", "key")).select(*own), "fine")
+        rows = rows.unionByName(_blocks(fine, _shapes(fine)))
+    rows = rows.select(*own)
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Members that have a partner by sketch, as (grp, node, root, partners by their places)."""
@@ -386,7 +402,9 @@ def remaining(nodes: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
                 links = exact_links(node, root, sets_, a, b, similarity)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
 
-    return open_.join(sets, "node").repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
+    lacking = stored(open_.select("node").distinct().join(sets, "node", "left_anti"), "lacking")
+    known = sets if lacking.isEmpty() else sets.unionByName(more_sets(lacking))
+    return open_.join(known, "node").repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -399,12 +417,20 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     full = rows.where("node IS NOT NULL")
     nodes = stored(full.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key")).alias("one")), "nodes")
     signed = stored(rows.where("first IS NOT NULL").select("node", F.col("n_shingles").cast("int").alias("size"), "first", "second", *_SKETCHES).dropDuplicates(["node"]), "signed")
-    pairs = stored(candidates(signed, similarity), "candidates")
-    involved = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "involved")
-    sets = stored(full_sets(docs, nodes.join(involved, "node").select("node", "one.*"), words, id_col, text_col), "shingle-sets")
+    dealt = _dealt(signed)
+    pairs = stored(candidates(dealt, similarity), "candidates")
+    paired = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired")
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        return stored(full_sets(docs, nodes.join(wanted, "node").select("node", "one.*"), words, id_col, text_col), "shingle-sets")
+
+    sets = sets_of(paired)
     links = stored(decided(pairs, sets, similarity), "links")
+    # salts of a crowd may keep partners apart, so all of it looks again
+    involved = paired.unionByName(dealt.where(F.col("many") > HELD).select("node")).distinct()
     known = signed.join(involved, "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    roots = components(links.unionByName(remaining(stored(known, "known"), sets, similarity)))
+    again = _dealt(stored(known, "known"), "root")
+    roots = components(links.unionByName(remaining(again, sets, sets_of, similarity)))
     member = nodes.join(roots, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"))
     lowest = member.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = stored(member.join(lowest, "root").select("node", "component_id", "copies"), "labels")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, centroids, decontamination, gif_media, langid, merkle, minhash, packing, simhash, simple8b, token_counts, toxicity, url_rules
+from . import bloom_lm, centroids, decontamination, gif_media, langid, merkle, minhash, oracles, packing, simhash, simple8b, token_counts, toxicity, url_rules
 from .common import stored, table
 
 #: host and path of a rule in one string, and what it does
@@ -97,4 +97,7 @@ best AS (
   GROUP BY page_id)
 SELECT parts.page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict
 FROM parts LEFT JOIN best USING (page_id)""",
+    "op11_tensored_minhash": oracles.TENSORED_MINHASH,
+    "op12_merkle_manifest": oracles.MERKLE_MANIFEST,
+    "op13_centroid_clustering": oracles.CENTROID_CLUSTERING,
 }
