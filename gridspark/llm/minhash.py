@@ -37,7 +37,7 @@ with that id (null equals null). Long texts are whole. An empty table gives no r
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import looked_up, ship, slices, stored, texts
-from .simhash import components, shingle_hashes, spanning
+from .links import Filter, blocks, components, crowds, decided, remaining, salted, shapes_of, shingle_sets, spanning, whole_groups
 
 WORDS, SIMILARITY, RECALL, SEED = 2, 80, 0.999, 11
 #: Bits of a sketch, and most bits in which two similar sets differ: (1 - s) / 2 of them on average, and 5 deviations.
@@ -61,17 +61,6 @@ def tables(n: int, similarity: int = SIMILARITY, recall: float = RECALL) -> tupl
     return k, math.ceil(math.log(1 - math.sqrt(recall)) / math.log(1 - (similarity / 100) ** k))
 
 
-def _sets(batch_texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct hashes of all texts in a row, and where each text's begin."""
-    h, bounds = shingle_hashes(batch_texts, words)
-    owner = np.repeat(np.arange(len(batch_texts)), np.diff(bounds))
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    return h[new], np.concatenate([[0], np.cumsum(np.bincount(owner[new], minlength=len(batch_texts)))]).astype(np.int64)
-
-
 def _keys(h: np.ndarray, begin: np.ndarray, k: int, m: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys [collection, set, key] of non-empty sets that begin at ``begin``."""
     rng = np.random.default_rng(SEED)
@@ -110,7 +99,7 @@ def signatures(docs: DataFrame, words: int, k: int, m: int, id_col: str, text_co
 
         seen: set[int] = set()
         for b in slices(batches, "text"):
-            h, bounds = _sets(texts(b), words)
+            h, bounds = shingle_sets(texts(b), words)
             size = np.diff(bounds)
             node = np.array([xxhash.xxh3_64_intdigest(h[i:j].tobytes()) for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())], np.uint64)
             new = np.zeros(len(size), bool)
@@ -143,31 +132,8 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _dealt(nodes: DataFrame, *also: str) -> DataFrame:
-    """(grp, node, ..., many): each node in its groups of a first key that have two members or more; many: how many."""
-    level = nodes.select("node", "size", "second", *_SKETCHES, *also, F.posexplode("first").alias("i", "key")).withColumn("grp", F.xxhash64("i", "key")).drop("i", "key")
-    sizes = level.groupBy("grp").agg(F.count("*").alias("many"))
-    return level.join(sizes.where("many > 1"), "grp")
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch], least: int = 8192) -> Iterator[pa.Table]:
-    """Batches sorted by grp, put together so that no group is cut, each of some ``least`` rows."""
-    held: list[pa.RecordBatch] = []
-    n = 0
-    for b in batches:
-        if not b.num_rows:
-            continue
-        held.append(b)
-        n += b.num_rows
-        if n < least:
-            continue
-        t = pa.Table.from_batches(held)
-        key = t.column("grp").to_numpy()
-        last = int(np.flatnonzero(key != key[-1])[-1]) + 1 if key[0] != key[-1] else 0
-        if last:
-            yield t.slice(0, last)
-            held, n = t.slice(last).to_batches(), len(key) - last
-    if n:
-        yield pa.Table.from_batches(held)
+    """(grp, node, ...): each node in its group of each first key."""
+    return nodes.select(F.posexplode("first").alias("i", "key"), "node", "size", "second", *_SKETCHES, *also).withColumn("grp", F.xxhash64("i", "key")).drop("i", "key")
 
 
 def _longs(t: pa.Table, names: list[str]) -> np.ndarray:
@@ -218,8 +184,7 @@ def pairs_of(grp: np.ndarray, size: np.ndarray, second: np.ndarray, single: np.n
 def _forest(t: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarray]:
     """Places of the edges of a forest by nearest sketches over all pairs of the groups, thinned out as pairs come."""
     grp, size, sketch = t.column("grp").to_numpy(), t.column("size").to_numpy().astype(np.int64), _longs(t, _SKETCHES)
-    second = t.column("second").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-    single = np.zeros(len(t), bool)
+    second, single = _second(t), np.zeros(len(t), bool)
     i = j = np.zeros(0, np.int64)
     held = 0
 
@@ -234,177 +199,60 @@ def _forest(t: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarray]:
     return thin(i, j)
 
 
-def candidates(dealt: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a < b): a forest of each group, or of each salt of it with the group's least node."""
+def candidates(dealt: DataFrame, crowded: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a < b): a forest of each group, or of each salt of a crowd with its leader."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches):
+        for t in whole_groups(batches):
             i, j = _forest(t, similarity)
             node = t.column("node").to_numpy()
             a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             own = a != b
             yield pa.RecordBatch.from_arrays([pa.array(a[own]), pa.array(b[own])], names=["a", "b"])
 
-    salts = F.ceil(F.col("many") / HELD).cast("int")
-    plain = dealt.withColumn("salt", F.when(F.col("many") > HELD, F.pmod(F.xxhash64("node", "grp"), salts).cast("int")).otherwise(0))
-    # the least node of a crowd stands in all its salts, so that these hang together
-    own = ["node", "size", "second", *_SKETCHES]
-    leaders = dealt.where(F.col("many") > HELD).groupBy("grp").agg(F.min(F.struct(*own, "many")).alias("x")).select("grp", "x.*")
-    again = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-    rows = plain.select("grp", "salt", *own).unionByName(again.select("grp", "salt", *own))
-    rows = rows.withColumn("grp", F.when(F.col("salt") == 0, F.col("grp")).otherwise(F.xxhash64("grp", "salt"))).drop("salt")
-    return rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long").distinct()
+    return salted(dealt, crowded).repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long").distinct()
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, shingles): the sorted distinct hashes, as bytes, of the wanted nodes (node, doc_id, text_key), made again from one text of each."""
+    """(node, shingles): the sorted distinct hashes, as bytes, of the wanted nodes (node, doc_id, text_key; stored), made again from one text of each.
+
+    A Bloom filter of the rows that are wanted saves most others the way; the join decides.
+    """
+    key = F.xxhash64("doc_id", "text_key").alias("row_key")
+    passes = docs.sparkSession.sparkContext.broadcast(Filter.of(wanted.select(key), "row_key", wanted.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for b in slices(batches, "text", 1_000_000):
-            h, bounds = _sets(texts(b), words)
-            sets = [h[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            node = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sets, pa.binary())], names=["node", "shingles"])
-
-    one = _keyed(docs, id_col, text_col).alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.doc_id AND d.text_key = w.text_key"), "left_semi")
-    # rows may repeat an id and a text, and other texts may share both keys
-    return one.select("text").mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"]).join(wanted.select("node"), "node", "left_semi")
+        for whole in batches:
+            kept = whole.filter(pa.array(passes.value(whole.column("row_key").to_numpy().astype(np.int64).view(np.uint64))))
+            for b in slices([kept], "text", 1_000_000):
+                h, bounds = shingle_sets(texts(b), words)
+                sets = [h[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+                node = np.array([xxhash.xxh3_64_intdigest(s) for s in sets], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
+    made = _keyed(docs, id_col, text_col).select(key, "text").mapInArrow(run, "node long, shingles binary")
+    # rows may repeat an id and a text
+    return made.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
 
-def _holds(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * both >= similarity * (len(x) + len(y) - both)
 
+def _second(t: pa.Table) -> np.ndarray:
+    return t.column("second").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
 
-def decided(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Those of the pairs (a, b; stored) whose sets are similar. Sets of nodes with very many pairs go to 64 salts."""
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("pairs"))
-    salts = F.when(F.col("pairs") * 1024 > F.lit(2 * pairs.count()), 64).otherwise(1)  # fewer than 1024 nodes have more
-    counted = stored(degree.withColumn("salts", salts).select("node", "salts"), "degrees")
-    spread = sets.join(counted, "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    frequent = F.broadcast(counted.where("salts > 1").select("node"))
-
-    def joined(df: DataFrame, end: str, other: str, into: str) -> DataFrame:
-        met = df.join(frequent.withColumnRenamed("node", end).withColumn("many", F.lit(True)), end, "left")
-        salted = met.withColumn("salt", F.when(F.col("many"), F.pmod(F.xxhash64(other), F.lit(64)).cast("int")).otherwise(0)).drop("many")
-        return salted.join(spread.select(F.col("node").alias(end), F.col("shingles").alias(into), "salt"), [end, "salt"]).drop("salt")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "x"):
-            keep = [_holds(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), similarity) for x, y in zip(b.column("x"), b.column("y"))]
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = joined(joined(pairs.select("a", "b"), "a", "b", "x"), "b", "a", "y")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
-
-def exact_links(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, similarity: int, block: int = 4096) -> list[tuple[int, int]]:
-    """Links among the pairs of places (a, b), as a forest over roots: pairs whose roots already hang together are passed over.
-
-    Shingles that one member alone has cannot be common, so a set is a row of bits over the shared ones.
-    """
-    used = np.unique(np.concatenate([a, b]))
-    size = np.array([len(sets[i]) for i in used.tolist()], np.int64)
-    flat, owner = np.concatenate([sets[i] for i in used.tolist()]), np.repeat(np.arange(len(used)), size)
-    _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
-    common = count > 1
-    column = np.cumsum(common) - 1
-    words = -(-int(common.sum()) // 8)
-    bits = np.zeros((len(used), max(8, -(-words // 8) * 8) * 8), np.uint8)
-    own = common[at]
-    bits[owner[own], column[at[own]]] = 1
-    bits = np.packbits(bits, axis=1).view(np.uint64)
-    place = np.zeros(int(used[-1]) + 1, np.int64)
-    place[used] = np.arange(len(used))
-    part = {r: r for r in set(root[used].tolist())}
-
-    def top(r: int) -> int:
-        while part[r] != r:
-            part[r] = part[part[r]]
-            r = part[r]
-        return r
-
-    links = []
-    step = max(1, min(block, 16_000_000 // bits.shape[1] // 8))
-    for start in range(0, len(a), step):
-        x, y = a[start : start + step], b[start : start + step]
-        apart = np.fromiter((top(r) != top(s) for r, s in zip(root[x].tolist(), root[y].tolist())), bool, len(x))
-        x, y = x[apart], y[apart]
-        both = np.bitwise_count(bits[place[x]] & bits[place[y]]).sum(1, dtype=np.int64)
-        hit = 100 * both >= similarity * (size[place[x]] + size[place[y]] - both)
-        for i, j in zip(x[hit].tolist(), y[hit].tolist()):
-            r, s = top(int(root[i])), top(int(root[j]))
-            if r != s:
-                part[max(r, s)] = min(r, s)
-                links.append((int(node[i]), int(node[j])))
-    return links
-
-
-def _shapes(rows: DataFrame) -> DataFrame:
-    """(grp, main, salts, chunks, others) of the groups of more than one component: the largest one, how many tasks' worth it and the others have."""
-    parts = rows.groupBy("grp", "root").agg(F.count("*").alias("rows"))
-    shape = parts.groupBy("grp").agg(F.max(F.struct("rows", "root")).alias("main"), F.count("*").alias("roots"), F.sum("rows").alias("all")).where("roots > 1")
-    others = F.col("all") - F.col("main.rows")
-    return shape.select("grp", F.col("main.root").alias("main"), F.ceil(F.col("main.rows") / HELD).cast("int").alias("salts"), F.ceil(others / HELD).cast("int").alias("chunks"), others.alias("others"))
-
-
-def _blocks(rows: DataFrame, shapes: DataFrame) -> DataFrame:
-    """Rows in blocks, such that two of different components of a group meet in one: salts of the largest component with
-    chunks of the others, and chunks of the others with each other. Up to ``HELD`` others are one chunk, and no row is doubled
-    but theirs."""
-    met = rows.join(shapes.drop("others"), "grp")
-    salt, chunk = F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    block = lambda kind, a, b: F.struct(F.lit(kind).alias("k"), a.alias("a"), b.alias("b"))
-    all_salts, all_chunks = F.sequence(F.lit(0), F.col("salts") - 1), F.sequence(F.lit(0), F.col("chunks") - 1)
-    main = F.transform(all_chunks, lambda c: block(0, salt, c))
-    other = F.concat(F.transform(all_salts, lambda x: block(0, x, chunk)), F.transform(F.filter(all_chunks, lambda c: c != chunk), lambda c: block(1, F.least(c, chunk), F.greatest(c, chunk))))
-    return met.withColumn("block", F.explode(F.when(F.col("root") == F.col("main"), main).otherwise(other))).withColumn("grp", F.xxhash64("grp", "block")).drop("block", "main", "salts", "chunks")
-
-
-def remaining(dealt: DataFrame, sets: DataFrame, more_sets: Callable[[DataFrame], DataFrame], similarity: int) -> DataFrame:
-    """Links (a, b) between different components (column root) of each group, all pairs decided; more_sets: makes sets of nodes that have none yet."""
+def regrouped(dealt: DataFrame) -> DataFrame:
+    """Rows (with root) of groups of several components, in blocks; in very mixed crowds by pairs of keys."""
     own = ["grp", "j", "node", "size", "second", *_SKETCHES, "root"]
     dealt = dealt.withColumn("j", F.lit(None).cast("int")).select(*own)
-    shapes = stored(_shapes(dealt), "shapes")
-    rows = _blocks(dealt, shapes.where(F.col("others") <= 8 * HELD))
+    shapes = stored(shapes_of(dealt, HELD), "shapes")
+    rows = blocks(dealt, shapes.where(F.col("others") <= 8 * HELD))
     wide = shapes.where(F.col("others") > 8 * HELD)
-    if not wide.isEmpty():  # crowds of texts that are not similar: their tables are pairs of keys from the start
+    if not wide.isEmpty():  # texts that are not similar but share a key
         fine = dealt.join(wide.select("grp"), "grp").drop("j").select(F.col("grp").alias("outer"), "node", "size", "second", *_SKETCHES, "root", F.posexplode("second").alias("j", "key"))
         fine = stored(fine.withColumn("grp", F.xxhash64("outer", "j", "key")).select(*own), "fine")
-        rows = rows.unionByName(_blocks(fine, _shapes(fine)))
-    rows = rows.select(*own)
-
-    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Members that have a partner by sketch, as (grp, node, root, partners by their places)."""
-        for t in _whole_groups(batches):
-            grp, node, root = (t.column(c).to_numpy() for c in ("grp", "node", "root"))
-            second = t.column("second").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-            has = np.zeros(len(grp), bool)
-            for a, b in pairs_of(grp, t.column("size").to_numpy().astype(np.int64), second, t.column("j").is_valid().to_numpy(), _longs(t, _SKETCHES), similarity, root):
-                has[a] = has[b] = True
-            yield from t.filter(pa.array(has)).to_batches()
-
-    columns = f"grp long, j int, node long, size int, second array<int>, {', '.join(f'{s} long' for s in _SKETCHES)}, root long"
-    open_ = stored(rows.repartition("grp").sortWithinPartitions("grp").mapInArrow(near, columns), "open")
-    if open_.isEmpty():
-        return open_.selectExpr("node AS a", "node AS b").limit(0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _whole_groups(batches, 512):
-            grp, node, root = (t.column(c).to_numpy() for c in ("grp", "node", "root"))
-            second = t.column("second").combine_chunks().flatten().to_numpy().reshape(len(t), -1)
-            found = list(pairs_of(grp, t.column("size").to_numpy().astype(np.int64), second, t.column("j").is_valid().to_numpy(), _longs(t, _SKETCHES), similarity, root))
-            a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
-            if len(a):
-                sets_ = [np.frombuffer(x.as_buffer(), "<u8") for x in t.column("shingles").combine_chunks()] if t.column("shingles").num_chunks else []
-                links = exact_links(node, root, sets_, a, b, similarity)
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], names=["a", "b"])
-
-    lacking = stored(open_.select("node").distinct().join(sets, "node", "left_anti"), "lacking")
-    known = sets if lacking.isEmpty() else sets.unionByName(more_sets(lacking))
-    return open_.join(known, "node").repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
+        rows = rows.unionByName(blocks(fine, shapes_of(fine, HELD)))
+    return rows.select(*own)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -418,19 +266,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     nodes = stored(full.groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min(F.struct("doc_id", "text_key")).alias("one")), "nodes")
     signed = stored(rows.where("first IS NOT NULL").select("node", F.col("n_shingles").cast("int").alias("size"), "first", "second", *_SKETCHES).dropDuplicates(["node"]), "signed")
     dealt = _dealt(signed)
-    pairs = stored(candidates(dealt, similarity), "candidates")
+    crowded = stored(crowds(dealt, HELD), "crowds")
+    pairs = stored(candidates(dealt, crowded, similarity), "candidates")
     paired = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired")
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        return stored(full_sets(docs, nodes.join(wanted, "node").select("node", "one.*"), words, id_col, text_col), "shingle-sets")
+        return stored(full_sets(docs, stored(nodes.join(wanted, "node").select("node", "one.*"), "wanted"), words, id_col, text_col), "shingle-sets")
 
     sets = sets_of(paired)
     links = stored(decided(pairs, sets, similarity), "links")
     # salts of a crowd may keep partners apart, so all of it looks again
-    involved = paired.unionByName(dealt.where(F.col("many") > HELD).select("node")).distinct()
+    involved = paired if crowded.isEmpty() else paired.unionByName(dealt.join(crowded.select("grp"), "grp").select("node")).distinct()
     known = signed.join(involved, "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
     again = _dealt(stored(known, "known"), "root")
-    roots = components(links.unionByName(remaining(again, sets, sets_of, similarity)))
+
+    def pairs_in(t: pa.Table, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return pairs_of(t.column("grp").to_numpy(), t.column("size").to_numpy().astype(np.int64), _second(t), t.column("j").is_valid().to_numpy(), _longs(t, _SKETCHES), similarity, root)
+
+    roots = components(links.unionByName(remaining(regrouped(again), sets, sets_of, similarity, pairs_in)))
     member = nodes.join(roots, "node", "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"))
     lowest = member.groupBy("root").agg(F.min("least").alias("component_id"))
     labels = stored(member.join(lowest, "root").select("node", "component_id", "copies"), "labels")

@@ -17,20 +17,22 @@ A shard gives one link from each fingerprint to the root of its own component, n
 all links are found by large-star and small-star steps, each a shuffle, with checkpoints in between.
 
 ``near_duplicates`` links by fingerprints alone. ``one_of_each`` asks more: two texts belong together when
-their shingles of ``WIDE_WORDS`` words have a Jaccard similarity of ``SIMILARITY`` or more. Their fingerprints then
+their sets of shingles of ``WIDE_WORDS`` words have a Jaccard similarity of ``SIMILARITY`` percent or more. Equal sets are one node.
+Their fingerprints (of the set, each shingle once) then
 differ in too many bits for blocks that agree for certain, so fingerprints have ``WIDE`` x 64 bits there, and
 shards are the values of random samples of bits: as many bits as keep a shard small at the size of the corpus,
 and as many samples as bring two texts of the least similarity together with a probability of ``RECALL``, and more
-similar ones with a higher one. All trees of a batch of
-shards are built and searched together, level by level. What is within the radius is linked; of a shard's links
-the minimum spanning forest by distance goes on, so that a crowd of near copies gives as many candidates as it has
-members, in each of the tables. Candidates are decided by the exact similarity of their shingles, first the
-nearest one of each text, then those whose texts are not yet in one group. A crowd is split before the
-shuffle: its members are dealt among salts, and those nearest to its middle, to which the others are copies,
-go to every salt.
+similar ones with a higher one. The radius takes in all but one in a thousand of them (three deviations). All trees of a batch of
+shards are built and searched together, level by level.
+
+A first round takes from each shard (or each salt of a crowded one) a spanning forest of what is within the radius, and
+decides its edges by the exact similarity; what holds makes components. A forest alone would lose links: where
+texts that are not similar lie between two that are, the path breaks. So in a second round all nodes that had something within
+the radius, and all of the crowds, meet in their shards again, and every pair within the radius whose components differ is decided on whole
+sets, inside the task (``links``). A crowd of true copies is one component by then and costs nothing more.
 
 Defined cases: a text without words, or null, has fingerprint zero and is linked like any other; a text of
-fewer words than a shingle has is one shingle; shingles count as often as they occur; equal texts, and rows that
+fewer words than a shingle has is one shingle; for ``near_duplicates`` shingles count as often as they occur; equal texts, and rows that
 repeat, are in one group; an empty table gives no rows; other columns are not read by ``near_duplicates``, and
 passed on as they are by ``one_of_each``, whatever their names. Long texts are handled whole.
 """
@@ -50,18 +52,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
 from .common import fresh, looked_up, ship, slices, stored, texts, widened
+from .links import STEP, blocks, components, crowds, decided, mixed, remaining, salted, shapes_of, shingle_sets, spanning, whole_groups
 
 WORDS = 3
 SEED = 42
 RADIUS = 2
 SHARD = 4096
-#: For one_of_each: words of a shingle, least similarity, words of 64 bits, and radius.
-WIDE_WORDS, SIMILARITY, WIDE, WIDE_RADIUS = 5, 0.8, 4, 52
+#: For one_of_each: words of a shingle, least similarity in percent, words of 64 bits, and radius.
+WIDE_WORDS, SIMILARITY, WIDE, WIDE_RADIUS = 5, 80, 4, 58
 #: Chance that two texts of the least similarity share a shard.
-RECALL = 0.95
-#: Members of a crowd in one task for each salt; members that go to every salt; members that are searched by trees;
-#: and members that a task holds of one shard.
-CROWD, MIDDLE, TREE, CHUNK = 256, 16, 512, 8192
+RECALL = 0.97
+#: Members of a shard that one task takes as they are.
+CROWD = 512
 _ALL = range(64)
 #: Pairs of 16-bit blocks: the bits of a first-level shard key.
 _PAIRS = [(a, b) for a in range(4) for b in range(a + 1, 4)]
@@ -221,38 +223,6 @@ def shards(nodes: DataFrame, most: int = SHARD) -> DataFrame:
     return done
 
 
-def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """node and root (the least node that it can reach) of every linked node that is not its own root; links: a, b.
-
-    Large-star and small-star by turns: each node hands its neighbours the least one among them, first to
-    those above it and then to those below. A node's neighbours are never gathered: only their least is.
-    """
-    spark = links.sparkSession
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-
-    def state(df: DataFrame) -> tuple:
-        r = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return r[0], r[1]
-
-    now = state(edges)
-    for _ in range(most_rounds):
-        if not now[0]:
-            break
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
-        edges = stored(small, "links")
-        after = state(edges)
-        if after == now:
-            break
-        now = after
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-
-
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (the smallest doc_id reachable) of every document."""
     if radius > 2:
@@ -267,40 +237,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     return labelled.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
-_STEP = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xABC98388FB8FAC03], np.uint64)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(31))) * _MIX
-        x = (x ^ (x >> np.uint64(29))) * _STEP[0]
-        return x ^ (x >> np.uint64(32))
-
-
-def shingle_hashes(batch_texts: list[str], words: int = WIDE_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles of each text, repeats included, and where each text's begin (and the last one's end)."""
-    import xxhash
-
-    split = [x.encode("utf-8", "surrogatepass").lower().split() for x in batch_texts]
-    size = np.array([len(w) for w in split], np.int64)
-    begin = np.cumsum(size + words) - size - words
-    token = np.zeros(int((size + words).sum()), np.uint64)
-    at = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-    token[at] = np.fromiter((h for own in split for h in map(xxhash.xxh3_64_intdigest, own)), np.uint64, len(at))
-    count = np.where(size > 0, np.maximum(size - words + 1, 1), 0)
-    bounds = np.concatenate([[0], np.cumsum(count)])
-    at = np.repeat(begin - bounds[:-1], count) + np.arange(bounds[-1])
-    h = np.zeros(len(at), np.uint64)
-    for k in range(words):  # places behind a short text are zeros
-        h = _mixed(h ^ token[at + k] + np.uint64(k))
-    return h, bounds
-
-
-def wide_fingerprints(batch_texts: list[str], words: int = WIDE_WORDS, wide: int = WIDE) -> np.ndarray:
-    """SimHashes [text, word of 64 bits]."""
-    h, bounds = shingle_hashes(batch_texts, words)
-    out = np.zeros((len(batch_texts), wide), np.uint64)
+def wide_fingerprints(h: np.ndarray, bounds: np.ndarray, wide: int = WIDE) -> np.ndarray:
+    """SimHashes [set, word of 64 bits] of sets of hashes in a row, with the places where they begin and the last one's end."""
+    out = np.zeros((len(bounds) - 1, wide), np.uint64)
     full = np.flatnonzero(np.diff(bounds))
     if not len(full):
         return out
@@ -310,7 +249,7 @@ def wide_fingerprints(batch_texts: list[str], words: int = WIDE_WORDS, wide: int
     first = np.cumsum(runs) - runs
     begin = np.repeat(bounds[full], runs) + 255 * (np.arange(int(runs.sum())) - np.repeat(first, runs))
     for k in range(wide):
-        own = _mixed(h ^ _STEP[k]).view(np.uint8).reshape(-1, 8)
+        own = mixed(h ^ STEP[k]).view(np.uint8).reshape(-1, 8)
         ones = np.concatenate([np.add.reduceat(np.add.reduceat(_LANES[own[:, j]], begin).view(np.uint8).reshape(-1, 8), first, axis=0, dtype=np.int64) for j in range(8)], axis=1)
         out[full, k] = np.packbits(ones * 2 > count[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
     return out
@@ -320,14 +259,14 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def forest_pairs(values: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(values: np.ndarray, shard: np.ndarray, radius: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i < j) within the radius inside each shard; shard: ascending. A BK-tree for each shard, all at once.
 
     Trees grow level by level: the first member of a group is a node, the others fall into its children by
     their distance to it. Queries go down together too, only by edges whose key is within the radius of the
-    query's distance to the node.
+    query's distance to the node. Where they stand at more than ``most`` nodes, half of them wait.
     """
-    n, most = len(values), 64 * values.shape[1] + 1
+    n, keys_of_node = len(values), 64 * values.shape[1] + 1
     own, label = np.arange(n), np.unique(shard, return_inverse=True)[1]
     first = np.concatenate([[True], label[1:] != label[:-1]]) if n else np.zeros(0, bool)
     root = own[first][label] if n else own
@@ -336,7 +275,7 @@ def forest_pairs(values: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np
         first = np.concatenate([[True], label[1:] != label[:-1]])
         node = own[first][np.cumsum(first) - 1]
         own, node = own[~first], node[~first]
-        key = node * most + _apart(values[own], values[node])
+        key = node * keys_of_node + _apart(values[own], values[node])
         order = np.argsort(key, kind="stable")
         own, label = own[order], key[order]
         if len(own):
@@ -345,240 +284,157 @@ def forest_pairs(values: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np
     keys, children = np.concatenate(edges, axis=1) if edges else np.zeros((2, 0), np.int64)
     order = np.argsort(keys, kind="stable")
     keys, children = keys[order], children[order]
-    asked, node, found = np.arange(n), root, []
-    while len(asked):
+    waiting = [(np.arange(n), root)] if n else []
+    while waiting:
+        asked, node = waiting.pop()
+        if len(asked) > most:
+            half = len(asked) // 2
+            waiting += [(asked[half:], node[half:]), (asked[:half], node[:half])]
+            continue
         distance = _apart(values[asked], values[node])
         hit = (distance <= radius) & (asked < node)
-        found.append(np.stack([asked[hit], node[hit]]))
-        low = np.searchsorted(keys, node * most + np.maximum(distance - radius, 0), "left")
-        high = np.searchsorted(keys, node * most + np.minimum(distance + radius, most - 1), "right")
+        if hit.any():
+            yield asked[hit], node[hit]
+        low = np.searchsorted(keys, node * keys_of_node + np.maximum(distance - radius, 0), "left")
+        high = np.searchsorted(keys, node * keys_of_node + np.minimum(distance + radius, keys_of_node - 1), "right")
         count = high - low
         asked = np.repeat(asked, count)
-        node = children[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(len(asked))]
-    pair = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
-    return pair[0], pair[1]
-
-
-def spanning(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray) -> np.ndarray:
-    """Places of the edges of a minimum spanning forest: each part takes its shortest way out, until there is none."""
-    part, chosen = np.arange(n), []
-    order = np.argsort(distance, kind="stable")
-    i, j = i[order], j[order]
-    live = np.arange(len(i))
-    while len(live):
-        best = np.full(n, len(i))
-        np.minimum.at(best, part[i[live]], live)
-        np.minimum.at(best, part[j[live]], live)
-        own = np.unique(best[best < len(i)])
-        chosen.append(own)
-        while True:  # joined parts take the least number
-            low = np.minimum(part[i[own]], part[j[own]])
-            before = part.copy()
-            np.minimum.at(part, before[i[own]], low)
-            np.minimum.at(part, before[j[own]], low)
-            part = part[part]
-            if (part == before).all():
-                break
-        live = live[part[i[live]] != part[j[live]]]
-    return order[np.concatenate(chosen)] if chosen else np.zeros(0, np.int64)
-
-
-def forest_links(values: np.ndarray, shard: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A minimum spanning forest (i, j, distance) of what is within the radius inside each shard; shard: ascending."""
-    n = len(values)
-    cuts = np.concatenate([[0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [n]])
-    large = np.diff(cuts) > TREE
-    small = np.flatnonzero(~np.repeat(large, np.diff(cuts)))
-    i, j = forest_pairs(values[small], shard[small], radius)
-    found = [(small[i], small[j])]
-    for a, b in zip(cuts[:-1][large].tolist(), cuts[1:][large].tolist()):
-        i = j = np.zeros(0, np.int64)
-        for first in range(a, b, 128):
-            stop = min(first + 128, b)
-            x, y = np.nonzero(_apart(values[first:stop, None], values[None, a:b]) <= radius)
-            x, y = x + first, y + a
-            i, j = np.concatenate([i, x[x < y]]), np.concatenate([j, y[x < y]])
-            own = spanning(b - a, i - a, j - a, _apart(values[i], values[j]))
-            i, j = i[own], j[own]
-        found.append((i, j))
-    i, j = (np.concatenate(x) for x in zip(*found))
-    distance = _apart(values[i], values[j])
-    own = spanning(n, i, j, distance)
-    return i[own], j[own], distance[own]
-
-
-def _middle(values: np.ndarray, most: int) -> np.ndarray:
-    """Places of the values nearest to what most of them have, bit by bit."""
-    bits = np.unpackbits(values.view(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
-    centre = np.packbits(2 * bits.sum(0, dtype=np.int64) > len(values), bitorder="little").view(np.uint64)
-    return np.argsort(_apart(values, centre), kind="stable")[:most]
-
-
-def samples(n: int, wide: int = WIDE, similarity: float = SIMILARITY, recall: float = RECALL) -> list[np.ndarray]:
+        if len(asked):
+            waiting.append((asked, children[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(len(asked))]))
+
+
+def forest(values: np.ndarray, shard: np.ndarray, radius: int, most: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    """A minimum spanning forest (i, j) of what is within the radius inside each shard, thinned out as pairs come; shard: ascending."""
+    i = j = np.zeros(0, np.int64)
+    held = 0
+
+    def thin(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        own = spanning(len(values), i, j, _apart(values[i], values[j]))
+        return i[own], j[own]
+
+    for a, b in tree_pairs(values, shard, radius):
+        i, j, held = np.concatenate([i, a]), np.concatenate([j, b]), held + len(a)
+        if held > most:
+            (i, j), held = thin(i, j), 0
+    return thin(i, j)
+
+
+def samples(n: int, wide: int = WIDE, similarity: int = SIMILARITY, recall: float = RECALL) -> list[np.ndarray]:
     """The bits of each table: about log2(n / 8) of them, so that a shard holds few texts by chance.
 
     SimHashes of two sets differ in a bit with a probability of their angle over pi.
     """
     bits = min(60, max(6, math.ceil(math.log2(max(n, 1) / 8))))
-    agree = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    s = similarity / 100
+    agree = 1 - math.acos(2 * s / (1 + s)) / math.pi
     tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**bits))
     rng = np.random.default_rng(SEED)
     return [np.sort(rng.choice(64 * wide, bits, replace=False)) for _ in range(tables)]
 
 
-def candidates(nodes: DataFrame, n: int, wide: int = WIDE, radius: int = WIDE_RADIUS, held: int = 20_000) -> DataFrame:
-    """Pairs (a < b, distance) of nodes within the radius; nodes (node, f0, f1, ...): n distinct fingerprints."""
-    tables = samples(n, wide)
-    names = [f"f{k}" for k in range(wide)]
+_FP = [f"f{k}" for k in range(WIDE)]
+
+
+def _values(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    """Fingerprints [row, word]."""
+    return np.ascontiguousarray(np.stack([t.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in _FP], axis=1))
 
-    def rows(shard: np.ndarray, node: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(node), *(pa.array(np.ascontiguousarray(values[:, k]).view(np.int64)) for k in range(wide))], names=["shard", "node", *names])
+
+def dealt(nodes: DataFrame, tables: list[np.ndarray]) -> DataFrame:
+    """(grp, ...): each node (with f0, f1, ...) in the shard of each table."""
+    columns = nodes.columns
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node, values in _columns(batches, names, held):
-            bits = np.unpackbits(values.view(np.uint8).reshape(len(values), -1), axis=1, bitorder="little")
+        for b in batches:
+            if not b.num_rows:
+                continue
+            bits = np.unpackbits(_values(b).view(np.uint8).reshape(b.num_rows, -1), axis=1, bitorder="little")
             for t, places in enumerate(tables):
-                own = np.zeros((len(node), 64), np.uint8)
+                own = np.zeros((b.num_rows, 64), np.uint8)
                 own[:, : len(places)] = bits[:, places]
-                shard = _mixed(np.packbits(own, axis=1, bitorder="little").view(np.uint64)[:, 0] ^ _mixed(np.array([t], np.uint64)))
-                order = np.argsort(shard, kind="stable")
-                sent, cuts = shard.copy(), np.concatenate([[0], np.flatnonzero(np.diff(shard[order])) + 1, [len(order)]])
-                for k in np.flatnonzero(np.diff(cuts) > CROWD).tolist():
-                    crowd = order[cuts[k] : cuts[k + 1]]
-                    salt = np.arange(-(-len(crowd) // CROWD), dtype=np.uint64)
-                    salted = shard[crowd[0]] ^ np.where(salt, _mixed(salt), 0)  # salt 0 is the shard itself
-                    middle = crowd[_middle(values[crowd], MIDDLE)]
-                    sent[crowd] = salted[_mixed(node[crowd].view(np.uint64)) % np.uint64(len(salt))]
-                    again = np.repeat(middle, len(salt))
-                    yield rows(np.tile(salted, len(middle)), node[again], values[again])
-                yield rows(sent, node, values)
-
-    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(shard: np.ndarray, node: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-            i, j, distance = forest_links(values, shard, radius)
-            a, b, other = node[i], node[j], node[i] != node[j]  # the middle of a crowd may come twice
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[other]), pa.array(np.maximum(a, b)[other]), pa.array(distance[other])], names=["a", "b", "distance"])
-
-        pending = None
-        for b in batches:
-            for node, values in _columns([b], names):
-                shard = b.column("shard").to_numpy()
-                if pending:
-                    shard, node, values = (np.concatenate(x) for x in zip(pending, (shard, node, values)))
-                last = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
-                if last and len(shard) >= held:
-                    yield pairs(shard[:last], node[:last], values[:last])
-                    shard, node, values = shard[last:], node[last:], values[last:]
-                while len(shard) >= CHUNK and shard[0] == shard[-1]:  # a large one in parts, with its middle in all of them
-                    yield pairs(shard[:CHUNK], node[:CHUNK], values[:CHUNK])
-                    keep = np.concatenate([_middle(values[:CHUNK], MIDDLE), np.arange(CHUNK, len(shard))])
-                    shard, node, values = shard[keep], node[keep], values[keep]
-                pending = [shard, node, values]
-        if pending:
-            yield pairs(*pending)
-
-    spread = nodes.select("node", *names).mapInArrow(keyed, ", ".join(f"{c} long" for c in ("shard", "node", *names))).repartition("shard").sortWithinPartitions("shard")
-    return spread.mapInArrow(paired, "a long, b long, distance long").groupBy("a", "b").agg(F.min("distance").alias("distance"))
-
-
-def _columns(batches: Iterator[pa.RecordBatch], names: list[str], least: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Nodes and fingerprints [row, word], at least so many rows at once."""
-    held, n = [], 0
-
-    def whole() -> tuple[np.ndarray, np.ndarray]:
-        rows = pa.Table.from_batches(held)
-        values = np.stack([rows.column(c).to_numpy().astype(np.int64).view(np.uint64) for c in names], axis=1)
-        return rows.column("node").to_numpy().astype(np.int64), np.ascontiguousarray(values)
-
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            n += b.num_rows
-        if n >= least:
-            yield whole()
-            held, n = [], 0
-    if n:
-        yield whole()
-
-
-def grouped(pairs: DataFrame, texts_of: DataFrame, similarity: float, words: int) -> DataFrame:
-    """node and root of the nodes that similar texts connect; pairs (a, b, distance; stored).
-
-    The nearest candidate of each node is decided first. Candidates that are then in one group need no decision.
-    """
-    ends = pairs.select(F.explode(F.array(F.struct("a", "b", F.col("a").alias("node"), "distance"), F.struct("a", "b", F.col("b").alias("node"), "distance"))).alias("e")).select("e.*")
-    nearest = stored(ends.groupBy("node").agg(F.min(F.struct("distance", "a", "b")).alias("e")).select("e.a", "e.b").distinct(), "nearest")
-    first = stored(similar(nearest, texts_of, similarity, words), "similar")
-    roots = components(first)
-    rest = pairs.select("a", "b").join(nearest, ["a", "b"], "left_anti")
-    for end in ("a", "b"):
-        rest = rest.join(roots.select(F.col("node").alias(end), F.col("root").alias(f"root_{end}")), end, "left")
-    apart = F.coalesce("root_a", "a") != F.coalesce("root_b", "b")
-    rest = stored(rest.where(apart).select("a", "b"), "rest")
-    return components(first.unionByName(similar(rest, texts_of, similarity, words)))
-
-
-def similar(pairs: DataFrame, texts_of: DataFrame, similarity: float = SIMILARITY, words: int = WIDE_WORDS) -> DataFrame:
-    """Those of the pairs (a, b; stored) whose texts have a Jaccard similarity of their shingles of at least ``similarity``.
-
-    texts_of: node, text. Only the sets of shingles of nodes in some pair are made and moved. A node with very
-    many pairs, of which there are few, has its set sent to 64 tasks, among which its pairs are dealt.
-    """
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("pairs"))
+                shard = mixed(np.packbits(own, axis=1, bitorder="little").view(np.uint64)[:, 0] ^ mixed(np.array([t], np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), *b.columns], names=["grp", *columns])
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            h, bounds = shingle_hashes(texts(b), words)
-            sets = [np.unique(h[i:j] >> np.uint64(32)).astype("<u4").tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("pairs"), pa.array(sets, pa.binary())], names=["node", "pairs", "shingles"])
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "x"):
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y")):
-                x, y = np.frombuffer(x.as_buffer(), "<u4"), np.frombuffer(y.as_buffer(), "<u4")
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    sets = stored(texts_of.join(degree, "node").select("node", "pairs", "text").mapInArrow(hashed, "node long, pairs long, shingles binary"), "shingles")
-    salts = F.when(F.col("pairs") * 1024 > F.lit(2 * pairs.count()), 64).otherwise(1)  # fewer than 1024 nodes have more
-    spread = sets.select("node", "shingles", salts.alias("salts")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    frequent = F.broadcast(sets.where(salts > 1).select("node"))
-
-    def joined(df: DataFrame, end: str, other: str, into: str) -> DataFrame:
-        met = df.join(frequent.withColumnRenamed("node", end).withColumn("many", F.lit(True)), end, "left")
-        salted = met.withColumn("salt", F.when(F.col("many"), F.pmod(F.xxhash64(other), F.lit(64)).cast("int")).otherwise(0)).drop("many")
-        return salted.join(spread.select(F.col("node").alias(end), F.col("shingles").alias(into), "salt"), [end, "salt"]).drop("salt")
-
-    both = joined(joined(pairs.select("a", "b"), "a", "b", "x"), "b", "a", "y")
-    return both.select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, words: int = WIDE_WORDS) -> DataFrame:
+    return nodes.mapInArrow(keyed, ", ".join(["grp long", *(f"{c} long" for c in columns)]))
+
+
+def candidates(rows: DataFrame, crowded: DataFrame, radius: int = WIDE_RADIUS) -> DataFrame:
+    """Pairs (a < b) of a forest of each shard, or of each salt of a crowd with its leader."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 20_000):
+            i, j = forest(_values(t), t.column("grp").to_numpy(), radius)
+            node = t.column("node").to_numpy()
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+
+    spread = salted(rows, crowded)
+    return spread.repartition("grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long").distinct()
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: int = SIMILARITY, words: int = WIDE_WORDS) -> DataFrame:
     """One row, as it is, of each group of near-duplicates: that of the least id (a null id is the last), then the least text.
 
-    Rows have keys of their own, so that ids may be null or repeat.
+    Rows have keys of their own, so that ids may be null or repeat. similarity: in percent.
     """
     ship(docs.sparkSession)
     columns = docs.columns
-    key = fresh(columns, "row_key")
-    names = [fresh(columns, f"f{k}") for k in range(WIDE)]
+    key, node = fresh(columns, "row_key"), fresh(columns, "node_key")
+    names = [fresh(columns, c) for c in _FP]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         for b in slices(batches, text_col):
-            fp = wide_fingerprints(texts(b, text_col), words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(row, row + b.num_rows)), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WIDE))], names=[*columns, key, *names])
+            h, bounds = shingle_sets(texts(b, text_col), words)
+            fp = wide_fingerprints(h, bounds).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(row, row + b.num_rows)), _node_keys(h, bounds), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WIDE))], names=[*columns, key, node, *names])
             row += b.num_rows
 
-    rows = stored(widened(docs, run, *(StructField(c, LongType()) for c in (key, *names))), "wide-fingerprints")
+    rows = stored(widened(docs, run, *(StructField(c, LongType()) for c in (key, node, *names))), "wide-fingerprints")
     rank = F.struct(F.col(f"`{id_col}`").isNull().alias("no_id"), F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("text"), F.col(key).alias("row"))
-    own = rows.select(*(F.col(c).alias(f"f{k}") for k, c in enumerate(names)), rank.alias("rank"))
-    nodes = stored(own.groupBy(*(f"f{k}" for k in range(WIDE))).agg(F.min("rank").alias("rank")).withColumn("node", F.col("rank.row")), "nodes")
-    pairs = stored(candidates(nodes, nodes.count()), "candidates")
-    involved = rows.select(F.col(key).alias("node"), F.col(f"`{text_col}`").alias("text"))
-    roots = grouped(pairs, involved, similarity, words)
+    nodes = rows.select(F.col(node).alias("node"), *(F.col(c).alias(f) for c, f in zip(names, _FP)), rank.alias("rank")).groupBy("node").agg(*(F.min(f).alias(f) for f in _FP), F.min("rank").alias("rank"))
+    nodes = stored(nodes, "nodes")
+    tables = samples(nodes.count(), similarity=similarity)
+    with_words = nodes.where(F.col("node") != 0)
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(node, shingles) of the wanted nodes, made again from one text of each."""
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches, "text", 1_000_000):
+                h, bounds = shingle_sets(texts(b), words)
+                yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([h[i:j].tobytes() for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())], names=["node", "shingles"])
+
+        one = nodes.join(wanted, "node").select(F.col("rank.row").alias(key))
+        return stored(rows.join(one, key, "left_semi").select(F.col(node).alias("node"), F.col(f"`{text_col}`").alias("text")).mapInArrow(made, "node long, shingles binary"), "shingles")
+
+    own = dealt(with_words.select("node", *_FP), tables)
+    crowded = stored(crowds(own, CROWD), "crowds")
+    pairs = stored(candidates(own, crowded), "candidates")
+    paired = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "paired")
+    sets = sets_of(paired)
+    links = stored(decided(pairs, sets, similarity), "links")
+    # salts of a crowd may keep partners apart, so all of it looks again
+    involved = paired if crowded.isEmpty() else paired.unionByName(own.join(crowded.select("grp"), "grp").select("node")).distinct()
+    known = with_words.select("node", *_FP).join(involved, "node").join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    again = dealt(stored(known, "known"), tables)
+    shapes = stored(shapes_of(again, 2 * CROWD), "shapes")
+
+    def pairs_in(t: pa.Table, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, b in tree_pairs(_values(t), t.column("grp").to_numpy(), WIDE_RADIUS):
+            apart = root[a] != root[b]
+            yield a[apart], b[apart]
+
+    rest = remaining(blocks(again, shapes).select("grp", "node", *_FP, "root"), sets, sets_of, similarity, pairs_in)
+    roots = components(links.unionByName(rest))
     least = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("rank").alias("rank"))
     kept = least.select(F.col("rank.row").alias(key))
     return rows.join(kept, key, "left_semi").select(*(F.col(f"`{c}`") for c in columns))
+
+
+def _node_keys(h: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """A hash of each set; 0 for empty ones."""
+    import xxhash
+
+    keys = [xxhash.xxh3_64_intdigest(h[i:j].tobytes()) if j > i else 0 for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+    return pa.array(np.array(keys, np.uint64).view(np.int64))
