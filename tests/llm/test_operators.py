@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gridspark.llm import bloom_lm, common, decontamination, encoding, gif_media, langid, packing, queries, simhash, simple8b, token_counts, toxicity, url_rules
+from gridspark.llm import bloom_lm, common, decontamination, encoding, gif_media, langid, links, packing, queries, simhash, simple8b, token_counts, toxicity, url_rules
 
 SF = "/root/testdata/sf0.001"
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -378,26 +378,69 @@ def test_one_of_each(spark, docs, texts, odd, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
-def test_wide_fingerprints_and_forest_by_definition(monkeypatch):
+def test_wide_fingerprints_and_forest_by_definition():
     words = [f"w{k}" for k in range(700)]
     for text in (" ".join(words), "a b c", "A  b\tc", "", "x " * 2000):
-        h, bounds = simhash.shingle_hashes([text, text])
-        assert len(set(h[: bounds[1]].tolist())) == len(shingles(text)) and bounds.tolist() == [0, len(h) // 2, len(h)]
+        h, bounds = links.shingle_sets([text, text], 5)
+        assert len(set(h[: bounds[1]].tolist())) == len(shingles(text)) == bounds[1] and bounds.tolist() == [0, len(h) // 2, len(h)]
+        fp = simhash.wide_fingerprints(h, bounds)
         for k in range(simhash.WIDE):
-            own = [int(x) for x in simhash._mixed(h[: bounds[1]] ^ simhash._STEP[k])]
-            assert int(simhash.wide_fingerprints([text])[0, k]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own))
+            own = [int(x) for x in links.mixed(h[: bounds[1]] ^ links.STEP[k])]
+            assert int(fp[0, k]) == int(fp[1, k]) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in own) > len(own))
     rng = np.random.default_rng(5)
     near = rng.integers(0, 1 << 63, (5, 4), np.uint64)[rng.integers(0, 5, 200)] ^ (np.uint64(1) << rng.integers(0, 64, (200, 4), np.uint64))
     shard = np.sort(rng.integers(0, 9, 200))
-    i, j = simhash.forest_pairs(near, shard, 6)
     pairs = {(a, b) for a in range(200) for b in range(a + 1, 200) if shard[a] == shard[b] and simhash._apart(near[a], near[b]) <= 6}
-    assert set(zip(i.tolist(), j.tolist())) == pairs
-    for tree in (simhash.TREE, 3):  # searched by trees, and by blocks
-        monkeypatch.setattr(simhash, "TREE", tree)
-        a, b, d = simhash.forest_links(near, shard, 6)
-        parts = lambda links: {tuple(sorted(p)) for p in union(200, links)}
+    for most in (1 << 20, 50):  # all queries at once, and most of them waiting
+        found = [(a, b) for i, j in simhash.tree_pairs(near, shard, 6, most) for a, b in zip(i.tolist(), j.tolist())]
+        assert len(found) == len(pairs) and set(found) == pairs
+    for most in (1 << 20, 10):  # thinned out once, and again and again
+        a, b = simhash.forest(near, shard, 6, most)
+        parts = lambda edges: {tuple(sorted(p)) for p in union(200, edges)}
         assert parts(zip(a.tolist(), b.tolist())) == parts(pairs) and len(a) == 200 - len(union(200, pairs))
-        assert d.sum() == sum(sorted_forest(200, pairs, near))
+        assert simhash._apart(near[a], near[b]).sum() == sum(sorted_forest(200, pairs, near))
+
+
+def edited(words, similarity, rng):
+    """A copy of which each word in turn is new until its shingles are just that similar."""
+    own, whole = list(words), shingles(" ".join(words))
+    for at in rng.permutation(len(words)):
+        trial = [*own[:at], f"new{rng.integers(1 << 40)}", *own[at + 1 :]]
+        other = shingles(" ".join(trial))
+        if len(whole & other) < similarity * len(whole | other):
+            break
+        own = trial
+    return own
+
+
+@pytest.mark.parametrize("kind", ["free", "boilerplate"])
+def test_recall_of_one_of_each(spark, kind):
+    """Copies at each similarity beside texts of their own, and beside 6,000 that share five sixths of their words and are not similar enough."""
+    rng = np.random.default_rng(9)
+    shared = [f"s{k}" for k in range(150)]
+    free = lambda k, n: [f"w{x}" for x in rng.integers(0, 20_000, n)]
+    texts = [free(k, 180) if kind == "free" else [*shared, *free(k, 30)] for k in range(6000)]
+    copies = [(s, edited(texts[30 * k + j], s, rng)) for j, s in enumerate((0.80, 0.85, 0.90, 0.95)) for k in range(100)]
+    # ids of copies come first, so that a found original goes and a lost one stays
+    rows = [(k, " ".join(w)) for k, (_, w) in enumerate(copies)] + [(1000 + k, " ".join(w)) for k, w in enumerate(texts)]
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).select("doc_id").collect()}
+    for j, s in enumerate((0.80, 0.85, 0.90, 0.95)):
+        lost = sum(1000 + 30 * k + j in kept for k in range(100))
+        assert lost <= 8, (s, lost)
+    originals = {1000 + 30 * k + j for j in range(4) for k in range(100)}
+    assert set(range(400)) <= kept and {1000 + k for k in range(6000)} - originals <= kept  # nothing else goes
+
+
+def test_a_crowd_of_copies_is_one(spark):
+    rng = np.random.default_rng(10)
+    base = [f"w{x}" for x in rng.integers(0, 5000, 120)]
+    rows = []
+    for k in range(20_000):
+        own = list(base)
+        for at in rng.integers(0, 120, k % 3):
+            own[at] = f"n{k}x{at}"
+        rows.append((k, " ".join(own)))
+    assert [r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).collect()] == [0]
 
 
 def union(n, links):
