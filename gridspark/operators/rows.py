@@ -48,6 +48,35 @@ def typed_rows(cells: DataFrame, schema: StructType, columns: dict[str, int], fi
     return picked.select(*by, *(target(Cell(f"__{k}"), f.dataType.simpleString(), strict).alias(f.name) for k, f in enumerate(schema)))
 
 
+def header_relation(cells: DataFrame, by: list[str], row: int | None = None) -> DataFrame:
+    """(by, header_row, col, name): the trimmed texts of each range's header row, the first of equal ones; row: its number, or null for the first row that has cells."""
+    own = cells.where(F.col("kind") != "empty")
+    if row is None:
+        first = own.groupBy(*by, "row").agg(F.collect_list(F.struct("col", F.trim(Cell().display()).alias("name"))).alias("own")).groupBy(*by).agg(F.min("row").alias("header_row"), F.min_by("own", "row").alias("own"))
+        own = first.select(*by, "header_row", F.explode("own").alias("x")).select(*by, "header_row", "x.*")
+    else:
+        own = own.where(F.col("row") == row).select(*by, F.lit(row).cast("int").alias("header_row"), "col", F.trim(Cell().display()).alias("name"))
+    return own.groupBy(*by, "name").agg(F.min("header_row").alias("header_row"), F.min("col").alias("col")).select(*by, "header_row", "col", "name")
+
+
+def rows_by_headers(cells: DataFrame, headers: DataFrame, schema: StructType, by: list[str], strict: bool = False) -> DataFrame:
+    """A row for each sheet row below its range's header row; every range has columns of its own places for the fields.
+
+    headers: by, header_row, col, name. They are few; each range's are gathered and joined to its cells. A range that
+    lacks a field raises.
+    """
+    fields = F.array(*(F.lit(f.name) for f in schema))
+    own = headers.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("col", "name"))).alias("_names"), F.max("header_row").alias("_header"))
+    missing = F.array_except(fields, F.map_values("_names"))
+    told = F.raise_error(F.concat(F.lit("no column '"), F.element_at(missing, 1), F.lit("'"))).cast("int")
+    own = own.withColumn("_header", F.when(F.size(missing) == 0, F.col("_header")).otherwise(told))
+    held = cells.join(own, by).where(F.col("row") > F.col("_header")).withColumn("_field", F.try_element_at("_names", F.col("col")))
+    held = held.where(F.col("_field").isin([f.name for f in schema]))
+    cell = F.struct(*VALUE_COLUMNS)
+    picked = held.groupBy(*by, "row").agg(*(F.max(F.when(F.col("_field") == f.name, cell)).alias(f"__{k}") for k, f in enumerate(schema)))
+    return picked.select(*by, *(target(Cell(f"__{k}"), f.dataType.simpleString(), strict).alias(f.name) for k, f in enumerate(schema)))
+
+
 def as_map(cells: DataFrame, columns: dict[str, int], by: list[str], value: Column) -> DataFrame:
     """A map of header to value for each row, without the empty cells."""
     names = F.create_map(*(x for name, col in columns.items() for x in (F.lit(col), F.lit(name))))

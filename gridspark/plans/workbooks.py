@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import Cell
 from ..operators import ranges
-from ..operators.rows import header_names, typed_rows
+from ..operators.rows import header_relation, rows_by_headers
 from ..shipping import ship
 from ..sources import auto, ods, xls, xlsb, xlsx
 from ..testing import ods_writer, xls_writer, xlsb_writer, xlsx_writer
@@ -62,31 +62,44 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, header: bool = True, writer=xlsx_writer, kind: str = "xlsx", parts: int | None = None, **options) -> str:
-    """Folder of workbooks with one sheet each that together hold df; every partition writes its own."""
+def files_of(spark: SparkSession, df: DataFrame, name: str, make: Callable[[str, list[tuple]], None], kind: str = "xlsx") -> list[str]:
+    """Workbooks that ``make(path, rows)`` writes, one of each partition's rows; their paths, a row for each partition.
+
+    Every attempt at a partition writes a file of its own, and only those of the attempts that succeeded are returned.
+    """
     ship(spark)
-    at, columns = folder(spark), tuple(df.columns)
-    plain = df.select(*(F.col(f.name).cast("timestamp_ntz") if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in df.schema))
+    at = folder(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (tuple(r.values()) for b in batches for r in b.to_pylist())
-        path = f"{at}/{name}-{TaskContext.get().partitionId()}.{kind}"
+        rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+        if rows:
+            own = TaskContext.get()
+            path = f"{at}/{name}-{own.partitionId()}-{own.taskAttemptId()}.{kind}"
+            make(path, rows)
+            yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    return [r["path"] for r in df.mapInArrow(run, "path string").collect()]
+
+
+def written(spark: SparkSession, df: DataFrame, name: str, header: bool = True, writer=xlsx_writer, kind: str = "xlsx", parts: int | None = None, **options) -> list[str]:
+    """Workbooks with one sheet each that together hold df; every partition writes its own."""
+    columns = tuple(df.columns)
+    plain = df.select(*(F.col(f.name).cast("timestamp_ntz") if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in df.schema))
+
+    def make(path: str, rows: list[tuple]) -> None:
         writer.write(path, {name: chain([columns] if header else [], rows)}, **options)
-        yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
 
-    plain.repartition(parts or spark.sparkContext.defaultParallelism).mapInArrow(run, "path string").collect()  # a row for each partition
-    return at
+    return files_of(spark, plain.repartition(parts or spark.sparkContext.defaultParallelism), name, make, kind)
 
 
-def scanned(spark: SparkSession, path: str, df: DataFrame, header_row: int = 0) -> DataFrame:
-    """The typed rows of one-sheet workbooks that have the same header, under df's schema."""
-    return _typed(xlsx.cells(spark, path), df, header_row)
+def scanned(spark: SparkSession, paths: list[str], df: DataFrame, header_row: int = 0) -> DataFrame:
+    """The typed rows of workbooks under df's schema, each by its own header; sheets are inflated down to the header for that."""
+    heads = header_relation(xlsx.cells(spark, paths, last_row=header_row), ["path", "sheet"], header_row)
+    return rows_by_headers(xlsx.cells(spark, paths), heads, df.schema, ["path", "sheet"]).drop("path", "sheet")
 
 
 def _typed(cells: DataFrame, df: DataFrame, header_row: int = 0) -> DataFrame:
-    # every workbook that `written` makes has the header; its first one is always there
-    first = cells.where((F.col("row") == header_row) & F.col("path").rlike(r"-0\.[a-z]+$"))
-    return typed_rows(cells, df.schema, header_names(first, header_row), header_row + 1, ["path", "sheet"]).drop("path", "sheet")
+    return rows_by_headers(cells, header_relation(cells, ["path", "sheet"], header_row), df.schema, ["path", "sheet"]).drop("path", "sheet")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -130,52 +143,83 @@ def xlsx_sheets_per_region(spark, sf_dir):
 @query("SELECT p_partkey, p_name, p_retailprice FROM part")
 def xlsx_table_body(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
-    n = df.count()
-    path = f"{folder(spark)}/part.xlsx"
-    rows = (tuple(r) for r in df.toLocalIterator())
-    every = (r for part in ([("number", "name", "price")], rows, [("Total", None, 1.0)]) for r in part)
-    xlsx_writer.write(path, {"part": every}, tables={"part": ("Parts", f"A1:C{n + 2}", ["number", "name", "price"], 1)})
-    body = xlsx.tables(spark, path).where("name = 'Parts'").first()
-    cells = ranges.between(xlsx.cells(spark, path), body["r0"], body["c0"], body["r1"], body["c1"])
-    places = dict(zip(df.columns, range(body["c0"], body["c1"] + 1)))
-    return typed_rows(cells, df.schema, places, body["r0"], ["sheet"]).drop("sheet")
+    columns = df.columns
+
+    def make(path: str, rows: list[tuple]) -> None:
+        every = [("number", "name", "price"), *rows, ("Total", None, 1.0)]
+        xlsx_writer.write(path, {"part": every}, tables={"part": ("Parts", f"A1:C{len(rows) + 2}", columns, 1)})
+
+    paths = files_of(spark, df.repartition(spark.sparkContext.defaultParallelism), "part", make)
+    bodies = xlsx.tables(spark, paths).where("name = 'Parts'")
+    # the columns of each table are the header of its body
+    heads = bodies.select("path", "sheet", (F.col("r0") - 1).alias("header_row"), "c0", F.posexplode("columns").alias("k", "name")).select("path", "sheet", "header_row", (F.col("c0") + F.col("k")).cast("int").alias("col"), "name")
+    cells = ranges.in_rectangles(xlsx.cells(spark, paths), bodies.select("path", "sheet", "r0", "c0", "r1", "c1"), ["path", "sheet"])
+    return rows_by_headers(cells.drop("r0", "c0", "r1", "c1"), heads, df.schema, ["path", "sheet"]).drop("path", "sheet")
 
 
 @query("SELECT s_suppkey::INT AS row, s_suppkey // 10 AS rectangle FROM supplier WHERE s_suppkey % 10 < 3")
 def xlsx_merge_containment(spark, sf_dir):
-    keys = {r[0] for r in table(spark, sf_dir, "supplier").select("s_suppkey").collect()}
-    rows = [(k if k in keys else None,) for k in range(max(keys) + 1)]
-    path = f"{folder(spark)}/merged.xlsx"
-    xlsx_writer.write(path, {"s": rows}, merges={"s": [f"A{k * 10 + 1}:A{k * 10 + 3}" for k in range(max(keys) // 10 + 1)]})
-    cells = ranges.used(xlsx.cells(spark, path)).select("path", "sheet", "row", "col", "f")
-    found = ranges.in_rectangles(cells, xlsx.merges(spark, path).select("path", "sheet", "r0", "c0", "r1", "c1"), ["path", "sheet"])
-    return found.select(F.col("f").cast("int").alias("row"), F.floor(F.col("r0") / 10).cast("long").alias("rectangle"))
+    """In every workbook the keys of some tens, in order; the first three of each ten are under a merge, which its first cell names."""
+    df = table(spark, sf_dir, "supplier").select("s_suppkey").repartition(spark.sparkContext.defaultParallelism, F.floor(F.col("s_suppkey") / 10))
+
+    def make(path: str, rows: list[tuple]) -> None:
+        keys = sorted(k for k, in rows)
+        merged: dict[int, list[int]] = {}
+        for at, k in enumerate(keys, 1):
+            if k % 10 < 3:
+                merged.setdefault(k // 10, []).append(at)
+        xlsx_writer.write(path, {"s": [(k,) for k in keys]}, merges={"s": [f"A{own[0]}:A{own[-1]}" for own in merged.values()]})
+
+    paths = files_of(spark, df, "merged", make)
+    cells = ranges.used(xlsx.cells(spark, paths)).select("path", "sheet", "row", "col", "f")
+    found = ranges.in_rectangles(cells, xlsx.merges(spark, paths).select("path", "sheet", "r0", "c0", "r1", "c1"), ["path", "sheet"])
+    first = cells.select("path", "sheet", F.col("row").alias("r0"), F.col("f").alias("first"))
+    return found.join(first, ["path", "sheet", "r0"]).select(F.col("f").cast("int").alias("row"), F.floor(F.col("first") / 10).cast("long").alias("rectangle"))
 
 
 @query("SELECT page_id, url FROM pages WHERE url IS NOT NULL AND url <> ''")
 def xlsx_hyperlinks_pages(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").where("url IS NOT NULL AND url <> ''").select("page_id", "url").collect()
-    path = f"{folder(spark)}/links.xlsx"
-    xlsx_writer.write(path, {"links": [(r["page_id"],) for r in pages]}, links={"links": [(f"A{k + 1}", r["url"]) for k, r in enumerate(pages)]})
-    links = xlsx.hyperlinks(spark, path).select("sheet", F.col("r0").cast("int").alias("row"), F.col("target").alias("url"))
-    return xlsx.cells(spark, path).select("sheet", "row", F.col("f").cast("long").alias("page_id")).join(links, ["sheet", "row"]).select("page_id", "url")
+    pages = table(spark, sf_dir, "pages").where("url IS NOT NULL AND url <> ''").select("page_id", "url")
+
+    def make(path: str, rows: list[tuple]) -> None:
+        xlsx_writer.write(path, {"links": [(page,) for page, _ in rows]}, links={"links": [(f"A{k}", url) for k, (_, url) in enumerate(rows, 1)]})
+
+    paths = files_of(spark, pages.repartition(spark.sparkContext.defaultParallelism), "links", make)
+    links = xlsx.hyperlinks(spark, paths).select("path", "sheet", F.col("r0").cast("int").alias("row"), F.col("target").alias("url"))
+    return xlsx.cells(spark, paths).select("path", "sheet", "row", F.col("f").cast("long").alias("page_id")).join(links, ["path", "sheet", "row"]).select("page_id", "url")
 
 
 @query("SELECT s_suppkey::INT AS row, 'A' || s_suppkey || '*2+$B$1' AS formula FROM supplier WHERE s_suppkey >= 1")
 def xlsx_shared_formula(spark, sf_dir):
-    n = table(spark, sf_dir, "supplier").where("s_suppkey >= 1").count()
-    path = f"{folder(spark)}/shared.xlsx"
-    first = {"f": "A1*2+$B$1", "attrs": f' t="shared" si="0" ref="C1:C{n}"', "v": 2}
-    rows = [(1.0, None, first), *((float(k), None, {"attrs": ' t="shared" si="0"', "v": 2 * k}) for k in range(2, n + 1))]
-    xlsx_writer.write(path, {"s": rows})
-    return xlsx.cells(spark, path).where("formula IS NOT NULL").select((F.col("row") + 1).alias("row"), "formula")
+    """Each key in its row; the first row of a workbook has the formula that the others share."""
+    df = table(spark, sf_dir, "supplier").where("s_suppkey >= 1").select("s_suppkey")
+
+    def make(path: str, rows: list[tuple]) -> None:
+        keys = sorted(k for k, in rows)
+        first = {"f": f"A{keys[0]}*2+$B$1", "attrs": f' t="shared" si="0" ref="C{keys[0]}:C{keys[-1]}"', "v": 2 * keys[0]}
+        shared = lambda k: {"attrs": ' t="shared" si="0"', "v": 2 * k}
+        xlsx_writer.write(path, {"s": [(k - 1, (float(k), None, shared(k) if n else first)) for n, k in enumerate(keys)]}, numbered=True)
 
+    paths = files_of(spark, df.repartition(spark.sparkContext.defaultParallelism, "s_suppkey"), "shared", make)
+    return xlsx.cells(spark, paths).where("formula IS NOT NULL").select((F.col("row") + 1).alias("row"), "formula")
 
-@query("SELECT * FROM (VALUES ('A', 0, 'visible', 'worksheet', 'Rate', 'A!$A$1'), ('B', 1, 'hidden', 'worksheet', 'Rate', 'A!$A$1'), ('C', 2, 'veryHidden', 'worksheet', 'Rate', 'A!$A$1')) t(sheet, sheet_idx, visible, type, name, formula)")
+
+_STATES = "CASE r_regionkey % 3 WHEN 0 THEN 'visible' WHEN 1 THEN 'hidden' ELSE 'veryHidden' END AS visible, 'worksheet' AS type"
+
+
+@query(f"SELECT r_name AS sheet, r_regionkey::INT AS sheet_idx, {_STATES}, n_name AS name, r_name || '!$A$' || (n_nationkey + 1) AS formula FROM region JOIN nation ON n_regionkey = r_regionkey")
 def xlsx_sheets_and_names(spark, sf_dir):
-    path = f"{folder(spark)}/names.xlsx"
-    xlsx_writer.write(path, {"A": [(1,)], "B": [(2,)], "C": [(3,)]}, states={"B": "hidden", "C": "veryHidden"}, names={"Rate": "A!$A$1"})
-    return xlsx.sheets(spark, path).join(xlsx.defined_names(spark, path), "path").select("sheet", F.col("sheet_idx").cast("int").alias("sheet_idx"), "visible", "type", "name", "formula")
+    """A sheet for each region, a name for each nation."""
+    df = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", "r_name", "n_nationkey", "n_name").coalesce(1)  # 25 rows
+
+    def make(path: str, rows: list[tuple]) -> None:
+        regions = dict(sorted({(k, r) for k, r, _, _ in rows}))
+        states = {r: ("visible", "hidden", "veryHidden")[k % 3] for k, r in regions.items() if k % 3}
+        xlsx_writer.write(path, {r: [(1,)] for r in regions.values()}, states=states, names={n: f"{r}!$A${k + 1}" for _, r, k, n in rows})
+
+    paths = files_of(spark, df, "names", make)
+    named = xlsx.sheets(spark, paths).join(xlsx.defined_names(spark, paths), "path").where("formula LIKE concat(sheet, '!%')")
+    return named.select("sheet", F.col("sheet_idx").cast("int").alias("sheet_idx"), "visible", "type", "name", "formula")
 
 
 @query("SELECT conv_id, turn, unnest(generate_series(0, (length(text) - 1) // 32767))::INT AS part, substring(text, part * 32767 + 1, 32767) AS text FROM conversations WHERE text <> ''")
@@ -209,8 +253,8 @@ def nations_by_region_from_workbook(spark, sf_dir):
 @query("SELECT s_suppkey::INT AS row, s_name || ';' || s_nationkey::VARCHAR AS line FROM supplier")
 def csv_lines_from_workbook(spark, sf_dir):
     df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
-    cells = xlsx.cells(spark, written(spark, df, "supplier", header=False, parts=1))
-    made = ranges.rows(cells, ["sheet"], Cell().display())
+    cells = xlsx.cells(spark, written(spark, df, "supplier", header=False))
+    made = ranges.rows(cells, ["path", "sheet"], Cell().display())
     return made.select(F.col("values")[0].cast("int").alias("row"), F.concat_ws(";", F.col("values")[1], F.col("values")[2]).alias("line"))
 
 
@@ -242,14 +286,16 @@ def auto_multi_format_union(spark, sf_dir):
     return own.groupBy("format", "row").agg(F.max(F.when(F.col("col") == 0, F.coalesce(F.col("f"), F.col("i").cast("double")))).cast("long").alias("key"), F.max(F.when(F.col("col") == 1, F.col("s"))).alias("name")).drop("row")
 
 
-@query("SELECT format, count(*) AS n, (3 * count(*))::BIGINT AS errors FROM (VALUES ('xlsx'), ('xlsx'), ('ods')) t(format) WHERE format = 'xlsx' GROUP BY 1")
+@query("SELECT CASE s_suppkey % 3 WHEN 0 THEN '#N/A' WHEN 1 THEN '#DIV/0!' ELSE '#REF!' END AS error, count(*) AS errors FROM supplier WHERE s_suppkey % 5 < 3 GROUP BY 1")
 def error_report_by_workbook(spark, sf_dir):
-    at = folder(spark)
-    for name in ("a", "b"):
-        xlsx_writer.write(f"{at}/{name}.xlsx", {"e": [("#N/A", 1.0), ("#DIV/0!", "#REF!"), ("fine", None)]})
-    ods_writer.write(f"{at}/c.ods", {"e": [("#N/A",)]})
-    bad = auto.cells(spark, at).where("kind = 'error'").groupBy("path").agg(F.count("*").alias("errors"))
-    return bad.groupBy(F.regexp_extract("path", r"([a-z]+)$", 1).alias("format")).agg(F.count("*").alias("n"), F.sum("errors").alias("errors"))
+    """Errors in the cells of many workbooks, counted by workbook and then by kind."""
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+
+    def make(path: str, rows: list[tuple]) -> None:
+        xlsx_writer.write(path, {"e": [(("#N/A", "#DIV/0!", "#REF!")[k % 3] if k % 5 < 3 else "fine", name) for k, name in rows]})
+
+    bad = xlsx.cells(spark, files_of(spark, df.repartition(spark.sparkContext.defaultParallelism), "errors", make)).where("kind = 'error'").groupBy("path", F.col("s").alias("error")).agg(F.count("*").alias("errors"))
+    return bad.groupBy("error").agg(F.sum("errors").alias("errors"))
 
 
 def _xlsb(spark: SparkSession, df: DataFrame, name: str, **options) -> DataFrame:
@@ -284,11 +330,14 @@ def xls_dates_orders(spark, sf_dir):
     return _xls(spark, df, "orders", is_1904=True)
 
 
-@query("SELECT * FROM (VALUES ('A', 0, 'visible', 'worksheet'), ('B', 1, 'hidden', 'worksheet'), ('C', 2, 'veryHidden', 'worksheet')) t(sheet, sheet_idx, visible, type)")
+@query(f"SELECT r_name AS sheet, r_regionkey::INT AS sheet_idx, {_STATES} FROM region")
 def xls_sheets(spark, sf_dir):
-    path = f"{folder(spark)}/states.xls"
-    xls_writer.write(path, {"A": [(1,)], "B": [(2,)], "C": [(3,)]}, states={"B": 1, "C": 2})
-    return xls.sheets(spark, path).select("sheet", F.col("sheet_idx").cast("int").alias("sheet_idx"), "visible", "type")
+    df = table(spark, sf_dir, "region").select("r_regionkey", "r_name").coalesce(1)  # 5 rows
+
+    def make(path: str, rows: list[tuple]) -> None:
+        xls_writer.write(path, {name: [(k,)] for k, name in sorted(rows)}, states={name: k % 3 for k, name in rows})
+
+    return xls.sheets(spark, files_of(spark, df, "states", make, "xls")).select("sheet", F.col("sheet_idx").cast("int").alias("sheet_idx"), "visible", "type")
 
 
 _SHEET = '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{}</sheetData></worksheet>'
@@ -306,17 +355,28 @@ def _package(path: str, sheet: str, book: str = "xl/workbook.xml", part: str = "
     return path
 
 
-@query("""WITH n AS (SELECT *, row_number() OVER (ORDER BY s_suppkey) AS k FROM supplier)
-SELECT (k + CASE WHEN k > 10 THEN 100 ELSE 0 END)::INT AS row, c AS col, CASE c WHEN 2 THEN s_suppkey WHEN 3 THEN s_nationkey ELSE s_suppkey % 7 END::BIGINT AS v FROM n, (VALUES (2), (3), (7)) t(c)""")
+@query("""WITH n AS (SELECT *, row_number() OVER (PARTITION BY s_suppkey // 100 ORDER BY s_suppkey) AS k FROM supplier)
+SELECT s_suppkey // 100 AS book, (k + CASE WHEN k > 10 THEN 100 ELSE 0 END)::INT AS row, c AS col, CASE c WHEN 2 THEN s_suppkey WHEN 3 THEN s_nationkey ELSE s_suppkey % 7 END::BIGINT AS v FROM n, (VALUES (2), (3), (7)) t(c)""")
 def xlsx_absent_references(spark, sf_dir):
-    """Rows and cells without references go on from the ones before: the first, the eleventh row and two columns are named."""
-    rows, at = [], 0
-    for k, r in enumerate(table(spark, sf_dir, "supplier").orderBy("s_suppkey").select("s_suppkey", "s_nationkey").collect(), 1):
-        at = {1: 2, 11: at + 101}.get(k, at + 1)
-        named = f' r="{at}"' if k in (1, 11) else ""
-        rows.append(f'<row{named}><c r="C{at}"><v>{r[0]}</v></c><c><v>{r[1]}</v></c><c r="H{at}"><v>{r[0] % 7}</v></c></row>')
-    path = _package(f"{folder(spark)}/absent.xlsx", _SHEET.format("".join(rows)))
-    return xlsx.cells(spark, path).select("row", "col", F.col("f").cast("long").alias("v"))
+    """Rows and cells without references go on from the ones before: the first, the eleventh row and two columns are named. A workbook for each hundred keys."""
+    hundred = F.floor(F.col("s_suppkey") / 100).cast("long")
+    df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").groupBy(hundred.alias("book")).agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_nationkey"))).alias("rows"))
+    ship(spark)
+    at = folder(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for book, rows in zip(b.column("book").to_pylist(), b.column("rows").to_pylist()):
+                made, n = [], 0
+                for k, r in enumerate(rows, 1):
+                    n = {1: 2, 11: n + 101}.get(k, n + 1)
+                    named = f' r="{n}"' if k in (1, 11) else ""
+                    made.append(f'<row{named}><c r="C{n}"><v>{r["s_suppkey"]}</v></c><c><v>{r["s_nationkey"]}</v></c><c r="H{n}"><v>{r["s_suppkey"] % 7}</v></c></row>')
+                path = _package(f"{at}/absent-{TaskContext.get().taskAttemptId()}-{book}.xlsx", _SHEET.format("".join(made)))
+                yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    paths = [r["path"] for r in df.mapInArrow(run, "path string").collect()]  # a row for each workbook
+    return xlsx.cells(spark, paths).select(F.regexp_extract("path", r"-(\d+)\.xlsx$", 1).cast("long").alias("book"), "row", "col", F.col("f").cast("long").alias("v"))
 
 
 @query("SELECT r_regionkey::BIGINT AS v, 's' AS sheet FROM region")
@@ -325,3 +385,41 @@ def xlsx_strict_package(spark, sf_dir):
     rows = "".join(f"<row><c><v>{r[0]}</v></c></row>" for r in table(spark, sf_dir, "region").select("r_regionkey").collect())
     path = _package(f"{folder(spark)}/strict.xlsx", _SHEET.format(rows), "main/book.xml", "data/first.xml", "http://purl.oclc.org/ooxml/officeDocument/relationships")
     return xlsx.cells(spark, path).select(F.col("f").cast("long").alias("v"), "sheet")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders")
+def xlsx_prefixed_sheet(spark, sf_dir):
+    """Sheets whose elements have a prefix; they are cut into chunks like any other."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+    return scanned(spark, written(spark, df, "orders", prefix="x"), df)
+
+
+@query("SELECT l_orderkey % 16 AS book, 0 AS r0, 0 AS c0, count(*)::INT - 1 AS r1, 1 AS c1 FROM lineitem GROUP BY 1")
+def xlsx_declared_dimension(spark, sf_dir):
+    """The rectangles that sheets declare; no more than the first chunk of a sheet is inflated."""
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 16).alias("book"), "l_orderkey", "l_quantity").repartition(16, "book")
+
+    def make(path: str, rows: list[tuple]) -> None:
+        books: dict[int, list] = {}
+        for book, key, quantity in rows:
+            books.setdefault(book, []).append((key, float(quantity)))
+        xlsx_writer.write(path, {str(b): own for b, own in books.items()}, dimensions={str(b): f"A1:B{len(own)}" for b, own in books.items()})
+
+    found = xlsx.dimensions(spark, files_of(spark, df, "lines", make))
+    return found.select(F.col("sheet").cast("long").alias("book"), "r0", "c0", "r1", "c1")
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def rows_by_own_headers(spark, sf_dir):
+    """Workbooks with their columns in two orders and headers in different rows, read at once."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+
+    def make(path: str, rows: list[tuple]) -> None:
+        turned = rows[0][0] % 2
+        own = [r[::-1] for r in [("o_orderkey", "o_orderstatus", " o_totalprice "), *rows]] if turned else [("o_orderkey", "o_orderstatus", "o_totalprice"), *rows]
+        xlsx_writer.write(path, {"orders": own}, first=(3, 2) if turned else (0, 0))
+
+    paths = files_of(spark, df.repartition(spark.sparkContext.defaultParallelism), "orders", make)
+    # ranges begin with their first row that has cells
+    heads = header_relation(xlsx.cells(spark, paths, last_row=10), ["path", "sheet"])
+    return rows_by_headers(xlsx.cells(spark, paths), heads, df.schema, ["path", "sheet"]).drop("path", "sheet")

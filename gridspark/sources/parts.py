@@ -7,10 +7,11 @@ is left to SQL functions on chunks that are dealt out evenly.
 
 from __future__ import annotations
 
+import html
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -131,21 +132,56 @@ def roles(z: zipfile.ZipFile, names: dict[str, zipfile.ZipInfo]) -> dict[str, st
     return said
 
 
-def chunks(stream, end: bytes | None, repeat: re.Pattern | None = None) -> Iterator[tuple[int, int, bytes]]:
-    """(number, units before, bytes): cut behind ``end``; what follows the last one is the final chunk.
+#: The prefix of a part's root element.
+_ROOT = re.compile(rb"<([A-Za-z_][\w.\-]*):(?:worksheet|sst|workbook|styleSheet|table|Relationships|pivotTableDefinition|pivotCacheDefinition|pivotCacheRecords|wsDr)\b")
 
-    A unit counts as often as ``repeat`` finds in its text.
+
+def chunks(stream, end: bytes | None, repeat: re.Pattern | None = None) -> Iterator[tuple[int, int, bytes, bool]]:
+    """(number, units before, bytes, whether elements have a prefix): cut behind the end tag ``end``, under whatever prefix the
+    part has; what follows the last one is the final chunk.
+
+    A unit counts as often as ``repeat`` finds in its text. What is held is looked through once, however long a unit is.
     """
-    held, number, units = b"", 0, 0
+    held, number, units, prefixed = [], 0, 0, None
     while part := stream.read(CHUNK):
-        held += part
-        cut = held.rfind(end) + len(end) if end and end in held else 0
-        if cut:
-            own, held = held[:cut], held[cut:]
-            yield number, units, own
+        if prefixed is None:
+            root = _ROOT.search(part[:4096])
+            prefixed = bool(root)
+            if root and end:
+                end = b"</" + root[1] + b":" + end[2:]
+        # an end tag may lie across the border of two reads
+        before = held[-1][-len(end) :] if held and end else b""
+        place = (before + part).rfind(end) if end else -1
+        if place >= 0:
+            cut = place + len(end) - len(before)
+            own = b"".join([*held, part[:cut]]) if cut >= 0 else b"".join(held)[:cut]
+            held = [part[cut:]] if cut >= 0 else [b"".join(held)[cut:] + part]
+            yield number, units, own, prefixed
             number += 1
             units += own.count(end) + (sum(int(n) - 1 for n in repeat.findall(own)) if repeat else 0)
-    yield number, units, held
+        else:
+            held.append(part)
+    yield number, units, b"".join(held), bool(prefixed)
+
+
+_SHEET = re.compile(rb"<(?:[\w.\-]+:)?sheet\s[^>]*>")
+
+
+def members_of(z: zipfile.ZipFile, names: dict[str, zipfile.ZipInfo], usual: dict[str, str], sheets: frozenset[str]) -> set[str]:
+    """The parts of the sheets with these names, by the workbook part of the package."""
+    book = next((n for n, u in usual.items() if re.fullmatch(r"[^/]*/workbook\.xml", u)), None)
+    rels = next((n for n, u in usual.items() if re.fullmatch(r"[^/]*/_rels/workbook\.xml\.rels", u)), None)
+    if not book or not rels:
+        return set()
+    value = lambda e, k: next((html.unescape(m[2].decode("utf-8", "replace")) for m in re.finditer(rb"[\s:](%s)\s*=\s*[\"']([^\"']*)" % k, e)), "")
+    ids = {value(e, b"id") for e in _SHEET.findall(plain(z.read(names[book]), False)) if value(e, b"name") in sheets}
+    base = re.sub(r"_rels/[^/]*$", "", rels)
+    found = set()
+    for e in _RELATION.findall(z.read(names[rels])):
+        if value(e, b"Id") in ids:
+            to = value(e, b"Target").replace("\\", "/").lower()
+            found.add(to[1:] if to.startswith("/") else re.sub(r"[^/]+/\.\./", "", base + to))
+    return found
 
 
 def files(spark: SparkSession, paths) -> DataFrame:
@@ -155,13 +191,15 @@ def files(spark: SparkSession, paths) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "content")
 
 
-def inflate(spark: SparkSession, paths, members: str, end: str | None = None) -> DataFrame:
+def inflate(spark: SparkSession, paths, members: str, end: str | None = None, sheets: Iterable[str] | None = None, last_row: int | None = None) -> DataFrame:
     """Chunks of the members whose usual name matches a pattern, of all zipped workbooks under the paths; other files are passed by.
 
     Which part a member is, the relationships of the package say; rows and cells of sheets have all their references.
+    Sheets that are not asked for by name are not inflated, and none is behind the chunk with ``last_row`` (from 0).
+    A file that is named as a zipped workbook and has no workbook part raises.
     """
     ship(spark)
-    stop = end.encode() if end else None
+    stop, asked = end.encode() if end else None, None if sheets is None else frozenset(sheets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = re.compile(members)
@@ -172,22 +210,28 @@ def inflate(spark: SparkSession, paths, members: str, end: str | None = None) ->
                 with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
                     names = {i.filename.replace("\\", "/").lower().lstrip("/"): i for i in z.infolist()}
                     usual = roles(z, names)
+                    if _NAMED.search(path) and not any(_BOOK.fullmatch(u) for u in usual.values()):
+                        raise ValueError(f"{path}: no workbook in the package")
+                    only = members_of(z, names, usual, asked) if asked is not None else None
                     for name, info in names.items():
-                        if not wanted.fullmatch(usual[name]):
+                        if not wanted.fullmatch(usual[name]) or (only is not None and name not in only):
                             continue
                         place = Places() if end == "</row>" else None
                         with z.open(info) as f:
-                            prefixed = None
-                            for number, units, own in chunks(f, stop):
-                                if prefixed is None:
-                                    prefixed = name != "content.xml" and bool(re.search(rb"<[A-Za-z_][\w.\-]*:(worksheet|sst|workbook|styleSheet|table|Relationships)\b", own[:4096]))
-                                own = plain(own, prefixed)
+                            for number, units, own, prefixed in chunks(f, stop):
+                                own = plain(own, prefixed and name != "content.xml")
                                 text = (place(own) if place else own).decode("utf-8", "replace")
                                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([number], pa.int32()), pa.array([units], pa.int64()), pa.array([text])], names=["path", "member", "chunk", "units", "text"])
+                                if last_row is not None and place and place.row > last_row:
+                                    break
 
     return files(spark, paths).mapInArrow(run, SCHEMA)
 
 
+_NAMED = re.compile(r"\.(?:xlsx|xlsm|xlam)$", re.I)
+_BOOK = re.compile(r"[^/]*/workbook\.(?:xml|bin)")
+
+
 def attribute(element, name: str):
     """An attribute's value, entities resolved; null where it is absent or empty. Prefixes are not looked at."""
     return F.nullif(unescape(F.regexp_extract(element, rf"""(?s)^<[^>]*?[\s:]{name}\s*=\s*(["'])(.*?)\1""", 2)), F.lit(""))

@@ -72,8 +72,8 @@ def formula_tokens(kind: int, body: memoryview) -> memoryview | None:
     return None if at is None else body[at + 4 : at + 4 + long(at)]
 
 
-def records(spark: SparkSession, paths, members: str, types: list[int], functions=None) -> DataFrame:
-    """Records of the given types in the members that match, of all zipped workbooks under the paths."""
+def records(spark: SparkSession, paths, members: str, types: list[int], functions=None, last_row: int | None = None) -> DataFrame:
+    """Records of the given types in the members that match, of all zipped workbooks under the paths; none behind the last row that is asked for."""
     ship(spark)
     wanted, index = frozenset(types), function_index(functions)
 
@@ -94,6 +94,8 @@ def records(spark: SparkSession, paths, members: str, types: list[int], function
                         for seq, (kind, body) in enumerate(record_stream(memoryview(z.read(info)))):
                             if kind == ROW and len(body) >= 4:
                                 row = int.from_bytes(body[:4], "little")
+                                if last_row is not None and row > last_row:
+                                    break
                             elif kind in (BEGIN_XFS, END_XFS):
                                 block = kind
                             if kind in wanted:
@@ -172,12 +174,12 @@ def defined_names(spark: SparkSession, paths, functions=None) -> DataFrame:
     return texts.select("path", "name", F.when(F.col("failure").isNull(), F.coalesce("formula", F.lit(""))).otherwise(wrong).alias("formula"))
 
 
-def cells(spark: SparkSession, paths, functions=None) -> DataFrame:
+def cells(spark: SparkSession, paths, functions=None, last_row: int | None = None) -> DataFrame:
     """The cell relation. A formula whose tokens cannot be read raises where its text is asked for; a cell of a shared or array formula has none.
 
     functions: more of the function index, as a dict or a relation (``functions.library``).
     """
-    got = records(spark, paths, r"[^/]*/worksheets/[^/]*\.bin", [RK, ERROR, BOOL, REAL, TEXT, SHARED, F_TEXT, F_REAL, F_BOOL, F_ERROR], functions)
+    got = records(spark, paths, r"[^/]*/worksheets/[^/]*\.bin", [RK, ERROR, BOOL, REAL, TEXT, SHARED, F_TEXT, F_REAL, F_BOOL, F_ERROR], functions, last_row)
     data, t = F.col("data"), F.col("type")
     own = got.select(
         "path", "member", F.col("row").cast("int").alias("row"), B.unsigned(data, 0, 4).cast("int").alias("col"), B.unsigned(data, 4, 3).cast("int").alias("style"), "type",

@@ -74,8 +74,8 @@ def shared_strings(spark: SparkSession, paths) -> DataFrame:
     return sized.withColumn("before", before).select("path", "before", F.posexplode("items").alias("k", "e")).select("path", (F.col("before") + F.col("k")).cast("int").alias("index"), strings(F.col("e")).alias("text"))
 
 
-def _chunks(spark: SparkSession, paths) -> DataFrame:
-    return inflate(spark, paths, _SHEETS, "</row>")
+def _chunks(spark: SparkSession, paths, only=None, last_row: int | None = None) -> DataFrame:
+    return inflate(spark, paths, _SHEETS, "</row>", only, last_row)
 
 
 @once
@@ -149,9 +149,22 @@ def _values() -> list[Column]:
     ]
 
 
-def cells(spark: SparkSession, paths) -> DataFrame:
-    """The cell relation of all sheets of all workbooks under the paths."""
-    own = _with_shared(_chunks(spark, paths))
+def dimensions(spark: SparkSession, paths) -> DataFrame:
+    """(path, sheet, sheet_idx, r0, c0, r1, c1) as sheets declare them; only their first chunk is inflated. Null where a sheet says nothing."""
+    first = _chunks(spark, paths, last_row=-1).where("chunk = 0")
+    declared = refs.dimension(attribute(F.nullif(F.regexp_extract("text", r"(?s)(<dimension\b[^>]*>)", 1), F.lit("")), "ref"))
+    own = first.select("path", "member", declared.alias("d"))
+    return own.join(sheets(spark, paths).select("path", "member", "sheet", "sheet_idx"), ["path", "member"]).select("path", "sheet", F.col("sheet_idx").cast("int").alias("sheet_idx"), *(F.col(f"d.{k}").cast("int").alias(k) for k in ("r0", "c0", "r1", "c1")))
+
+
+def cells(spark: SparkSession, paths, only: list[str] | None = None, last_row: int | None = None) -> DataFrame:
+    """The cell relation of all sheets of all workbooks under the paths.
+
+    only: names of sheets; others are not inflated. last_row (from 0): sheets are not inflated behind it.
+    """
+    own = _with_shared(_chunks(spark, paths, only, last_row))
+    if last_row is not None:
+        own = own.where(F.col("row") <= last_row)
     own = own.join(sheets(spark, paths).select("path", "member", "sheet", "sheet_idx", "is_1904"), ["path", "member"])
     # cells without a shared string have keys of their own below zero, so that they are not one hot key
     own = own.withColumn("index", F.coalesce(F.when(F.col("t") == "s", F.col("v").try_cast("int")), -1 - F.pmod(F.xxhash64("row", "col"), F.lit(1 << 20)).cast("int")))

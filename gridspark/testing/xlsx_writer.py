@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 import zipfile
 from collections.abc import Iterable
 from xml.sax.saxutils import escape, quoteattr
@@ -47,18 +48,24 @@ def _cell(row: int, col: int, value, is_1904: bool, strings: dict[str, int] | No
     return f'<c {ref} t="inlineStr"><is><t xml:space="preserve">{_text(value)}</t></is></c>'
 
 
-def write(path: str, sheets: dict[str, Iterable], *, is_1904: bool = False, shared: bool = True, first: tuple[int, int] = (0, 0), states: dict[str, str] | None = None, names: dict[str, str] | None = None, merges: dict[str, list[str]] | None = None, links: dict[str, list[tuple[str, str]]] | None = None, tables: dict[str, tuple[str, str, list[str], int]] | None = None) -> None:
-    """Write sheets (name -> rows); tables: sheet -> (name, ref, columns, totals rows)."""
+def write(path: str, sheets: dict[str, Iterable], *, is_1904: bool = False, shared: bool = True, first: tuple[int, int] = (0, 0), states: dict[str, str] | None = None, names: dict[str, str] | None = None, merges: dict[str, list[str]] | None = None, links: dict[str, list[tuple[str, str]]] | None = None, tables: dict[str, tuple[str, str, list[str], int]] | None = None,
+          dimensions: dict[str, str] | None = None, prefix: str = "", numbered: bool = False, links_between: dict[str, list[tuple[str, str]]] | None = None, parts: dict[str, str | bytes] | None = None) -> None:
+    """Write sheets (name -> rows); tables: sheet -> (name, ref, columns, totals rows); dimensions: sheet -> declared reference.
+
+    prefix: of the elements of sheets. numbered: rows are (number, values). links_between: sheet -> (type, target) of more relationships; parts: more members.
+    """
     strings: dict[str, int] | None = {} if shared else None
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         rels, entries = [], []
         for k, (name, rows) in enumerate(sheets.items(), 1):
             with z.open(f"xl/worksheets/sheet{k}.xml", "w") as f:
-                f.write(f'<worksheet xmlns="{_MAIN}" xmlns:r="{_DOC}"><sheetData>'.encode())
-                for r, values in enumerate(rows, first[0]):
+                put = (lambda x: f.write(re.sub("<(/?)(?=[A-Za-z])", rf"<\1{prefix}:", x).encode())) if prefix else (lambda x: f.write(x.encode()))
+                declared = f'<dimension ref="{dimensions[name]}"/>' if dimensions and name in dimensions else ""
+                put(f'<worksheet xmlns{":" + prefix if prefix else ""}="{_MAIN}" xmlns:r="{_DOC}">{declared}<sheetData>')
+                for r, values in rows if numbered else enumerate(rows, first[0]):
                     own = "".join(_cell(r, c, v, is_1904, strings) for c, v in enumerate(values, first[1]))
-                    f.write(f'<row r="{r + 1}">{own}</row>'.encode())
-                f.write(b"</sheetData>")
+                    put(f'<row r="{r + 1}">{own}</row>')
+                put("</sheetData>")
                 own_rels = []
                 if own := (merges or {}).get(name):
                     f.write(f'<mergeCells>{"".join(f"<mergeCell ref={quoteattr(m)}/>" for m in own)}</mergeCells>'.encode())
@@ -67,7 +74,8 @@ def write(path: str, sheets: dict[str, Iterable], *, is_1904: bool = False, shar
                     own_rels += [f'<Relationship Id="rId{n}" Type="{_DOC}/hyperlink" Target={quoteattr(url)} TargetMode="External"/>' for n, (_, url) in enumerate(own)]
                 if own := (tables or {}).get(name):
                     own_rels.append(f'<Relationship Id="rIdT" Type="{_DOC}/table" Target="../tables/table{k}.xml"/>')
-                f.write(b"</worksheet>")
+                put("</worksheet>")
+                own_rels += [f'<Relationship Id="rIdX{n}" Type="{_DOC}/{kind}" Target={quoteattr(to)}/>' for n, (kind, to) in enumerate((links_between or {}).get(name, []))]
             if own := (tables or {}).get(name):
                 columns = "".join(f'<tableColumn id="{n}" name={quoteattr(c)}/>' for n, c in enumerate(own[2], 1))
                 z.writestr(f"xl/tables/table{k}.xml", f'<table xmlns="{_MAIN}" id="{k}" displayName={quoteattr(own[0])} ref={quoteattr(own[1])} totalsRowCount="{own[3]}"><tableColumns count="{len(own[2])}">{columns}</tableColumns></table>')
@@ -80,6 +88,8 @@ def write(path: str, sheets: dict[str, Iterable], *, is_1904: bool = False, shar
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN}" xmlns:r="{_DOC}"><workbookPr{" date1904=" + quoteattr("1") if is_1904 else ""}/><sheets>{"".join(entries)}</sheets>{f"<definedNames>{defined}</definedNames>" if defined else ""}</workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{_PACKAGE}">{"".join(rels)}</Relationships>')
         z.writestr("_rels/.rels", f'<Relationships xmlns="{_PACKAGE}"><Relationship Id="rId1" Type="{_DOC}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        for member, body in (parts or {}).items():
+            z.writestr(member, body)
         z.writestr("xl/styles.xml", _STYLES)
         if strings:
             items = "".join(f'<si><t xml:space="preserve">{_text(s)}</t></si>' for s in strings)
