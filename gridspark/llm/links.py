@@ -242,8 +242,8 @@ class Filter:
                     np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
             yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()])], names=["bits"])
 
-        one = lambda row: np.frombuffer(row[0], np.uint8)
-        parts = keys.select(column).coalesce(32).mapInArrow(fill, "bits binary").rdd.map(one)
+        # stored in between, so that a task needs one Python worker at a time
+        parts = stored(keys.select(column).coalesce(32).mapInArrow(fill, "bits binary"), "filter").rdd.map(lambda row: np.frombuffer(row[0], np.uint8))
         return cls(parts.treeReduce(np.bitwise_or, 2))
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
