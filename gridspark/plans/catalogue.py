@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import algebra, formulas, workbooks
+from . import algebra, formulas, members, workbooks
 
-QUERIES: dict = {**algebra.QUERIES, **workbooks.QUERIES, **formulas.QUERIES}
-ORACLE_SQL: dict[str, str] = {**algebra.ORACLE_SQL, **workbooks.ORACLE_SQL, **formulas.ORACLE_SQL}
+QUERIES: dict = {**algebra.QUERIES, **workbooks.QUERIES, **formulas.QUERIES, **members.QUERIES}
+ORACLE_SQL: dict[str, str] = {**algebra.ORACLE_SQL, **workbooks.ORACLE_SQL, **formulas.ORACLE_SQL, **members.ORACLE_SQL}
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .parts import attribute, elements, inflate
 from .xlsx import _whole, relationships, sheets
 
-_ITEMS = r"(?s)<(?:x|m|s|n|d|b|e)(?:\s[^>]*)?>"
+_ITEMS = r"(?s)<(?:x|m|s|n|d|b|e)(?:\s[^>]*|/)?>"
 #: Columns of an item: the value columns of the cell relation without the epoch.
 _VALUE = ["kind", "i", "f", "s", "b"]
 
@@ -24,13 +24,13 @@ def _rels(all_rels: DataFrame, kind: str, source: str, into: str) -> DataFrame:
 
 
 def pivot_tables(spark: SparkSession, paths) -> DataFrame:
-    """(path, sheet, name, definition, records) of every pivot table; a table without a cache has null parts."""
+    """(path, sheet, pivot, definition, records) of every pivot table; a table without a cache has null parts."""
     rels = relationships(spark, paths, r".*_rels/[^/]*\.rels")
-    heads = _whole(spark, paths, r"[^/]*/pivottables/[^/]*\.xml").select("path", F.col("member").alias("pivot"), attribute(F.regexp_extract("text", r"(?s)(<pivotTableDefinition\b[^>]*>)", 1), "name").alias("name"))
-    on_sheet = sheets(spark, paths).select("path", F.col("member").alias("sheet_member"), "sheet").join(_rels(rels, "pivotTable", "sheet_member", "pivot"), ["path", "sheet_member"])
-    named = on_sheet.join(heads, ["path", "pivot"])
-    cached = named.join(_rels(rels, "pivotCacheDefinition", "pivot", "definition"), ["path", "pivot"], "left")
-    return cached.join(_rels(rels, "pivotCacheRecords", "definition", "records"), ["path", "definition"], "left").select("path", "sheet", "name", "definition", "records")
+    heads = _whole(spark, paths, r"[^/]*/pivottables/[^/]*\.xml").select("path", F.col("member").alias("part"), attribute(F.regexp_extract("text", r"(?s)(<pivotTableDefinition\b[^>]*>)", 1), "name").alias("pivot"))
+    on_sheet = sheets(spark, paths).select("path", F.col("member").alias("sheet_member"), "sheet").join(_rels(rels, "pivotTable", "sheet_member", "part"), ["path", "sheet_member"])
+    named = on_sheet.join(heads, ["path", "part"])
+    cached = named.join(_rels(rels, "pivotCacheDefinition", "part", "definition"), ["path", "part"], "left")
+    return cached.join(_rels(rels, "pivotCacheRecords", "definition", "records"), ["path", "definition"], "left").select("path", "sheet", "pivot", "definition", "records")
 
 
 def _fields(spark: SparkSession, paths) -> DataFrame:
@@ -67,6 +67,12 @@ def shared_items(spark: SparkSession, paths) -> DataFrame:
     return items.select("path", "definition", "col", "index", *_parsed(F.col("item")))
 
 
+def headers(spark: SparkSession, paths) -> DataFrame:
+    """(path, sheet, pivot, header_row, col, name): the fields of every pivot table, as the operators on typed rows take them."""
+    tables = pivot_tables(spark, paths).select("path", "sheet", "pivot", "definition")
+    return tables.join(pivot_fields(spark, paths), ["path", "definition"]).select("path", "sheet", "pivot", F.lit(0).alias("header_row"), F.col("col").cast("int").alias("col"), F.col("field").alias("name"))
+
+
 def _records(spark: SparkSession, paths) -> DataFrame:
     """(path, records, row, col, item): items as they stand in the records; rows from 1."""
     chunks = inflate(spark, paths, r"[^/]*/pivotcache/pivotcacherecords[^/]*\.xml", "</r>").repartition("path", "member", "chunk")
@@ -75,7 +81,7 @@ def _records(spark: SparkSession, paths) -> DataFrame:
 
 
 def pivot_cells(spark: SparkSession, paths) -> DataFrame:
-    """(path, sheet, name, row, col, field, kind, i, f, s, b, is_1904) of the records behind every pivot table.
+    """(path, sheet, pivot, row, col, field, kind, i, f, s, b, is_1904) of the records behind every pivot table.
 
     Row 0 has the names of the fields, so that the operators on typed rows read a cache like a sheet. A number that its dictionary
     lacks raises.
@@ -94,4 +100,4 @@ def pivot_cells(spark: SparkSession, paths) -> DataFrame:
     names = caches.select("path", "definition", "records", F.lit(0).cast("long").alias("row"), "col", "field", F.lit("string").alias("kind"), F.lit(None).cast("bigint").alias("i"), F.lit(None).cast("double").alias("f"), F.col("field").alias("s"), F.lit(None).cast("boolean").alias("b"))
     cells = plain.unionByName(looked).unionByName(names)
     placed = cells.join(tables, ["path", "definition", "records"])
-    return placed.select("path", "sheet", "name", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "field", *_VALUE, F.lit(False).alias("is_1904"))
+    return placed.select("path", "sheet", "pivot", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), "field", *_VALUE, F.lit(False).alias("is_1904"))

@@ -21,6 +21,7 @@ from ..functions.library import functions as function_index
 from ..model import CELLS, ERROR_CODES
 from ..shipping import ship
 from . import tokens
+from .compound import MAGIC, Compound
 from .parts import files
 from .xlsb import _PIECES, by_number
 
@@ -38,50 +39,10 @@ BATCH = 20_000
 
 def workbook_stream(data: memoryview) -> bytes | None:
     """The workbook stream of a compound file; None if it has none. ValueError where sectors lie outside the file."""
-    word = lambda at: int.from_bytes(data[at : at + 4], "little")
-    size, small = 1 << data[30], 1 << data[32]
-
-    def sector(k: int) -> memoryview:
-        own = data[(k + 1) * size : (k + 2) * size]
-        if not len(own):
-            raise ValueError(f"no sector {k}")
-        return own
-
-    def numbers(raw: bytes) -> tuple[int, ...]:
-        return struct.unpack(f"<{len(raw) // 4}I", raw[: len(raw) // 4 * 4])
-
-    def chain(first: int, follow: tuple[int, ...]) -> Iterator[int]:
-        for _ in range(len(follow) + 1):
-            if first >= 0xFFFFFFFA:
-                return
-            yield first
-            if first >= len(follow):
-                raise ValueError(f"no sector {first}")
-            first = follow[first]
-        raise ValueError("sectors in a circle")
-
-    listed, more = list(numbers(bytes(data[76:512]))), word(68)
-    for _ in range(word(72)):
-        if more >= 0xFFFFFFFA:
-            break
-        *own, more = numbers(bytes(sector(more)))
-        listed += own
-    table = numbers(b"".join(bytes(sector(k)) for k in listed[: word(44)] if k < 0xFFFFFFFA))
-    read = lambda first: b"".join(bytes(sector(k)) for k in chain(first, table))
-    entries = read(word(48))
-    found: dict[str, tuple[int, int]] = {}
-    for at in range(0, len(entries) - 127, 128):
-        name = entries[at : at + 64].decode("utf-16-le", "replace").split("\0")[0]
-        first, length = struct.unpack_from("<II", entries, at + 116)
-        found.setdefault("" if at == 0 else name, (first, length))
+    file = Compound(data)
+    found = {e[0]: e[5:] for e in reversed(file.entries[1:])}
     name = next((n for n in STREAMS if n in found), None)
-    if name is None:
-        return None
-    first, length = found[name]
-    if length >= word(56):
-        return read(first)[:length]
-    pool, minor = read(found[""][0]), numbers(read(word(60)))
-    return b"".join(pool[k * small : (k + 1) * small] for k in chain(first, minor))[:length]
+    return None if name is None else file.read(*found[name])
 
 
 def record_stream(data: bytes, at: int = 0) -> Iterator[tuple[int, list[bytes]]]:
@@ -239,7 +200,7 @@ def records(spark: SparkSession, paths, types: list[int], codepage: int | None =
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content")):
                 raw = memoryview(content.as_buffer())
-                if bytes(raw[:8]) != bytes.fromhex("D0CF11E0A1B11AE1"):
+                if bytes(raw[:8]) != MAGIC:
                     continue
                 rows = []
                 try:
