@@ -32,3 +32,27 @@ class UnknownFormat(GridError):
 
 class HeaderNotFound(GridError):
     pass
+
+
+class BadPackage(GridError):
+    """A file that is no archive, or whose directory cannot be read."""
+
+
+class NoWorkbook(GridError):
+    """A package without a workbook part."""
+
+
+class BadPart(GridError):
+    """A part that cannot be inflated, or whose checksum is wrong."""
+
+
+class BadRecord(GridError):
+    """A binary workbook whose sectors or records are broken."""
+
+
+class BadCell(GridError):
+    """A cell whose value its type does not have, or of a type that there is not."""
+
+
+class LostString(GridError):
+    """A cell whose shared string is not there."""

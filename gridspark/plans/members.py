@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators.rows import rows_by_headers
-from ..sources import media, pivots, vba
+from ..shipping import ship
+from ..sources import faults, media, pivots, vba
 from ..testing import parts_writer, vba_writer, xlsx_writer
 from .formulas import blobs, parts_of
-from .workbooks import query_of, table
+from .workbooks import query_of, shared_folder, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -106,3 +109,44 @@ def vba_references(spark, sf_dir):
     own = vba.references(spark, _projects(spark, sf_dir)).select("name", "description", "location").distinct()
     known = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("source")).distinct().where("source NOT LIKE '%1%'").select(F.concat(F.lit("C:\\lib\\"), "source", F.lit(".dll")).alias("location"), F.lit(True).alias("known"))
     return own.join(known, "location", "left").select("name", "description", "location", F.col("known").isNull().alias("missing"))
+
+
+@query("""SELECT error, sheet, count(*) AS n FROM (
+  SELECT DISTINCT 'BadPart' AS error, 'nation ' || c_nationkey AS sheet, c_custkey % 4 AS book FROM customer WHERE c_nationkey % 3 = 0
+  UNION ALL SELECT 'BadCell', 'nation ' || c_nationkey, c_custkey FROM customer WHERE c_nationkey % 3 = 1 AND c_custkey % 10 = 0
+  UNION ALL SELECT 'LostString', 'nation ' || c_nationkey, c_custkey FROM customer WHERE c_nationkey % 3 = 1 AND c_custkey % 10 = 1) GROUP BY ALL""")
+def workbook_errors(spark, sf_dir):
+    """Four workbooks with a sheet for each nation: some sheets cannot be inflated, in some there are cells of no type or without a string."""
+    df = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 4).alias("book"), "c_custkey", "c_nationkey").repartition(4, "book")
+
+    def book_of(rows: list[tuple[int, int]]) -> bytes:
+        kinds, sheets = {0: ' t="zz"', 1: ' t="s"'}, {}
+        for key, nation in rows:
+            own = sheets.setdefault(nation, [])
+            own.append(f'<row r="{len(own) + 1}"><c r="A{len(own) + 1}"{kinds.get(key % 10, "") if nation % 3 == 1 else ""}><v>{key}</v></c></row>')
+        made = io.BytesIO()
+        with zipfile.ZipFile(made, "w", zipfile.ZIP_STORED) as z:
+            z.writestr("_rels/.rels", parts_writer.relationships([("rId1", "officeDocument", "xl/workbook.xml")]))
+            z.writestr("xl/workbook.xml", f'<workbook xmlns:r="x"><sheets>{"".join(f"""<sheet name="nation {n}" sheetId="{n + 1}" r:id="rId{n}"/>""" for n in sheets)}</sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", parts_writer.relationships([(f"rId{n}", "worksheet", f"worksheets/sheet{n}.xml") for n in sheets]))
+            for n, own in sheets.items():
+                z.writestr(f"xl/worksheets/sheet{n}.xml", f"<worksheet><!--sheet {n}--><sheetData>{''.join(own)}</sheetData></worksheet>")
+        raw = made.getvalue()
+        for n in sheets:
+            if n % 3 == 0:  # one byte is another than its checksum says
+                raw = raw.replace(f"<!--sheet {n}-->".encode(), f"<!--sheet {n}+->".encode(), 1)
+        return raw
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        books: dict[int, list[tuple[int, int]]] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                books.setdefault(r["book"], []).append((r["c_custkey"], r["c_nationkey"]))
+        for book, rows in books.items():
+            yield pa.RecordBatch.from_arrays([pa.array([f"book-{book}.xlsx"]), pa.array([book_of(rows)])], names=["path", "content"])
+
+    ship(spark)
+    at = shared_folder(spark, "broken")
+    df.mapInArrow(each, "path string, content binary").write.parquet(at)
+    found = faults.workbook_errors(spark, spark.read.schema("path string, content binary").parquet(at))
+    return found.groupBy("error", "sheet").agg(F.count("*").alias("n"))

@@ -64,7 +64,7 @@ def cells(spark: SparkSession, paths, mode: str = "failfast") -> DataFrame:
     paths: files or folders, or a relation (path, content) of workbooks; so in ``sheets`` and ``defined_names``.
     """
     strict = mode == "failfast"
-    return _each(spark, paths, mode, {"xlsx": lambda f: xlsx.cells(spark, f), "ods": lambda f: ods.cells(spark, f), "xlsb": lambda f: xlsb.cells(spark, f), "xls": lambda f: xls.cells(spark, f, strict=strict)})
+    return _each(spark, paths, mode, {"xlsx": lambda f: xlsx.cells(spark, f, mode=mode), "ods": lambda f: ods.cells(spark, f), "xlsb": lambda f: xlsb.cells(spark, f), "xls": lambda f: xls.cells(spark, f, strict=strict)})
 
 
 def sheets(spark: SparkSession, paths, mode: str = "failfast") -> DataFrame:

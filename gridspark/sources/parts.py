@@ -11,6 +11,7 @@ import html
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.refs import let
+from ..model import BadPackage, BadPart, NoWorkbook
 from ..shipping import ship
 
 CHUNK = 1 << 20
@@ -191,12 +193,15 @@ def files(spark: SparkSession, paths) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "content")
 
 
-def inflate(spark: SparkSession, paths, members: str, end: str | None = None, sheets: Iterable[str] | None = None, last_row: int | None = None) -> DataFrame:
+def inflate(spark: SparkSession, paths, members: str, end: str | None = None, sheets: Iterable[str] | None = None, last_row: int | None = None, broken: str = "raise") -> DataFrame:
     """Chunks of the members whose usual name matches a pattern, of all zipped workbooks under the paths; other files are passed by.
 
     Which part a member is, the relationships of the package say; rows and cells of sheets have all their references.
     Sheets that are not asked for by name are not inflated, and none is behind the chunk with ``last_row`` (from 0).
     A file that is named as a zipped workbook and has no workbook part raises.
+
+    broken: what of a package or a part that cannot be read: ``raise``; ``skip`` what follows the break, so that a sheet may lack
+    rows behind it; or ``report``, for one row (path, member, -1, 0, class and text of the error) for each and no chunks.
     """
     ship(spark)
     stop, asked = end.encode() if end else None, None if sheets is None else frozenset(sheets)
@@ -207,27 +212,52 @@ def inflate(spark: SparkSession, paths, members: str, end: str | None = None, sh
             for path, content in zip(b.column("path").to_pylist(), b.column("content")):
                 if content.as_buffer()[:2].to_pybytes() != b"PK":
                     continue
-                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as z:
+                try:
+                    z = zipfile.ZipFile(io.BytesIO(content.as_buffer()))
                     names = {i.filename.replace("\\", "/").lower().lstrip("/"): i for i in z.infolist()}
                     usual = roles(z, names)
                     if _NAMED.search(path) and not any(_BOOK.fullmatch(u) for u in usual.values()):
-                        raise ValueError(f"{path}: no workbook in the package")
+                        raise NoWorkbook("no workbook in the package")
                     only = members_of(z, names, usual, asked) if asked is not None else None
-                    for name, info in names.items():
-                        if not wanted.fullmatch(usual[name]) or (only is not None and name not in only):
-                            continue
-                        place = Places() if end == "</row>" else None
+                except (*_BROKEN, NoWorkbook) as e:
+                    if broken == "raise":
+                        raise ValueError(f"{path}: {e}") from e
+                    if broken == "report":
+                        yield _chunk(path, "", -1, 0, _said(e if isinstance(e, NoWorkbook) else BadPackage(str(e))))
+                    continue
+                for name, info in names.items():
+                    if not wanted.fullmatch(usual[name]) or (only is not None and name not in only):
+                        continue
+                    place = Places() if end == "</row>" else None
+                    try:
                         with z.open(info) as f:
                             for number, units, own, prefixed in chunks(f, stop):
+                                if broken == "report":
+                                    continue
                                 own = plain(own, prefixed and name != "content.xml")
-                                text = (place(own) if place else own).decode("utf-8", "replace")
-                                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([name]), pa.array([number], pa.int32()), pa.array([units], pa.int64()), pa.array([text])], names=["path", "member", "chunk", "units", "text"])
+                                yield _chunk(path, name, number, units, (place(own) if place else own).decode("utf-8", "replace"))
                                 if last_row is not None and place and place.row > last_row:
                                     break
+                    except _BROKEN as e:
+                        if broken == "raise":
+                            raise ValueError(f"{path}: {name}: {e}") from e
+                        if broken == "report":
+                            yield _chunk(path, name, -1, 0, _said(BadPart(str(e))))
 
     return files(spark, paths).mapInArrow(run, SCHEMA)
 
 
+_BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError)
+
+
+def _said(e: Exception) -> str:
+    return f"{type(e).__name__}: {e}"
+
+
+def _chunk(path: str, member: str, number: int, units: int, text: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([member]), pa.array([number], pa.int32()), pa.array([units], pa.int64()), pa.array([text])], names=["path", "member", "chunk", "units", "text"])
+
+
 _NAMED = re.compile(r"\.(?:xlsx|xlsm|xlam)$", re.I)
 _BOOK = re.compile(r"[^/]*/workbook\.(?:xml|bin)")
 

@@ -190,8 +190,11 @@ def workbook_records(data: bytes, wanted: frozenset[int], codepage: int | None,
                 yield k, kind, parts[0], None, own if kind == FORMULA else None
 
 
-def records(spark: SparkSession, paths, types: list[int], codepage: int | None = None, strict: bool = True, functions=None) -> DataFrame:
-    """Records of the given types of all compound files under the paths; broken files raise, or are passed by if not strict."""
+def records(spark: SparkSession, paths, types: list[int], codepage: int | None = None, strict: bool = True, functions=None, report: bool = False) -> DataFrame:
+    """Records of the given types of all compound files under the paths; broken files raise, or are passed by if not strict.
+
+    report: no records, but a row of type -1 for each broken file, with what is wrong as its text.
+    """
     ship(spark)
     wanted, index = frozenset(types), function_index(functions)
 
@@ -208,12 +211,16 @@ def records(spark: SparkSession, paths, types: list[int], codepage: int | None =
                     if stream is None:
                         raise ValueError("no workbook stream")
                     for seq, own in enumerate(workbook_records(stream, wanted, codepage, index)):
+                        if report:
+                            continue
                         rows.append((path, own[0], seq, *own[1:]))
                         if len(rows) >= BATCH:
                             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
                             rows = []
                 except (ValueError, IndexError, LookupError, struct.error) as e:
-                    if strict:
+                    if report:
+                        rows.append((path, -1, 0, -1, None, str(e), None))
+                    elif strict:
                         raise ValueError(f"{path}: {e}") from e
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)

@@ -18,15 +18,15 @@ from .parts import attribute, elements, inflate, strings, unescape
 _SHEETS = r"[^/]*/worksheets/[^/]*\.xml"
 
 
-def _whole(spark: SparkSession, paths, member: str) -> DataFrame:
+def _whole(spark: SparkSession, paths, member: str, broken: str = "raise") -> DataFrame:
     """Small members, their chunks joined."""
-    got = inflate(spark, paths, member).groupBy("path", "member").agg(F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("c"))
+    got = inflate(spark, paths, member, broken=broken).groupBy("path", "member").agg(F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("c"))
     return got.select("path", "member", F.array_join(F.transform("c", lambda x: x.text), "").alias("text"))
 
 
-def relationships(spark: SparkSession, paths, member: str) -> DataFrame:
+def relationships(spark: SparkSession, paths, member: str, broken: str = "raise") -> DataFrame:
     """(path, member, id, target, type) of relationship parts; targets relative to the package root, lower case."""
-    found = _whole(spark, paths, member).select("path", "member", F.explode(elements(F.col("text"), "Relationship")).alias("e"))
+    found = _whole(spark, paths, member, broken).select("path", "member", F.explode(elements(F.col("text"), "Relationship")).alias("e"))
     base = F.regexp_extract("member", r"^(.*?)_rels/[^/]*$", 1)
     target = attribute(F.col("e"), "Target")
     full = F.when(target.startswith("/"), F.substring(target, 2, 1 << 20)).otherwise(F.concat(base, target))
@@ -34,13 +34,13 @@ def relationships(spark: SparkSession, paths, member: str) -> DataFrame:
     return found.select("path", "member", attribute(F.col("e"), "Id").alias("id"), F.when(attribute(F.col("e"), "TargetMode") == "External", target).otherwise(F.lower(full)).alias("target"), F.regexp_extract(attribute(F.col("e"), "Type"), "([^/]*)$", 1).alias("type"))
 
 
-def sheets(spark: SparkSession, paths) -> DataFrame:
+def sheets(spark: SparkSession, paths, broken: str = "raise") -> DataFrame:
     """(path, sheet_idx, sheet, type, visible, is_1904, member) in workbook order."""
-    book = _whole(spark, paths, r"[^/]*/workbook\.xml")
+    book = _whole(spark, paths, r"[^/]*/workbook\.xml", broken)
     flag = attribute(F.element_at(elements(F.col("text"), "workbookPr"), 1), "date1904")
     own = book.select("path", F.coalesce(F.when(F.size(elements(F.col("text"), "workbookPr")) > 0, flag).isin("1", "true"), F.lit(False)).alias("is_1904"), F.posexplode(elements(F.col("text"), "sheet")).alias("sheet_idx", "e"))
     own = own.select("path", "sheet_idx", "is_1904", attribute(F.col("e"), "name").alias("sheet"), F.coalesce(attribute(F.col("e"), "state"), F.lit("visible")).alias("visible"), F.regexp_extract("e", r'[\s]\w+:id\s*=\s*"([^"]*)"', 1).alias("id"))
-    rels = relationships(spark, paths, r"[^/]*/_rels/workbook\.xml\.rels").select("path", "id", F.col("target").alias("member"), "type")
+    rels = relationships(spark, paths, r"[^/]*/_rels/workbook\.xml\.rels", broken).select("path", "id", F.col("target").alias("member"), "type")
     return own.join(rels, ["path", "id"]).select("path", "sheet_idx", "sheet", "type", "visible", "is_1904", "member")
 
 
@@ -55,18 +55,18 @@ def _custom_formats() -> list[Column]:
     return [F.col("path"), attribute(F.col("e"), "numFmtId").alias("fmt"), formats.custom_class(attribute(F.col("e"), "formatCode")).alias("custom")]
 
 
-def styles(spark: SparkSession, paths) -> DataFrame:
+def styles(spark: SparkSession, paths, broken: str = "raise") -> DataFrame:
     """(path, style, class): number-format class of each cell format."""
-    text = _whole(spark, paths, r"[^/]*/styles\.xml")
+    text = _whole(spark, paths, r"[^/]*/styles\.xml", broken)
     custom = text.select("path", F.explode(elements(F.col("text"), "numFmt")).alias("e")).select(*_custom_formats())
     block = F.regexp_extract("text", r"(?s)<cellXfs[^>]*>(.*?)</cellXfs>", 1)
     xfs = text.select("path", F.posexplode(F.regexp_extract_all(block, F.lit(r"(?s)<xf\b[^>]*>"), F.lit(0))).alias("style", "e")).select("path", "style", F.coalesce(attribute(F.col("e"), "numFmtId"), F.lit("0")).alias("fmt"))
     return xfs.join(custom.dropDuplicates(["path", "fmt"]), ["path", "fmt"], "left").select("path", "style", F.coalesce("custom", formats.builtin_class(F.col("fmt").try_cast("int"))).alias("class"))
 
 
-def shared_strings(spark: SparkSession, paths) -> DataFrame:
+def shared_strings(spark: SparkSession, paths, broken: str = "raise") -> DataFrame:
     """(path, index, text)."""
-    got = inflate(spark, paths, r"[^/]*/sharedstrings\.xml", "</si>")
+    got = inflate(spark, paths, r"[^/]*/sharedstrings\.xml", "</si>", broken=broken)
     items = F.regexp_extract_all("text", F.lit(r"(?s)<si\s*/>|<si(?:\s[^>]*)?>.*?</si>"), F.lit(0))
     # empty items close no element, so chunks count all items themselves
     sized = got.select("path", "chunk", items.alias("items"))
@@ -74,8 +74,8 @@ def shared_strings(spark: SparkSession, paths) -> DataFrame:
     return sized.withColumn("before", before).select("path", "before", F.posexplode("items").alias("k", "e")).select("path", (F.col("before") + F.col("k")).cast("int").alias("index"), strings(F.col("e")).alias("text"))
 
 
-def _chunks(spark: SparkSession, paths, only=None, last_row: int | None = None) -> DataFrame:
-    return inflate(spark, paths, _SHEETS, "</row>", only, last_row)
+def _chunks(spark: SparkSession, paths, only=None, last_row: int | None = None, broken: str = "raise") -> DataFrame:
+    return inflate(spark, paths, _SHEETS, "</row>", only, last_row, broken)
 
 
 @once
@@ -135,17 +135,17 @@ def _values() -> list[Column]:
     """The cell relation out of parsed cells with their string, class and sheet."""
     given, t, filled = F.col("t"), F.coalesce("t", F.lit("n")), F.col("v") != ""
     number = F.when(t == "n", F.when(F.col("v").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.col("v")).try_cast("double"))
-    lost = F.raise_error(F.concat(F.lit("no shared string "), F.col("v"))).cast("string")
     kind = (
         F.when(t == "inlineStr", "string").when((t == "str") & (filled | F.col("formula").isNotNull()), "string").when(~filled, "empty").when(t == "s", "string").when(t == "b", "bool").when(t == "e", "error").when(t == "d", "datetime_iso")
         .when(number.isNull(), "string").otherwise(formats.number_kind(F.coalesce("class", F.lit("other")), F.lit(False)))
     )
-    wrong = F.raise_error(F.concat(F.lit("no value of type "), t, F.lit(": "), F.col("v"))).cast("string")
-    text = F.when(~t.isin("inlineStr", "str", "s", "b", "e", "d", "n") & filled, wrong).when((t == "e") & filled & ~F.col("v").isin(*ERROR_CODES.values()), wrong).when((given == "n") & filled & number.isNull(), wrong)
-    text = text.when(t == "inlineStr", F.col("inline")).when(~filled, F.when(t == "str", "")).when(t == "s", F.coalesce("text", lost)).when((t == "n") & number.isNotNull(), None).when(t != "b", F.col("v"))
+    wrong = F.concat(F.lit("BadCell: no value of type "), t, F.lit(": "), F.col("v"))
+    fault = F.when(~t.isin("inlineStr", "str", "s", "b", "e", "d", "n") & filled, wrong).when((t == "e") & filled & ~F.col("v").isin(*ERROR_CODES.values()), wrong).when((given == "n") & filled & number.isNull(), wrong)
+    fault = fault.when((t == "s") & filled & F.col("text").isNull(), F.concat(F.lit("LostString: no shared string "), F.col("v")))
+    text = F.when(t == "inlineStr", F.col("inline")).when(~filled, F.when(t == "str", "")).when(t == "s", F.col("text")).when((t == "n") & number.isNotNull(), None).when(t != "b", F.col("v"))
     return [
         F.col("path"), F.col("sheet"), F.col("sheet_idx").cast("int").alias("sheet_idx"), F.col("row"), F.col("col"), kind.alias("kind"), F.lit(None).cast("bigint").alias("i"), number.alias("f"), text.alias("s"), F.when((t == "b") & filled, F.col("v") != "0").alias("b"),
-        F.col("is_1904"), F.col("formula"), F.col("formula_kind"), F.col("shared_index"),
+        F.col("is_1904"), F.col("formula"), F.col("formula_kind"), F.col("shared_index"), fault.alias("fault"),
     ]
 
 
@@ -157,19 +157,32 @@ def dimensions(spark: SparkSession, paths) -> DataFrame:
     return own.join(sheets(spark, paths).select("path", "member", "sheet", "sheet_idx"), ["path", "member"]).select("path", "sheet", F.col("sheet_idx").cast("int").alias("sheet_idx"), *(F.col(f"d.{k}").cast("int").alias(k) for k in ("r0", "c0", "r1", "c1")))
 
 
-def cells(spark: SparkSession, paths, only: list[str] | None = None, last_row: int | None = None) -> DataFrame:
+def cells(spark: SparkSession, paths, only: list[str] | None = None, last_row: int | None = None, mode: str = "failfast") -> DataFrame:
     """The cell relation of all sheets of all workbooks under the paths.
 
     only: names of sheets; others are not inflated. last_row (from 0): sheets are not inflated behind it.
+    mode: ``failfast`` raises where a part or a cell cannot be read; ``permissive`` leaves out that cell, and of a broken part
+    what follows the break (``faults.workbook_errors`` says which these are).
     """
-    own = _with_shared(_chunks(spark, paths, only, last_row))
+    own = _faulted(spark, paths, only, last_row, "raise" if mode == "failfast" else "skip")
+    if mode == "failfast":
+        told = F.raise_error(F.regexp_replace("fault", "^\\w+: ", "")).cast("string")
+        own = own.withColumn("kind", F.when(F.col("fault").isNull(), F.col("kind")).otherwise(told))
+    else:
+        own = own.where("fault IS NULL")
+    return own.drop("fault").to(spark.createDataFrame([], CELLS).schema)
+
+
+def _faulted(spark: SparkSession, paths, only: list[str] | None = None, last_row: int | None = None, broken: str = "raise") -> DataFrame:
+    """The cell relation with a column ``fault``: class and text of what is wrong with a cell."""
+    own = _with_shared(_chunks(spark, paths, only, last_row, broken))
     if last_row is not None:
         own = own.where(F.col("row") <= last_row)
-    own = own.join(sheets(spark, paths).select("path", "member", "sheet", "sheet_idx", "is_1904"), ["path", "member"])
+    own = own.join(sheets(spark, paths, broken).select("path", "member", "sheet", "sheet_idx", "is_1904"), ["path", "member"])
     # cells without a shared string have keys of their own below zero, so that they are not one hot key
     own = own.withColumn("index", F.coalesce(F.when(F.col("t") == "s", F.col("v").try_cast("int")), -1 - F.pmod(F.xxhash64("row", "col"), F.lit(1 << 20)).cast("int")))
-    own = own.join(shared_strings(spark, paths), ["path", "index"], "left").join(styles(spark, paths), ["path", "style"], "left")
-    return own.select(*_values()).to(spark.createDataFrame([], CELLS).schema)
+    own = own.join(shared_strings(spark, paths, broken), ["path", "index"], "left").join(styles(spark, paths, broken), ["path", "style"], "left")
+    return own.select(*_values())
 
 
 @once

@@ -10,16 +10,15 @@ from ..sources import auto
 _FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
-def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, pattern: str = "*.{xlsx,xlsm,xlam,xlsb,ods}", **trigger) -> StreamingQuery:
+def follow(spark: SparkSession, folder: str, out: str, checkpoint: str, pattern: str = "*.{xlsx,xlsm,xlam,xlsb,ods,xls,xla}", **trigger) -> StreamingQuery:
     """Append the cells of new workbooks under ``out``, each batch in a folder of its own.
 
-    The stream carries paths only; a batch that is run again after a failure overwrites its own folder.
+    A batch is a relation of paths and contents, as the sources take it: nothing of it is collected. One that is run again
+    after a failure overwrites its own folder.
     """
-    arrived = spark.readStream.format("binaryFile").schema(_FILE).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path")
+    arrived = spark.readStream.format("binaryFile").schema(_FILE).option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder).select("path", "content")
 
     def each(batch: DataFrame, number: int) -> None:
-        paths = [r["path"] for r in batch.collect()]
-        if paths:
-            auto.cells(spark, paths).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        auto.cells(batch.sparkSession, batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return arrived.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
