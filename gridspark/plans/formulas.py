@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import shared_folder
 from ..shipping import ship
 from ..sources import auto, xls, xlsb
 from ..testing import ods_writer, xls_writer, xlsb_writer, xlsx_writer
 from ..testing.token_writer import Formula, compiled
-from .workbooks import query_of, shared_folder, table
+from .workbooks import query_of, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

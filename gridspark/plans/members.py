@@ -10,11 +10,12 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..operators.rows import rows_by_headers
+from ..shared import shared_folder
 from ..shipping import ship
 from ..sources import faults, media, pivots, vba
 from ..testing import parts_writer, vba_writer, xlsx_writer
 from .formulas import blobs, parts_of
-from .workbooks import query_of, shared_folder, table
+from .workbooks import query_of, table
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}

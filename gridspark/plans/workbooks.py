@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -18,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.cells import Cell
 from ..operators import ranges
 from ..operators.rows import header_relation, rows_by_headers
+from ..shared import shared_folder
 from ..shipping import ship
 from ..sources import auto, ods, xls, xlsb, xlsx
 from ..testing import ods_writer, xls_writer, xlsb_writer, xlsx_writer
@@ -43,14 +42,6 @@ def query_of(queries: dict, sqls: dict):
 query = query_of(QUERIES, ORACLE_SQL)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share; any file system that Spark reaches."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{(path or tempfile.mkdtemp(prefix='gridspark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def folder(spark: SparkSession) -> str:
     """A new folder of files that driver and executors share; Python writes there, so it has to be mounted."""
     path = shared_folder(spark, "workbooks")
@@ -93,9 +84,10 @@ def written(spark: SparkSession, df: DataFrame, name: str, header: bool = True,
 
 
 def scanned(spark: SparkSession, paths: list[str], df: DataFrame, header_row: int = 0) -> DataFrame:
-    """The typed rows of workbooks under df's schema, each by its own header; sheets are inflated down to the header for that."""
-    heads = header_relation(xlsx.cells(spark, paths, last_row=header_row), ["path", "sheet"], header_row)
-    return rows_by_headers(xlsx.cells(spark, paths), heads, df.schema, ["path", "sheet"]).drop("path", "sheet")
+    """The typed rows of workbooks under df's schema, each by its own header. Every file is opened once."""
+    parts = xlsx.opened(spark, paths)
+    heads = header_relation(xlsx.cells(spark, parts, last_row=header_row), ["path", "sheet"], header_row)
+    return rows_by_headers(xlsx.cells(spark, parts), heads, df.schema, ["path", "sheet"]).drop("path", "sheet")
 
 
 def _typed(cells: DataFrame, df: DataFrame, header_row: int = 0) -> DataFrame:
@@ -423,3 +415,16 @@ def rows_by_own_headers(spark, sf_dir):
     # ranges begin with their first row that has cells
     heads = header_relation(xlsx.cells(spark, paths, last_row=10), ["path", "sheet"])
     return rows_by_headers(xlsx.cells(spark, paths), heads, df.schema, ["path", "sheet"]).drop("path", "sheet")
+
+
+@query("SELECT value, count(*) AS n, min(o_orderkey) AS least FROM (SELECT o_orderkey, o_orderpriority AS value FROM orders UNION ALL SELECT o_orderkey, o_orderstatus FROM orders) GROUP BY 1")
+def xlsx_dictionary_scan(spark, sf_dir):
+    """Cells grouped by the number of their shared string; texts are fetched for the groups."""
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    parts = xlsx.opened(spark, written(spark, df, "orders", header=False))
+    cells = xlsx.coded_cells(spark, parts)
+    keys = cells.where("col = 0").select("path", "row", F.col("f").cast("long").alias("key"))
+    coded = cells.where("string_index IS NOT NULL").select("path", "row", "string_index").join(keys, ["path", "row"])
+    groups = coded.groupBy("path", "string_index").agg(F.count("*").alias("n"), F.min("key").alias("least"))
+    texts = xlsx.with_strings(groups, xlsx.shared_strings(spark, parts))
+    return texts.groupBy(F.col("s").alias("value")).agg(F.sum("n").alias("n"), F.min("least").alias("least"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.refs import let
 from ..model import CELLS, MAX_COLUMNS, MAX_ROWS
-from .parts import attribute, inflate, unescape
+from .parts import attribute, inflate, opened, unescape
 
 _CONTENT = r"content\.xml"
 _PIECE = r"(?s)<table:table(?:\s[^>]*)?>|<table:table-row(?:\s[^>]*?)?/>|<table:table-row(?:\s[^>]*)?>.*?</table:table-row>"
@@ -80,7 +80,8 @@ def _text(cell: Column) -> Column:
 
 
 def cells(spark: SparkSession, paths) -> DataFrame:
-    """The cell relation: repeated rows and cells written out where they hold something."""
+    """The cell relation: repeated rows and cells written out where they hold something. Every file is opened once."""
+    paths = opened(spark, paths, members=_CONTENT)
     found = _placed(spark, paths).select("path", "sheet_idx", "sheet", "row", "n", F.regexp_extract_all("e", F.lit(_CELL), F.lit(0)).alias("c"))
     sized = F.transform("c", lambda c: F.struct(c.alias("c"), F.least(_repeat(F.regexp_extract(c, r"(?s)^(<[^>]*>)", 1), "table:number-columns-repeated"), F.lit(MAX_COLUMNS)).alias("n")))
     ends = F.aggregate(sized, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x.n)))

@@ -20,11 +20,15 @@ from pyspark.sql import functions as F
 
 from ..functions.refs import let
 from ..model import BadPackage, BadPart, NoWorkbook
+from ..shared import kept
 from ..shipping import ship
 
 CHUNK = 1 << 20
 #: path, member (lower case, forward slashes), chunk, units (rows or items before the chunk), text
 SCHEMA = "path string, member string, chunk int, units long, text string"
+#: Usual name of a part -> the end tag behind which it is cut; other parts are one chunk.
+CUTS = {r"[^/]*/worksheets/[^/]*\.xml": "</row>", r"[^/]*/sharedstrings\.xml": "</si>", r"[^/]*/pivotcache/pivotcacherecords[^/]*\.xml": "</r>", r"content\.xml": "</table:table-row>"}
+_TEXTS = r".*\.(?:xml|rels)"
 _PREFIX = re.compile(rb"<(/?)[A-Za-z_][\w.\-]*:")
 _CDATA = re.compile(rb"<!\[CDATA\[(.*?)\]\]>", re.S)
 _NUMBER = re.compile(rb"&#(x[0-9A-Fa-f]+|[0-9]+);")
@@ -203,11 +207,28 @@ def inflate(spark: SparkSession, paths, members: str, end: str | None = None, sh
     broken: what of a package or a part that cannot be read: ``raise``; ``skip`` what follows the break, so that a sheet may lack
     rows behind it; or ``report``, for one row (path, member, -1, 0, class and text of the error) for each and no chunks.
     """
+    if isinstance(paths, DataFrame) and "usual" in paths.columns:  # opened already
+        own = paths.where(F.col("usual").rlike(f"^(?:{members})$"))
+        return own.select("path", "member", "chunk", "units", "text") if last_row is None else own.where(F.col("units") <= max(last_row, 0)).select("path", "member", "chunk", "units", "text")
+    return _inflated(spark, paths, members, {members: end} if end else {}, sheets, last_row, broken).drop("usual")
+
+
+def opened(spark: SparkSession, paths, sheets: Iterable[str] | None = None, last_row: int | None = None, broken: str = "raise", members: str = _TEXTS) -> DataFrame:
+    """All text parts of all packages, cut as their readers want them, with the usual name of each; every file is opened once.
+
+    Stored in the shared folder. Readers take it in place of paths.
+    """
+    if isinstance(paths, DataFrame) and "usual" in paths.columns:
+        return paths
+    return kept(_inflated(spark, paths, members, CUTS, sheets, last_row, broken), "opened")
+
+
+def _inflated(spark: SparkSession, paths, members: str, cuts: dict[str, str], sheets: Iterable[str] | None, last_row: int | None, broken: str) -> DataFrame:
     ship(spark)
-    stop, asked = end.encode() if end else None, None if sheets is None else frozenset(sheets)
+    asked = None if sheets is None else frozenset(sheets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = re.compile(members)
+        wanted, ends = re.compile(members), [(re.compile(k), v) for k, v in cuts.items()]
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content")):
                 if content.as_buffer()[:2].to_pybytes() != b"PK":
@@ -223,11 +244,14 @@ def inflate(spark: SparkSession, paths, members: str, end: str | None = None, sh
                     if broken == "raise":
                         raise ValueError(f"{path}: {e}") from e
                     if broken == "report":
-                        yield _chunk(path, "", -1, 0, _said(e if isinstance(e, NoWorkbook) else BadPackage(str(e))))
+                        yield _chunk(path, "", "", -1, 0, _said(e if isinstance(e, NoWorkbook) else BadPackage(str(e))))
                     continue
                 for name, info in names.items():
-                    if not wanted.fullmatch(usual[name]) or (only is not None and name not in only):
+                    said = usual[name]
+                    if not wanted.fullmatch(said) or (only is not None and name not in only and _SHEET_PART.fullmatch(said)):
                         continue
+                    end = next((v for k, v in ends if k.fullmatch(said)), None)
+                    stop = end.encode() if end else None
                     place = Places() if end == "</row>" else None
                     try:
                         with z.open(info) as f:
@@ -235,18 +259,19 @@ def inflate(spark: SparkSession, paths, members: str, end: str | None = None, sh
                                 if broken == "report":
                                     continue
                                 own = plain(own, prefixed and name != "content.xml")
-                                yield _chunk(path, name, number, units, (place(own) if place else own).decode("utf-8", "replace"))
+                                yield _chunk(path, name, said, number, units, (place(own) if place else own).decode("utf-8", "replace"))
                                 if last_row is not None and place and place.row > last_row:
                                     break
                     except _BROKEN as e:
                         if broken == "raise":
                             raise ValueError(f"{path}: {name}: {e}") from e
                         if broken == "report":
-                            yield _chunk(path, name, -1, 0, _said(BadPart(str(e))))
+                            yield _chunk(path, name, said, -1, 0, _said(BadPart(str(e))))
 
-    return files(spark, paths).mapInArrow(run, SCHEMA)
+    return files(spark, paths).mapInArrow(run, f"{SCHEMA}, usual string")
 
 
+_SHEET_PART = re.compile(r"[^/]*/worksheets/[^/]*\.xml")
 _BROKEN = (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError, OSError)
 
 
@@ -254,8 +279,8 @@ def _said(e: Exception) -> str:
     return f"{type(e).__name__}: {e}"
 
 
-def _chunk(path: str, member: str, number: int, units: int, text: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([member]), pa.array([number], pa.int32()), pa.array([units], pa.int64()), pa.array([text])], names=["path", "member", "chunk", "units", "text"])
+def _chunk(path: str, member: str, usual: str, number: int, units: int, text: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([member]), pa.array([number], pa.int32()), pa.array([units], pa.int64()), pa.array([text]), pa.array([usual])], names=["path", "member", "chunk", "units", "text", "usual"])
 
 
 _NAMED = re.compile(r"\.(?:xlsx|xlsm|xlam)$", re.I)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .parts import attribute, elements, inflate
+from .parts import attribute, elements, inflate, opened
 from .xlsx import _whole, relationships, sheets
 
 _ITEMS = r"(?s)<(?:x|m|s|n|d|b|e)(?:\s[^>]*|/)?>"
@@ -86,6 +86,7 @@ def pivot_cells(spark: SparkSession, paths) -> DataFrame:
     Row 0 has the names of the fields, so that the operators on typed rows read a cache like a sheet. A number that its dictionary
     lacks raises.
     """
+    paths = opened(spark, paths)
     tables = pivot_tables(spark, paths).where("records IS NOT NULL")
     fields = pivot_fields(spark, paths)
     caches = tables.select("path", "definition", "records").distinct().join(fields, ["path", "definition"])

@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from ..functions import formats, refs
 from ..functions.once import once
 from ..model import CELLS, ERROR_CODES
-from .parts import attribute, elements, inflate, strings, unescape
+from .parts import attribute, elements, inflate, opened, strings, unescape
 
 _SHEETS = r"[^/]*/worksheets/[^/]*\.xml"
+#: What cells are made of.
+_CELL_PARTS = r"[^/]*/(?:worksheets/[^/]*\.xml|workbook\.xml|_rels/workbook\.xml\.rels|sharedstrings\.xml|styles\.xml)"
 
 
 def _whole(spark: SparkSession, paths, member: str, broken: str = "raise") -> DataFrame:
@@ -160,6 +162,8 @@ def dimensions(spark: SparkSession, paths) -> DataFrame:
 def cells(spark: SparkSession, paths, only: list[str] | None = None, last_row: int | None = None, mode: str = "failfast") -> DataFrame:
     """The cell relation of all sheets of all workbooks under the paths.
 
+    Every file is opened once: its parts are stored in the shared folder and read from there. paths may be what ``opened``
+    returns, so that several relations of the same workbooks share that.
     only: names of sheets; others are not inflated. last_row (from 0): sheets are not inflated behind it.
     mode: ``failfast`` raises where a part or a cell cannot be read; ``permissive`` leaves out that cell, and of a broken part
     what follows the break (``faults.workbook_errors`` says which these are).
@@ -175,14 +179,44 @@ def cells(spark: SparkSession, paths, only: list[str] | None = None, last_row: i
 
 def _faulted(spark: SparkSession, paths, only: list[str] | None = None, last_row: int | None = None, broken: str = "raise") -> DataFrame:
     """The cell relation with a column ``fault``: class and text of what is wrong with a cell."""
+    paths = opened(spark, paths, only, last_row, broken, _CELL_PARTS)
+    own = _styled(spark, paths, only, last_row, broken)
+    # cells without a shared string have keys of their own below zero, so that they are not one hot key
+    own = own.withColumn("index", F.coalesce(_string_index(), -1 - F.pmod(F.xxhash64("row", "col"), F.lit(1 << 20)).cast("int")))
+    return own.join(shared_strings(spark, paths, broken), ["path", "index"], "left").select(*_values())
+
+
+def _string_index() -> Column:
+    return F.when(F.col("t") == "s", F.col("v").try_cast("int"))
+
+
+def _styled(spark: SparkSession, paths, only: list[str] | None, last_row: int | None, broken: str) -> DataFrame:
+    """Parsed cells with their sheet and class."""
     own = _with_shared(_chunks(spark, paths, only, last_row, broken))
     if last_row is not None:
         own = own.where(F.col("row") <= last_row)
-    own = own.join(sheets(spark, paths, broken).select("path", "member", "sheet", "sheet_idx", "is_1904"), ["path", "member"])
-    # cells without a shared string have keys of their own below zero, so that they are not one hot key
-    own = own.withColumn("index", F.coalesce(F.when(F.col("t") == "s", F.col("v").try_cast("int")), -1 - F.pmod(F.xxhash64("row", "col"), F.lit(1 << 20)).cast("int")))
-    own = own.join(shared_strings(spark, paths, broken), ["path", "index"], "left").join(styles(spark, paths, broken), ["path", "style"], "left")
-    return own.select(*_values())
+    named = sheets(spark, paths, broken).select("path", "member", "sheet", "sheet_idx", "is_1904")
+    own = own.join(named if only is None else named.where(F.col("sheet").isin(only)), ["path", "member"])
+    return own.join(styles(spark, paths, broken), ["path", "style"], "left")
+
+
+def coded_cells(spark: SparkSession, paths, only: list[str] | None = None, last_row: int | None = None) -> DataFrame:
+    """The cell relation with shared strings as numbers: ``string_index``, and no text; nothing of them is read.
+
+    Rows may be filtered, joined and grouped by (path, string_index) before ``with_strings`` fetches the texts that are left.
+    """
+    paths = opened(spark, paths, only, last_row, "raise", _CELL_PARTS)
+    own = _styled(spark, paths, only, last_row, "raise").withColumn("text", F.lit("")).select(*_values(), _string_index().alias("string_index"))
+    return own.withColumn("s", F.when(F.col("string_index").isNull(), F.col("s"))).drop("fault")
+
+
+def with_strings(rows: DataFrame, strings_of: DataFrame) -> DataFrame:
+    """Rows (path, string_index, ...) with their texts as ``s``; strings_of: path, index, text. A number that a dictionary lacks raises."""
+    known = strings_of.select("path", F.col("index").alias("string_index"), F.col("text").alias("_text"), F.lit(True).alias("_known"))
+    met = rows.join(known, ["path", "string_index"], "left")
+    lost = F.raise_error(F.concat(F.lit("no shared string "), F.col("string_index"))).cast("string")
+    text = F.when(F.col("_known"), F.col("_text")).when(F.col("string_index").isNotNull(), lost)
+    return met.withColumn("s", F.coalesce(text, F.col("s")) if "s" in rows.columns else text).drop("_text", "_known")
 
 
 @once

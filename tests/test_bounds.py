@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql.types import StructType
 
 from gridspark.operators.rows import header_relation, rows_by_headers
-from gridspark.sources import parts, xlsb, xlsx
-from gridspark.testing import xlsb_writer, xlsx_writer
+from gridspark.sources import ods, parts, xlsb, xlsx
+from gridspark.testing import ods_writer, xlsb_writer, xlsx_writer
 
 
 def rows_of(data, end, chunk, monkeypatch):
@@ -85,6 +85,33 @@ def test_a_package_without_a_workbook_raises(spark, tmp_path):
         xlsx.cells(spark, str(tmp_path / "x.xlsx")).collect()
 
 
+def test_every_file_is_opened_once(spark, tmp_path, monkeypatch):
+    xlsx_writer.write(str(tmp_path / "a.xlsx"), {"s": [("k", 1), ({"f": "A1", "attrs": ' t="shared" si="0" ref="A2:A3"', "v": 1}, 2), ({"attrs": ' t="shared" si="0"', "v": 1}, 3)], "t": [("x",)]})
+    ods_writer.write(str(tmp_path / "b.ods"), {"s": [(1,)]})
+    seen, real = [], parts.files
+    monkeypatch.setattr(parts, "files", lambda spark, paths: seen.append(paths) or real(spark, paths))
+    for source, name, n in ((xlsx, "a.xlsx", 7), (ods, "b.ods", 1)):
+        seen.clear()
+        cells = source.cells(spark, str(tmp_path / name))
+        assert cells.count() == n and len(seen) == 1
+        assert "binaryFile" not in cells._jdf.queryExecution().executedPlan().toString()
+    seen.clear()
+    own = xlsx.opened(spark, str(tmp_path / "a.xlsx"))
+    assert xlsx.cells(spark, own).count() == 7 and xlsx.cells(spark, own, only=["t"]).count() == 1 and xlsx.cells(spark, own, last_row=0).count() == 3 and xlsx.sheets(spark, own).count() == 2 and len(seen) == 1
+
+
+def test_numbers_of_strings(spark, tmp_path):
+    xlsx_writer.write(str(tmp_path / "a.xlsx"), {"s": [("one", 1.5, True), ("two", "one", "#N/A")]})
+    coded = xlsx.coded_cells(spark, str(tmp_path))
+    assert sorted((r["row"], r["col"], r["kind"], r["string_index"], r["s"]) for r in coded.collect()) == [(0, 0, "string", 0, None), (0, 1, "float", None, None), (0, 2, "bool", None, None), (1, 0, "string", 1, None), (1, 1, "string", 0, None), (1, 2, "error", None, "#N/A")]
+    plan = coded.select("row", "f")._jdf.queryExecution().optimizedPlan().toString()
+    assert "<si" not in plan
+    texts = {(r["row"], r["col"]): r["s"] for r in xlsx.with_strings(coded, xlsx.shared_strings(spark, str(tmp_path))).where("kind IN ('string', 'error')").collect()}
+    assert texts == {(0, 0): "one", (1, 0): "two", (1, 1): "one", (1, 2): "#N/A"}
+    with pytest.raises(Exception, match="no shared string 1"):
+        xlsx.with_strings(coded, xlsx.shared_strings(spark, str(tmp_path)).where("index = 0")).collect()
+
+
 def test_headers_of_many_sheets(spark, tmp_path):
     xlsx_writer.write(str(tmp_path / "a.xlsx"), {"s": [("k", " v "), (1, "a"), (2, "b")], "t": [("v", "k", "k"), ("c", 3, 9), (None, None, 7)]})
     cells = xlsx.cells(spark, str(tmp_path))
