@@ -225,8 +225,12 @@ def xlsx_text_roundtrip(spark, sf_dir):
 _LINES = ["l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
+def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(*_LINES).withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
+
+
 def lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = table(spark, sf_dir, "lineitem").select(*_LINES).withColumn("l_shipdate", F.col("l_shipdate").cast("timestamp_ntz"))
+    df = lines_of(spark, sf_dir)
     return scanned(spark, written(spark, df, "lineitem"), df)
 
 

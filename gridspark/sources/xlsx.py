@@ -1,18 +1,26 @@
 """xlsx workbooks as relations: sheets, names, styles, strings, cells, merges, hyperlinks, tables.
 
-Parsing is SQL over text chunks; lookups are joins: a cell meets its shared string by (path, index), its
+Cells of the usual form are taken out of text chunks by one regular expression, the others and everything else is parsed by SQL
+functions; lookups are joins: a cell meets its shared string by (path, index), its
 style by (path, style) and a derived formula its anchor by (path, sheet, index). Sheet chunks are dealt out
 before they are parsed, so that one large sheet is parsed by many tasks.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, refs
 from ..functions.once import once
-from ..model import CELLS, ERROR_CODES
+from ..model import CELLS, ERROR_CODES, MAX_COLUMNS
+from ..shipping import ship
 from .parts import attribute, elements, inflate, opened, strings, unescape
 
 _SHEETS = r"[^/]*/worksheets/[^/]*\.xml"
@@ -80,32 +88,73 @@ def _chunks(spark: SparkSession, paths, only=None, last_row: int | None = None,
     return inflate(spark, paths, _SHEETS, "</row>", only, last_row, broken)
 
 
+#: A cell of the usual form: reference, perhaps style and type, and a value.
+_PLAIN = re.compile(r'<c r="([A-Z]{1,3})([1-9][0-9]{0,6})"(?: s="([0-9]{1,9})")?(?: t="([A-Za-z]+)")?>(?:<v>([^<]*)</v>)?</c>')
+_ANY = re.compile(r"<c[\s/>]")
+_SPLIT = "path string, member string, srow int, scol int, sstyle int, st string, sv string, rest string"
+
+
+def _columns(letters: pa.Array) -> pa.Array:
+    """Numbers of columns by their letters, of which there are few."""
+    own = letters.dictionary_encode()
+    number = []
+    for name in own.dictionary.to_pylist():
+        n = 0
+        for c in name:
+            n = n * 26 + ord(c) - 64
+        number.append(n - 1 if n <= MAX_COLUMNS else None)
+    return pa.array(number, pa.int32()).take(own.indices)
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cells of the usual form, as columns; where a chunk has others, too, one row with the text that is left."""
+    names = [c.split()[0] for c in _SPLIT.split(", ")]
+    for b in batches:
+        for path, member, text in zip(b.column("path").to_pylist(), b.column("member").to_pylist(), b.column("text").to_pylist()):
+            found = _PLAIN.findall(text)
+            n = len(found)
+            if n:
+                letters, rows, styles_, types, values = (pa.array(x) for x in zip(*found))
+                filled = lambda x: pc.if_else(pc.equal(x, ""), pa.scalar(None, pa.string()), x)
+                own = [pc.subtract(rows.cast(pa.int32()), 1), _columns(letters), filled(styles_).cast(pa.int32()), filled(types), values]
+                same = lambda x: pa.array([x], pa.string()).take(pa.array(np.zeros(n, np.int32)))
+                yield pa.RecordBatch.from_arrays([same(path), same(member), own[0].cast(pa.int32()), *own[1:], pa.nulls(n, pa.string())], names=names)
+            if len(_ANY.findall(text)) > n:
+                kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([member]), *(pa.nulls(1, k) for k in kinds), pa.array([_PLAIN.sub("", text) if n else text])], names=names)
+
+
+_SIMPLE = ["srow", "scol", "sstyle", "st", "sv"]
+
+
 @once
 def _lines() -> list[Column]:
-    rows = F.regexp_extract_all("text", F.lit(r"(?s)<row(?:\s[^>]*?)?/>|<row(?:\s[^>]*)?>.*?</row>"), F.lit(0))
-    return [F.col("path"), F.col("member"), F.explode(rows).alias("e")]
+    rows = F.regexp_extract_all("rest", F.lit(r"(?s)<row(?:\s[^>]*?)?/>|<row(?:\s[^>]*)?>.*?</row>"), F.lit(0))
+    return [F.col("path"), F.col("member"), *map(F.col, _SIMPLE), F.explode(F.when(F.col("rest").isNotNull(), rows).otherwise(F.array(F.lit(None).cast("string")))).alias("e")]
 
 
 @once
 def _line_cells() -> list[Column]:
     number = attribute(F.regexp_extract("e", r"(?s)^(<row[^>]*>)", 1), "r").try_cast("int") - 1
     cells = F.regexp_extract_all("e", F.lit(r"(?s)<c(?:\s[^>]*?)?/>|<c(?:\s[^>]*)?>.*?</c>"), F.lit(0))
-    return [F.col("path"), F.col("member"), number.alias("line"), F.explode(cells).alias("c")]
+    present = F.col("e").isNotNull()
+    return [F.col("path"), F.col("member"), *map(F.col, _SIMPLE), F.when(present, number).alias("line"), F.explode(F.when(present, cells).otherwise(F.array(F.lit(None).cast("string")))).alias("c")]
 
 
 @once
 def _tags() -> list[Column]:
     calculated = F.contains("c", F.lit("<f"))
-    return [F.col("path"), F.col("member"), F.col("line"), F.col("c"), F.regexp_extract("c", r"(?s)^(<c[^>]*>)", 1).alias("head"), F.when(calculated, F.regexp_extract("c", r"(?s)(<f(?:\s[^>]*)?>)", 1)).alias("tag")]
+    return [F.col("path"), F.col("member"), *map(F.col, _SIMPLE), F.col("line"), F.col("c"), F.when(F.col("c").isNotNull(), F.regexp_extract("c", r"(?s)^(<c[^>]*>)", 1)).alias("head"), F.when(calculated, F.regexp_extract("c", r"(?s)(<f(?:\s[^>]*)?>)", 1)).alias("tag")]
 
 
 @once
 def _fields() -> list[Column]:
-    """Fields of a cell element; absent references have been written out."""
+    """Fields of a cell: those of the usual form are there already; of the others' elements absent references have been written out."""
     value, formula, inline = (F.regexp_extract("c", rf"(?s)<{k}(?:\s[^>]*)?>(.*?)</{k}>", 1) for k in ("v", "f", "is"))
-    tag, head = F.col("tag"), F.col("head")
+    tag, head, other = F.col("tag"), F.col("head"), F.col("c").isNotNull()
     return [
-        F.col("path"), F.col("member"), F.col("line"), attribute(head, "r").alias("place"), attribute(head, "t").alias("t"), attribute(head, "s").alias("s"), unescape(value).alias("v"),
+        F.col("path"), F.col("member"), F.col("line"), F.col("srow"), F.col("scol"), F.when(other, attribute(head, "r")).alias("place"), F.when(other, attribute(head, "t")).otherwise(F.col("st")).alias("t"),
+        F.when(other, attribute(head, "s").try_cast("int")).otherwise(F.col("sstyle")).alias("s"), unescape(F.when(other, value).otherwise(F.col("sv"))).alias("v"),
         F.when(F.contains("c", F.lit("<is")), strings(inline)).otherwise("").alias("inline"), F.when(tag.isNotNull(), F.nullif(unescape(formula), F.lit(""))).alias("formula"),
         F.when(tag.isNotNull(), attribute(tag, "si").try_cast("int")).alias("shared_index"), F.when(tag.isNotNull(), attribute(tag, "ref")).alias("ref"),
     ]
@@ -117,19 +166,25 @@ _KEPT = ["path", "member", "t", "v", "inline", "formula", "shared_index", "ref"]
 @once
 def _places() -> list[Column]:
     number = F.regexp_extract("place", "^[A-Za-z]*([0-9]+)$", 1).try_cast("int")
-    return [*map(F.col, _KEPT), F.col("line"), F.coalesce(F.col("s").try_cast("int"), F.lit(0)).alias("style"), number.alias("number"), refs.padded_letters(F.regexp_extract("place", "^([A-Za-z]+)[0-9]+$", 1)).alias("letters")]
+    present = F.col("place").isNotNull()
+    return [*map(F.col, _KEPT), F.col("line"), F.col("srow"), F.col("scol"), F.coalesce("s", F.lit(0)).alias("style"), F.when(present, number).alias("number"), F.when(present, refs.padded_letters(F.regexp_extract("place", "^([A-Za-z]+)[0-9]+$", 1))).alias("letters")]
 
 
 @once
 def _placed() -> list[Column]:
-    row = F.coalesce(F.when(F.col("number") > 0, F.col("number") - 1), "line")
-    return [*map(F.col, _KEPT), F.col("style"), row.alias("row"), refs.index_of_letters(F.col("letters")).cast("int").alias("col")]
+    row = F.coalesce("srow", F.when(F.col("number") > 0, F.col("number") - 1), "line")
+    return [*map(F.col, _KEPT), F.col("style"), row.alias("row"), F.coalesce("scol", refs.index_of_letters(F.col("letters")).cast("int")).alias("col")]
 
 
 def _parsed(chunks: DataFrame) -> DataFrame:
-    """Cells of chunks, which are dealt out first. What later steps name several times is a column of an earlier one."""
-    own = chunks.repartition("path", "member", "chunk").select(*_lines()).select(*_line_cells())
-    return own.select(*_tags()).select(*_fields()).select(*_places()).select(*_placed())
+    """Cells of chunks, which are dealt out first. What later steps name several times is a column of an earlier one.
+
+    A helper takes the cells of the usual form out of a chunk with one regular expression; what is left (formulas, inline texts,
+    attributes in another order) is parsed by SQL functions.
+    """
+    ship(chunks.sparkSession)
+    own = chunks.repartition("path", "member", "chunk").select("path", "member", "text").mapInArrow(_split, _SPLIT)
+    return own.select(*_lines()).select(*_line_cells()).select(*_tags()).select(*_fields()).select(*_places()).select(*_placed())
 
 
 @once
