@@ -25,6 +25,7 @@ gives no rows; other columns, whatever their names, are passed on as they are.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 
@@ -331,15 +332,25 @@ class _Places(dict):
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, sample_chars: int = SAMPLE_CHARS) -> Network | None:
     """A network from the labelled documents among ``docs``; None where a label is missing.
 
-    The sample is drawn from the labels, and only its ids (2 x sample rows) are broadcast to the scan of texts.
+    The sample is drawn from the labels, and only its ids (2 x sample rows) are broadcast to the scan of texts. One task trains
+    on the sample, and the driver gets the network's numbers.
     """
+    ship(docs.sparkSession)
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = [marked.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample[y]) for y in (0, 1)]
     ids = ids[0].unionByName(ids[1])
     found = docs.select("doc_id", "text").where(F.length("text") <= sample_chars).join(F.broadcast(ids), "doc_id")
-    rows = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"), F.xxhash64("doc_id").alias("h")).collect()  # of each id one
-    own = {y: sorted((r for r in rows if r["toxic"] == y), key=lambda r: (r["h"], r["doc_id"]))[: sample[y]] for y in (0, 1)}
-    return fit([(r["text"], y) for y in (0, 1) for r in own[y]]) if own[0] and own[1] else None
+    rows = found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"), F.xxhash64("doc_id").alias("h"))  # of each id one
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = [r for b in batches for r in b.to_pylist()]
+        own = {y: sorted((r for r in every if r["toxic"] == y), key=lambda r: (r["h"], r["doc_id"]))[: sample[y]] for y in (0, 1)}
+        if own[0] and own[1]:
+            net = fit([(r["text"], y) for y in (0, 1) for r in own[y]])
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)])], names=["net"])
+
+    trained = rows.repartition(1).mapInArrow(run, "net binary").collect()  # one row or none
+    return pickle.loads(trained[0]["net"]) if trained else None
 
 
 def score_texts(docs: DataFrame, net: Network | None, text_col: str = "text", into: str = "score") -> DataFrame:
