@@ -387,3 +387,20 @@ def deserialize_dates_or_string(spark, sf_dir):
 def typed_equality(spark, sf_dir):
     c = Cell()
     return _events(spark, sf_dir).select("event_id", c.equals(7).alias("is_7"), c.equals(7.0).alias("is_7_0"), c.equals("8").alias("is_text"), c.equals(True).alias("is_true"))
+
+
+@query(f"""SELECT o_orderkey, day, CASE WHEN day IS NULL THEN shown END AS not_day, time, NULL::VARCHAR AS not_time, ms, CASE WHEN ms IS NULL THEN shown END AS not_ms FROM (SELECT o_orderkey,
+ CASE WHEN k < 2 THEN DATE '1899-12-30' + (o_orderkey % 1000 + 100)::INT WHEN k = 2 THEN o_orderdate::DATE END AS day,
+ CASE WHEN k < 2 THEN '06:00:00.000000' WHEN k = 2 THEN iso[12:19] || '.000000' ELSE hh || ':' || mm || ':' || mm || '.000000' END AS time,
+ CASE WHEN k < 2 THEN round(serial * 86400000)::BIGINT WHEN k = 3 THEN (hh::BIGINT * 3600 + mm::BIGINT * 61) * 1000 END AS ms,
+ CASE WHEN k < 2 THEN serial::DOUBLE::VARCHAR WHEN k = 2 THEN iso ELSE 'PT' || hh || 'H' || mm || 'M' || mm || 'S' END AS shown FROM {_DATED} WHERE k < 4)""")
+def deserialize_date_time_duration_or_text(spark, sf_dir):
+    """A date, a time and a duration of each cell, or its text; error cells would raise, so they are left out before."""
+    k = F.col("o_orderkey") % 5
+    hh, mm = (F.lpad((F.col("o_orderkey") % n).cast("string"), 2, "0") for n in (24, 60))
+    text = F.when(k == 2, F.date_format(F.col("o_orderdate").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss")).when(k == 3, F.concat(F.lit("PT"), hh, F.lit("H"), mm, F.lit("M"), mm, F.lit("S"))).when(k == 4, "#REF!")
+    kind = F.element_at(F.array(*map(F.lit, ("datetime", "timedelta", "datetime_iso", "duration_iso", "error"))), (k + 1).cast("int"))
+    cells = read(spark, sf_dir, "orders").select("o_orderkey", kind.alias("kind"), F.lit(None).cast("bigint").alias("i"), F.when(k < 2, F.col("o_orderkey") % 1000 + 100.25).cast("double").alias("f"), text.alias("s"), F.lit(None).cast("boolean").alias("b"), F.lit(False).alias("is_1904"))
+    c = Cell()
+    made = cells.where(~c.is_error()).select("o_orderkey", c.or_text(c.as_date()).alias("d"), c.or_text(c.as_time()).alias("t"), c.or_text(c.as_duration_ms()).alias("u"))
+    return made.select("o_orderkey", F.col("d.ok").alias("day"), F.col("d.err").alias("not_day"), F.col("t.ok").alias("time"), F.col("t.err").alias("not_time"), F.col("u.ok").alias("ms"), F.col("u.err").alias("not_ms"))
