@@ -172,11 +172,17 @@ def exact_links(node: np.ndarray, root: np.ndarray, sets: list[np.ndarray], a: n
     _, at, count = np.unique(flat, return_inverse=True, return_counts=True)
     common = count > 1
     column = np.cumsum(common) - 1
-    words = -(-int(common.sum()) // 8)
-    bits = np.zeros((len(used), max(8, -(-words // 8) * 8) * 8), np.uint8)
-    own = common[at]
-    bits[owner[own], column[at[own]]] = 1
-    bits = np.packbits(bits, axis=1).view(np.uint64)
+    width = max(8, -(-int(common.sum()) // 64) * 8)
+    bits = np.zeros((len(used), width), np.uint8)
+    own, starts = common[at], np.concatenate([[0], np.cumsum(size)])
+    for first in range(0, len(used), 128):  # some rows at once, so that unpacked bits stay few
+        last = min(first + 128, len(used))
+        part = slice(int(starts[first]), int(starts[last]))
+        kept = own[part]
+        plain = np.zeros((last - first, 8 * width), np.uint8)
+        plain[owner[part][kept] - first, column[at[part][kept]]] = 1
+        bits[first:last] = np.packbits(plain, axis=1)
+    bits = bits.view(np.uint64)
     place = np.zeros(int(used[-1]) + 1, np.int64)
     place[used] = np.arange(len(used))
     part = {r: r for r in set(root[used].tolist())}

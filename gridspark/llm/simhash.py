@@ -259,7 +259,7 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
 
-def tree_pairs(values: np.ndarray, shard: np.ndarray, radius: int, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def tree_pairs(values: np.ndarray, shard: np.ndarray, radius: int, most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs (i < j) within the radius inside each shard; shard: ascending. A BK-tree for each shard, all at once.
 
     Trees grow level by level: the first member of a group is a node, the others fall into its children by
