@@ -11,7 +11,9 @@ The array is broadcast only while it is under ``MOST_BYTES``; a larger rule set
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and fits no rule; equal urls
 get equal rows; of several rules that fit, the longest string wins, and among equally long ones the one
-with the longer host; with no rule the verdict is ``default`` (a block list allows what it does not hold).
+with the longer host; with no rule the verdict is ``default`` (a block list allows what it does not hold). Very long urls are read
+whole: only prefixes of a length that some rule has are formed. An empty table gives no rows; other columns, whatever
+their names, are not read.
 """
 
 from __future__ import annotations
