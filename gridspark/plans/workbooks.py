@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import re
 import zipfile
@@ -53,37 +54,59 @@ def folder(spark: SparkSession) -> str:
     return path
 
 
-def files_of(spark: SparkSession, df: DataFrame, name: str, make: Callable[[str, list[tuple]], None], kind: str = "xlsx") -> list[str]:
-    """Workbooks that ``make(path, rows)`` writes, one of each partition's rows; their paths, a row for each partition.
+#: Rows and bytes (as Arrow columns) of a workbook at most; what is more goes into further workbooks.
+ROWS, BYTES = 25_000, 8 << 20
 
-    Every attempt at a partition writes a file of its own, and only those of the attempts that succeeded are returned.
+
+def rows_in_books(batches: Iterator[pa.RecordBatch], most: int = ROWS, size: int = BYTES) -> Iterator[list[tuple]]:
+    """The rows of a partition, cut into lists of at most ``most`` rows and about ``size`` bytes; no more than one is held."""
+    held, taken = [], 0.0
+    for b in batches:
+        each = max(1.0, b.nbytes / max(1, b.num_rows))
+        at = 0
+        while at < b.num_rows:
+            own = b.slice(at, max(1, min(most - len(held), int((size - taken) / each))))
+            held += zip(*(c.to_pylist() for c in own.columns))
+            at, taken = at + own.num_rows, taken + own.num_rows * each
+            if len(held) >= most or taken + each > size:
+                yield held
+                held, taken = [], 0.0
+    if held:
+        yield held
+
+
+def files_of(spark: SparkSession, df: DataFrame, name: str, make: Callable[[io.BytesIO, list[tuple]], None], kind: str = "xlsx") -> DataFrame:
+    """(path, content) of workbooks that ``make(file, rows)`` writes, stored in the shared folder: as many of each partition's rows
+    as their bounds ask for, written one after another.
+
+    Spark writes the table, so nothing of failed attempts is in it, and neither paths nor workbooks come to the driver.
     """
     ship(spark)
-    at = folder(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
-        if rows:
-            own = TaskContext.get()
-            path = f"{at}/{name}-{own.partitionId()}-{own.taskAttemptId()}.{kind}"
-            make(path, rows)
-            yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+        for k, rows in enumerate(rows_in_books(batches)):
+            made = io.BytesIO()
+            make(made, rows)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{name}-{TaskContext.get().partitionId()}-{k}.{kind}"]), pa.array([made.getvalue()])], names=["path", "content"])
 
-    return [r["path"] for r in df.mapInArrow(run, "path string").collect()]
+    at = shared_folder(spark, name)
+    # row groups of a few workbooks, so that readers hold few of them and share a file
+    df.mapInArrow(run, "path string, content binary").write.option("parquet.block.row.count.limit", 8).parquet(at)
+    return spark.read.schema("path string, content binary").parquet(at)
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, header: bool = True, writer=xlsx_writer, kind: str = "xlsx", parts: int | None = None, **options) -> list[str]:
-    """Workbooks with one sheet each that together hold df; every partition writes its own."""
+def written(spark: SparkSession, df: DataFrame, name: str, header: bool = True, writer=xlsx_writer, kind: str = "xlsx", **options) -> DataFrame:
+    """Workbooks with one sheet each that together hold df."""
     columns = tuple(df.columns)
     plain = df.select(*(F.col(f.name).cast("timestamp_ntz") if f.dataType.typeName() == "timestamp" else F.col(f.name) for f in df.schema))
 
-    def make(path: str, rows: list[tuple]) -> None:
-        writer.write(path, {name: chain([columns] if header else [], rows)}, **options)
+    def make(file: io.BytesIO, rows: list[tuple]) -> None:
+        writer.write(file, {name: chain([columns] if header else [], rows)}, **options)
 
-    return files_of(spark, plain.repartition(parts or spark.sparkContext.defaultParallelism), name, make, kind)
+    return files_of(spark, plain.repartition(spark.sparkContext.defaultParallelism), name, make, kind)
 
 
-def scanned(spark: SparkSession, paths: list[str], df: DataFrame, header_row: int = 0) -> DataFrame:
+def scanned(spark: SparkSession, paths, df: DataFrame, header_row: int = 0) -> DataFrame:
     """The typed rows of workbooks under df's schema, each by its own header. Every file is opened once."""
     parts = xlsx.opened(spark, paths)
     heads = header_relation(xlsx.cells(spark, parts, last_row=header_row), ["path", "sheet"], header_row)
@@ -137,7 +160,7 @@ def xlsx_table_body(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
     columns = df.columns
 
-    def make(path: str, rows: list[tuple]) -> None:
+    def make(path: io.BytesIO, rows: list[tuple]) -> None:
         every = [("number", "name", "price"), *rows, ("Total", None, 1.0)]
         xlsx_writer.write(path, {"part": every}, tables={"part": ("Parts", f"A1:C{len(rows) + 2}", columns, 1)})
 
@@ -154,7 +177,7 @@ def xlsx_merge_containment(spark, sf_dir):
     """In every workbook the keys of some tens, in order; the first three of each ten are under a merge, which its first cell names."""
     df = table(spark, sf_dir, "supplier").select("s_suppkey").repartition(spark.sparkContext.defaultParallelism, F.floor(F.col("s_suppkey") / 10))
 
-    def make(path: str, rows: list[tuple]) -> None:
+    def make(path: io.BytesIO, rows: list[tuple]) -> None:
         keys = sorted(k for k, in rows)
         merged: dict[int, list[int]] = {}
         for at, k in enumerate(keys, 1):
@@ -173,7 +196,7 @@ def xlsx_merge_containment(spark, sf_dir):
 def xlsx_hyperlinks_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").where("url IS NOT NULL AND url <> ''").select("page_id", "url")
 
-    def make(path: str, rows: list[tuple]) -> None:
+    def make(path: io.BytesIO, rows: list[tuple]) -> None:
         xlsx_writer.write(path, {"links": [(page,) for page, _ in rows]}, links={"links": [(f"A{k}", url) for k, (_, url) in enumerate(rows, 1)]})
 
     paths = files_of(spark, pages.repartition(spark.sparkContext.defaultParallelism), "links", make)
@@ -186,7 +209,7 @@ def xlsx_shared_formula(spark, sf_dir):
     """Each key in its row; the first row of a workbook has the formula that the others share."""
     df = table(spark, sf_dir, "supplier").where("s_suppkey >= 1").select("s_suppkey")
 
-    def make(path: str, rows: list[tuple]) -> None:
+    def make(path: io.BytesIO, rows: list[tuple]) -> None:
         keys = sorted(k for k, in rows)
         first = {"f": f"A{keys[0]}*2+$B$1", "attrs": f' t="shared" si="0" ref="C{keys[0]}:C{keys[-1]}"', "v": 2 * keys[0]}
         shared = lambda k: {"attrs": ' t="shared" si="0"', "v": 2 * k}
@@ -204,7 +227,7 @@ def xlsx_sheets_and_names(spark, sf_dir):
     """A sheet for each region, a name for each nation."""
     df = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("r_regionkey", "r_name", "n_nationkey", "n_name").coalesce(1)  # 25 rows
 
-    def make(path: str, rows: list[tuple]) -> None:
+    def make(path: io.BytesIO, rows: list[tuple]) -> None:
         regions = dict(sorted({(k, r) for k, r, _, _ in rows}))
         states = {r: ("visible", "hidden", "veryHidden")[k % 3] for k, r in regions.items() if k % 3}
         xlsx_writer.write(path, {r: [(1,)] for r in regions.values()}, states=states, names={n: f"{r}!$A${k + 1}" for _, r, k, n in rows})
@@ -287,7 +310,7 @@ def error_report_by_workbook(spark, sf_dir):
     """Errors in the cells of many workbooks, counted by workbook and then by kind."""
     df = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
 
-    def make(path: str, rows: list[tuple]) -> None:
+    def make(path: io.BytesIO, rows: list[tuple]) -> None:
         xlsx_writer.write(path, {"e": [(("#N/A", "#DIV/0!", "#REF!")[k % 3] if k % 5 < 3 else "fine", name) for k, name in rows]})
 
     bad = xlsx.cells(spark, files_of(spark, df.repartition(spark.sparkContext.defaultParallelism), "errors", make)).where("kind = 'error'").groupBy("path", F.col("s").alias("error")).agg(F.count("*").alias("errors"))
@@ -295,7 +318,9 @@ def error_report_by_workbook(spark, sf_dir):
 
 
 def _xlsb(spark: SparkSession, df: DataFrame, name: str, **options) -> DataFrame:
-    return _typed(xlsb.cells(spark, written(spark, df, name, writer=xlsb_writer, kind="xlsb", **options)), df)
+    books, by = written(spark, df, name, writer=xlsb_writer, kind="xlsb", **options), ["path", "sheet"]
+    heads = header_relation(xlsb.cells(spark, books, last_row=0), by, 0)
+    return rows_by_headers(xlsb.cells(spark, books), heads, df.schema, by).drop(*by)
 
 
 @query("SELECT * FROM nation")
@@ -310,9 +335,8 @@ def xlsb_dates_orders(spark, sf_dir):
 
 
 def _xls(spark: SparkSession, df: DataFrame, name: str, **options) -> DataFrame:
-    """A sheet of this format has 65,536 rows at most, so there are as many workbooks as that takes."""
-    parts = max(spark.sparkContext.defaultParallelism, df.count() // 50_000 + 1)
-    return _typed(xls.cells(spark, written(spark, df, name, writer=xls_writer, kind="xls", parts=parts, **options)), df)
+    """A sheet of this format has 65,536 rows at most; workbooks are shorter."""
+    return _typed(xls.cells(spark, written(spark, df, name, writer=xls_writer, kind="xls", **options)), df)
 
 
 @query("SELECT * FROM nation")
@@ -330,7 +354,7 @@ def xls_dates_orders(spark, sf_dir):
 def xls_sheets(spark, sf_dir):
     df = table(spark, sf_dir, "region").select("r_regionkey", "r_name").coalesce(1)  # 5 rows
 
-    def make(path: str, rows: list[tuple]) -> None:
+    def make(path: io.BytesIO, rows: list[tuple]) -> None:
         xls_writer.write(path, {name: [(k,)] for k, name in sorted(rows)}, states={name: k % 3 for k, name in rows})
 
     return xls.sheets(spark, files_of(spark, df, "states", make, "xls")).select("sheet", F.col("sheet_idx").cast("int").alias("sheet_idx"), "visible", "type")
@@ -392,17 +416,19 @@ def xlsx_prefixed_sheet(spark, sf_dir):
 
 @query("SELECT l_orderkey % 16 AS book, 0 AS r0, 0 AS c0, count(*)::INT - 1 AS r1, 1 AS c1 FROM lineitem GROUP BY 1")
 def xlsx_declared_dimension(spark, sf_dir):
-    """The rectangles that sheets declare; no more than the first chunk of a sheet is inflated."""
-    df = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 16).alias("book"), "l_orderkey", "l_quantity").repartition(16, "book")
+    """The rectangles that sheets declare; no more than the first chunk of a sheet is inflated. A book's rows lie in as many sheets
+    of its name as workbooks take, and their rectangles stand one below the other."""
+    df = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 16).alias("book"), "l_orderkey", "l_quantity").repartition(spark.sparkContext.defaultParallelism)
 
-    def make(path: str, rows: list[tuple]) -> None:
+    def make(path: io.BytesIO, rows: list[tuple]) -> None:
         books: dict[int, list] = {}
         for book, key, quantity in rows:
             books.setdefault(book, []).append((key, float(quantity)))
         xlsx_writer.write(path, {str(b): own for b, own in books.items()}, dimensions={str(b): f"A1:B{len(own)}" for b, own in books.items()})
 
     found = xlsx.dimensions(spark, files_of(spark, df, "lines", make))
-    return found.select(F.col("sheet").cast("long").alias("book"), "r0", "c0", "r1", "c1")
+    rows = F.sum(F.col("r1") - F.col("r0") + 1) - 1
+    return found.groupBy(F.col("sheet").cast("long").alias("book")).agg(F.min("r0").alias("r0"), F.min("c0").alias("c0"), (F.min("r0") + rows).cast("int").alias("r1"), F.max("c1").alias("c1"))
 
 
 @query("SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders")
@@ -410,7 +436,7 @@ def rows_by_own_headers(spark, sf_dir):
     """Workbooks with their columns in two orders and headers in different rows, read at once."""
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
 
-    def make(path: str, rows: list[tuple]) -> None:
+    def make(path: io.BytesIO, rows: list[tuple]) -> None:
         turned = rows[0][0] % 2
         own = [r[::-1] for r in [("o_orderkey", "o_orderstatus", " o_totalprice "), *rows]] if turned else [("o_orderkey", "o_orderstatus", "o_totalprice"), *rows]
         xlsx_writer.write(path, {"orders": own}, first=(3, 2) if turned else (0, 0))

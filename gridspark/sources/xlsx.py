@@ -110,7 +110,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cells of the usual form, as columns; where a chunk has others, too, one row with the text that is left."""
     names = [c.split()[0] for c in _SPLIT.split(", ")]
     for b in batches:
-        for path, member, text in zip(b.column("path").to_pylist(), b.column("member").to_pylist(), b.column("text").to_pylist()):
+        for path, member, text in (tuple(x.as_py() for x in own) for own in zip(*(b.column(c) for c in ("path", "member", "text")))):  # one text at a time
             found = _PLAIN.findall(text)
             n = len(found)
             if n:

@@ -122,3 +122,18 @@ def test_headers_of_many_sheets(spark, tmp_path):
     with pytest.raises(Exception, match="no column 'w'"):
         rows_by_headers(cells, heads, StructType.fromDDL("k bigint, w string"), ["path", "sheet"]).collect()
     assert header_relation(cells, ["path", "sheet"], 1).where("sheet = 's'").count() == 2
+
+
+def test_a_partition_is_many_workbooks(spark):
+    """Rows of a partition are held and written by workbooks of bounded rows and bytes; none is lost."""
+    import pyarrow as pa
+
+    from gridspark.plans import workbooks
+    from gridspark.sources.parts import files
+
+    books = files(spark, workbooks.written(spark, spark.range(60_000 * spark.sparkContext.defaultParallelism).toDF("k"), "many", header=False))
+    assert books.count() >= 3 * spark.sparkContext.defaultParallelism
+    assert xlsx.cells(spark, books).agg({"f": "sum", "*": "count"}).first() == (sum(range(240_000)) * 1.0, 240_000)
+    batches = [pa.RecordBatch.from_pydict({"t": ["x" * 1000] * 50}), pa.RecordBatch.from_pydict({"t": ["y"] * 500})]
+    cut = list(workbooks.rows_in_books(iter(batches), 200, 20_000))
+    assert sum(map(len, cut)) == 550 and max(map(len, cut)) <= 200 and max(sum(len(t) for t, in c) for c in cut) <= 21_000
