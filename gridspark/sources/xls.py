@@ -23,7 +23,7 @@ from ..shipping import ship
 from . import tokens
 from .compound import MAGIC, Compound
 from .parts import files
-from .xlsb import _PIECES, by_number
+from .xlsb import _PIECES, with_books, with_texts
 
 # Record types.
 FORMULA, EOF, EXTERN, NAME, DATE_MODE, PROTECTED, CONTINUE, CODE_PAGE, SHEET, PACKED_ROW, RICH_TEXT, XF, MERGES, STRINGS, SHARED = 0x06, 0x0A, 0x17, 0x18, 0x22, 0x2F, 0x3C, 0x42, 0x85, 0xBD, 0xD6, 0xE0, 0xE5, 0xFC, 0xFD
@@ -288,15 +288,10 @@ def _names(spark: SparkSession, paths, codepage: int | None = None, strict: bool
     return got.select("path", F.row_number().over(Window.partitionBy("path").orderBy("seq")).alias("ref"), F.col("text").alias("name"), "pieces")
 
 
-def _with_texts(rows: DataFrame, external: DataFrame, names: DataFrame) -> DataFrame:
-    met = rows.join(by_number(external, "ref", "sheet", "_sheets"), "path", "left").join(by_number(names, "ref", "name", "_names"), "path", "left")
-    return met.withColumn("failure", tokens.failure(F.col("pieces"))).withColumn("formula", tokens.resolved(F.col("pieces"), F.col("_sheets"), F.col("_names"))).drop("_sheets", "_names", "pieces")
-
-
 def defined_names(spark: SparkSession, paths, codepage: int | None = None, strict: bool = True, functions=None) -> DataFrame:
     """(path, name, formula); a formula that cannot be read says so in its text, and one without tokens is ``empty rgce``."""
     own = _names(spark, paths, codepage, strict, functions)
-    texts = _with_texts(own, external_sheets(spark, paths, strict), own)
+    texts = with_texts(own, external_sheets(spark, paths, strict), own)
     return texts.select("path", "name", F.when(F.col("failure").isNotNull(), F.concat(F.lit("Unsupported: "), F.col("failure"))).otherwise(F.coalesce("formula", F.lit("empty rgce"))).alias("formula"))
 
 
@@ -321,10 +316,9 @@ def cells(spark: SparkSession, paths, codepage: int | None = None, strict: bool
         F.when(t == SHARED, B.unsigned(data, 6, 4).cast("int")).alias("index"), F.when(special, _byte(6)).alias("result"),
         F.when(t == BOOL_ERROR, _byte(6)).when(special, _byte(8)).alias("byte"), F.when(t == BOOL_ERROR, _byte(7)).alias("flag"), "pieces",
     ).where("result IS NULL OR result <> 0")  # the text of such a formula is a record of its own
-    own = _with_texts(own, external_sheets(spark, paths, strict), _names(spark, paths, codepage, strict))
-    own = own.join(sheets(spark, paths, codepage, strict).select("path", "sheet_idx", "sheet", "is_1904"), ["path", "sheet_idx"])
+    own = with_books(own, external_sheets(spark, paths, strict), _names(spark, paths, codepage, strict), sheets(spark, paths, codepage, strict), "sheet_idx", styles(spark, paths, codepage, strict))
     texts = shared_strings(spark, paths, strict).withColumnRenamed("text", "shared")
-    own = own.join(texts, ["path", "index"], "left").join(styles(spark, paths, codepage, strict), ["path", "style"], "left").where((t != SHARED) | F.col("shared").isNotNull())
+    own = own.join(texts, ["path", "index"], "left").where((t != SHARED) | F.col("shared").isNotNull())
     own = own.withColumn("whole", B.rk_integer(F.col("rk"))).withColumn("number", F.coalesce("real", B.rk_double(F.col("rk"))))
     result, dated = F.col("result"), F.coalesce(F.col("class").isin("datetime", "timedelta"), F.lit(False))
     is_bool, is_error = (F.coalesce(c, F.lit(False)) for c in ((F.col("flag") == 0) | (result == 1), (F.col("flag") == 1) | (result == 2)))

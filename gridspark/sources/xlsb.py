@@ -159,13 +159,39 @@ def _names(spark: SparkSession, paths, functions=None) -> DataFrame:
     return got.select("path", F.row_number().over(Window.partitionBy("path").orderBy("seq")).alias("ref"), B.wide_text(F.col("data"), 9).alias("name"), "pieces")
 
 
-def with_texts(rows: DataFrame, external: DataFrame, names: DataFrame) -> DataFrame:
-    """Rows (path, pieces, ...) with formula and failure, sheets and names looked up in the workbook's indexes."""
-    met = rows.join(by_number(external, "ref", "sheet", "_sheets"), "path", "left").join(by_number(names, "ref", "name", "_names"), "path", "left")
+def books(external: DataFrame, names: DataFrame, sheets_of: DataFrame | None = None, key: str = "", styles_of: DataFrame | None = None) -> DataFrame:
+    """(path, _sheets, _names, and if given _members and _classes): the small indexes of each workbook as maps, a row for each workbook.
+
+    One join by workbook gives them to its rows. They are joined as they are and not by the size of files, which says little about
+    rows: packages are compressed, and the cells of files that look small would be sent to every executor through the driver.
+    """
+    own = [by_number(external, "ref", "sheet", "_sheets"), by_number(names, "ref", "name", "_names")]
+    if sheets_of is not None:
+        placed = sheets_of.groupBy("path", F.col(key).alias("_key")).agg(F.collect_list(F.struct("sheet", "sheet_idx", "is_1904")).alias("_own"))
+        own += [by_number(placed, "_key", "_own", "_members"), by_number(styles_of, "style", "class", "_classes")]
+    found = own[0]
+    for more in own[1:]:
+        found = found.join(more, "path", "full")
+    return found.hint("shuffle_hash")
+
+
+def _formulas(met: DataFrame) -> DataFrame:
     failed = tokens.failure(F.col("pieces"))
     return met.withColumn("failure", failed).withColumn("formula", F.when(failed.isNull(), tokens.resolved(F.col("pieces"), F.col("_sheets"), F.col("_names")))).drop("_sheets", "_names", "pieces")
 
 
+def with_texts(rows: DataFrame, external: DataFrame, names: DataFrame) -> DataFrame:
+    """Rows (path, pieces, ...) with formula and failure, sheets and names looked up in the workbook's indexes."""
+    return _formulas(rows.join(books(external, names), "path", "left"))
+
+
+def with_books(rows: DataFrame, external: DataFrame, names: DataFrame, sheets_of: DataFrame, key: str, styles_of: DataFrame) -> DataFrame:
+    """Cells (path, key, style, pieces, ...) with formula and failure, their sheet (sheet, sheet_idx, is_1904; those of no sheet are left out) and class."""
+    met = rows.withColumnRenamed(key, "_key").join(books(external, names, sheets_of, key, styles_of), "path")
+    placed = met.select("*", F.inline(F.try_element_at("_members", F.col("_key"))), F.try_element_at("_classes", F.col("style")).alias("class"))
+    return _formulas(placed.drop("_key", "_members", "_classes"))
+
+
 def defined_names(spark: SparkSession, paths, functions=None) -> DataFrame:
     """(path, name, formula)."""
     own = _names(spark, paths, functions)
@@ -186,9 +212,9 @@ def cells(spark: SparkSession, paths, functions=None, last_row: int | None = Non
         F.when(t == RK, B.unsigned(data, 8, 4)).alias("rk"), F.when(t.isin(REAL, F_REAL), B.double(data, 8)).alias("real"), F.when(t.isin(TEXT, F_TEXT), B.wide_text(data, 8)).alias("own_text"),
         F.when(t == SHARED, B.unsigned(data, 8, 4).cast("int")).alias("index"), F.when(t.isin(ERROR, BOOL, F_ERROR, F_BOOL), B.unsigned(data, 8, 1)).alias("byte"), "pieces",
     )
-    own = with_texts(own, external_sheets(spark, paths), _names(spark, paths))
-    own = own.join(sheets(spark, paths).select("path", "member", "sheet", "sheet_idx", "is_1904"), ["path", "member"])
-    own = own.join(shared_strings(spark, paths), ["path", "index"], "left").join(styles(spark, paths), ["path", "style"], "left")
+    named = sheets(spark, paths).select("path", "member", "sheet", "sheet_idx", "is_1904")
+    own = with_books(own, external_sheets(spark, paths), _names(spark, paths), named, "member", styles(spark, paths))
+    own = own.join(shared_strings(spark, paths), ["path", "index"], "left")
     own = own.withColumn("whole", B.rk_integer(F.col("rk"))).withColumn("number", F.coalesce("real", B.rk_double(F.col("rk"))))
     errors = F.create_map(*(F.lit(x) for kv in ERROR_CODES.items() for x in kv))
     lost = F.raise_error(F.concat(F.lit("no shared string "), F.col("index").cast("string"))).cast("string")

@@ -38,3 +38,13 @@ def test_cells(spark, tmp_path):
         ("One", 2, 0): ("string", ""), ("One", 2, 1): ("int", -7), ("One", 2, 2): ("float", 1e10), ("One", 2, 3): ("float", 3.25), ("Two", 0, 0): ("float", 0.1),
     }
     assert [r["is_1904"] for r in xlsb.sheets(spark, path).collect()] == [True, True]
+
+
+def test_cells_are_not_broadcast(spark, tmp_path):
+    """Packages are compressed: a relation of cells that looks small by its files is not sent through the driver."""
+    path = str(tmp_path / "a.xlsb")
+    xlsb_writer.write(path, {"s": [(1, "a")]})
+    cells = xlsb.cells(spark, path)
+    plan = cells._jdf.queryExecution().executedPlan().toString()
+    first = plan.index("ShuffledHashJoin")  # cells meet all small indexes of their workbook there
+    assert "BuildLeft" not in plan[:first] and cells.count() == 2
