@@ -91,3 +91,15 @@ def test_pictures(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "o.ods", "w") as z:
         z.writestr("Pictures/x.gif", b"gif")
     assert [(r["member"], r["extension"]) for r in media.media(spark, str(tmp_path / "o.ods")).collect()] == [("pictures/x.gif", "gif")]
+
+
+def test_references_read_no_module_and_trees_are_linear(spark, tmp_path):
+    import time
+
+    own = vba_writer.project({"M": "text"}, [("registered", "L", "*\\G{1}#2#0#C:\\l.dll#Library")])
+    own["VBA/m0"] = b"no container"
+    (tmp_path / "r.xls").write_bytes(vba_writer.compound(own))
+    assert [tuple(r)[2:] for r in vba.references(spark, str(tmp_path)).collect()] == [("L", "Library", "C:\\l.dll")]
+    began = time.time()
+    file = Compound(memoryview(vba_writer.compound({f"VBA/m{k}": b"x" for k in range(15_000)})))
+    assert len(file.streams()) == 15_000 and time.time() - began < 10
