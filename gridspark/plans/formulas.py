@@ -51,11 +51,14 @@ def parts_of(spark: SparkSession, df: DataFrame, rows: int = 20_000) -> DataFram
 def _formula_rows(rows: list[tuple], dialect: str) -> list[tuple]:
     """A number and a formula over the columns of an order, with a reference, constants, a text, calls, another sheet and a name."""
     out = []
+    # what is the same in many rows is compiled once
+    rounded, name = (compiled(x, dialect) for x in (("call", 27, [("*", ("ref3d", 1, 4, 2), 0.5), 2]), ("name", 1)))
+    noted = {status: compiled(("&", status, ("sum", ("area", 0, 0, 9, 1))), dialect) for status in {r[2] for r in rows}}
     for key, customer, status, value in rows:
         at = ("ref", key % 60_000, customer % 200, True, True)
         test = (">=", at, key % 65_536)
-        x = ("call_n", 1, [test, ("call", 27, [("*", ("ref3d", 1, 4, 2), 0.5), 2]), ("&", status, ("sum", ("area", 0, 0, 9, 1)))])
-        out.append((float(key), Formula(compiled(("+", ("-", ("()", x)), ("name", 1)), dialect), value)))
+        x = ("call_n", 1, [test, rounded, noted[status]])
+        out.append((float(key), Formula(compiled(("+", ("-", ("()", x)), name), dialect), value)))
     return out
 
 

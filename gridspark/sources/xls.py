@@ -23,7 +23,7 @@ from ..shipping import ship
 from . import tokens
 from .compound import MAGIC, Compound
 from .parts import files
-from .xlsb import _PIECES, with_books, with_texts
+from .xlsb import _PIECES, batch_of, with_books, with_texts
 
 # Record types.
 FORMULA, EOF, EXTERN, NAME, DATE_MODE, PROTECTED, CONTINUE, CODE_PAGE, SHEET, PACKED_ROW, RICH_TEXT, XF, MERGES, STRINGS, SHARED = 0x06, 0x0A, 0x17, 0x18, 0x22, 0x2F, 0x3C, 0x42, 0x85, 0xBD, 0xD6, 0xE0, 0xE5, 0xFC, 0xFD
@@ -215,7 +215,7 @@ def records(spark: SparkSession, paths, types: list[int], codepage: int | None =
                             continue
                         rows.append((path, own[0], seq, *own[1:]))
                         if len(rows) >= BATCH:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                            yield batch_of(rows, kinds, names)
                             rows = []
                 except (ValueError, IndexError, LookupError, struct.error) as e:
                     if report:
@@ -223,7 +223,7 @@ def records(spark: SparkSession, paths, types: list[int], codepage: int | None =
                     elif strict:
                         raise ValueError(f"{path}: {e}") from e
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                    yield batch_of(rows, kinds, names)
 
     return files(spark, paths).mapInArrow(run, SCHEMA)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -33,6 +33,24 @@ _PIECES = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("re
 BATCH = 20_000
 
 
+def pieces_array(column: Iterable[list[dict] | None]) -> pa.Array:
+    """Pieces of formulas as an Arrow array, made of flat columns."""
+    ends, flat, n = [], [], 0
+    for own in column:
+        ends.append(None if own is None else n)
+        if own:
+            flat += own
+            n += len(own)
+    kinds, texts, refs = ([p[k] for p in flat] for k in ("kind", "text", "ref"))
+    return pa.ListArray.from_arrays(pa.array([*ends, n], pa.int32()), pa.StructArray.from_arrays([pa.array(kinds, pa.string()), pa.array(texts, pa.string()), pa.array(refs, pa.int32())], ["kind", "text", "ref"]))
+
+
+def batch_of(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
+    """Rows whose last value is the pieces of a formula."""
+    *columns, own = zip(*rows)
+    return pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(columns, kinds)), pieces_array(own)], names=names)
+
+
 def record_stream(data: memoryview) -> Iterator[tuple[int, memoryview]]:
     """(type, body) of each record; ends quietly where the data are cut off."""
     at, end = 0, len(data)
@@ -102,10 +120,10 @@ def records(spark: SparkSession, paths, members: str, types: list[int], function
                                 own = formula_tokens(kind, body)
                                 rows.append((path, member, seq, row, block, kind, bytes(body), None if own is None else tokens.rows_of(own, tokens.XLSB, functions=index)))
                             if len(rows) >= BATCH:
-                                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                                yield batch_of(rows, kinds, names)
                                 rows = []
                         if rows:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                            yield batch_of(rows, kinds, names)
 
     return files(spark, paths).mapInArrow(run, SCHEMA)
 

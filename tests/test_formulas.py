@@ -98,3 +98,28 @@ def test_workbooks_in_a_table(spark, tmp_path):
     xls_writer.write(str(tmp_path / "b.xls"), {"A": [(5,)]})
     table = spark.createDataFrame([("some/b.xls", (tmp_path / "b.xls").read_bytes(), 1), ("some/c.xls", None, 2)], "path string, content binary, other int")
     assert [(r["path"], r["i"]) for r in auto.cells(spark, table).collect()] == [("some/b.xls", 5)]
+
+
+def test_frequent_tokens_at_once_as_step_by_step():
+    """What is read at once equals what is read step by step, also where it is cut off; pieces as flat columns."""
+    from gridspark.sources import tokens, xlsb
+    from gridspark.testing.token_writer import compiled
+
+    x = ("+", ("()", ("*", ("ref", 70, 3, True, False), ("area", 0, 0, 9, 1))), ("&", "é\"", ("-", ("ref3d", 1, 4, 2), ("^", 2, 0.5))))
+    assert tokens.number_text(100.0) == "100" and tokens.number_text(1e21) == "1" + 21 * "0" and tokens.number_text(-2.5e-7) == "-0.00000025"
+    for dialect in ("xlsb", "biff8", "biff5"):
+        raw = compiled(x, dialect)
+        for end in range(1, len(raw) + 1):
+            t = tokens.Tokens(raw[:end], dialect)
+            try:
+                while t.at < end:
+                    t.step()
+                own = t.stack[0] if len(t.stack) == 1 else None
+            except tokens.BadFormula:
+                own = None
+            try:
+                assert tokens.pieces(raw[:end], dialect) == own
+            except tokens.BadFormula:
+                assert own is None
+    rows = [None, [], tokens.rows_of(compiled(x, "xlsb"), "xlsb"), None, [{"kind": "name", "text": None, "ref": 3}]]
+    assert xlsb.pieces_array(rows).to_pylist() == rows
