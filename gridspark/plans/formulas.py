@@ -21,6 +21,14 @@ ORACLE_SQL: dict[str, str] = {}
 query = query_of(QUERIES, ORACLE_SQL)
 
 
+def _values(column: pa.Array) -> list:
+    """A column as Python values, numbers and texts at once."""
+    kind = column.type
+    if pa.types.is_string(kind) or (column.null_count == 0 and (pa.types.is_integer(kind) or pa.types.is_boolean(kind) or kind in (pa.float32(), pa.float64()))):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    return column.to_pylist()
+
+
 def blobs(df: DataFrame, name: str, make: Callable[[list[tuple], io.BytesIO], None]) -> DataFrame:
     """(path, content), stored in the shared folder: a workbook of each partition's rows, written by ``make``.
 
@@ -32,7 +40,7 @@ def blobs(df: DataFrame, name: str, make: Callable[[list[tuple], io.BytesIO], No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+        rows = [r for b in batches for r in zip(*map(_values, b.columns))]
         if rows:
             made = io.BytesIO()
             make(rows, made)

@@ -9,7 +9,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..operators.rows import rows_by_headers
 from ..shared import shared_folder
 from ..shipping import ship
 from ..sources import faults, media, pivots, vba
@@ -39,8 +38,7 @@ def xlsx_pivot_cache(spark, sf_dir):
         xlsx_writer.write(out, {"one": [(1,)], "two": [(2,)]}, links_between=links, parts=parts)
 
     books = blobs(parts_of(spark, df), "pivots", make)
-    by = ["path", "sheet", "pivot"]
-    return rows_by_headers(pivots.pivot_cells(spark, books), pivots.headers(spark, books), df.schema, by).drop(*by)
+    return pivots.pivot_rows(spark, books, df.schema).drop("path", "sheet", "pivot")
 
 
 def _picture_books(spark, sf_dir):

@@ -292,11 +292,15 @@ def attribute(element, name: str):
     return F.nullif(unescape(F.regexp_extract(element, rf"""(?s)^<[^>]*?[\s:]{name}\s*=\s*(["'])(.*?)\1""", 2)), F.lit(""))
 
 
+#: Named entities in the order in which they are resolved.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
 def unescape(text):
     """Named entities resolved."""
 
     def resolved(x):
-        for code, c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        for code, c in ENTITIES:
             x = F.replace(x, F.lit(code), F.lit(c))
         return x
 

@@ -103,3 +103,35 @@ def test_references_read_no_module_and_trees_are_linear(spark, tmp_path):
     began = time.time()
     file = Compound(memoryview(vba_writer.compound({f"VBA/m{k}": b"x" for k in range(15_000)})))
     assert len(file.streams()) == 15_000 and time.time() - began < 10
+
+
+def test_pivot_rows(spark, tmp_path):
+    """Typed rows are those of the cells and headers, in all forms of items; records are read once and are not grouped."""
+    from pyspark.sql.types import StructType
+
+    from gridspark.operators.rows import rows_by_headers
+
+    fields = [("n", True), ("t", False), ("b", False)]
+    usual = [(k % 3, f"a&b{k}", k % 2 == 0) for k in range(30)] + [(None, None, None), (1, "", True)]
+    odd = parts_writer.pivot(2, "Odd", fields, usual)
+    records = "xl/pivotCache/pivotCacheRecords2.xml"
+    odd[records] = odd[records].replace("<r>", "<r >", 3).replace('<b v="1"/>', "<b v = '1' />", 2).replace('<x v="2"/>', '<x v="2" u="1"></x>', 1).replace('<b v="0"/>', '<b v="7"/>', 1).replace('<s v="a&amp;b9"/>', "<s/>").replace("</r>", "</r>\n<!-- note -->", 4)
+    odd[records] = odd[records].replace("</pivotCacheRecords>", '<r></r><r><n v="+5"/><n v="1e3"/></r><r><n v="1.50"/><n v=" 8 "/><n v="99999999999999999999"/><s v="beyond"/></r><r><x v="no"/></r></pivotCacheRecords>')
+    many = [(k, "x", None) for k in range(3000)]  # a dictionary that is no part of a row
+    parts = {**parts_writer.pivot(1, "Usual", fields, usual), **odd, **parts_writer.pivot(3, "Many", fields, many), **parts_writer.pivot(4, "Twice", [("n", True), ("t", False), ("b", False), ("t", True)], [(1, "a", True, "b"), (2, "d", None, None)])}
+    path = str(tmp_path / "p.xlsx")
+    xlsx_writer.write(path, {"A": [(1,)], "B": []}, links_between={"A": [("pivotTable", f"../pivotTables/pivotTable{k}.xml") for k in (1, 2, 3, 4)], "B": [("pivotTable", "../pivotTables/pivotTable1.xml")]}, parts=parts)
+    schema, by = StructType.fromDDL("t string, n bigint, b boolean"), ["path", "sheet", "pivot"]
+    cells = pivots.pivot_cells(spark, path)
+    want = sorted(map(repr, map(tuple, rows_by_headers(cells, pivots.headers(spark, path), schema, by).drop("path").collect())))
+    rows = pivots.pivot_rows(spark, path, schema)
+    assert sorted(map(repr, map(tuple, rows.drop("path").collect()))) == want and len(want) == 2 * 32 + 34 + 3000 + 2
+    own = {(r["row"], r["col"]): (r["kind"], r["i"], r["f"], r["s"]) for r in cells.where("pivot = 'Odd'").collect()}
+    assert own[34, 0] == ("int", 5, None, None) and own[34, 1] == ("error", None, None, "#DATA!") and (33, 0) not in own and (36, 0) not in own and (35, 3) not in own
+    assert own[35, 0] == ("float", None, 1.5, None) and own[35, 1] == ("int", 8, None, None) and own[35, 2] == ("error", None, None, "#DATA!") and own[10, 1] == ("empty", None, None, None)
+    only = str(tmp_path / "usual.xlsx")
+    xlsx_writer.write(only, {"A": [(1,)]}, links_between={"A": [("pivotTable", "../pivotTables/pivotTable1.xml")]}, parts=parts_writer.pivot(1, "Usual", fields, usual))
+    plan = pivots.pivot_rows(spark, only, schema)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 2 and "Aggregate" not in plan  # inflated and split, once each
+    with pytest.raises(Exception, match="no column 'other'"):
+        pivots.pivot_rows(spark, only, StructType.fromDDL("t string, other string")).collect()
