@@ -16,9 +16,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{(path or tempfile.mkdtemp(prefix='gridspark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder, and read again: what follows branches off without doing it anew."""
+def kept(df: DataFrame, name: str, group: int | None = None) -> DataFrame:
+    """df written as Parquet to the shared folder, and read again: what follows branches off without doing it anew.
+
+    group: rows of a row group at most, for long rows. A reader decodes a row group at once, and Parquet bounds its bytes only as
+    they are compressed.
+    """
     spark = df.sparkSession
     at = shared_folder(spark, name)
-    df.write.option("compression", "zstd").parquet(at)
+    writer = df.write.option("compression", "zstd")
+    (writer if group is None else writer.option("parquet.block.row.count.limit", group)).parquet(at)
     return spark.read.schema(df.schema).parquet(at)

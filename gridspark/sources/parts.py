@@ -24,6 +24,8 @@ from ..shared import kept
 from ..shipping import ship
 
 CHUNK = 1 << 20
+#: Chunks of a row group where they are stored, so that a reader holds few of them.
+GROUP = 8
 #: path, member (lower case, forward slashes), chunk, units (rows or items before the chunk), text
 SCHEMA = "path string, member string, chunk int, units long, text string"
 #: Usual name of a part -> the end tag behind which it is cut; other parts are one chunk.
@@ -220,7 +222,7 @@ def opened(spark: SparkSession, paths, sheets: Iterable[str] | None = None, last
     """
     if isinstance(paths, DataFrame) and "usual" in paths.columns:
         return paths
-    return kept(_inflated(spark, paths, members, CUTS, sheets, last_row, broken), "opened")
+    return kept(_inflated(spark, paths, members, CUTS, sheets, last_row, broken), "opened", GROUP)
 
 
 def _inflated(spark: SparkSession, paths, members: str, cuts: dict[str, str], sheets: Iterable[str] | None, last_row: int | None, broken: str) -> DataFrame:

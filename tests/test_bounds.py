@@ -137,3 +137,15 @@ def test_a_partition_is_many_workbooks(spark):
     batches = [pa.RecordBatch.from_pydict({"t": ["x" * 1000] * 50}), pa.RecordBatch.from_pydict({"t": ["y"] * 500})]
     cut = list(workbooks.rows_in_books(iter(batches), 200, 20_000))
     assert sum(map(len, cut)) == 550 and max(map(len, cut)) <= 200 and max(sum(len(t) for t, in c) for c in cut) <= 21_000
+
+
+def test_a_row_group_holds_few_chunks(spark):
+    """Readers decode a row group at once, so stored chunks are bounded by number, not by their compressed bytes."""
+    import pyarrow.parquet as pq
+
+    made = io.BytesIO()
+    xlsx_writer.write(made, {f"s{k}": [(k,)] for k in range(6)})
+    own = xlsx.opened(spark, spark.createDataFrame([(f"{k}.xlsx", made.getvalue()) for k in range(9)], "path string, content binary").coalesce(1))
+    groups = [g.row_group(k).num_rows for g in map(pq.read_metadata, own.inputFiles()) for k in range(g.num_row_groups)]
+    assert sum(groups) == own.count() >= 9 * 6 and max(groups) <= parts.GROUP
+    assert xlsx.cells(spark, own).count() == 9 * 6
