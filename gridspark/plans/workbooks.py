@@ -278,7 +278,9 @@ def csv_lines_from_workbook(spark, sf_dir):
 
 
 def _ods(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    return _typed(ods.cells(spark, written(spark, df, name, writer=ods_writer, kind="ods")), df)
+    parts, by = ods.opened(spark, written(spark, df, name, writer=ods_writer, kind="ods")), ["path", "sheet"]
+    heads = header_relation(ods.cells(spark, parts, last_row=0), by, 0)
+    return rows_by_headers(ods.cells(spark, parts), heads, df.schema, by).drop(*by)
 
 
 @query("SELECT * FROM nation")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.refs import let
-from ..model import BadPackage, BadPart, NoWorkbook
+from ..model import MAX_ROWS, BadPackage, BadPart, NoWorkbook
 from ..shared import kept
 from ..shipping import ship
 
@@ -28,6 +28,8 @@ CHUNK = 1 << 20
 GROUP = 8
 #: path, member (lower case, forward slashes), chunk, units (rows or items before the chunk), text
 SCHEMA = "path string, member string, chunk int, units long, text string"
+#: Usual name of the part; of an ods content the table that a chunk begins in, if any, and how many of its rows are before the chunk.
+_MORE = "usual string, sheet_idx int, sheet string, line long"
 #: Usual name of a part -> the end tag behind which it is cut; other parts are one chunk.
 CUTS = {r"[^/]*/worksheets/[^/]*\.xml": "</row>", r"[^/]*/sharedstrings\.xml": "</si>", r"[^/]*/pivotcache/pivotcacherecords[^/]*\.xml": "</r>", r"content\.xml": "</table:table-row>"}
 _TEXTS = r".*\.(?:xml|rels)"
@@ -104,6 +106,33 @@ class Places:
         return b"<%s%s%s%s>" % (m[1], own, m[2] or b"", m[3])
 
 
+#: Of an ods content: a table's start; an empty row; the tag of a row and what it holds.
+_PIECE = re.compile(r"(<table:table(?:\s[^>]*)?>)|(<table:table-row(?:\s[^>]*?)?/>)|(<table:table-row(?:\s[^>]*)?>)((?:[^<]++|<(?!/table:table-row>))*+)</table:table-row>", re.A)
+_REPEATED = re.compile(r"""[\s:]table:number-rows-repeated\s*=\s*(["'])\s*([+-]?\d{1,10})\s*\1""", re.A)
+_TABLE_NAME = re.compile(r"""[\s:]table:name\s*=\s*(["'])(.*?)\1""", re.A | re.S)
+
+
+class Tables:
+    """Goes through the chunks of an ods content, or from where one of them begins: which table, and which row of it."""
+
+    def __init__(self, index: int | None = None, sheet: str | None = None, row: int = 0) -> None:
+        self.index, self.sheet, self.row = index, sheet, row
+
+    def rows(self, text: str) -> Iterator[tuple[int, re.Match]]:
+        """(how often it is repeated, piece) of the rows of tables; ``index``, ``sheet`` and ``row`` are theirs meanwhile."""
+        for m in _PIECE.finditer(text):
+            if m[1]:
+                named = _TABLE_NAME.search(m[1])
+                self.index, self.sheet, self.row = 0 if self.index is None else self.index + 1, _resolved(named[2]) or None if named else None, 0
+                continue
+            tag, n = m[2] or m[3], 1
+            if len(tag) > len("<table:table-row/>") and (said := _REPEATED.search(tag)) and -(1 << 31) <= int(said[2]) < 1 << 31:
+                n = min(int(said[2]), MAX_ROWS)
+            if self.index is not None:
+                yield n, m
+            self.row += n
+
+
 _RELATION = re.compile(rb"<(?:[\w.\-]+:)?Relationship\s[^>]*>")
 
 
@@ -153,7 +182,8 @@ def chunks(stream, end: bytes | None, repeat: re.Pattern | None = None) -> Itera
     held, number, units, prefixed = [], 0, 0, None
     while part := stream.read(CHUNK):
         if prefixed is None:
-            root = _ROOT.search(part[:4096])
+            # end tags of an ods content have their prefix, and its tables are no root elements
+            root = _ROOT.search(part[:4096]) if not end or b":" not in end else None
             prefixed = bool(root)
             if root and end:
                 end = b"</" + root[1] + b":" + end[2:]
@@ -212,7 +242,7 @@ def inflate(spark: SparkSession, paths, members: str, end: str | None = None, sh
     if isinstance(paths, DataFrame) and "usual" in paths.columns:  # opened already
         own = paths.where(F.col("usual").rlike(f"^(?:{members})$"))
         return own.select("path", "member", "chunk", "units", "text") if last_row is None else own.where(F.col("units") <= max(last_row, 0)).select("path", "member", "chunk", "units", "text")
-    return _inflated(spark, paths, members, {members: end} if end else {}, sheets, last_row, broken).drop("usual")
+    return _inflated(spark, paths, members, {members: end} if end else {}, sheets, last_row, broken).drop(*(c.split()[0] for c in _MORE.split(", ")))
 
 
 def opened(spark: SparkSession, paths, sheets: Iterable[str] | None = None, last_row: int | None = None, broken: str = "raise", members: str = _TEXTS) -> DataFrame:
@@ -255,13 +285,17 @@ def _inflated(spark: SparkSession, paths, members: str, cuts: dict[str, str], sh
                     end = next((v for k, v in ends if k.fullmatch(said)), None)
                     stop = end.encode() if end else None
                     place = Places() if end == "</row>" else None
+                    tables = Tables() if said == "content.xml" else None
                     try:
                         with z.open(info) as f:
                             for number, units, own, prefixed in chunks(f, stop):
                                 if broken == "report":
                                     continue
                                 own = plain(own, prefixed and name != "content.xml")
-                                yield _chunk(path, name, said, number, units, (place(own) if place else own).decode("utf-8", "replace"))
+                                text = (place(own) if place else own).decode("utf-8", "replace")
+                                yield _chunk(path, name, said, number, units, text, *((tables.index, tables.sheet, tables.row) if tables else ()))
+                                for _ in tables.rows(text) if tables else ():
+                                    pass
                                 if last_row is not None and place and place.row > last_row:
                                     break
                     except _BROKEN as e:
@@ -270,7 +304,7 @@ def _inflated(spark: SparkSession, paths, members: str, cuts: dict[str, str], sh
                         if broken == "report":
                             yield _chunk(path, name, said, -1, 0, _said(BadPart(str(e))))
 
-    return files(spark, paths).mapInArrow(run, f"{SCHEMA}, usual string")
+    return files(spark, paths).mapInArrow(run, f"{SCHEMA}, {_MORE}")
 
 
 _SHEET_PART = re.compile(r"[^/]*/worksheets/[^/]*\.xml")
@@ -281,8 +315,9 @@ def _said(e: Exception) -> str:
     return f"{type(e).__name__}: {e}"
 
 
-def _chunk(path: str, member: str, usual: str, number: int, units: int, text: str) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([path]), pa.array([member]), pa.array([number], pa.int32()), pa.array([units], pa.int64()), pa.array([text]), pa.array([usual])], names=["path", "member", "chunk", "units", "text", "usual"])
+def _chunk(path: str, member: str, usual: str, number: int, units: int, text: str, index: int | None = None, sheet: str | None = None, line: int | None = None) -> pa.RecordBatch:
+    own = [([path], pa.string()), ([member], pa.string()), ([number], pa.int32()), ([units], pa.int64()), ([text], pa.string()), ([usual], pa.string()), ([index], pa.int32()), ([sheet], pa.string()), ([line], pa.int64())]
+    return pa.RecordBatch.from_arrays([pa.array(*x) for x in own], names=[c.split()[0] for c in f"{SCHEMA}, {_MORE}".split(", ")])
 
 
 _NAMED = re.compile(r"\.(?:xlsx|xlsm|xlam)$", re.I)
@@ -298,6 +333,12 @@ def attribute(element, name: str):
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
 
+def _resolved(text: str) -> str:
+    for code, c in ENTITIES if "&" in text else ():
+        text = text.replace(code, c)
+    return text
+
+
 def unescape(text):
     """Named entities resolved."""
 

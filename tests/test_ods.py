@@ -42,3 +42,26 @@ def test_many_chunks_and_sheets(spark, tmp_path):
     cells = ods.cells(spark, book(tmp_path / "c.ods", body))
     assert cells.count() == 24_000 and cells.where("kind = 'float' AND f <> row").count() == 0
     assert cells.where("kind = 'string' AND s <> concat(repeat('x', 80), row)").count() == 0
+
+
+def test_contents_are_cut_and_a_chunk_is_parsed_by_itself(spark, tmp_path):
+    """A chunk says in which table and row it begins, also behind repeated rows; a header is read without the chunks behind it."""
+    usual = '<table:table-row{}><table:table-cell office:value-type="float" office:value="{}"/><table:table-cell office:value-type="string"><text:p>' + "y &amp; z" * 20 + "</text:p></table:table-cell></table:table-row>"
+    odd = '<table:table-row><table:table-cell office:value-type="float" office:value="-1" table:number-columns-repeated="2"/></table:table-row>'
+    table = "".join(usual.format(' table:number-rows-repeated="3"' if k % 4 == 0 else "", k) + (odd if k % 1000 == 0 else "") for k in range(8000))
+    path = book(tmp_path / "c.ods", "".join(f'<table:table table:name="{n}">{table}</table:table>' for n in ("a", "&lt;b")))
+    own = ods.opened(spark, path)
+    assert own.where("usual = 'content.xml'").count() > 3
+    want, row = {}, 0
+    for k in range(8000):
+        for _ in range(3 if k % 4 == 0 else 1):
+            want[row], row = float(k), row + 1
+        if k % 1000 == 0:
+            want[row], row = -1.0, row + 1
+    cells = ods.cells(spark, own)
+    for n, name in enumerate(("a", "<b")):
+        assert {r["row"]: r["f"] for r in cells.where(f"sheet_idx = {n} AND sheet = '{name}' AND col = 0").collect()} == want
+    assert cells.where("kind = 'string' AND s = repeat('y & z', 20)").count() == 2 * 12_000 and cells.where("kind = 'float' AND col = 1").count() == 2 * 8
+    assert "Window" not in cells._jdf.queryExecution().optimizedPlan().toString()
+    first = ods.cells(spark, own, last_row=2)
+    assert sorted((r["sheet_idx"], r["row"], r["f"]) for r in first.where("col = 0").collect()) == [(n, k, 0.0) for n in (0, 1) for k in range(3)]
