@@ -72,9 +72,10 @@ def rows_by_headers(cells: DataFrame, headers: DataFrame, schema: StructType, by
     own = own.withColumn("_header", F.when(F.size(missing) == 0, F.col("_header")).otherwise(told))
     held = cells.join(own, by).where(F.col("row") > F.col("_header")).withColumn("_field", F.try_element_at("_names", F.col("col")))
     held = held.where(F.col("_field").isin([f.name for f in schema]))
-    cell = F.struct(*VALUE_COLUMNS)
-    picked = held.groupBy(*by, "row").agg(*(F.max(F.when(F.col("_field") == f.name, cell)).alias(f"__{k}") for k, f in enumerate(schema)))
-    return picked.select(*by, *(target(Cell(f"__{k}"), f.dataType.simpleString(), strict).alias(f.name) for k, f in enumerate(schema)))
+    # values, not cells, are grouped: they are shorter, and are hashed where all fields have a fixed length
+    typed = held.select(*by, "row", *(F.when(F.col("_field") == f.name, target(Cell(), f.dataType.simpleString(), strict)).alias(f"__{k}") for k, f in enumerate(schema)))
+    picked = typed.groupBy(*by, "row").agg(*(F.max(f"__{k}").alias(f"__{k}") for k in range(len(schema))))
+    return picked.select(*by, *(F.col(f"__{k}").alias(f.name) for k, f in enumerate(schema)))
 
 
 def as_map(cells: DataFrame, columns: dict[str, int], by: list[str], value: Column) -> DataFrame:

@@ -149,3 +149,18 @@ def test_a_row_group_holds_few_chunks(spark):
     groups = [g.row_group(k).num_rows for g in map(pq.read_metadata, own.inputFiles()) for k in range(g.num_row_groups)]
     assert sum(groups) == own.count() >= 9 * 6 and max(groups) <= parts.GROUP
     assert xlsx.cells(spark, own).count() == 9 * 6
+
+
+def test_rows_are_made_of_values(spark, tmp_path):
+    """Rows are grouped as values, not as cells: without strings they are hashed and not sorted."""
+    xlsx_writer.write(str(tmp_path / "a.xlsx"), {"s": [("k", "v", "b", "t"), (1, 1.5, True, "x"), (2, None, False, None), (None, "2.5", 3, "#N/A")]})
+    read = xlsx.cells(spark, str(tmp_path / "a.xlsx"))
+    cells = spark.createDataFrame(read.collect(), read.schema)
+    heads = header_relation(cells, ["path", "sheet"], 0)
+    rows = rows_by_headers(cells, heads, StructType.fromDDL("k bigint, v double, b boolean"), ["path", "sheet"])
+    assert "SortAggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r)[2:] for r in rows.collect()} == {(1, 1.5, True), (2, None, False), (None, 2.5, True)}
+    texts = rows_by_headers(cells, heads, StructType.fromDDL("k bigint, t string"), ["path", "sheet"])
+    assert {tuple(r)[2:] for r in texts.collect()} == {(1, "x"), (2, None), (None, "#N/A")}
+    with pytest.raises(Exception, match="no bigint: x"):
+        rows_by_headers(cells, heads, StructType.fromDDL("t bigint"), ["path", "sheet"], strict=True).collect()
